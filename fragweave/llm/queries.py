@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fragweave.llm import bpe, langid, quality, simhash
+from fragweave.llm import bpe, langid, packing, quality, simhash
 from fragweave.llm.common import fold
 from fragweave.session import table
 
@@ -22,6 +22,11 @@ def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of at most 1024."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +43,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op7_bpe_encoding": op7_bpe_encoding,
+    "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
 }
