@@ -5,11 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fragweave.llm import bpe, langid, packing, quality, simhash
+from fragweave.llm import bpe, divergence, langid, oracles, packing, quality, simhash
 from fragweave.llm.common import fold
 from fragweave.session import table
 
 
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and divergence verdict of every document."""
+    found = divergence.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
@@ -41,6 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_distribution_divergence": op1_distribution_divergence,
     "op2_quality_classifier": op2_quality_classifier,
     "op7_bpe_encoding": op7_bpe_encoding,
     "op8_packing": op8_packing,
@@ -48,4 +55,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_distribution_divergence": oracles.op1()}
