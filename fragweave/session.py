@@ -29,14 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) is a folder of our own made; it is
-    never used on a cluster, whose executors could not see it.
+    Only where that setting is absent (tests, a laptop) is it a local folder; executors of a
+    cluster couldn't see that.
     """
+    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "fragweave-checkpoints")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows of df behind a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "fragweave-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
