@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fragweave.llm import bpe, divergence, flatgraph, langid, oracles, packing, quality, simhash
+from fragweave.llm import bpe, divergence, flatgraph, langid, oracles, packing, quality, simhash, styletree
 from fragweave.llm.common import fold
 from fragweave.session import table
 
@@ -23,6 +23,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return styletree.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of every vector at a cosine of 0.95."""
     return flatgraph.near_groups(table(spark, sf_dir, "embeddings"))
@@ -54,6 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_html_extraction": op3_html_extraction,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_bpe_encoding": op7_bpe_encoding,
     "op8_packing": op8_packing,
