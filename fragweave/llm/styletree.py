@@ -43,6 +43,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)", re.S)
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _PART = re.compile(r"[a-z0-9]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
@@ -134,18 +135,19 @@ def parse(html: str) -> Node:
             stack.append(node)
         if at >= n:
             break
-    text(html[at:])
+    cut = _OPEN.search(html, at)  # a tag that the page's end cuts within a quoted value
+    text(html[at : cut.start() if cut else n])
     return root
 
 
 def style_nodes(root: Node) -> Iterator[tuple[int, int, int]]:
     """(path, presentation, content) hashes of every element with text."""
     h = xxhash.xxh64_intdigest
-    todo, order = [(root, "")], []
+    todo, order = [(root, 0)], []
     while todo:
         node, path = todo.pop()
         order.append((node, path))
-        todo += [(c, f"{path}/{c.sign}") for c in node.children if isinstance(c, Node)]
+        todo += [(c, below(path, c.sign)) for c in node.children if isinstance(c, Node)]
     inner: dict[int, int] = {}
     for node, path in reversed(order):
         # content hash from the children's hashes, so that each character is hashed once
@@ -161,12 +163,12 @@ def style_nodes(root: Node) -> Iterator[tuple[int, int, int]]:
                     parts.append(inner[id(c)])
         inner[id(node)] = h(np.array(parts, "<u8").tobytes()) if parts else 0
         if parts and path:
-            yield path_hash(path), h(" ".join(signs)), inner[id(node)]
+            yield path, h(" ".join(signs)), inner[id(node)]
 
 
-def path_hash(path: str) -> int:
-    """Signed 64-bit hash of a style path."""
-    x = xxhash.xxh64_intdigest(path)
+def below(path: int, sign: str) -> int:
+    """Hash of a style path one element longer; the root's is 0. Signed 64 bits, whatever the depth."""
+    x = xxhash.xxh64_intdigest(f"{path}/{sign}")
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -177,23 +179,23 @@ def main_text(root: Node, noise: frozenset[int]) -> str:
     element counts, else all of the page.
     """
 
-    def kept(node: Node, path: str, inside: bool) -> bool:
+    def kept(node: Node, path: int, inside: bool) -> bool:
         if node.tag == "header":
             return inside
         if node.marked():
             return False
         if node.tag in ("#root", "html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"):
             return True
-        return path_hash(path) not in noise if noise else True
+        return path not in noise
 
-    def find(tag: str) -> list[tuple[Node, str]]:
-        got, todo = [], [(root, "")]
+    def find(tag: str) -> list[tuple[Node, int]]:
+        got, todo = [], [(root, 0)]
         while todo:
             node, path = todo.pop()
             if node.tag == tag:
                 got.append((node, path))
                 continue
-            todo += [(c, p) for c in reversed(node.children) if isinstance(c, Node) and kept(c, p := f"{path}/{c.sign}", False)]
+            todo += [(c, p) for c in reversed(node.children) if isinstance(c, Node) and kept(c, p := below(path, c.sign), False)]
         return got
 
     found = find("article")
@@ -210,7 +212,7 @@ def main_text(root: Node, noise: frozenset[int]) -> str:
             blocks.append(s)
         held.clear()
 
-    for top, path in found or [(root, "")]:
+    for top, path in found or [(root, 0)]:
         todo: list = [(top, path)]
         while todo:
             item = todo.pop()
@@ -227,7 +229,7 @@ def main_text(root: Node, noise: frozenset[int]) -> str:
                     todo.append(None)
                 elif node.tag in ("br", "td", "th"):
                     held.append(" ")
-                todo += [c if isinstance(c, str) else (c, f"{path}/{c.sign}") for c in reversed(node.children)]
+                todo += [c if isinstance(c, str) else (c, below(path, c.sign)) for c in reversed(node.children)]
         flush()
     return "\n\n".join(blocks)
 
