@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fragweave.llm import bpe, divergence, flatgraph, langid, oracles, packing, quality, simhash, styletree
+from fragweave.llm import bpe, divergence, flatgraph, langid, lm, oracles, packing, quality, simhash, styletree
 from fragweave.llm.common import fold
 from fragweave.session import table
 
@@ -28,6 +28,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styletree.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document, learnt outside the held-out tenth."""
+    return lm.likelihoods(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of every vector at a cosine of 0.95."""
     return flatgraph.near_groups(table(spark, sf_dir, "embeddings"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_distribution_divergence": op1_distribution_divergence,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_html_extraction": op3_html_extraction,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_bpe_encoding": op7_bpe_encoding,
     "op8_packing": op8_packing,
