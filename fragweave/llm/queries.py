@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fragweave.llm import bpe, divergence, flatgraph, langid, lm, oracles, packing, quality, simhash, styletree
+from fragweave.llm import bpe, divergence, flatgraph, langid, lm, oracles, packing, quality, simhash, styletree, toolcalls
 from fragweave.llm.common import fold
 from fragweave.session import table
 
@@ -38,6 +38,13 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatgraph.near_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of every conversation: those written as JSON, and plain exchanges as calls of `respond`."""
+    talks = table(spark, sf_dir, "conversations")
+    events = toolcalls.read_events(talks).unionByName(toolcalls.turns_as_events(talks))
+    return toolcalls.link(events, toolcalls.RESPOND).drop("errors", "idx")
+
+
 def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the ids and of the decoded text of every document under the word vocabulary."""
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -67,10 +74,11 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_tool_call_linking": op6_tool_call_linking,
     "op7_bpe_encoding": op7_bpe_encoding,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op1_distribution_divergence": oracles.op1()}
+ORACLES: dict[str, str] = {"op1_distribution_divergence": oracles.op1(), "op6_tool_call_linking": oracles.op6()}
