@@ -67,45 +67,57 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Lexicon:
     """What a worker needs: frequent keys with counts, the model's symbols, totals by bucket."""
 
-    def __init__(self, frequent: list, buckets: dict[int, tuple[int, int]], total: int, distinct: int):
-        """frequent: (key, bucket, count) in descending order of count. buckets: of words beyond the shortlist, tokens and kinds."""
+    def __init__(self, key: np.ndarray, bucket: np.ndarray, n: np.ndarray, buckets: dict[int, tuple[int, int]], total: int, distinct: int):
+        """key, bucket, n: the frequent words and the end. buckets: tokens and kinds of all words by bucket."""
         self.total, self.distinct = total, distinct
-        ends = next((n for k, _, n in frequent if k == END), 0)
-        words = [f for f in frequent if f[0] != END]
-        top = words[:SHORTLIST]
+        is_end = key == END
+        self.end_count = int(n[is_end].sum())
+        key, bucket, n = key[~is_end], bucket[~is_end], n[~is_end]
+        order = np.lexsort((key, -n))
+        key, bucket, n = key[order], bucket[order], n[order]
         tokens = np.array([buckets.get(b, (0, 0))[0] for b in range(BUCKETS)], float)
         kinds = np.array([buckets.get(b, (0, 0))[1] for b in range(BUCKETS)], float)
-        for _, b, n in top:
-            tokens[b] -= n
-            kinds[b] -= 1
-        counts = np.concatenate([[n for _, _, n in top], tokens, [ends]]).astype(float)
+        top = min(SHORTLIST, len(key))
+        np.subtract.at(tokens, bucket[:top], n[:top])
+        np.subtract.at(kinds, bucket[:top], 1)
+        counts = np.concatenate([n[:top], tokens, [self.end_count]]).astype(float)
         order = np.argsort(-counts, kind="stable")
         place = np.empty(len(counts), np.int64)
         place[order] = np.arange(len(counts))
         self.counts = counts[order]
         self.symbol_end = int(place[-1])
-        self.bucket_symbol = place[len(top) : len(top) + BUCKETS]
+        self.bucket_symbol = place[top : top + BUCKETS]
         #: log10 of the smoothed total of each bucket, by which a word's own smoothed count is divided
         self.bucket_log = np.log10(tokens + ALPHA * (kinds + 1))
-        self.end_count = ends
-        keys = np.array([f[0] for f in words], np.int64)
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
-        self.n = np.array([f[2] for f in words], np.int64)
-        self.symbol = {k: int(place[i]) for i, (k, _, _) in enumerate(top)}
+        self.symbol = dict(zip(key[:top].tolist(), place[:top].tolist()))
+        order = np.argsort(key)
+        self.keys, self.n = key[order], n[order]
 
     def entry(self, word: bytes) -> tuple[int, int, float, float]:
         """(symbol, key of a word that needs the join or 0, log10(count + ALPHA) or 0, log10 that the word adds to its symbol's)."""
         key, bucket = key_of(word), bucket_of(word)
         i = int(np.searchsorted(self.keys, key))
         found = i < len(self.keys) and self.keys[i] == key
-        own = float(np.log10(self.n[self.order[i]] + ALPHA)) if found else 0.0
+        own = float(np.log10(self.n[i] + ALPHA)) if found else 0.0
         symbol = self.symbol.get(key)
         if symbol is not None:
             return symbol, 0, own, 0.0
         return int(self.bucket_symbol[bucket]), 0 if found else key, own, own - float(self.bucket_log[bucket])
 
 
+def _symbols(words):
+    """Texts to the model's symbols, the end included, as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = words.value
+        memo = Memo(lex.entry)
+        for pdf in batches:
+            for text in pdf["text"]:
+                yield pd.DataFrame({"s": [np.array([memo[w][0] for w in folded_words(text)] + [lex.symbol_end], "<i4").tobytes()]})
+
+    return run
+
+
 def _scorer(shared, held_fold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, model = shared.value
@@ -166,14 +178,22 @@ def likelihoods(docs: DataFrame, folds: int = 10, held_fold: int = 0, sample: in
     counts = cut_lineage(counted.groupBy("key").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")))
     by_bucket = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     total, distinct = sum(r.n for r in by_bucket), sum(r.v for r in by_bucket)
-    frequent = counts.orderBy(F.desc("n"), "key").limit(FREQUENT)
-    cut = frequent.select("key", "bucket", "n").collect()
-    lex = Lexicon([tuple(r) for r in cut], {r.bucket: (r.n, r.v) for r in by_bucket if r.bucket >= 0}, total, distinct)
-    n_docs = lex.end_count
+    # the frequent words are those above the least count that leaves at most FREQUENT of them;
+    # counts are told apart to 1 in 64 of an octave, so the histogram stays small
+    level = F.when(F.col("n") <= 4096, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 4096)
+    bar, have = 1 << 60, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level):
+        have += r.words
+        if have > FREQUENT:
+            break
+        bar = r.level
+    cut = counts.where((level >= bar) | (F.col("key") == END)).select("key", "bucket", "n").toArrow()
+    lex = Lexicon(*(cut.column(c).to_numpy() for c in ("key", "bucket", "n")), {r.bucket: (r.n, r.v) for r in by_bucket if r.bucket >= 0}, total, distinct)
     spread = 1 << 30
-    few = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < int(min(1.0, sample / max(1, n_docs)) * spread)).select("text").collect()
-    memo = Memo(lex.entry)
-    learn = [np.array([memo[w][0] for w in folded_words(t)] + [lex.symbol_end], np.int64) for t in sorted(r.text or "" for r in few)]
+    few = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < int(min(1.0, sample / max(1, lex.end_count)) * spread)).select("text")
+    words = spark.sparkContext.broadcast(lex)
+    learn = [np.frombuffer(r.s, "<i4").astype(np.int64) for r in few.mapInPandas(_symbols(words), "s binary").collect()]
+    learn.sort(key=lambda x: (len(x), x.tobytes()))  # independent of the order of tasks
     # symbols number at most SHORTLIST + BUCKETS + 1, so the weights are under 2 MB
     model = gru.train(gru.start(lex.counts, CLASSES), learn, lex.symbol_end, tokens)
     shared = spark.sparkContext.broadcast((lex, model))
