@@ -57,13 +57,45 @@ def tolerant_overlap(left: Column | str, right: Column | str, least: int, k: int
     return F.struct(n.alias("length"), (n - miss).alias("matches"), miss.alias("mismatches"), ((n > 0) & (miss == 0)).alias("exact"), d.alias("mismatch_details"))
 
 
-def _edges(pairs: DataFrame) -> DataFrame:
-    """Pairs with a chosen n -> the edge table."""
-    l, r = suffix("l", F.col("n")), prefix("r", F.col("n"))
-    d = F.when(l == r, _no_details()).otherwise(mismatches(l, r))
-    out = pairs.where("n is not null and n > 0").withColumn("mismatch_details", d)
-    miss = F.size("mismatch_details").cast("bigint")
-    return out.select("dataset_id", "src", "dst", F.col("n").cast("bigint").alias("overlap"), (F.col("n") - miss).alias("matches"), miss.alias("mismatches"), (miss == 0).alias("exact"), "mismatch_details")
+def _once(name: str, value: Column) -> Column:
+    """A column that is computed once however often plans above refer to it: what a generator makes can't be inlined."""
+    return F.explode(F.array(value)).alias(name)
+
+
+def _verifier(k: int):
+    """Pairs with candidate lengths to edges: the longest exact overlap, else the longest with at most k mismatches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for ds, src, dst, l, r, ns in zip(pdf["dataset_id"], pdf["src"], pdf["dst"], pdf["l"], pdf["r"], pdf["ns"]):
+                lengths = sorted((int(n) for n in ns), reverse=True)
+                n = next((n for n in lengths if l[len(l) - n :] == r[:n]), 0)
+                details = []
+                if not n:
+                    x, y = np.frombuffer(l, np.uint8), np.frombuffer(r, np.uint8)
+                    for n in lengths:
+                        at = np.flatnonzero(x[len(x) - n :] != y[:n])
+                        if len(at) <= k:
+                            details = [{"overlap_offset": int(i), "left_byte": int(x[len(x) - n + i]), "right_byte": int(y[i])} for i in at]
+                            break
+                    else:
+                        continue
+                rows.append((ds, src, dst, n, n - len(details), len(details), not details, details))
+            yield pd.DataFrame(rows, columns=["dataset_id", "src", "dst", "overlap", "matches", "mismatches", "exact", "mismatch_details"])
+
+    return run
+
+
+def _edges(pairs: DataFrame, k: int) -> DataFrame:
+    """Pairs (dataset_id, src, dst, l, r, ns) to the edge table. Exact ones stay on the JVM side."""
+    if k:
+        kind = dict(pairs.dtypes)["dataset_id"]
+        detail = "array<struct<overlap_offset:bigint,left_byte:smallint,right_byte:smallint>>"
+        return pairs.select("dataset_id", "src", "dst", "l", "r", "ns").mapInPandas(_verifier(k), f"dataset_id {kind}, src long, dst long, overlap long, matches long, mismatches long, exact boolean, mismatch_details {detail}")
+    n = F.array_max(F.filter("ns", lambda n: suffix(F.col("l"), n) == prefix(F.col("r"), n))).cast("bigint")
+    out = pairs.select("dataset_id", "src", "dst", _once("overlap", n)).where("overlap is not null")
+    return out.select("dataset_id", "src", "dst", "overlap", F.col("overlap").alias("matches"), F.lit(0).cast("bigint").alias("mismatches"), F.lit(True).alias("exact"), _no_details().alias("mismatch_details"))
 
 
 def exhaustive_edges(frags: DataFrame, least: int, k: int = 0) -> DataFrame:
@@ -74,7 +106,7 @@ def exhaustive_edges(frags: DataFrame, least: int, k: int = 0) -> DataFrame:
     a = f.select("dataset_id", F.col("node_id").alias("src"), F.col("data").alias("l"))
     b = f.select("dataset_id", F.col("node_id").alias("dst"), F.col("data").alias("r"))
     most = F.least(F.length("l"), F.length("r"))
-    return _edges(a.join(b, "dataset_id").where("src <> dst").withColumn("n", _choose(F.sequence(F.lit(least), most), F.col("l"), F.col("r"), k)))
+    return _edges(a.join(b, "dataset_id").where("src <> dst").withColumn("ns", F.sequence(F.lit(least), most)), k)
 
 
 def _minimisers(data: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,4 +169,4 @@ def indexed_edges(frags: DataFrame, least: int, k: int = 0) -> DataFrame:
     pairs = near.groupBy("dataset_id", "src", "dst").agg(F.collect_set("n").alias("ns"))
     pairs = pairs.join(f.select("dataset_id", F.col("node_id").alias("src"), F.col("data").alias("l")), ["dataset_id", "src"])
     pairs = pairs.join(f.select("dataset_id", F.col("node_id").alias("dst"), F.col("data").alias("r")), ["dataset_id", "dst"])
-    return _edges(pairs.withColumn("n", _choose(F.col("ns"), F.col("l"), F.col("r"), k)))
+    return _edges(pairs, k)
