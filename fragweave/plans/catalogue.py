@@ -1,6 +1,6 @@
 """Query catalogue: name -> Spark plan over the driver's tables; the DuckDB oracles are in oracles.py.
 
-Binary columns leave as upper-case hex, payloads of unbounded size as size and MD5.
+Binary columns leave as upper-case hex, payloads of unbounded size as size and MD5, and absent ids and indices as -1.
 """
 
 from __future__ import annotations
@@ -209,7 +209,7 @@ def damage_drop(spark, sf_dir):
 @query
 def damage_roles(spark, sf_dir):
     """Role and source of every emitted fragment."""
-    return sc.Recovery(spark, sf_dir).damage.roles
+    return sc.Recovery(spark, sf_dir).damage.roles.withColumn("source_frag_id", F.coalesce("source_frag_id", F.lit(-1)))
 
 
 @query
@@ -316,13 +316,14 @@ def join_index(spark, sf_dir):
 @query
 def adjacent_joins(spark, sf_dir):
     """The nearest joins with mismatches before and after each join."""
-    return trace.adjacent_joins(sc.Recovery(spark, sf_dir).traces, mismatches_only=True).select("dataset_id", "join_index", "src", "dst", "previous", "next")
+    return trace.adjacent_joins(sc.Recovery(spark, sf_dir).traces, mismatches_only=True).select("dataset_id", "join_index", "src", "dst", F.coalesce("previous", F.lit(-1)).alias("previous"), F.coalesce("next", F.lit(-1)).alias("next"))
 
 
 @query
 def timeline(spark, sf_dir):
     """The viewer's timeline."""
-    return trace.timeline(sc.Recovery(spark, sf_dir).traces)
+    d = trace.timeline(sc.Recovery(spark, sf_dir).traces)
+    return d.withColumn("edge_index", F.coalesce("edge_index", F.lit(-1))).withColumn("repair_index", F.coalesce("repair_index", F.lit(-1)))
 
 
 @query

@@ -150,7 +150,7 @@ def _scenario() -> dict[str, str]:
         "repair_report": """SELECT ds AS dataset_id, CASE WHEN kind = 'repaired' THEN kind ELSE 'ambiguous' END AS status, pos AS position, 'consensus' AS stage, printf('%02x', old) AS baseline, CASE WHEN kind = 'repaired' THEN printf('%02x', new) ELSE '-' END AS result,
             CASE WHEN kind = 'repaired' THEN support || '/' || obs || ' votes' ELSE votes END AS evidence, row_number() OVER (PARTITION BY ds ORDER BY kind = 'ambiguous', pos) AS seq FROM po WHERE kind <> 'corroborated'""",
         "damage_drop": f"SELECT ds AS dataset_id, id AS frag_id, row_number() OVER (PARTITION BY ds ORDER BY {_md5(5, 'drop', 'ds', 'id')}, id) = 1 AS dropped FROM sh",
-        "damage_roles": "SELECT ds AS dataset_id, id AS frag_id, role, source AS source_frag_id FROM roles",
+        "damage_roles": "SELECT ds AS dataset_id, id AS frag_id, role, coalesce(source, -1) AS source_frag_id FROM roles",
         "damage_changes": "SELECT ds AS dataset_id, id AS frag_id, b AS byte_offset, old::SMALLINT AS original_value, new::SMALLINT AS corrupted_value FROM chg",
         "damage_fragments": "SELECT ds AS dataset_id, id AS frag_id, off AS offset, h AS data FROM dmg",
         "emission": f"SELECT ds AS dataset_id, id AS frag_id, row_number() OVER (PARTITION BY ds ORDER BY {_md5(3, 'shuffle', 'ds', 'id')}, id) - 1 AS position, 'shard_' || substr({_md5(3, 'name', 'ds', 'id')}, 1, 16) || '.bin' AS filename FROM dmg",
@@ -161,9 +161,9 @@ def _scenario() -> dict[str, str]:
           FROM te WHERE NOT exact AND NOT EXISTS (SELECT 1 FROM stp0 WHERE stp0.ds = te.ds AND stp0.prev = te.src AND stp0.id = te.dst)""",
         "path_edges": "SELECT ds AS dataset_id, src, dst, idx AS index, overlap, matches, mismatches, exact, ji AS join_index FROM pe",
         "join_index": "SELECT te.ds AS dataset_id, te.idx AS index, te.src, te.dst, coalesce(pe.ji, -1) AS join_index FROM te LEFT JOIN pe ON pe.ds = te.ds AND pe.src = te.src AND pe.dst = te.dst",
-        "adjacent_joins": """SELECT ds AS dataset_id, ji AS join_index, src, dst, max(CASE WHEN mismatches > 0 THEN ji END) OVER (PARTITION BY ds ORDER BY ji ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous,
-            min(CASE WHEN mismatches > 0 THEN ji END) OVER (PARTITION BY ds ORDER BY ji ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM pe""",
-        "timeline": """SELECT ds AS dataset_id, kind, label, detail, ei AS edge_index, ri AS repair_index, row_number() OVER (PARTITION BY ds ORDER BY ph, i) - 1 AS seq FROM (
+        "adjacent_joins": """SELECT ds AS dataset_id, ji AS join_index, src, dst, coalesce(max(CASE WHEN mismatches > 0 THEN ji END) OVER (PARTITION BY ds ORDER BY ji ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS previous,
+            coalesce(min(CASE WHEN mismatches > 0 THEN ji END) OVER (PARTITION BY ds ORDER BY ji ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), -1) AS next FROM pe""",
+        "timeline": """SELECT ds AS dataset_id, kind, label, detail, coalesce(ei, -1) AS edge_index, coalesce(ri, -1) AS repair_index, row_number() OVER (PARTITION BY ds ORDER BY ph, i) - 1 AS seq FROM (
             SELECT ds, 0 AS ph, 0::BIGINT AS i, 'graph' AS kind, 'Graph built' AS label, count(*) || ' fragments · ' || (SELECT count(*) FROM e WHERE e.ds = nd.ds) || ' edges' AS detail, NULL::BIGINT AS ei, NULL::BIGINT AS ri FROM nd GROUP BY ds
             UNION ALL SELECT ds, 1, 0, 'path', 'Path selected', n_steps || ' fragments · ' || CASE WHEN complete THEN 'Complete' ELSE 'Incomplete' END, NULL, NULL FROM tot
             UNION ALL SELECT ds, 2, ji, 'join', 'JOIN ' || CASE WHEN ji < 9 THEN '0' ELSE '' END || (ji + 1) || ' · F' || src || ' → F' || dst, overlap || ' B · ' || CASE WHEN exact THEN 'Exact' ELSE 'Approximate · ' || mismatches || ' mismatches' END, ji, NULL FROM pe
