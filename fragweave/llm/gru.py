@@ -70,6 +70,14 @@ def step(m: Gru, w: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (z, r, n, g[:, 2 * k :])
 
 
+def _exp(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their row sums); the logits are shifted in place, all by the largest of the block."""
+    logit -= logit.max()
+    np.maximum(logit, -80, out=logit)  # a row far below the block's largest keeps a sum above zero
+    e = np.exp(logit)
+    return e, e @ np.ones(e.shape[1], e.dtype)
+
+
 def log_probs(m: Gru, h: np.ndarray, target: np.ndarray, grads: list | None = None):
     """Natural log-probability of each target given its state; with grads also d(-sum)/d(state).
 
@@ -78,9 +86,7 @@ def log_probs(m: Gru, h: np.ndarray, target: np.ndarray, grads: list | None = No
     """
     cls = np.searchsorted(m.first, target, "right") - 1
     logit = h @ m.wc + m.bc
-    logit -= logit.max(1, keepdims=True)
-    e = np.exp(logit)
-    s = e.sum(1)
+    e, s = _exp(logit)
     rows = np.arange(len(h))
     out = logit[rows, cls] - np.log(s)
     dh = None
@@ -101,9 +107,7 @@ def log_probs(m: Gru, h: np.ndarray, target: np.ndarray, grads: list | None = No
             continue
         hc = h[at]
         lg = hc @ m.ww[:, lo:hi] + m.bw[lo:hi]
-        lg -= lg.max(1, keepdims=True)
-        e = np.exp(lg)
-        s = e.sum(1)
+        e, s = _exp(lg)
         t, r = target[at] - lo, np.arange(len(at))
         out[at] += lg[r, t] - np.log(s)
         if grads is not None:
@@ -223,12 +227,16 @@ def score(m: Gru, docs: list[np.ndarray], begin: int) -> np.ndarray:
         owner.append(ds)
     length = length[order]
     logp = [np.empty(n) for n in length]
-    hidden = m.u.shape[0]
-    h = np.zeros((lanes, hidden), np.float32)
+    k = m.u.shape[0]
+    # sigmoid(a) = (tanh(a / 2) + 1) / 2: the half goes into the weights, so a step is one gather, one product and few passes in place
+    half = np.concatenate([np.full(2 * k, 0.5, np.float32), np.ones(k, np.float32)])
+    x, u = (m.x + m.b) * half, np.ascontiguousarray(m.u * half)
+    h = np.zeros((lanes, k), np.float32)
+    a, g = np.empty((lanes, 3 * k), np.float32), np.empty((lanes, 3 * k), np.float32)
     prev = np.full(lanes, begin)
     for t0 in range(0, int(length[0]), SCORE_STEPS):
         live = int((length > t0).sum())
-        h, prev = h[:live], prev[:live]
+        h, prev, a, g = h[:live], prev[:live], a[:live], g[:live]
         steps = int(min(SCORE_STEPS, length[0] - t0))
         target = np.zeros((steps, live), np.int64)
         fresh = np.zeros((steps, live), bool)
@@ -236,21 +244,36 @@ def score(m: Gru, docs: list[np.ndarray], begin: int) -> np.ndarray:
             part = streams[j][t0 : t0 + steps]
             target[: len(part), j] = part
             s = starts[j]
-            a, b = np.searchsorted(s, (t0, t0 + steps))
-            fresh[s[a:b] - t0, j] = True
+            i0, i1 = np.searchsorted(s, (t0, t0 + steps))
+            fresh[s[i0:i1] - t0, j] = True
         inputs = np.concatenate([prev[None], target[:-1]])
         inputs[fresh] = begin
-        hs = np.empty((steps, live, hidden), np.float32)
+        reset = fresh.any(1)
+        hs = np.empty((steps, live, k), np.float32)
+        zr, n, gn = a[:, : 2 * k], a[:, 2 * k :], g[:, 2 * k :]
+        z, r = zr[:, :k], zr[:, k:]
         for t in range(steps):
-            if fresh[t].any():
+            if reset[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            h, _ = step(m, inputs[t], h)
-            hs[t] = h
+            np.take(x, inputs[t], axis=0, out=a)
+            np.matmul(h, u, out=g)
+            zr += g[:, : 2 * k]
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            gn *= r
+            n += gn
+            np.tanh(n, out=n)
+            to = hs[t]
+            np.subtract(h, n, out=to)
+            to *= z
+            to += n
+            h = to
         prev = target[-1]
-        got = log_probs(m, hs.reshape(-1, hidden), target.ravel()).reshape(steps, live)
+        got = log_probs(m, hs.reshape(-1, k), target.ravel()).reshape(steps, live)
         for j in range(live):
-            n = min(steps, int(length[j] - t0))
-            logp[j][t0 : t0 + n] = got[:n, j]
+            n_left = min(steps, int(length[j] - t0))
+            logp[j][t0 : t0 + n_left] = got[:n_left, j]
     for lp, s, ds in zip(logp, starts, owner):
         total[ds] = np.add.reduceat(lp, s)
     return total

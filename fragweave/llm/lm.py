@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragweave.llm import gru
-from fragweave.llm.common import Memo, chunks, fold, folded_words
+from fragweave.llm.common import chunks, fold, folded_words
 from fragweave.session import cut_lineage
 
 #: Words that are looked up without a join; words that the model predicts; buckets for the others.
@@ -33,10 +33,11 @@ END = 0
 ALPHA = 0.1
 
 
-def key_of(word: bytes) -> int:
-    x = xxhash.xxh64_intdigest(word)
-    x = x - (1 << 64) if x >> 63 else x
-    return x or 1
+def keys_of(words) -> np.ndarray:
+    """Signed 64-bit XXH64 of each word; 0, which is the end symbol's, becomes 1."""
+    x = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    x[x == END] = 1
+    return x
 
 
 def bucket_of(word: bytes) -> int:
@@ -47,7 +48,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words of whole texts to counted keys, summed over a bounded run of texts."""
 
     def rows(c: Counter, ends: int) -> pd.DataFrame:
-        key = np.fromiter(map(key_of, c), np.int64, len(c))
+        key = keys_of(c)
         bucket = np.fromiter(map(bucket_of, c), np.int32, len(c))
         n = np.fromiter(c.values(), np.int64, len(c))
         return pd.DataFrame({"key": np.append(key, END), "bucket": np.append(bucket, -1).astype(np.int32), "n": np.append(n, ends)})
@@ -93,16 +94,43 @@ class Lexicon:
         order = np.argsort(key)
         self.keys, self.n = key[order], n[order]
 
-    def entry(self, word: bytes) -> tuple[int, int, float, float]:
-        """(symbol, key of a word that needs the join or 0, log10(count + ALPHA) or 0, log10 that the word adds to its symbol's)."""
-        key, bucket = key_of(word), bucket_of(word)
-        i = int(np.searchsorted(self.keys, key))
-        found = i < len(self.keys) and self.keys[i] == key
-        own = float(np.log10(self.n[i] + ALPHA)) if found else 0.0
-        symbol = self.symbol.get(key)
-        if symbol is not None:
-            return symbol, 0, own, 0.0
-        return int(self.bucket_symbol[bucket]), 0 if found else key, own, own - float(self.bucket_log[bucket])
+    def entries(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: symbol; key if it needs the join, else 0; log10(count + ALPHA), or 0 then; log10 that it adds to its symbol's."""
+        key = keys_of(words)
+        bucket = np.fromiter(map(bucket_of, words), np.int64, len(words))
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        found = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+        own = np.log10((self.n[at] if len(self.keys) else np.ones(len(key))) + ALPHA) * found
+        short = np.fromiter((self.symbol.get(k, -1) for k in key.tolist()), np.int64, len(key))
+        listed = short >= 0
+        return np.where(listed, short, self.bucket_symbol[bucket]), np.where(found, 0, key), own, np.where(listed, 0.0, own - self.bucket_log[bucket])
+
+
+class Words:
+    """Words met so far with their entries(), looked up by place; forgotten beyond `most`, so memory is bounded."""
+
+    def __init__(self, lex: Lexicon, most: int = 600_000):
+        self.lex, self.most = lex, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.columns = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+
+    def look(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Places of the words of each text; columns hold their entries until the next call."""
+        if len(self.place) > self.most:
+            self._clear()
+        met: set[bytes] = set()
+        for t in texts:
+            met.update(t)
+        fresh = list(met - self.place.keys())
+        if fresh:
+            n = len(self.place)
+            self.place.update(zip(fresh, range(n, n + len(fresh))))
+            self.columns = [np.concatenate(c) for c in zip(self.columns, self.lex.entries(fresh))]
+        get = self.place.__getitem__
+        return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
 
 
 def _symbols(words):
@@ -110,10 +138,11 @@ def _symbols(words):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = words.value
-        memo = Memo(lex.entry)
+        known = Words(lex)
         for pdf in batches:
-            for text in pdf["text"]:
-                yield pd.DataFrame({"s": [np.array([memo[w][0] for w in folded_words(text)] + [lex.symbol_end], "<i4").tobytes()]})
+            for part in chunks(pdf["text"]):
+                for at in known.look([folded_words(t) for t in part]):
+                    yield pd.DataFrame({"s": [np.append(known.columns[0][at], lex.symbol_end).astype("<i4").tobytes()]})
 
     return run
 
@@ -121,7 +150,7 @@ def _symbols(words):
 def _scorer(shared, held_fold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, model = shared.value
-        memo = Memo(lex.entry)
+        words = Words(lex)
         scale = np.log10(lex.total + ALPHA * (lex.distinct + 1))
         row = TaskContext.get().partitionId() << 36
         end_log = float(np.log10(lex.end_count + ALPHA))
@@ -130,18 +159,17 @@ def _scorer(shared, held_fold: int):
             for part in chunks(pdf["text"], 20_000_000):
                 out = {k: [] for k in ("base", "inside", "tokens", "known", "keys", "times")}
                 symbols = []
-                for text in part:
-                    got = list(map(memo.__getitem__, folded_words(text)))
-                    s, k, own, inside = zip(*got) if got else ((), (), (), ())
-                    symbols.append(np.array([*s, lex.symbol_end], np.int64))
-                    rare = Counter(x for x in k if x)
-                    n = sum(rare.values())
-                    out["base"].append(sum(own) + end_log - (len(got) + 1) * scale)
-                    out["inside"].append(sum(inside))
-                    out["tokens"].append(len(got) + 1)
-                    out["known"].append(len(got) - n + (lex.end_count > 0))
-                    out["keys"].append(list(rare))
-                    out["times"].append(list(rare.values()))
+                for few in chunks(part, 2_000_000):
+                    for at_word in words.look([folded_words(t) for t in few]):
+                        symbol, key, own, inside = (c[at_word] for c in words.columns)
+                        symbols.append(np.append(symbol, lex.symbol_end))
+                        rare, times = np.unique(key[key != 0], return_counts=True)
+                        out["base"].append(own.sum() + end_log - (len(key) + 1) * scale)
+                        out["inside"].append(inside.sum())
+                        out["tokens"].append(len(key) + 1)
+                        out["known"].append(len(key) - int(times.sum()) + (lex.end_count > 0))
+                        out["keys"].append(rare)
+                        out["times"].append(times.astype(np.int32))
                 likely = gru.score(model, symbols, lex.symbol_end) / np.log(10)
                 ids, held = pdf["doc_id"].iloc[at : at + len(part)], pdf["f"].iloc[at : at + len(part)]
                 at += len(part)
