@@ -96,6 +96,8 @@ def train(texts: dict[str, list[str]]) -> Model:
     every = np.arange(n**ORDER)
     for k in range(1, ORDER + 1):
         suffix = every % n**k
+        if not len(contexts[k]):
+            continue
         at = np.minimum(np.searchsorted(contexts[k], suffix), len(contexts[k]) - 1)
         hit = contexts[k][at] == suffix
         state[hit] = first[k] + at[hit]
