@@ -1 +1 @@
-"""Part of fragweave; see README.md."""
+"""Nothing here: the engine has no unbounded source, state or event time. Batch plans live in plans/."""
