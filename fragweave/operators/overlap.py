@@ -109,41 +109,69 @@ def exhaustive_edges(frags: DataFrame, least: int, k: int = 0) -> DataFrame:
     return _edges(a.join(b, "dataset_id").where("src <> dst").withColumn("ns", F.sequence(F.lit(least), most)), k)
 
 
-def _minimisers(data: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the minimiser of every stretch of `block` bytes; the leftmost of equal ones."""
-    kmer = min(KMER, block)
-    v = np.zeros(len(data) - kmer + 1, np.uint64)
+def _keys(data: np.ndarray, kmer: int) -> np.ndarray:
+    """A 64-bit number of each stretch of kmer (8 at most) bytes, different for different bytes, evenly spread."""
+    n = max(0, len(data) - kmer + 1)
+    v = np.zeros(n, np.uint64)
     for j in range(kmer):
-        v = (v << np.uint64(8)) | data[j : len(data) - kmer + 1 + j].astype(np.uint64)
+        v = (v << np.uint64(8)) | data[j : n + j].astype(np.uint64)
     v = (v ^ (v >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    v = (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    wide = block - kmer + 1
-    if wide == 1:
-        return np.arange(len(v)), v
-    windows = np.lib.stride_tricks.sliding_window_view(v, wide)
-    return windows.argmin(1) + np.arange(len(windows)), v
+    return (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _least(order: np.ndarray, wide: int) -> np.ndarray:
+    """Minimum of every stretch of `wide` numbers, by doubling."""
+    span = 1
+    while 2 * span <= wide:
+        order = np.minimum(order[:-span], order[span:])
+        span *= 2
+    rest = wide - span
+    return np.minimum(order[: len(order) - rest], order[rest:]) if rest else order
+
 
+def minimisers(data: np.ndarray, place: np.ndarray, kmer: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places): of every stretch of `block` bytes, where its minimiser begins.
 
-def _seeds(least: int, k: int):
+    place: each byte's place in its fragment. Stretches across fragments are meaningless. The
+    minimiser has the least upper bits of the key, and of several the leftmost, so it depends on
+    the bytes of the stretch alone.
+    """
+    v = _keys(data, kmer)
+    low = np.uint64(0xFFFFFFFF)
+    # places are below 2^32; a key's upper half decides, then the place
+    order = (v & ~low) | place[: len(v)].astype(np.uint64)
+    return v, (_least(order, block - kmer + 1) & low).astype(np.int64) if len(v) >= block - kmer + 1 else np.zeros(0, np.int64)
+
+
+def _seeds(least: int, k: int, left: bool):
+    """Fragments to seeds: of the left side every minimiser, of the right side those of the first k + 1 blocks."""
     block = least // (k + 1)
+    kmer = min(KMER, block)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: dict[str, list[np.ndarray]] = {c: [] for c in ("dataset_id", "node_id", "key", "is_left", "at", "size")}
-
-            def put(ds, node, key, left, at, size):
-                n = len(key)
-                for c, v in zip(out, (np.full(n, ds), np.full(n, node), key.view(np.int64), np.full(n, left), at, np.full(n, size))):
-                    out[c].append(v)
-
-            for ds, node, data in zip(pdf["dataset_id"], pdf["node_id"], pdf["data"]):
-                raw = np.frombuffer(data, np.uint8)
-                where, v = _minimisers(raw, block)
-                every = np.unique(where)
-                put(ds, node, v[every], True, every, len(raw))
-                starts = np.arange(k + 1) * block
-                put(ds, node, v[where[starts]], False, where[starts], len(raw))
-            yield pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
+            held = pdf["data"].map(len).to_numpy(np.int64)
+            first = 0
+            while first < len(pdf):
+                # a bounded run of fragments, whole ones, side by side
+                last = first + max(1, int(np.searchsorted(np.cumsum(held[first:]), 4_000_000, "right")))
+                n = held[first:last]
+                raw = np.frombuffer(b"".join(pdf["data"].iloc[first:last]), np.uint8)
+                of = np.repeat(np.arange(first, first + len(n)), n)
+                begin = np.cumsum(n) - n
+                place = np.arange(len(raw)) - np.repeat(begin, n)
+                v, where = minimisers(raw, place, kmer, block)
+                if left:
+                    # stretches within a fragment; neighbours mostly share their minimiser
+                    at = np.flatnonzero(place[: len(where)] + block <= held[of[: len(where)]])
+                    new = np.ones(len(at), bool)
+                    new[1:] = (where[at][1:] != where[at][:-1]) | (of[at][1:] != of[at][:-1])
+                    at = at[new]
+                else:
+                    at = (begin[:, None] + np.arange(k + 1) * block).ravel()
+                row = of[at]
+                yield pd.DataFrame({c: pdf[c].to_numpy()[row] for c in ("dataset_id", "node_id", "size")} | {"key": v[begin[row - first] + where[at]].view(np.int64), "at": where[at]})
+                first = last
 
     return run
 
@@ -160,9 +188,10 @@ def indexed_edges(frags: DataFrame, least: int, k: int = 0) -> DataFrame:
         return exhaustive_edges(frags, least, k)
     f = frags.where(F.length("data") >= least).select("dataset_id", "node_id", "data")
     kind = dict(f.dtypes)["dataset_id"]
-    seeds = f.mapInPandas(_seeds(least, k), f"dataset_id {kind}, node_id long, key long, is_left boolean, at int, size int")
-    left = seeds.where("is_left").select("dataset_id", "key", F.col("node_id").alias("src"), F.col("at").alias("p"), F.col("size").alias("nl"))
-    right = seeds.where("not is_left").select("dataset_id", "key", F.col("node_id").alias("dst"), F.col("at").alias("q"), F.col("size").alias("nr"))
+    schema = f"dataset_id {kind}, node_id long, size int, key long, at int"
+    seeds = lambda side, data: f.select("dataset_id", "node_id", F.length("data").alias("size"), data.alias("data")).mapInPandas(_seeds(least, k, side), schema)
+    left = seeds(True, F.col("data")).select("dataset_id", "key", F.col("node_id").alias("src"), F.col("at").alias("p"), F.col("size").alias("nl"))
+    right = seeds(False, F.substring("data", 1, least)).select("dataset_id", "key", F.col("node_id").alias("dst"), F.col("at").alias("q"), F.col("size").alias("nr"))
     near = left.join(right, ["dataset_id", "key"]).where("src <> dst").withColumn("n", F.col("nl") - F.col("p") + F.col("q"))
     near = near.where((F.col("n") >= least) & (F.col("n") <= F.least("nl", "nr")))
     # lengths of a pair number at most the bytes of a fragment

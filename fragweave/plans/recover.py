@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fragweave.operators import damage as dmg
 from fragweave.operators import graph, png, repair, search, shard, trace
-from fragweave.session import cut_lineage
+from fragweave.session import cut_lineage, ship
 from fragweave.sources.fragments import load_directory
 
 
@@ -107,6 +107,7 @@ class Reconstruction:
 
 def reconstruct(nodes: DataFrame, options: ReconstructOptions) -> Reconstruction:
     """Scan to output: graph, search (with format evidence), merge, repair, trace, for all datasets of nodes at once."""
+    ship(nodes.sparkSession)
     nodes = cut_lineage(nodes)
     edges = cut_lineage(graph.with_paths(graph.build(nodes, options.graph), nodes))
     candidates = None
