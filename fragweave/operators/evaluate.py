@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,10 +27,9 @@ def selected(steps: DataFrame, emissions: DataFrame, roles: DataFrame, originals
     return d.withColumn("true_offset", F.when(own, F.col("o"))).withColumn("true_size", F.when(own, F.col("s"))).drop("o", "s")
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+def _ordered(offsets: np.ndarray) -> tuple[int, int]:
     """Comparable and ordered pairs of one path, by a Fenwick tree over offsets: n log n, not all pairs."""
-    off = pdf.sort_values("step_no")["off"].to_numpy()
-    values, place = np.unique(off, return_inverse=True)
+    values, place = np.unique(offsets, return_inverse=True)
     tree, ordered = [0] * (len(values) + 1), 0
     for p in place.tolist():
         k = p
@@ -39,10 +40,15 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
         while k < len(tree):
             tree[k] += 1
             k += k & -k
-    same = np.bincount(place)
-    n = len(off)
-    comparable = n * (n - 1) // 2 - int((same * (same - 1) // 2).sum())
-    return pd.DataFrame({"dataset_id": pdf["dataset_id"].iloc[:1], "comparable": [comparable], "ordered": [ordered]})
+    same = np.bincount(place, minlength=1)
+    n = len(offsets)
+    return n * (n - 1) // 2 - int((same * (same - 1) // 2).sum()), ordered
+
+
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        found = [_ordered(np.asarray(x)) for x in pdf["offs"]]
+        yield pd.DataFrame({"dataset_id": pdf["dataset_id"], "comparable": [f[0] for f in found], "ordered": [f[1] for f in found]})
 
 
 def order_pairs(sel: DataFrame) -> DataFrame:
@@ -50,8 +56,9 @@ def order_pairs(sel: DataFrame) -> DataFrame:
 
     A path visits a fragment once, so sources always differ. Steps hold no payload.
     """
-    o = sel.where("role = 'original'").select("dataset_id", "step_no", F.col("true_offset").alias("off"))
-    return o.groupBy("dataset_id").applyInPandas(_ordered, f"dataset_id {dict(sel.dtypes)['dataset_id']}, comparable long, ordered long")
+    o = sel.where("role = 'original'").groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("step_no", "true_offset"))).alias("x"))
+    o = o.select("dataset_id", F.transform("x", lambda v: v["true_offset"]).alias("offs"))
+    return o.mapInPandas(_pairs, f"dataset_id {dict(sel.dtypes)['dataset_id']}, comparable long, ordered long")
 
 
 def joins(sel: DataFrame) -> DataFrame:

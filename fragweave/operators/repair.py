@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragweave.functions.bytes import byte_at, byte_of, chars, hex_byte
+from fragweave.session import cut_lineage
 
 
 def placements(steps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -17,8 +18,8 @@ def placements(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.select("dataset_id", "step_no", "node_id", F.sum("_ahead").over(w).cast("bigint").alias("start"), "size")
 
 
-def votes(places: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(dataset_id, position, value, votes) of all positions that two or more fragments cover.
+def ballots(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(dataset_id, position, value, votes) of positions that two or more fragments may cover.
 
     Each fragment gives the bytes that an earlier one can reach over or a later one begins
     before; bytes that only it covers are never exploded.
@@ -34,7 +35,12 @@ def votes(places: DataFrame, nodes: DataFrame) -> DataFrame:
     piece = lambda a, b: F.struct(a.alias("at"), F.substr("data", (a - F.col("start") + 1).cast("int"), (b - a).cast("int")).alias("part"))
     d = d.select("dataset_id", F.explode(F.array(piece(F.col("start"), head), piece(tail, end))).alias("x")).where("length(x.part) > 0")
     d = d.select("dataset_id", F.col("x.at").alias("at"), F.posexplode(chars("x.part")).alias("i", "c"))
-    by = d.groupBy("dataset_id", (F.col("at") + F.col("i")).alias("position"), byte_of(F.col("c")).alias("value")).agg(F.count("*").alias("votes"))
+    return d.groupBy("dataset_id", (F.col("at") + F.col("i")).alias("position"), byte_of(F.col("c")).alias("value")).agg(F.count("*").alias("votes"))
+
+
+def votes(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """ballots() of the positions that two or more fragments do cover."""
+    by = ballots(places, nodes)
     return by.withColumn("_n", F.sum("votes").over(Window.partitionBy("dataset_id", "position"))).where("_n >= 2").drop("_n")
 
 
@@ -43,20 +49,27 @@ def positions(vote_rows: DataFrame, baseline: DataFrame) -> DataFrame:
     the byte before and after, and kind: corroborated, repaired or ambiguous.
 
     A value wins with more than half of the observations. Without a winner the byte stays.
-    baseline: (dataset_id, data).
+    vote_rows: ballots() or votes(). baseline: (dataset_id, data), the merged payload of the
+    path; where all observations agree its byte is theirs, so it is joined to the others only.
     """
+    # votes and value in one number: the most votes, of equal ones the smallest value; plain numbers aggregate by hash
     p = vote_rows.groupBy("dataset_id", "position").agg(
         F.sum("votes").alias("observations"),
         F.count("*").alias("distinct_values"),
-        F.max(F.struct("votes", (-F.col("value")).alias("v"))).alias("_w"),
-        F.sort_array(F.collect_list(F.struct("value", "votes"))).alias("votes"),
+        F.max(F.col("votes") * 256 + 255 - F.col("value")).alias("_w"),
     )
-    p = p.join(baseline.select("dataset_id", "data"), "dataset_id").withColumn("before", byte_at("data", (F.col("position") + 1).cast("int"))).drop("data")
-    wins = 2 * F.col("_w.votes") > F.col("observations")
-    value = (-F.col("_w.v")).cast("smallint")
-    p = p.withColumn("after", F.when(wins, value).otherwise(F.col("before"))).withColumn("support", F.col("_w.votes"))
+    # read three times below
+    p = cut_lineage(p.where("observations >= 2"))
+    p = p.withColumn("support", F.expr("_w div 256")).withColumn("_v", (255 - F.col("_w") % 256).cast("smallint"))
+    agreed = p.where("distinct_values = 1").withColumn("before", F.col("_v")).withColumn("votes", F.array(F.struct(F.col("_v").alias("value"), F.col("support").alias("votes"))))
+    split = p.where("distinct_values > 1")
+    lists = vote_rows.join(split.select("dataset_id", "position"), ["dataset_id", "position"], "left_semi").groupBy("dataset_id", "position").agg(F.sort_array(F.collect_list(F.struct("value", "votes"))).alias("votes"))
+    split = split.join(baseline.select("dataset_id", "data"), "dataset_id").withColumn("before", byte_at("data", (F.col("position") + 1).cast("int"))).drop("data").join(lists, ["dataset_id", "position"])
+    p = agreed.unionByName(split)
+    wins = 2 * F.col("support") > F.col("observations")
+    p = p.withColumn("after", F.when(wins, F.col("_v")).otherwise(F.col("before")))
     kind = F.when(~wins, "ambiguous").when(F.col("after") != F.col("before"), "repaired").otherwise("corroborated")
-    return p.withColumn("kind", kind).drop("_w")
+    return p.withColumn("kind", kind).drop("_w", "_v")
 
 
 def repairs(pos: DataFrame) -> DataFrame:
@@ -97,5 +110,5 @@ def vote_text(votes: str = "votes"):
 
 def consensus(steps: DataFrame, nodes: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repaired payloads, positions) of each dataset's path."""
-    pos = positions(votes(placements(steps, nodes), nodes), baseline)
+    pos = positions(ballots(placements(steps, nodes), nodes), baseline)
     return apply(baseline, repairs(pos)), pos

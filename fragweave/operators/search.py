@@ -1,13 +1,13 @@
 """Path search over overlap graphs: greedy and beam, a dataset at a time, many datasets in parallel.
 
-The search sees edges and sizes, never payloads; datasets are independent, so each is one group
-of a cogrouped Python function. Payloads join the chosen path afterwards.
+The search sees edges and names, never payloads; datasets are independent, so each becomes one row
+of arrays, and Arrow batches of rows go to a Python function. Payloads join the chosen path afterwards.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,17 +19,19 @@ _STATS = "states_expanded long, states_generated long, maximum_beam_size long, c
 
 
 class _Graph:
-    """One dataset: path ranks, sorted out-edges, degrees."""
+    """One dataset: nodes by (path, id), sorted out-edges as (-overlap, mismatches, node, matches, exact), degrees.
 
-    def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame):
-        order = nodes.sort_values(["filename", "node_id"], kind="stable")
-        self.ids = order["node_id"].tolist()
+    ids: node ids in order of path and id. The other lists are the edges' columns.
+    """
+
+    def __init__(self, ids, src, dst, overlap, matches, mismatches, exact):
+        self.ids = [int(v) for v in ids]
         self.place = {v: i for i, v in enumerate(self.ids)}
         n = len(self.ids)
         self.out: list[list[tuple]] = [[] for _ in range(n)]
         self.into, self.sums = [0] * n, [0] * n
-        for s, d, o, m, x, e in zip(edges["src"], edges["dst"], edges["overlap"], edges["matches"], edges["mismatches"], edges["exact"]):
-            a, b = self.place[s], self.place[d]
+        for s, d, o, m, x, e in zip(src, dst, overlap, matches, mismatches, exact):
+            a, b = self.place[int(s)], self.place[int(d)]
             self.out[a].append((-int(o), int(x), b, int(m), bool(e)))
             self.into[b] += 1
             self.sums[b] += int(o)
@@ -43,33 +45,46 @@ class _Graph:
         return [v for v in range(len(self.ids)) if not self.into[v]] or [self.start()]
 
 
-def _greedy(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    columns = ["dataset_id", "step_no", "node_id", "overlap_from_previous", "matches", "mismatches", "exact"]
-    if not len(nodes):
-        return pd.DataFrame(columns=columns)
-    g = _Graph(nodes, edges)
-    v = g.start()
-    used, rows = {v}, [(key[0], 0, g.ids[v], 0, 0, 0, True)]
-    while True:
-        e = next((e for e in g.out[v] if e[2] not in used), None)
-        if e is None:
-            break
-        v = e[2]
-        used.add(v)
-        rows.append((key[0], len(rows), g.ids[v], -e[0], e[3], e[1], e[4]))
-    return pd.DataFrame(rows, columns=columns)
+_COLUMNS = ["src", "dst", "overlap", "matches", "mismatches", "exact"]
+
+
+def _graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row per dataset: its node ids in order and its edges' columns as arrays. Datasets without edges are there too."""
+    by_path = F.sort_array(F.collect_list(F.struct("filename", "node_id")))
+    n = nodes.groupBy("dataset_id").agg(F.transform(by_path, lambda x: x["node_id"]).alias("ids"))
+    e = edges.groupBy("dataset_id").agg(F.collect_list(F.struct(*_COLUMNS)).alias("e"))
+    d = n.join(e, "dataset_id", "left")
+    kinds = dict(edges.dtypes)
+    column = lambda c: F.coalesce(F.transform("e", lambda x: x[c]), F.array().cast(f"array<{kinds[c]}>")).alias(c)
+    return d.select("dataset_id", "ids", *[column(c) for c in _COLUMNS])
 
 
-def _cogroup(nodes: DataFrame, edges: DataFrame):
-    n = nodes.select("dataset_id", "node_id", "filename").groupBy("dataset_id")
-    e = edges.select("dataset_id", "src", "dst", "overlap", "matches", "mismatches", "exact").groupBy("dataset_id")
-    return n.cogroup(e), dict(nodes.dtypes)["dataset_id"]
+def _each(pdf: pd.DataFrame):
+    """(dataset_id, graph) of each row of _graphs()."""
+    for row in zip(pdf["dataset_id"], pdf["ids"], *(pdf[c] for c in _COLUMNS)):
+        yield row[0], _Graph(*row[1:])
+
+
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for ds, g in _each(pdf):
+            v = g.start()
+            used, k = {v}, 0
+            rows.append((ds, 0, g.ids[v], 0, 0, 0, True))
+            while True:
+                e = next((e for e in g.out[v] if e[2] not in used), None)
+                if e is None:
+                    break
+                v, k = e[2], k + 1
+                used.add(v)
+                rows.append((ds, k, g.ids[v], -e[0], e[3], e[1], e[4]))
+        yield pd.DataFrame(rows, columns=["dataset_id", "step_no", "node_id", "overlap_from_previous", "matches", "mismatches", "exact"])
 
 
 def greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(dataset_id, step_no, node_id, overlap_from_previous, matches, mismatches, exact): from the start node always the first edge to an unused node."""
-    both, kind = _cogroup(nodes, edges)
-    return both.applyInPandas(_greedy, f"dataset_id {kind}, {STEP}")
+    return _graphs(nodes, edges).mapInPandas(_greedy, f"dataset_id {dict(nodes.dtypes)['dataset_id']}, {STEP}")
 
 
 def beam_search(g: _Graph, width: int) -> tuple[list[tuple], tuple[int, int, int]]:
@@ -111,24 +126,24 @@ def beam_search(g: _Graph, width: int) -> tuple[list[tuple], tuple[int, int, int
 
 
 def _beam(width: int):
-    def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        if not len(nodes):
-            return pd.DataFrame()
-        g = _Graph(nodes, edges)
-        finals, (expanded, generated, largest) = beam_search(g, width)
-        finals.sort()
-        done = sum(not s[0] for s in finals)
-        rows = []
-        for k, s in enumerate(finals):
-            joins = s[5]
-            rows.append(
-                {
-                    "dataset_id": key[0], "rank": k + 1, "complete": not s[0], "n_steps": -s[1], "overlap": -s[2], "mismatches": s[3],
-                    "approximate_joins": sum(not j[3] for j in joins), "path": [g.ids[v] for v in s[4]], "overlaps": [0] + [j[0] for j in joins],
-                    "states_expanded": expanded, "states_generated": generated, "maximum_beam_size": largest, "complete_candidates": done,
-                }
-            )
-        return pd.DataFrame(rows)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for ds, g in _each(pdf):
+                finals, (expanded, generated, largest) = beam_search(g, width)
+                finals.sort()
+                done = sum(not s[0] for s in finals)
+                for k, s in enumerate(finals):
+                    joins = s[5]
+                    rows.append(
+                        {
+                            "dataset_id": ds, "rank": k + 1, "complete": not s[0], "n_steps": -s[1], "overlap": -s[2], "mismatches": s[3],
+                            "approximate_joins": sum(not j[3] for j in joins), "path": [g.ids[v] for v in s[4]], "overlaps": [0] + [j[0] for j in joins],
+                            "states_expanded": expanded, "states_generated": generated, "maximum_beam_size": largest, "complete_candidates": done,
+                        }
+                    )
+            if rows:
+                yield pd.DataFrame(rows)
 
     return run
 
@@ -137,8 +152,7 @@ def beam(nodes: DataFrame, edges: DataFrame, width: int) -> DataFrame:
     """Ranked candidates of each dataset with the statistics of its search: see beam_search()."""
     if width < 1:
         raise ValueError("the width has to be positive")
-    both, kind = _cogroup(nodes, edges)
-    return both.applyInPandas(_beam(width), f"dataset_id {kind}, {_CANDIDATE}, {_STATS}")
+    return _graphs(nodes, edges).mapInPandas(_beam(width), f"dataset_id {dict(nodes.dtypes)['dataset_id']}, {_CANDIDATE}, {_STATS}")
 
 
 #: Format name -> function of (candidates with data) -> (dataset_id, rank, ranking_keys array<long>); the extension point.

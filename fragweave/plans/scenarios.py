@@ -91,7 +91,7 @@ class Recovery:
 
     @cached_property
     def positions(self) -> DataFrame:
-        return cut_lineage(repair.positions(repair.votes(self.places, self.nodes), self.merged))
+        return cut_lineage(repair.positions(repair.ballots(self.places, self.nodes), self.merged))
 
     @cached_property
     def repaired(self) -> DataFrame:
