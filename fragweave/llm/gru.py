@@ -8,12 +8,14 @@ documents, many at a time in lanes that are refilled as documents end.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 HIDDEN, WINDOW, LANES = 32, 16, 128
-RATE = 4e-3
+#: Rates of repeated passes over few documents and of the one pass over all of them.
+RATE, PASS_RATE = 4e-3, 1e-3
 #: Lanes and steps of a block when scoring.
 SCORE_LANES, SCORE_STEPS = 256, 32
 
@@ -119,44 +121,72 @@ def log_probs(m: Gru, h: np.ndarray, target: np.ndarray, grads: list | None = No
     return (out, dh) if grads is not None else out
 
 
+class Lanes:
+    """Documents of an endless or ending iterator, cut into windows over lanes; a lane that ends takes the next document."""
+
+    def __init__(self, docs: Iterator[np.ndarray], begin: int, lanes: int):
+        self.docs, self.begin = docs, begin
+        self.rest = [d for _, d in zip(range(lanes), docs)]
+        self.last = [-1] * len(self.rest)  # -1: a document begins
+
+    def window(self):
+        """(input, target, begins, filled), each [WINDOW, lanes], and the lanes of the last window that go on; no lanes at the end."""
+        go = [j for j, r in enumerate(self.rest) if r is not None and len(r)]
+        self.rest, self.last = [self.rest[j] for j in go], [self.last[j] for j in go]
+        shape = (WINDOW, len(go))
+        inputs, target = np.full(shape, self.begin), np.full(shape, self.begin)
+        fresh, filled = np.zeros(shape, bool), np.zeros(shape, bool)
+        for j in range(len(go)):
+            have = 0
+            while have < WINDOW and self.rest[j] is not None:
+                take = self.rest[j][: WINDOW - have]
+                end = have + len(take)
+                target[have:end, j] = take
+                inputs[have + 1 : end, j] = take[:-1]
+                fresh[have, j] = self.last[j] < 0
+                inputs[have, j] = self.begin if self.last[j] < 0 else self.last[j]
+                filled[have:end, j] = True
+                self.rest[j], self.last[j], have = self.rest[j][len(take) :], take[-1], end
+                if not len(self.rest[j]):
+                    self.rest[j], self.last[j] = next(self.docs, None), -1
+        return inputs, target, fresh, filled, go
+
+
 def train(m: Gru, docs: list[np.ndarray], begin: int, tokens: int, seed: int = 9) -> Gru:
     """Adam over about `tokens` symbols of the documents (passes repeat); each starts from a zero state and `begin`."""
     if not docs:
         return m
     rng = np.random.default_rng(seed)
-    queue: list[np.ndarray] = []
     lanes = min(LANES, max(1, len(docs)))
+    windows = max(1, tokens // (lanes * WINDOW))
+
+    def forever():
+        while True:
+            yield from (docs[k] for k in rng.permutation(len(docs))[::-1])
+
+    _descend(m, Lanes(forever(), begin, lanes), windows, lambda it: RATE * min(1.0, (it + 1) / 20) * (1 - 0.9 * it / windows))
+    return m
+
+
+def train_once(m: Gru, docs: Iterator[np.ndarray], begin: int) -> np.ndarray:
+    """Adam over every symbol of the documents, each once, at a steady rate; returns how often each symbol was an input."""
+    return _descend(m, Lanes(docs, begin, LANES), None, lambda it: PASS_RATE * min(1.0, (it + 1) / 20))
+
+
+def _descend(m: Gru, data: Lanes, windows: int | None, rate_of) -> np.ndarray:
+    """Adam over so many windows, or all; counts of inputs by symbol."""
     hidden = m.u.shape[0]
-    h = np.zeros((lanes, hidden), np.float32)
-    last = np.full(lanes, begin)
-    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
+    h = np.zeros((len(data.rest), hidden), np.float32)
+    met = np.zeros(len(m.x), np.int64)
     mom = [np.zeros_like(p) for p in m.params()]
     var = [np.zeros_like(p) for p in m.params()]
-    windows = max(1, tokens // (lanes * WINDOW))
-    for it in range(windows):
-        inputs = np.empty((WINDOW, lanes), np.int64)
-        target = np.empty((WINDOW, lanes), np.int64)
-        fresh = np.zeros((WINDOW, lanes), bool)
-        for j in range(lanes):
-            parts, flags, have = [], [], 0
-            while have < WINDOW:
-                new = not len(rest[j])
-                if new:
-                    if not queue:
-                        queue = [docs[k] for k in rng.permutation(len(docs))]
-                    rest[j] = queue.pop()
-                take = rest[j][: WINDOW - have]
-                rest[j] = rest[j][len(take) :]
-                parts.append(take)
-                flags.append((have, new))
-                have += len(take)
-            row = np.concatenate(parts)
-            target[:, j] = row
-            inputs[0, j], inputs[1:, j] = last[j], row[:-1]
-            for at, new in flags:
-                if new:
-                    inputs[at, j], fresh[at, j] = begin, True
-            last[j] = row[-1]
+    it = 0
+    while windows is None or it < windows:
+        inputs, target, fresh, filled, go = data.window()
+        if not go:
+            break
+        h, lanes = h[go], len(go)
+        met += np.bincount(inputs[filled], minlength=len(met))
         hs, saved, before = [], [], []
         for t in range(WINDOW):
             if fresh[t].any():
@@ -166,7 +196,8 @@ def train(m: Gru, docs: list[np.ndarray], begin: int, tokens: int, seed: int = 9
             hs.append(h)
             saved.append(s)
         grads = [np.zeros_like(p) for p in m.params()]
-        _, dh = log_probs(m, np.concatenate(hs), target.ravel(), grads)
+        dh, ok = np.zeros((WINDOW * lanes, hidden), np.float32), filled.ravel()
+        _, dh[ok] = log_probs(m, np.concatenate(hs)[ok], target.ravel()[ok], grads)
         dh = dh.reshape(WINDOW, lanes, hidden)
         back = np.zeros_like(h)
         da_all = np.empty((WINDOW, lanes, 3 * hidden), np.float32)
@@ -188,14 +219,15 @@ def train(m: Gru, docs: list[np.ndarray], begin: int, tokens: int, seed: int = 9
         scale = 1.0 / lanes  # a mean over lanes of the sum over a window
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads)) * scale
         scale *= min(1.0, 5.0 / max(norm, 1e-9))
-        rate = RATE * min(1.0, (it + 1) / 20) * (1 - 0.9 * it / windows)
+        rate = rate_of(it)
         c1, c2 = 1 - 0.9 ** (it + 1), 1 - 0.99 ** (it + 1)
         for p, g, a, v in zip(m.params(), grads, mom, var):
             g *= scale
             a += 0.1 * (g - a)
             v += 0.01 * (g * g - v)
             p -= (rate / c1) * a / (np.sqrt(v / c2) + 1e-6)
-    return m
+        it += 1
+    return met
 
 
 def score(m: Gru, docs: list[np.ndarray], begin: int) -> np.ndarray:
@@ -277,3 +309,20 @@ def score(m: Gru, docs: list[np.ndarray], begin: int) -> np.ndarray:
     for lp, s, ds in zip(logp, starts, owner):
         total[ds] = np.add.reduceat(lp, s)
     return total
+
+
+def packed(m: Gru, met: np.ndarray) -> np.ndarray:
+    """A trained model as a vector of sums, so that those of several add up: parameters times inputs seen, an input row times its own, then the counts."""
+    n = float(met.sum())
+    return np.concatenate([(m.x.astype(float) * met[:, None]).ravel(), *((p * n).ravel() for p in map(np.float64, m.params()[1:])), met.astype(float)])
+
+
+def averaged(m: Gru, total: np.ndarray) -> Gru:
+    """The mean of the models whose packed() vectors were added; input rows that none has met stay those of m."""
+    met = total[len(total) - len(m.x) :]
+    n, at, out = met.sum(), 0, []
+    for k, p in enumerate(m.params()):
+        w = total[at : at + p.size].reshape(p.shape)
+        at += p.size
+        out.append((np.where(met[:, None] > 0, w / np.maximum(met, 1)[:, None], p) if k == 0 else w / n).astype(np.float32))
+    return Gru(*out, m.first)

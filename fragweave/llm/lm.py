@@ -4,11 +4,14 @@ Counts of all words cover every training document. The recurrent model predicts
 frequent words themselves and all others as a bucket (by their last two bytes); a word's share
 of its bucket comes from the counts. Frequent words are looked up in a table of bounded size;
 all others are joined with their counts by hash, so nothing that grows with the vocabulary is
-broadcast or collected. The recurrent weights are trained on a bounded sample of documents.
+broadcast or collected. The recurrent weights start from a bounded sample of documents; from
+there every partition passes once over all of its training documents, and the partitions'
+weights are averaged by the symbols that they have seen.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +29,7 @@ from fragweave.session import cut_lineage
 
 #: Words that are looked up without a join; words that the model predicts; buckets for the others.
 FREQUENT, SHORTLIST, BUCKETS, CLASSES = 200_000, 2000, 64, 48
-#: Training documents of the recurrent model (expected number) and symbols that it sees.
+#: Documents (expected number) and symbols that the recurrent weights start from, before the pass over all documents.
 SAMPLE, TOKENS = 6000, 3_000_000
 #: The key of the end symbol; words have the signed 64-bit XXH64 of their bytes.
 END = 0
@@ -147,6 +150,27 @@ def _symbols(words):
     return run
 
 
+def _learner(shared):
+    """One pass of training over all texts of a partition; their tokens stream through a bounded number of lanes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex, model = shared.value
+        model = copy.deepcopy(model)
+        words = Words(lex)
+
+        def symbols() -> Iterator[np.ndarray]:
+            for pdf in batches:
+                for part in chunks(pdf["text"]):
+                    for at in words.look([folded_words(t) for t in part]):
+                        yield np.append(words.columns[0][at], lex.symbol_end)
+
+        met = gru.train_once(model, symbols(), lex.symbol_end)
+        if met.any():
+            yield pd.DataFrame({"w": [gru.packed(model, met).tobytes()]})
+
+    return run
+
+
 def _scorer(shared, held_fold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, model = shared.value
@@ -194,7 +218,8 @@ def _scorer(shared, held_fold: int):
 def likelihoods(docs: DataFrame, folds: int = 10, held_fold: int = 0, sample: int = SAMPLE, tokens: int = TOKENS) -> DataFrame:
     """documents -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per row.
 
-    Learns from documents whose fold isn't held_fold. Null texts are empty: one end symbol. Scores
+    Learns from all documents whose fold isn't held_fold; sample and tokens bound the start only.
+    Null texts are empty: one end symbol. Scores
     are log10 probabilities. Words of training texts beyond the model's shortlist are predicted by
     bucket, then by their smoothed share of it; a word no training text has gets the share of one
     unseen word. Null ids are trained on and not held out. No training documents: base_score 0.
@@ -224,6 +249,11 @@ def likelihoods(docs: DataFrame, folds: int = 10, held_fold: int = 0, sample: in
     learn.sort(key=lambda x: (len(x), x.tobytes()))  # independent of the order of tasks
     # symbols number at most SHORTLIST + BUCKETS + 1, so the weights are under 2 MB
     model = gru.train(gru.start(lex.counts, CLASSES), learn, lex.symbol_end, tokens)
+    if lex.end_count:
+        begun = spark.sparkContext.broadcast((lex, model))
+        # a vector of 2 MB a partition, added up in a tree, so that few reach the driver
+        passed = training.select("text").mapInPandas(_learner(begun), "w binary").rdd.map(lambda r: np.frombuffer(r.w))
+        model = gru.averaged(model, passed.treeReduce(np.add, 3))
     shared = spark.sparkContext.broadcast((lex, model))
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, keys array<long>, times array<int>"

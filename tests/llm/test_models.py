@@ -147,3 +147,21 @@ def test_gru_learns():
     docs = [np.array([0, 1, 2, 3] * 20 + [4])] * 40
     m = gru.train(gru.start(np.array([20.0, 20, 20, 20, 1]), 2, hidden=8), docs, 4, 600_000)
     assert gru.score(m, docs[:1], 4)[0] / 81 > -0.3
+
+
+def test_gru_pass_uses_every_symbol_once():
+    docs = [np.array([i % 5, *range(i % 37), 7]) % 8 for i in range(400)]
+    m = gru.start(np.ones(8), 3, hidden=6)
+    met = gru.train_once(m, iter(docs), 7)
+    want = np.bincount(np.concatenate([np.append(7, d[:-1]) for d in docs]), minlength=8)
+    assert met.tolist() == want.tolist()
+    same = gru.averaged(m, gru.packed(m, met) + gru.packed(m, met))
+    assert all(np.allclose(a, b) for a, b in zip(m.params(), same.params()))
+
+
+def test_recurrent_model_learns_from_documents_outside_the_sample(spark):
+    data = [(i, " ".join(f"w{(k + i) % 20}" for k in range(400))) for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    rows = [r for r in lm.likelihoods(docs, sample=0, tokens=1).collect() if r.held_out]
+    # counts alone give log10(1 / 20) a word; the order of words is in the documents only
+    assert rows and sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
