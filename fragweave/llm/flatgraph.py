@@ -8,8 +8,10 @@ Found pairs are verified in double precision. An audit compares a sample with br
 low a recall raises the overlap and repeats.
 
 Equal vectors are one weighted node from the start. A cluster too large for a task is split
-into chunks, and every (chunk of nodes, chunk of queries) is a task of its own. Pairs are counted
-where they are found and only a spanning forest of them leaves a task.
+into chunks, each searched by its graph; two chunks are compared exactly, in a task of their own,
+since no graph spans them. Pairs that only one task can find are counted there; those whose vectors
+share more clusters leave the task and each distinct one is counted once, whichever task found it.
+Of all found pairs a spanning forest leaves the task.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SLACK = 0.02
 #: Expected vectors of a cluster, most vectors of a chunk, most vectors that clusters are fitted on.
 CLUSTER, CHUNK, SAMPLE = 1500, 3000, 16384
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
+#: Edges of a node to vectors in range beyond its nearest candidates, so that dense groups in range of each other are connected.
+FAR_EDGES = 8
 #: Clusters of a vector; queries of the audit; the recall that it asks for.
 OVERLAP, AUDIT, RECALL = 3, 256, 0.97
 
@@ -51,8 +55,8 @@ def fit_centers(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def build(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency lists of a robust-pruned graph over unit rows, with reverse edges and nearest neighbours."""
+def build(x: np.ndarray, threshold: float = THRESHOLD) -> list[np.ndarray]:
+    """Adjacency lists of a robust-pruned graph over unit rows, with reverse edges, nearest neighbours and some far ones in range."""
     m = len(x)
     if m < 2:
         return [np.zeros(0, np.int64) for _ in range(m)]
@@ -67,6 +71,12 @@ def build(x: np.ndarray) -> list[np.ndarray]:
         cs = np.take_along_axis(s, cand, 1)
         order = np.argsort(-cs, axis=1, kind="stable")
         cand, cs = np.take_along_axis(cand, order, 1), np.take_along_axis(cs, order, 1)
+        for i in np.flatnonzero((s >= threshold).sum(1) > k):
+            rest = np.flatnonzero(s[i] >= threshold)
+            rest = rest[np.argsort(-s[i, rest], kind="stable")][k:]
+            rest = rest[np.unique(np.linspace(0, len(rest) - 1, FAR_EDGES).astype(int))]
+            out.append(np.full(len(rest), rows[i]))
+            into.append(rest)
         far = np.maximum(2 - 2 * cs, 0)
         alive = np.ones(cand.shape, bool)
         r = np.arange(len(rows))
@@ -162,6 +172,16 @@ def search(nodes: np.ndarray, near: list[np.ndarray], queries: np.ndarray, own:
     return r[keep], c[keep]
 
 
+def exact(nodes: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs of unit rows with a cosine of at least the threshold, all compared."""
+    r, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(queries) if len(nodes) else 0, 512):
+        a, b = np.nonzero(queries[i : i + 512] @ nodes.T >= threshold)
+        r.append(a + i)
+        c.append(b)
+    return np.concatenate(r), np.concatenate(c)
+
+
 def _matrix(column) -> np.ndarray:
     return np.stack([np.frombuffer(b, "<f8") for b in column]) if len(column) else np.zeros((0, 1))
 
@@ -201,28 +221,39 @@ def _assigner(centers: dict[int, np.ndarray], overlap: int):
     return run
 
 
-def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids = pdf["id"].to_numpy()
-    return pd.DataFrame({"id": ids, "adj": [ids[n].tolist() for n in build(_matrix(pdf["v"]))]})
+def _builder(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        return pd.DataFrame({"id": ids, "adj": [ids[n].tolist() for n in build(_matrix(pdf["v"]), threshold)]})
+
+    return run
 
 
 def _searcher(threshold: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cluster = key[0]
         n, q = pdf[pdf["is_node"]].drop_duplicates("id"), pdf[pdf["is_query"]].drop_duplicates("id")
         node_ids, query_ids = n["id"].to_numpy(), q["id"].to_numpy()
-        at = pd.Series(np.arange(len(n)), index=node_ids)
-        near = [np.unique(a[~np.isnan(a)]).astype(np.int64) for a in (at.reindex(x if x is not None else []).to_numpy(float) for x in n["adj"])]
-        own = at.reindex(query_ids).fillna(-1).to_numpy(np.int64)
-        r, c = search(_matrix(n["v"]), near, _matrix(q["v"]), own, threshold)
-        r, c = r[query_ids[r] != node_ids[c]], c[query_ids[r] != node_ids[c]]
-        # a pair that shares several clusters counts in the first of them only
+        if key[1] == key[2]:
+            at = pd.Series(np.arange(len(n)), index=node_ids)
+            near = [np.unique(a[~np.isnan(a)]).astype(np.int64) for a in (at.reindex(x if x is not None else []).to_numpy(float) for x in n["adj"])]
+            own = at.reindex(query_ids).fillna(-1).to_numpy(np.int64)
+            r, c = search(_matrix(n["v"]), near, _matrix(q["v"]), own, threshold)
+            # a pair is one row, whichever of its vectors found the other
+            r, c = np.minimum(r, own[c]), np.maximum(r, own[c])
+            code = np.unique(r[r != c] * len(n) + c[r != c])
+            r, c = code // max(1, len(n)), code % max(1, len(n))
+        else:
+            r, c = exact(_matrix(n["v"]), _matrix(q["v"]), threshold)
+        # a pair that shares several clusters may be found in each of them
         nq, nn = [set(x) for x in q["near"]], [set(x) for x in n["near"]]
-        many = max(map(len, nq), default=1) > 1
-        keep = np.fromiter((min(nq[a] & nn[b]) == cluster for a, b in zip(r, c)), bool, len(r)) if many else np.ones(len(r), bool)
-        r, c = r[keep], c[keep]
-        weight = np.bincount(r, weights=n["n"].to_numpy()[c], minlength=len(q)).astype(np.int64)
-        count = pd.DataFrame({"id": query_ids, "links": weight, "a": pd.NA, "b": pd.NA})[weight > 0]
+        shared = np.fromiter((len(nq[a] & nn[b]) > 1 for a, b in zip(r, c)), bool, len(r))
+        wq, wn = q["n"].to_numpy(), n["n"].to_numpy()
+        here = np.concatenate([query_ids[r[~shared]], node_ids[c[~shared]]])
+        count = pd.DataFrame({"id": here, "links": np.concatenate([wn[c[~shared]], wq[r[~shared]]])}).groupby("id", as_index=False).sum()
+        u, v = query_ids[r[shared]], node_ids[c[shared]]
+        first = u < v
+        wu, wv = wq[r[shared]], wn[c[shared]]
+        again = pd.DataFrame({"p": np.where(first, u, v), "q": np.where(first, v, u), "np": np.where(first, wu, wv), "nq": np.where(first, wv, wu)})
         # a spanning forest of the links
         root = {}
 
@@ -238,8 +269,9 @@ def _searcher(threshold: float):
                 root[x] = y
                 a.append(u)
                 b.append(v)
-        forest = pd.DataFrame({"id": pd.NA, "links": pd.NA, "a": a, "b": b})
-        return pd.concat([count, forest], ignore_index=True).astype("Int64")
+        forest = pd.DataFrame({"a": a, "b": b})
+        columns = ["id", "links", "a", "b", "p", "q", "np", "nq"]
+        return pd.concat([count, forest, again], ignore_index=True).reindex(columns=columns).astype("Int64")
 
     return run
 
@@ -262,20 +294,27 @@ def _truth(sample: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float):
 
 
 def _one_pass(nodes: DataFrame, centers: dict[int, np.ndarray], overlap: int, threshold: float, chunk: int) -> DataFrame:
-    """Build, union and search with a given overlap -> (id, links) and (a, b) rows."""
+    """Build, union and search with a given overlap -> (id, links), (a, b) and (p, q, np, nq) rows."""
     placed = cut_lineage(nodes.mapInPandas(_assigner(centers, overlap), "id long, n long, v binary, near array<string>"))
     member = placed.withColumn("cluster", F.explode("near"))
     size = member.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).cast("int").alias("s"))
     # a row per cluster; their number is bounded by the sample that they are fitted on
     member = member.join(F.broadcast(size), "cluster").withColumn("c", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
-    adj = member.groupBy("cluster", "c").applyInPandas(_build_shard, "id long, adj array<long>")
+    adj = member.groupBy("cluster", "c").applyInPandas(_builder(threshold), "id long, adj array<long>")
     united = adj.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))
     row = member.join(united, "id", "left")
+    # a task for each chunk and each pair of chunks; in a pair, those of the first are nodes, those of the second queries
     row = row.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    pair = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.lit(i == "c").alias("is_node"), ((F.col("p") == F.col("c")) | (F.lit(i) == "p")).alias("is_query"))
-    both = F.when(F.col("p") == F.col("c"), F.array(pair("c", "p"))).otherwise(F.array(pair("c", "p"), pair("p", "c")))
-    row = row.withColumn("u", F.explode(both)).select("cluster", "u.*", "id", "n", "v", "near", F.when(F.col("u.is_node"), F.col("adj")).alias("adj"))
-    return cut_lineage(row.groupBy("cluster", "i", "j").applyInPandas(_searcher(threshold), "id long, links long, a long, b long"))
+    row = row.withColumns({"i": F.least("c", "p"), "j": F.greatest("c", "p"), "is_node": F.col("c") <= F.col("p"), "is_query": F.col("c") >= F.col("p")})
+    row = row.select("cluster", "i", "j", "is_node", "is_query", "id", "n", "v", "near", F.when(F.col("i") == F.col("j"), F.col("adj")).alias("adj"))
+    return cut_lineage(row.groupBy("cluster", "i", "j").applyInPandas(_searcher(threshold), "id long, links long, a long, b long, p long, q long, np long, nq long"))
+
+
+def _links(got: DataFrame) -> DataFrame:
+    """(id, links) of a pass: those counted in tasks, and each distinct pair that several tasks may have found once."""
+    pairs = got.where("p is not null").select("p", "q", "np", "nq").distinct()
+    both = pairs.select(F.explode(F.array(F.struct(F.col("p").alias("id"), F.col("nq").alias("links")), F.struct(F.col("q").alias("id"), F.col("np").alias("links")))).alias("x")).select("x.*")
+    return got.where("id is not null").select("id", "links").unionByName(both).groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK, cluster: int = CLUSTER, overlap: int = OVERLAP) -> DataFrame:
@@ -304,7 +343,7 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = C
     most = max(map(len, centers.values()), default=1)
     while True:
         got = _one_pass(nodes, centers, overlap, threshold, chunk)
-        links = got.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
+        links = cut_lineage(_links(got))
         seen = {r.id: r.links for r in links.where(F.col("id").isin([i for i, t in truth.items() if t])).collect()} if any(truth.values()) else {}
         recall = sum(seen.values()) / max(1, sum(truth.values())) if any(truth.values()) else 1.0
         if recall >= RECALL or overlap >= most:

@@ -122,3 +122,32 @@ def test_odd_vectors(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in flatgraph.near_groups(spark.createDataFrame([(*r, 0, 0, "") for r in data], kind)).collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 10: (2, 1, False)} | {i: (0, i, True) for i in range(3, 10)}
     assert flatgraph.near_groups(spark.createDataFrame([], kind)).count() == 0
+
+
+def dense_groups(rng, dim=64, size=60):
+    """Two groups of distinct vectors, nearer to their own than to each other, all within 0.95 of all others."""
+    base, other = flatgraph.unit(rng.standard_normal((2, dim)))
+    centers = flatgraph.unit(np.stack([base, base + 0.22 * flatgraph.unit((other - (other @ base) * base)[None])[0]]))
+    return flatgraph.unit(np.concatenate([c + 0.003 * rng.standard_normal((size, dim)) for c in centers]))
+
+
+@pytest.mark.parametrize("chunk", [3000, 60])
+def test_dense_groups_in_range_of_each_other_are_whole(spark, chunk):
+    x = np.concatenate([dense_groups(np.random.default_rng(5)), flatgraph.unit(np.random.default_rng(6).standard_normal((80, 64)))])
+    near = (x @ x.T >= 0.95).sum(1) - 1
+    assert near[:120].min() == 119
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in flatgraph.near_groups(spark.createDataFrame(data, "vec_id long, embedding array<double>"), chunk=chunk, cluster=40).collect()}
+    assert [got[i].n_links for i in range(200)] == near.tolist()
+    assert {got[i].component_id for i in range(120)} == {0}
+
+
+def test_a_pair_found_in_any_shard_counts_once():
+    """Found only in the cluster that is not the first by name, or in both: one pair."""
+    v = [x.astype("<f8").tobytes() for x in flatgraph.unit(np.array([[1.0, 0.1], [1.0, 0.0]]))]
+    import pandas as pd
+
+    rows = pd.DataFrame({"id": [1, 2], "n": [1, 3], "v": v, "near": [["2:0", "2:1"], ["2:0", "2:1"]], "adj": [[2], [1]], "is_node": True, "is_query": True})
+    out = flatgraph._searcher(0.95)(("2:1", 0, 0), rows)
+    assert out.dropna(subset=["p"])[["p", "q", "np", "nq"]].to_numpy().tolist() == [[1, 2, 1, 3]]
+    assert len(out.dropna(subset=["a"])) == 1 and out["id"].isna().all()
