@@ -34,6 +34,7 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 DROPPED = frozenset("head nav footer aside form script style noscript iframe button select option textarea input menu dialog template svg canvas object embed audio video map label fieldset title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split())
 CLOSES_P = BLOCK - {"body", "html", "tbody", "tfoot", "thead", "tr", "caption", "li", "dd", "dt", "legend"}
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar comment comments disqus reply replies respond "
     "footer masthead nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay "
@@ -184,7 +185,8 @@ def main_text(root: Node, noise: frozenset[int]) -> str:
             return inside
         if node.marked():
             return False
-        if node.tag in ("#root", "html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"):
+        # words within a sentence are no branch of a site
+        if node.tag in INLINE or node.tag in ("#root", "html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"):
             return True
         return path not in noise
 
@@ -241,13 +243,13 @@ def host_of(url: str | None) -> str | None:
 
 
 def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages to counted style nodes, summed over a bounded run of pages."""
-    columns = ["host", "path", "presentation", "content"]
+    """Pages to style nodes counted within each distinct page of a bounded run."""
+    columns = ["host", "page", "path", "presentation", "content"]
 
     def rows(c: Counter) -> pd.DataFrame:
         out = pd.DataFrame(list(c), columns=columns)
         out["n"] = list(c.values())
-        for k in columns[2:]:
+        for k in ("page", "presentation", "content"):
             out[k] = out[k].to_numpy(np.uint64).view(np.int64)
         return out
 
@@ -256,7 +258,11 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for url, page in zip(pdf["url"], pdf["html"]):
             host = host_of(url)
             if host and isinstance(page, str):
-                seen.update((host, *x) for x in style_nodes(parse(page)))
+                nodes = list(style_nodes(parse(page)))
+                # all texts at their places, by which copies of a page are known
+                whole = xxhash.xxh64_intdigest(np.array([(x[0] % (1 << 64), x[2]) for x in nodes], "<u8").tobytes())
+                for x, n in Counter(nodes).items():
+                    seen[(host, whole, *x)] = n
             if len(seen) > 200_000:
                 yield rows(seen)
                 seen.clear()
@@ -267,10 +273,12 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def importance(pages: DataFrame) -> DataFrame:
     """pages -> (host, path, n, importance): every style node of every host with its support.
 
-    Entropies are sums over counts, pre-aggregated before each shuffle; a hot host spreads over
-    its paths and contents.
+    Statistics are over distinct pages. Entropies are sums over counts, pre-aggregated before each
+    shuffle; a hot host spreads over its pages, paths and contents.
     """
-    seen = pages.select("url", "html").mapInPandas(_observe, "host string, path long, presentation long, content long, n long")
+    seen = pages.select("url", "html").mapInPandas(_observe, "host string, page long, path long, presentation long, content long, n long")
+    # copies of a page count once, so that an article posted many times isn't taken for a part of the site
+    seen = seen.groupBy("host", "page", "path", "presentation", "content").agg(F.max("n").alias("n"))
 
     # both entropies from one scan: contents and presentations as two kinds of the same key
     both = seen.select("host", "path", "n", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("presentation").alias("x")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("x")))).alias("y")).select("host", "path", "n", "y.*")

@@ -180,3 +180,17 @@ def _fingerprint(text):
     from tests.llm.test_near_copies import slow_fingerprint
 
     return slow_fingerprint(text)
+
+
+def test_words_within_sentences_stay(spark):
+    page = "<body><article><p><b>Note:</b> text {0} see <a>here</a> now</p></article><div><i>Same</i> box</div></body>"
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", page.format(i)) for i in range(40)], "page_id long, url string, html string")
+    assert sorted(r.text for r in styletree.extract(pages).collect()) == sorted(f"Note: text {i} see here now" for i in range(40))
+
+
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    page = "<body><div class=story><blockquote>{0}</blockquote></div></body>"
+    data = [(i, f"http://a.b/{i}", page.format("the one story")) for i in range(2000)] + [(3000 + i, f"http://a.b/x{i}", page.format(f"other {i}")) for i in range(12)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in styletree.extract(pages).collect()}
+    assert got == {i: "the one story" for i in range(2000)} | {3000 + i: f"other {i}" for i in range(12)}
