@@ -30,12 +30,18 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; of repeated rows of an id, one."""
-    groups = simhash.near_groups(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    # rows that share an id are copies or carry different texts; the id stays once
-    return kept.dropDuplicates(["doc_id"])
+    """Exactly one row of each group of near copies: that of the smallest id, null ids last.
+
+    Rows are told apart by id and text, not by id alone: rows with a null id group like any other,
+    and rows that share an id but no text stay if no other row stands for their group.
+    """
+    marked = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
+    row = F.md5(F.concat(marked("doc_id"), F.lit("\n"), marked("text")))
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row.alias("row")).alias("key"), "text")
+    keep = simhash.near_groups(keyed, id_col="key").select(F.col("component_id.row").alias("row_key")).distinct()
+    kept = docs.withColumn("row_key", row).join(keep, "row_key", "left_semi")
+    # what shares id and text is one document
+    return kept.dropDuplicates(["row_key"]).drop("row_key")
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,3 +194,15 @@ def test_copies_of_a_page_are_no_boilerplate(spark):
     pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)
     got = {r.page_id: r.text for r in styletree.extract(pages).collect()}
     assert got == {i: "the one story" for i in range(2000)} | {3000 + i: f"other {i}" for i in range(12)}
+
+
+def test_near_copies_keep_one_row_of_each_group(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    far = [t for _, t, _ in samples.rows(8)]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1]), (7, far[2]), (7, far[3]), (7, far[3]), (5, far[4]), (6, far[4]), (None, far[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fps = {t: _fingerprint(t) for t in far[:5]}
+    assert all(bin(fps[a] ^ fps[b]).count("1") > 3 for a in fps for b in fps if a != b)
+    got = pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(None, far[0]), (None, far[1]), (7, far[2]), (7, far[3]), (5, far[4])])
