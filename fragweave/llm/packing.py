@@ -170,11 +170,24 @@ class Tokens:
         byte = {c: b for b, c in enumerate(byte_symbols())}
         ranks = {bytes(byte[c] for c in s): i for s, i in vocab.items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.path, self.slow = path, None
         self.run = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        return [self.run(t, allowed_special="all").astype("<u4").tobytes() for t in texts]
+        return [self._ids(t).astype("<u4").tobytes() for t in texts]
+
+    def _ids(self, text: str) -> np.ndarray:
+        try:
+            return self.run(text, allowed_special="all")
+        except ValueError:
+            # its pattern matcher gives up on very long runs of white space; the tokenizers library doesn't
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.int64)
+
 
 
 _LOADED: dict[str, Tokens] = {}

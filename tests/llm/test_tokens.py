@@ -113,3 +113,10 @@ def test_pack_table(spark):
             at += n
         assert at == 1024 or at & (at - 1) == 0
     assert packing.pack(samples.empty(spark), BYTE).count() == 0
+
+
+def test_long_runs_of_white_space():
+    text = "a" + " " * 1_000_000 + "b"
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.Tokens(path).encode(["x", text])[1] == want
