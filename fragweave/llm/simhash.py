@@ -2,9 +2,9 @@
 
 Fingerprints within 3 bits agree on at least one of four 16-bit blocks, so comparing inside
 the groups that share a block loses no pair. Inside a group the distinct fingerprints are
-sorted by population count and laid out in tiles; a pair of tiles is compared with numpy
-exclusive-or and bit counts unless their population counts differ by more than the radius
-everywhere. A group too large for one task is split into chunks, and every pair of chunks is
+sorted by population count and laid out in tiles, small groups side by side; a pair of tiles is
+compared with numpy exclusive-or and bit counts unless their population counts differ by more
+than the radius everywhere. A group too large for one task is split into chunks, and every pair of chunks is
 a task of its own. Copies share a fingerprint and are one row long before that.
 """
 
@@ -28,7 +28,8 @@ SHINGLE = 3
 SEED = 42
 #: Distinct fingerprints that one unit of comparison holds from each of its two chunks.
 CHUNK = 8192
-TILE = 512
+#: Rows of a tile; members of small groups that are laid out together.
+TILE, PACK = 256, 2048
 
 
 def hashes(words: list[bytes], k: int = SHINGLE) -> list[int]:
@@ -74,92 +75,101 @@ def fingerprint_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
 
-def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def tiles(pa: np.ndarray, pb: np.ndarray, own: bool, radius: int) -> Iterator[tuple[int, int, bool]]:
+    """(first row, first column, whether it has to be compared) of every pair of tiles; own: of the upper triangle only.
+
+    pa, pb: ascending population counts. Fingerprints within the radius differ by no more in their
+    population counts, so a pair of tiles that differ by more everywhere holds no link.
+    """
+    for i in range(0, len(pa), TILE):
+        low, high = pa[i], pa[min(len(pa), i + TILE) - 1]
+        for j in range(i if own else 0, len(pb), TILE):
+            yield i, j, bool(pb[j] - high <= radius and low - pb[min(len(pb), j + TILE) - 1] <= radius)
+
+
+def compare(a: np.ndarray, b: np.ndarray | None, radius: int, tally: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of the links among a, or between a and b if b is given.
 
     Both hold distinct unsigned fingerprints. Tiles in population-count order; tile pairs too
     far apart are skipped. Links that join what earlier tile pairs have already joined are left
-    out, so a dense group gives as many rows as members and not their square.
+    out, so a dense group gives as many rows as members and not their square. tally: the numbers
+    of tile pairs compared and skipped are added to it.
     """
     own = b is None
+    tally = [0, 0] if tally is None else tally
     a = a[np.argsort(np.bitwise_count(a), kind="stable")]
     b = a if own else b[np.argsort(np.bitwise_count(b), kind="stable")]
-    pa, pb = np.bitwise_count(a).astype(int), np.bitwise_count(b).astype(int)
     root = np.arange(len(a) + (0 if own else len(b)))
     shift = 0 if own else len(a)
     left, right = [], []
-    for i in range(0, len(a), TILE):
-        x, px = a[i : i + TILE], pa[i : i + TILE]
-        for j in range(i if own else 0, len(b), TILE):
-            y, py = b[j : j + TILE], pb[j : j + TILE]
-            if py[0] - px[-1] > radius:
+    for i, j, near in tiles(np.bitwise_count(a).astype(int), np.bitwise_count(b).astype(int), own, radius):
+        tally[not near] += 1
+        if not near:
+            continue
+        r, c = np.nonzero(np.bitwise_count(a[i : i + TILE, None] ^ b[None, j : j + TILE]) <= radius)
+        if own and i == j:
+            r, c = r[r < c], c[r < c]
+        r, c = r + i, c + j + shift
+        while len(r):
+            u, v = root[r], root[c]
+            apart = u != v
+            r, c, u, v = r[apart], c[apart], u[apart], v[apart]
+            if not len(r):
                 break
-            if px[0] - py[-1] > radius:
-                continue
-            r, c = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
-            if own and i == j:
-                r, c = r[r < c], c[r < c]
-            r, c = r + i, c + j + shift
-            while len(r):
-                u, v = root[r], root[c]
-                apart = u != v
-                r, c, u, v = r[apart], c[apart], u[apart], v[apart]
-                if not len(r):
+            # one link for each larger root, to its smallest partner: never closes a ring
+            hi, lo = np.maximum(u, v), np.minimum(u, v)
+            order = np.lexsort((lo, hi))
+            pick = order[np.concatenate([[True], hi[order][1:] != hi[order][:-1]])]
+            left.append(a[r[pick]])
+            right.append(b[c[pick] - shift])
+            root[hi[pick]] = lo[pick]
+            while True:
+                up = root[root]
+                if (up == root).all():
                     break
-                # one link for each larger root, to its smallest partner: never closes a ring
-                hi, lo = np.maximum(u, v), np.minimum(u, v)
-                order = np.lexsort((lo, hi))
-                pick = order[np.concatenate([[True], hi[order][1:] != hi[order][:-1]])]
-                left.append(a[r[pick]])
-                right.append(b[c[pick] - shift])
-                root[hi[pick]] = lo[pick]
-                while True:
-                    up = root[root]
-                    if (up == root).all():
-                        break
-                    root = up
+                root = up
     none = np.zeros(0, np.uint64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _small(groups: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links inside many small groups at once: every member against the next, the one after, and so on."""
-    sizes = np.fromiter(map(len, groups), np.int64, len(groups))
-    v, of = np.concatenate(groups), np.repeat(np.arange(len(groups)), sizes)
-    left, right = [], []
-    for k in range(1, int(sizes.max())):
-        hit = (of[k:] == of[:-k]) & (np.bitwise_count(v[k:] ^ v[:-k]) <= radius)
-        left.append(v[:-k][hit])
-        right.append(v[k:][hit])
-    return np.concatenate(left), np.concatenate(right)
-
+def _packs(groups: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Groups laid side by side, whole ones, in packs of at most PACK members or of one group: what tiles are cut from.
 
-def _linker(radius: int):
+    Links between groups of a pack are links too, so they needn't be told apart.
+    """
+    held, size = [], 0
+    for g in groups:
+        if held and size + len(g) > PACK:
+            yield np.unique(np.concatenate(held))
+            held, size = [], 0
+        held.append(g)
+        size += len(g)
+    if held:
+        yield np.unique(np.concatenate(held))
+
+
+def _linker(radius: int, tally):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = [0, 0]
         for pdf in batches:
-            small, parts = [], []
-            for own, other in zip(pdf["own"], pdf["other"]):
-                x, y = (np.asarray(z, np.int64).view(np.uint64) for z in (own, other))
-                if len(y):
-                    parts.append(compare(x, y, radius))
-                elif 2 <= len(x) <= 24:
-                    small.append(x)
-                elif len(x) > 24:
-                    parts.append(compare(x, None, radius))
-            if small:
-                parts.append(_small(small, radius))
+            members = [(np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64)) for x, y in zip(pdf["own"], pdf["other"])]
+            parts = [compare(x, y, radius, done) for x, y in members if len(y)]
+            parts += [compare(x, None, radius, done) for x in _packs(x for x, y in members if not len(y))]
             if parts:
                 yield pd.DataFrame({"a": np.concatenate([p[0] for p in parts]).view(np.int64), "b": np.concatenate([p[1] for p in parts]).view(np.int64)})
+        for counter, n in zip(tally or (), done):
+            counter.add(n)
 
     return run
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, tally: tuple | None = None) -> DataFrame:
     """(fp) distinct fingerprints -> (a, b): links that span all pairs within the radius.
 
     radius must be below the four blocks. Members of a block's group are dealt to
     ceil(n / chunk) chunks by a hash; a unit is one chunk or a pair of chunks, and holds at most
-    about two chunks of fingerprints however hot its block is.
+    about two chunks of fingerprints however hot its block is. Every unit goes through the tiles;
+    tally: two accumulators that the numbers of tile pairs compared and skipped are added to.
     """
     if radius > 3:
         raise ValueError("four blocks guarantee a shared block up to a radius of 3")
@@ -173,19 +183,20 @@ def near_links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     units = units.groupBy("block", "x", "y").agg(F.collect_list("m").alias("m"))
     split = lambda keep: F.transform(F.filter("m", lambda z: z["first"] if keep else ~z["first"]), lambda z: z["fp"])
     units = units.select(split(True).alias("own"), split(False).alias("other"))
-    return units.mapInPandas(_linker(radius), "a long, b long")
+    return units.mapInPandas(_linker(radius, tally), "a long, b long")
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", tally: tuple | None = None) -> DataFrame:
     """documents -> (doc_id, fp, component_id): fingerprints and groups of near copies, a row per document.
 
     component_id is the smallest id reachable over links, the own id included. Null and empty
-    texts have the fingerprint zero and link like any other. Repeated ids keep their rows.
-    Further columns of the input, whatever their names, play no part. No documents: no rows.
+    texts have the fingerprint zero and link like any other. Repeated ids keep their rows; a null id
+    links like any other and is no group's smallest unless the group has none else. Very long
+    texts are fingerprinted whole. Further columns of the input, whatever their names, play no part. No documents: no rows.
     """
     fps = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), fingerprint_of(F.col(text_col)).alias("fp")))
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(near_links(least.select("fp"), radius))
+    roots = components(near_links(least.select("fp"), radius, tally=tally))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = cut_lineage(named)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -67,6 +67,39 @@ def test_simhash_groups(spark, chunk, monkeypatch):
     assert simhash.near_groups(samples.empty(spark)).count() == 0
 
 
+def test_query_goes_through_tiles(spark, monkeypatch):
+    """All groups, small ones too, are compared in tiles; far tile pairs are skipped and none with a link."""
+    rng = np.random.default_rng(11)
+    low, high = (rng.integers(0, 2, (400, 64)) * (rng.random((400, 64)) < p) for p in (0.2, 1.9))
+    fps = np.unique(np.packbits(np.concatenate([low, high]).astype(np.uint8), axis=1).view(">u8").ravel().astype(np.uint64))
+    fps = np.unique(np.concatenate([fps, fps[::3] ^ np.uint64(1 << 40)]))
+    done = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").coalesce(1)
+    got, want = Union(), Union()
+    for r in simhash.near_links(table, tally=done).collect():
+        assert ((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 3
+        got.join(r.a & (2**64 - 1), r.b & (2**64 - 1))
+    plain = [int(x) for x in fps]
+    for i, a in enumerate(plain):
+        for b in plain[:i]:
+            if (a ^ b).bit_count() <= 3:
+                want.join(a, b)
+    assert {x: got.top(x) for x in plain} == {x: want.top(x) for x in plain}
+    assert done[0].value > 0 and done[1].value > 0
+
+
+def test_tile_pairs_that_are_skipped_hold_no_link():
+    rng = np.random.default_rng(12)
+    x = np.sort(rng.integers(0, 2**64, 3000, dtype=np.uint64) & rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    x = x[np.argsort(np.bitwise_count(x), kind="stable")]
+    p = np.bitwise_count(x).astype(int)
+    pairs = list(simhash.tiles(p, p, True, 3))
+    assert {near for _, _, near in pairs} == {True, False} and len(pairs) == 12 * 13 // 2
+    for i, j, near in pairs:
+        if not near:
+            assert np.bitwise_count(x[i : i + simhash.TILE, None] ^ x[None, j : j + simhash.TILE]).min() > 3
+
+
 def test_tiles_and_chunks():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 6, dtype=np.uint64)
