@@ -64,19 +64,9 @@ FROM base"""
 
 
 def op6() -> str:
-    """Plain conversations only: the tables hold no tool markup, so every call is a user turn and every result an assistant's."""
-    quoted = lambda c: f"to_json({c})::VARCHAR"
-    return f"""
-WITH c AS (SELECT conv_id, turn, turn::VARCHAR AS call_id, text FROM conversations WHERE role = 'user'),
-r AS (SELECT conv_id, turn, (turn - 1)::VARCHAR AS call_id, text FROM conversations WHERE role = 'assistant'),
-nc AS (SELECT conv_id, call_id, count(*) AS n FROM c GROUP BY ALL),
-nr AS (SELECT conv_id, call_id, count(*) AS n, arg_min(text, turn) AS text FROM r GROUP BY ALL)
-SELECT c.conv_id, c.turn, 'call' AS kind, c.call_id, 0::INTEGER AS level, CASE WHEN nr.n IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-  nc.n AS n_calls, coalesce(nr.n, 0) AS n_results, coalesce(len(c.text) > 0, false) AS valid,
-  '{{' || CASE WHEN nr.n IS NULL THEN '' ELSE '"result":' || coalesce({quoted("nr.text")}, 'null') || ',' END || '"role":"assistant","tool_call":{{"arguments":{{'
-    || coalesce('"prompt":' || {quoted("c.text")}, '') || '}},"id":"' || c.call_id || '","name":"respond"}}}}' AS json,
-FROM c JOIN nc USING (conv_id, call_id) LEFT JOIN nr ON nr.conv_id = c.conv_id AND nr.call_id = c.call_id
-UNION ALL
-SELECT r.conv_id, r.turn, 'result', r.call_id, CASE WHEN nc.n IS NULL THEN NULL ELSE 0 END, CASE WHEN nc.n IS NULL THEN 'no_call' ELSE 'linked' END,
-  coalesce(nc.n, 0), nr.n, NULL, '{{"content":' || coalesce({quoted("r.text")}, 'null') || ',"role":"tool","tool_call_id":"' || r.call_id || '"}}'
-FROM r JOIN nr USING (conv_id, call_id) LEFT JOIN nc ON nc.conv_id = r.conv_id AND nc.call_id = r.call_id"""
+    """Messages only: the tables hold no tool markup, so every turn is one."""
+    return """
+SELECT conv_id, turn, 0::INTEGER AS idx, 'message' AS kind, NULL::VARCHAR AS call_id, NULL::INTEGER AS level, 'message' AS status,
+  0::BIGINT AS n_calls, 0::BIGINT AS n_results, NULL::BOOLEAN AS valid, '' AS errors,
+  '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json
+FROM conversations"""

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fragweave.llm import bpe, divergence, flatgraph, langid, lm, oracles, packing, quality, simhash, styletree, toolcalls
 from fragweave.llm.common import fold
 from fragweave.session import table
 
 
+def held_out(folds: int, fold_held: int):
+    """Whether the id's fold is the one held out; a null id's isn't."""
+    return F.coalesce(fold("doc_id", folds) == fold_held, F.lit(False)).alias("held_out")
+
+
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and divergence verdict of every document."""
     found = divergence.judge(table(spark, sf_dir, "documents"))
@@ -20,7 +26,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return quality.classify(docs, model).select("doc_id", held_out(3, 1), "score", "predicted")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +45,9 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls and results of every conversation: those written as JSON, and plain exchanges as calls of `respond`."""
-    talks = table(spark, sf_dir, "conversations")
-    events = toolcalls.read_events(talks).unionByName(toolcalls.turns_as_events(talks))
-    return toolcalls.link(events, toolcalls.RESPOND).drop("errors", "idx")
+    """Every turn of every conversation: calls, results and what refers to what, and plain messages as they are."""
+    found = toolcalls.link(toolcalls.read_events(table(spark, sf_dir, "conversations")))
+    return found.withColumn("errors", F.array_join("errors", "; "))
 
 
 def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
-    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(5, 0), "lang_pred", "score")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import importlib
 import json
+import random
 import re
 from collections import Counter
 
@@ -90,7 +91,12 @@ def talk(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
 
-def test_tool_calls(spark):
+def linked(spark, rows, **kw):
+    return toolcalls.link(toolcalls.read_events(talk(spark, rows)), **kw).collect()
+
+
+@pytest.mark.parametrize("one_task", [100_000, 1])
+def test_tool_calls(spark, one_task):
     schema = {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}}
     calls = [{"id": "b", "name": "f", "arguments": {"x": {"$ref": "a"}}}, {"id": "a", "name": "f", "arguments": {"x": 3.0}}, {"id": "c", "function": {"name": "f", "arguments": '{"x": "s"}'}}, {"id": "p", "name": "f", "arguments": {"x": {"$ref": "q"}}}, {"id": "q", "name": "g", "arguments": {"x": {"$ref": "p"}}}, {"id": "d", "name": "f", "arguments": {"x": {"$ref": "b"}}}]
     rows = [
@@ -106,8 +112,8 @@ def test_tool_calls(spark):
         (3, 0, "assistant", "<tool_call>{bad</tool_call>"),
         (3, 1, "user", json.dumps({"tool_calls": calls})),
     ]
-    got = {(r.conv_id, r.turn, r.idx): r for r in toolcalls.link(toolcalls.read_events(talk(spark, rows))).collect()}
-    assert len(got) == 11
+    got = {(r.conv_id, r.turn, r.idx): r for r in linked(spark, rows, one_task=one_task)}
+    assert len(got) == 15 and not any(r.kind == "tool" for r in got.values())
     a, b = got[1, 1, 1], got[1, 1, 0]
     assert (a.level, a.status, a.valid, a.n_calls, a.n_results) == (0, "linked", True, 2, 1)
     assert a.json == '{"result":{"a":[1.5],"z":1},"role":"assistant","tool_call":{"arguments":{"x":3},"id":"a","name":"f"}}'
@@ -116,17 +122,85 @@ def test_tool_calls(spark):
     assert got[1, 1, 3].level == got[1, 1, 4].level == -1 and got[1, 1, 4].errors == ["unknown tool"]
     assert (got[1, 3, 0].status, got[1, 3, 0].level) == ("no_call", None) and got[2, 2, 0].status == "no_call"
     assert (got[1, 4, 0].status, got[1, 5, 0].status) == ("linked", "no_id")
-    assert toolcalls.link(toolcalls.read_events(talk(spark, rows).limit(0))).count() == 0
-
-
-def test_plain_turns(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "user", "hi \"q\" é\n"), (1, 2, "assistant", "yes"), (1, 3, "user", ""), (2, 0, "assistant", "first"), (2, 1, "user", None), (1, 2, "assistant", "yes")]
-    got = sorted((r.conv_id, r.turn, r.kind, r.status, r.valid, r.json) for r in toolcalls.link(toolcalls.turns_as_events(talk(spark, rows)), toolcalls.RESPOND).collect())
-    call = '{"result":"yes","role":"assistant","tool_call":{"arguments":{"prompt":"hi \\"q\\" é\\n"},"id":"1","name":"respond"}}'
-    assert (1, 1, "call", "linked", True, call) in got
-    assert [g[:5] for g in got if g[1] == 3] == [(1, 3, "call", "no_result", False)]
-    assert [g[:5] for g in got if g[0] == 2] == [(2, 0, "result", "no_call", None), (2, 1, "call", "no_result", False)]
-    assert len(got) == 6
+    assert (got[3, 0, 0].status, got[3, 0, 0].valid, got[3, 0, 0].json) == ("malformed", False, '{"content":"{bad","role":"assistant"}')
+    assert (got[2, 0, 0].status, got[2, 0, 0].json) == ("message", '{"content":null,"role":"user"}')
+    assert got[None, None, 0].json == '{"content":"{","role":null}' and got[3, 1, 0].kind == "message"
+    assert linked(spark, rows[:0]) == []
+
+
+def test_malformed_tool_turns(spark):
+    """No turn fails the job; each has its row and says what is wrong with it."""
+    deep = '{"a":' * 3000 + "1" + "}" * 3000
+    faults = {"pattern": "(", "minLength": "x", "maxLength": [], "enum": 5, "required": 7, "type": 3, "properties": 4}
+    tools = [{"name": k, "parameters": {"properties": {"v": {k: v}}} if k not in ("required", "properties") else {k: v}} for k, v in faults.items()]
+    tools.append({"name": "slow", "parameters": {"properties": {"v": {"pattern": "^(a+)+$"}}}})
+    call = lambda name, arguments: f'<tool_call>{{"id": "{name}", "name": "{name}", "arguments": {arguments}}}</tool_call>'
+    rows = [(1, 0, "system", json.dumps({"tools": tools}))]
+    rows += [(1, 1 + i, "assistant", call(k, '{"v": "abc"}')) for i, k in enumerate(faults)]
+    rows += [(1, 20, "assistant", call("slow", json.dumps({"v": "a" * 60 + "!"}))), (1, 21, "assistant", call("inf", "1e999")), (1, 22, "assistant", call("deep", deep)), (1, 23, "assistant", call("half", '{"v": "\\ud800", "\\udfff": {"$ref": "\\ud801"}}'))]
+    rows += [(1, 24, "assistant", json.dumps({"id": 3, "tool_calls": [5, {"id": ["x"], "name": 7, "arguments": "{"}]})), (1, 25, "tool", "<tool_result>[1]</tool_result><tool_result>{}</tool_result>"), (1, 26, "assistant", call("nan", "NaN")), (1, 27, "assistant", call("long", "9" * 5000)), (1, 28, "system", '{"tools": {"name": "f"}}'), (1, 29, "assistant", "{" * 100_000)]
+    got = {(r.turn, r.idx): r for r in linked(spark, rows)}
+    for i, k in enumerate(faults):
+        assert (got[1 + i, 0].valid, got[1 + i, 0].status) == (False, "no_result") and f"schema: {k}" in got[1 + i, 0].errors[0], k
+    assert got[20, 0].errors in (["$.v: pattern takes too long"], ["$.v: pattern"])
+    assert {got[t, 0].status for t in (21, 22, 26, 27)} == {"malformed"}
+    assert "\ufffd" in got[23, 0].json and got[23, 0].level == 0
+    assert [got[24, i].status for i in (0, 1)] == ["malformed", "no_result"] and got[24, 1].call_id == '["x"]' and got[24, 1].json.count('"{"') == 1
+    assert [got[25, i].status for i in (0, 1)] == ["malformed", "no_id"]
+    assert got[28, 0].kind == got[29, 0].kind == "message"
+    assert all(json.loads(r.json) for r in got.values())
+
+
+def slow_levels(edges, nodes):
+    """Longest chains by relaxing n times; what still grows then hangs on a cycle."""
+    level = dict.fromkeys(nodes, 0)
+    for _ in range(len(nodes) + 1):
+        last = dict(level)
+        for a, b in edges:
+            level[a] = max(level[a], level[b] + 1)
+    bad = {a for a in nodes if level[a] != last[a]}
+    while more := {a for a, b in edges if b in bad} - bad:
+        bad |= more
+    return {a: -1 if a in bad else level[a] for a in nodes}
+
+
+@pytest.mark.parametrize("one_task", [100_000, 3])
+def test_levels_against_brute_force(spark, one_task):
+    """Generated conversations with references, chains, cycles, repeated identifiers, unknown ones and results, in one table."""
+    rng = random.Random(3)
+    rows, want = [(100, 0, "assistant", json.dumps({"tool_calls": [{"id": str(i), "name": "f", "arguments": [{"$ref": str(i - 1)}] if i else {}} for i in range(9)]}))], {(100, str(i)): i for i in range(9)}
+    for conv in range(12):
+        n = rng.randrange(1, 9)
+        nodes, edges = [f"c{i}" for i in range(n)], set()
+        for turn, i in enumerate(rng.choices(range(n), k=2 * n)):
+            refs = rng.sample([*nodes, "nowhere"], min(n + 1, rng.randrange(3))) if conv % 3 else [f"c{j}" for j in rng.sample(range(i), min(i, 2))]
+            edges |= {(nodes[i], r) for r in refs if r != "nowhere"}
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": [{"id": nodes[i], "name": "f", "arguments": {"x": [{"$ref": r} for r in refs]}}]})))
+            rows.append((conv, turn + 50, "tool", json.dumps({"tool_call_id": nodes[i], "content": turn})))
+        there = {json.loads(r[3])["tool_calls"][0]["id"] for r in rows if r[0] == conv and r[2] == "assistant"}
+        want |= {(conv, k): v for k, v in slow_levels([e for e in edges if set(e) <= there], sorted(there)).items()}
+    got = linked(spark, rows, one_task=one_task)
+    assert {(r.conv_id, r.call_id): r.level for r in got} == want and -1 in want.values() and max(want.values()) == 8
+    assert len(got) == len(rows) + 8
+    by = {(r.conv_id, r.call_id): r.n_calls for r in got}
+    counts = Counter((c, json.loads(t)["tool_calls"][0]["id"]) for c, _, role, t in rows if role == "assistant" and c < 100)
+    assert all(by[k] == n for k, n in counts.items())
+
+
+def test_long_chain_of_references():
+    chain = [(f"c{i}", f"c{i - 1}") for i in range(1, 30_000)]
+    assert toolcalls.kahn(chain[::-1])["c29999"] == 29_999
+
+
+def test_plain_turns(spark, tmp_path):
+    """The query over conversations without tool markup, against its DuckDB form."""
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "hi \"q\" é\n\t\\"), (1, 2, "assistant", "yes [x] {y}"), (1, 3, "user", ""), (2, 0, "assistant", "first"), (2, 1, "user", None), (1, 2, "assistant", "yes"), (None, None, None, None)]
+    talks = talk(spark, rows).selectExpr("*", "'clash' as kind", "1 as idx", "'b' as body", "2 as level")
+    talks.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(str(tuple(r)) for r in queries.op6_tool_call_linking(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert got == sorted(str(r) for r in con.execute(oracles.op6()).fetchall()) and len(got) == len(rows)
 
 
 @pytest.mark.parametrize(
