@@ -1,19 +1,25 @@
 """Main text of web pages by site style trees.
 
-The element trees of all pages of a host are merged by path: a style node is a host and the tags
-and classes from the root down. Over the pages of the host a node has a distribution of
-presentations (the sequences of its children) and one of contents (its text). A node's
-importance is the weighted mean of their entropies, each divided by its largest possible value.
-Branches whose node looks and reads the same all over a host are of low importance and go, as do
-branches that elements, roles or classes mark as menus, notices, adverts, forms and the like.
+The element trees of all pages of a host are merged by path: a presentation node is a host and the
+tags and classes from the root down; a content node is a presentation node with a block's whole
+text. Over the distinct pages of the host a presentation node has a distribution of presentations
+(the sequences of its children) and features (sentences and link targets of its own text). Its
+importance is the weighted mean of the presentations' entropy, divided by the largest possible,
+and of what its features leave of theirs: a feature on d of m pages counts 1 - log d / log m. A
+content node on most pages of the host has none. In a page, a branch's importance is the mean over
+its own nodes and all below, weighted by their text. Branches of less than a share of the host's
+mean importance go, as do those that elements, roles or classes mark as menus, notices, adverts,
+forms and the like. What is left decides where the main text is: in the article, if that holds
+most of the importance, else in the main element on the same condition, else all over the page.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,9 +29,10 @@ from pyspark.sql import functions as F
 
 from fragweave.session import cut_lineage
 
-#: Importance below which a branch goes; occurrences that a node needs for it; weight of presentation.
-MIN_IMPORTANCE, MIN_SUPPORT, PRESENTATION = 0.15, 8, 0.2
-#: Bytes of low-importance nodes that are broadcast at most; beyond it, a salted join.
+#: Share of the host's mean importance that a branch needs; factor for those within article or main,
+#: which a page itself calls its content; distinct pages that a node needs; weight of presentation.
+SHARE, WITHIN, MIN_SUPPORT, PRESENTATION = 0.75, 2.0, 8, 0.2
+#: Bytes of site trees that are broadcast at most; beyond it, a salted join. Bytes of page counts likewise.
 BROADCAST_BYTES, SALTS = 32 << 20, 32
 
 # HTML's element categories, and words of class, id and role that mark a branch as no part of an article.
@@ -33,6 +40,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 DROPPED = frozenset("head nav footer aside form script style noscript iframe button select option textarea input menu dialog template svg canvas object embed audio video map label fieldset title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split())
+CELLS = frozenset(("td", "th"))
 CLOSES_P = BLOCK - {"body", "html", "tbody", "tfoot", "thead", "tr", "caption", "li", "dd", "dt", "legend"}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HINTS = frozenset(
@@ -44,16 +52,19 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)", re.S)
+#: In ASCII, since other letters that fold to these don't end raw text.
+_RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 _OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _PART = re.compile(r"[a-z0-9]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
 class Node:
     """An element; text children are strings."""
 
-    __slots__ = ("tag", "attrs", "children", "sign")
+    __slots__ = ("tag", "attrs", "children", "sign", "path", "content", "mass", "score")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
@@ -77,16 +88,31 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """A tree of a whole page, however malformed: unclosed and stray tags, cut ends, text anywhere."""
+    """A tree of a whole page, however malformed: unclosed and stray tags, cut ends, text anywhere.
+
+    Open elements are found by tag and not by walking down the stack, so the time is in
+    proportion to the page whatever its depth.
+    """
     root = Node("#root", {})
     stack = [root]
+    open_: dict[str, list[int]] = defaultdict(list)  # places in the stack by tag, ascending
+    edges: list[int] = []  # places of block elements and table cells
     at, n = 0, len(html)
-    lower = None
 
     def text(s: str) -> None:
         if s:
             stack[-1].children.append(html_lib.unescape(s) if "&" in s else s)
 
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            open_[x.tag].pop()
+        while edges and edges[-1] >= k:
+            edges.pop()
+        del stack[k:]
+
+    def last(tags) -> int:
+        return max((open_[t][-1] for t in tags if open_[t]), default=0)
+
     for m in iter(lambda: _TAG.search(html, at), None):
         text(html[at : m.start()])
         at = m.end()
@@ -95,44 +121,30 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag in ("p", "br") and not any(x.tag == tag for x in stack):
-                continue
-            # an end tag closes the nearest such element, but doesn't reach over a table cell's or article's edge for inline ones
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break
+            # an end tag closes the nearest such element, but an inline one doesn't reach over a block's edge
+            k = last((tag,))
+            if k and (tag in BLOCK or tag in CELLS or not edges or edges[-1] < k):
+                close(k)
             continue
         attrs = {a[0].lower(): html_lib.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])} if m[3].strip(" /\n\t\r\f") else {}
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK or stack[k].tag in ("td", "th"):
-                    break
+        if tag in CLOSES_P and edges and stack[edges[-1]].tag == "p":
+            close(edges[-1])
         if tag in SIBLINGS:
             same, edge = SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in edge:
-                    break
-                if stack[k].tag in same:
-                    del stack[k:]
-                    break
+            k = last(same)
+            if k and k > last(edge):
+                close(k)
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW:
             # raw text runs to its end tag, whatever it holds
-            lower = lower if lower is not None else html.lower()
-            end = lower.find(f"</{tag}", at)
-            if end < 0:
-                at = n
-            else:
-                close = html.find(">", end)
-                at = n if close < 0 else close + 1
+            end = _RAW_END[tag].search(html, at)
+            shut = html.find(">", end.end()) if end else -1
+            at = n if shut < 0 else shut + 1
         elif tag not in VOID:
+            open_[tag].append(len(stack))
+            if tag in BLOCK or tag in CELLS:
+                edges.append(len(stack))
             stack.append(node)
         if at >= n:
             break
@@ -141,99 +153,142 @@ def parse(html: str) -> Node:
     return root
 
 
-def style_nodes(root: Node) -> Iterator[tuple[int, int, int]]:
-    """(path, presentation, content) hashes of every element with text."""
+def annotate(root: Node) -> list[Node]:
+    """Sets every element's path (the root's is 0) and content, a hash of all text in it, 0 without text; all elements, parents first."""
     h = xxhash.xxh64_intdigest
-    todo, order = [(root, 0)], []
+    root.path, order, todo = 0, [], [root]
     while todo:
-        node, path = todo.pop()
-        order.append((node, path))
-        todo += [(c, below(path, c.sign)) for c in node.children if isinstance(c, Node)]
-    inner: dict[int, int] = {}
-    for node, path in reversed(order):
-        # content hash from the children's hashes, so that each character is hashed once
-        parts, signs = [], []
+        node = todo.pop()
+        order.append(node)
+        for c in node.children:
+            if isinstance(c, Node):
+                c.path = below(node.path, c.sign)
+                todo.append(c)
+    for node in reversed(order):
+        # from the children's hashes, so that each character is hashed once
+        parts = []
         for c in node.children:
             if isinstance(c, str):
                 s = " ".join(c.split())
                 if s:
                     parts.append(h(s))
-            else:
-                signs.append(c.sign)
-                if inner[id(c)]:
-                    parts.append(inner[id(c)])
-        inner[id(node)] = h(np.array(parts, "<u8").tobytes()) if parts else 0
-        if parts and path:
-            yield path, h(" ".join(signs)), inner[id(node)]
+            elif c.content:
+                parts.append(c.content)
+        node.content = h(np.array(parts, "<u8").tobytes()) if parts else 0
+    return order
 
 
-def below(path: int, sign: str) -> int:
-    """Hash of a style path one element longer; the root's is 0. Signed 64 bits, whatever the depth."""
+def below(path: int, sign: str | int) -> int:
+    """Hash of a style path one element longer, or of a path and a content. Signed 64 bits, whatever the depth."""
     x = xxhash.xxh64_intdigest(f"{path}/{sign}")
     return x - (1 << 64) if x >> 63 else x
 
 
-def main_text(root: Node, noise: frozenset[int]) -> str:
-    """Blocks of the article in page order, without marked branches and those of low importance.
+def features(node: Node) -> set[int]:
+    """Hashes of the sentences of an element's own text and of where it links to."""
+    out = set()
+    for c in node.children:
+        if isinstance(c, str) and (s := " ".join(c.split())):
+            out.update(map(xxhash.xxh64_intdigest, _SENTENCE.split(s)))
+    if node.attrs and (to := node.attrs.get("href") or node.attrs.get("src")):
+        out.add(xxhash.xxh64_intdigest(f"to {to}"))
+    return out
 
-    With an article element, text outside of the outermost ones is no part of it; else the main
-    element counts, else all of the page.
-    """
 
-    def kept(node: Node, path: int, inside: bool) -> bool:
+def own_chars(node: Node) -> int:
+    return sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+
+
+def judged(node: Node) -> bool:
+    """Whether an element is a branch of a site, and not words within a sentence or the frame of the page."""
+    return node.tag not in INLINE and node.tag not in ("#root", "html", "body", "article", "main") and node.tag not in CELLS
+
+
+@dataclass
+class Site:
+    """What a host's merged tree says: importance of presentation nodes, content nodes that most pages hold, the least importance that stays."""
+
+    importance: dict[int, float]
+    common: frozenset[int]
+    limit: float
+
+
+def main_text(root: Node, site: Site | None = None) -> str:
+    """Blocks of the main text in page order, without marked branches and those of low importance; without a site none is low."""
+    order = annotate(root)
+    for node in reversed(order):
+        node.mass = own_chars(node)
+        node.score = node.mass * (site.importance.get(node.path, 1.0) if site else 1.0)
+        for c in node.children:
+            if isinstance(c, Node):
+                node.mass += c.mass
+                node.score += c.score
+        if site and node.content and judged(node) and below(node.path, node.content) in site.common:
+            node.score = 0.0
+
+    def kept(node: Node, inside: bool) -> bool:
         if node.tag == "header":
             return inside
         if node.marked():
             return False
-        # words within a sentence are no branch of a site
-        if node.tag in INLINE or node.tag in ("#root", "html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6"):
+        if not site or not node.mass or not judged(node):
             return True
-        return path not in noise
+        return node.score * (WITHIN if inside else 1.0) >= site.limit * node.mass
+
+    def walk(tops: list[Node], inside: bool) -> tuple[list[str], float]:
+        """(blocks, importance of their text)."""
+        blocks: list[str] = []
+        held: list[str] = []
+        weight = 0.0
+
+        def flush() -> None:
+            s = " ".join("".join(held).split())
+            if s:
+                blocks.append(s)
+            held.clear()
+
+        for top in tops:
+            todo: list = [(top, inside)]
+            while todo:
+                item = todo.pop()
+                if item is None:
+                    flush()
+                    continue
+                if isinstance(item, str):
+                    held.append(item)
+                    continue
+                node, within = item
+                if node is not top and not kept(node, within):
+                    continue
+                within = within or node.tag in ("article", "main")
+                weight += own_chars(node) * (site.importance.get(node.path, 1.0) if site else 1.0)
+                if node.tag in BLOCK:
+                    flush()
+                    todo.append(None)
+                elif node.tag == "br" or node.tag in CELLS:
+                    held.append(" ")
+                todo += [c if isinstance(c, str) else (c, within) for c in reversed(node.children)]
+            flush()
+        return blocks, weight
 
-    def find(tag: str) -> list[tuple[Node, int]]:
-        got, todo = [], [(root, 0)]
+    def find(tag: str) -> list[Node]:
+        got, todo = [], [root]
         while todo:
-            node, path = todo.pop()
+            node = todo.pop()
             if node.tag == tag:
-                got.append((node, path))
+                got.append(node)
                 continue
-            todo += [(c, p) for c in reversed(node.children) if isinstance(c, Node) and kept(c, p := below(path, c.sign), False)]
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and kept(c, False)]
         return got
 
-    found = find("article")
-    inside = bool(found)
-    if not found:
-        found = find("main")
-        inside = bool(found)
-    blocks: list[str] = []
-    held: list[str] = []
-
-    def flush() -> None:
-        s = " ".join("".join(held).split())
-        if s:
-            blocks.append(s)
-        held.clear()
-
-    for top, path in found or [(root, 0)]:
-        todo: list = [(top, path)]
-        while todo:
-            item = todo.pop()
-            if item is None:
-                flush()
-            elif isinstance(item, str):
-                held.append(item)
-            else:
-                node, path = item
-                if node is not top and not kept(node, path, inside):
-                    continue
-                if node.tag in BLOCK:
-                    flush()
-                    todo.append(None)
-                elif node.tag in ("br", "td", "th"):
-                    held.append(" ")
-                todo += [c if isinstance(c, str) else (c, below(path, c.sign)) for c in reversed(node.children)]
-        flush()
-    return "\n\n".join(blocks)
+    every, total = walk([root], False)
+    for tag in ("article", "main"):
+        tops = find(tag)
+        if tops:
+            blocks, weight = walk(tops, True)
+            if 2 * weight >= total:
+                return "\n\n".join(blocks)
+    return "\n\n".join(every)
 
 
 def host_of(url: str | None) -> str | None:
@@ -242,27 +297,51 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower() or None if m else None
 
 
+PRESENTS, HOLDS, SAYS, THERE = range(4)
+
+
 def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages to style nodes counted within each distinct page of a bounded run."""
-    columns = ["host", "page", "path", "presentation", "content"]
+    """Weighted pages to what they count for in their host's tree, summed over a bounded run of pages.
+
+    kind PRESENTS: presentations of a path; HOLDS: features, SAYS: contents, each once a page; THERE:
+    pages that have the path, with the characters of its own text.
+    """
 
-    def rows(c: Counter) -> pd.DataFrame:
-        out = pd.DataFrame(list(c), columns=columns)
-        out["n"] = list(c.values())
-        for k in ("page", "presentation", "content"):
-            out[k] = out[k].to_numpy(np.uint64).view(np.int64)
-        return out
+    def rows(seen: dict) -> pd.DataFrame:
+        out = pd.DataFrame(list(seen), columns=["host", "path", "kind", "x"]).astype({"kind": np.int8})
+        out["x"] = out["x"].to_numpy(np.uint64).view(np.int64)
+        both = np.array(list(seen.values()), float).reshape(-1, 2)
+        return out.assign(n=both[:, 0], chars=both[:, 1])
+
+    seen: dict[tuple, list[float]] = {}
+
+    def add(key: tuple, n: float, chars: float = 0.0) -> None:
+        have = seen.get(key)
+        if have is None:
+            seen[key] = [n, chars]
+        else:
+            have[0] += n
+            have[1] += chars
 
-    seen: Counter = Counter()
     for pdf in batches:
-        for url, page in zip(pdf["url"], pdf["html"]):
-            host = host_of(url)
-            if host and isinstance(page, str):
-                nodes = list(style_nodes(parse(page)))
-                # all texts at their places, by which copies of a page are known
-                whole = xxhash.xxh64_intdigest(np.array([(x[0] % (1 << 64), x[2]) for x in nodes], "<u8").tobytes())
-                for x, n in Counter(nodes).items():
-                    seen[(host, whole, *x)] = n
+        for host, page, w in zip(pdf["host"], pdf["html"], pdf["w"]):
+            if not isinstance(host, str) or not isinstance(page, str):
+                continue
+            chars: Counter = Counter()
+            once = set()
+            for node in annotate(parse(page)):
+                chars[node.path] += own_chars(node)
+                if not node.content:
+                    continue
+                signs = " ".join([c.sign for c in node.children if isinstance(c, Node)])
+                add((host, node.path, PRESENTS, xxhash.xxh64_intdigest(signs)), w)
+                once.update([(host, node.path, HOLDS, x) for x in features(node)])
+                if judged(node):
+                    once.add((host, node.path, SAYS, node.content))
+            for key in once:
+                add(key, w)
+            for path, n in chars.items():
+                add((host, path, THERE, 0), w, w * n)
             if len(seen) > 200_000:
                 yield rows(seen)
                 seen.clear()
@@ -270,49 +349,113 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows(seen)
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """pages -> (host, path, n, importance): every style node of every host with its support.
+def _host() -> F.Column:
+    return F.nullif(F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+
+
+def weighted(pages: DataFrame) -> DataFrame:
+    """pages -> (host, html, w): w is 1 over the number of pages of the host with the same text, so copies count as one page.
 
-    Statistics are over distinct pages. Entropies are sums over counts, pre-aggregated before each
-    shuffle; a hot host spreads over its pages, paths and contents.
+    Text is what stands outside of tags, scripts and styles; splitting and replacing run in time in
+    proportion to the page. The counts of texts on several pages are broadcast if few, else joined.
     """
-    seen = pages.select("url", "html").mapInPandas(_observe, "host string, page long, path long, presentation long, content long, n long")
-    # copies of a page count once, so that an article posted many times isn't taken for a part of the site
-    seen = seen.groupBy("host", "page", "path", "presentation", "content").agg(F.max("n").alias("n"))
+    outside = F.filter(F.split("html", r"(?i)</?(?:script|style)\b"), lambda _, i: i % 2 == 0)
+    words = F.regexp_replace(F.array_join(outside, " "), r"<[^<>]*>|\s+", "")
+    rows = pages.select(_host().alias("host"), "html").where("host is not null and html is not null").withColumn("key", F.xxhash64("host", words))
+    often = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    few = often.count() * 40 <= BROADCAST_BYTES
+    return rows.join(F.broadcast(often) if few else often, "key", "left").select("host", "html", (1.0 / F.coalesce("n", F.lit(1))).alias("w"))
 
-    # both entropies from one scan: contents and presentations as two kinds of the same key
-    both = seen.select("host", "path", "n", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("presentation").alias("x")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("x")))).alias("y")).select("host", "path", "n", "y.*")
-    by = both.groupBy("host", "path", "kind", "x").agg(F.sum("n").alias("c"))
-    part = lambda k: F.sum(F.when(F.col("kind") == k, F.col("c") * F.log("c")).otherwise(0.0))
-    sums = by.groupBy("host", "path").agg((F.sum("c") / 2).alias("n"), part(0).alias("p"), part(1).alias("t"))
-    scaled = lambda k: F.when(F.col("n") > 1, (F.log("n") - F.col(k) / F.col("n")) / F.log("n")).otherwise(1.0)
-    return sums.select("host", "path", "n", (PRESENTATION * scaled("p") + (1 - PRESENTATION) * scaled("t")).alias("importance"))
 
+def trees(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pages -> (host, path, pages, chars, importance), (host, key): presentation nodes, and content nodes that most pages of a host hold.
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        text = []
-        for page, noise in zip(pdf["html"], pdf["noise"]):
-            text.append(main_text(parse(page), frozenset() if noise is None else frozenset(noise)) if isinstance(page, str) else "")
-        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": np.fromiter(map(len, text), np.int64, len(text))})
+    importance is null for nodes without text or links of their own. Statistics are over distinct
+    pages. All are sums over counts, pre-aggregated before each shuffle; a hot host spreads over its
+    paths and features.
+    """
+    seen = weighted(pages).mapInPandas(_observe, "host string, path long, kind byte, x long, n double, chars double")
+    by = cut_lineage(seen.groupBy("host", "path", "kind", "x").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")))
+    of = lambda kind, v: F.sum(F.when(F.col("kind") == kind, v))
+    # sums of 1 / copies stray from whole numbers by rounding
+    d = F.greatest(F.round("n", 6), F.lit(1.0))
+    nodes = by.groupBy("host", "path").agg(
+        of(PRESENTS, d).alias("o"),
+        of(PRESENTS, d * F.log(d)).alias("ol"),
+        of(HOLDS, F.lit(1.0)).alias("f"),
+        of(HOLDS, F.log(d)).alias("fl"),
+        of(THERE, d).alias("pages"),
+        of(THERE, F.col("chars")).alias("chars"),
+    )
+    shape = F.when(F.col("o") > 1, (F.log("o") - F.col("ol") / F.col("o")) / F.log("o")).otherwise(1.0)
+    held = F.when(F.col("pages") > 1, 1 - F.col("fl") / F.col("f") / F.log("pages")).otherwise(1.0)
+    score = F.when(F.col("f") > 0, F.greatest(F.lit(0.0), PRESENTATION * shape + (1 - PRESENTATION) * held))
+    nodes = nodes.select("host", "path", "pages", "chars", score.alias("importance"))
+    whole = nodes.where("path = 0").select("host", F.col("pages").alias("m"))
+    common = by.where((F.col("kind") == SAYS) & (d >= MIN_SUPPORT)).join(whole, "host").where(2 * d > F.col("m"))
+    return nodes, common.select("host", "path", "x")
+
+
+def sites(pages: DataFrame) -> DataFrame:
+    """A row per host with a node of MIN_SUPPORT distinct pages: host, paths, importance, common (path and content, hashed), limit."""
+    nodes, common = trees(pages)
+    nodes = nodes.where((F.col("pages") >= MIN_SUPPORT) & F.col("importance").isNotNull())
+    mean = F.sum(F.col("chars") * F.col("importance")) / F.sum("chars")
+    by_host = nodes.groupBy("host").agg(F.collect_list(F.struct("path", F.col("importance").cast("float").alias("importance"))).alias("nodes"), (SHARE * mean).alias("limit"))
+    by_host = by_host.where("`limit` is not null")
+    said = common.groupBy("host").agg(F.collect_list(F.struct("path", "x")).alias("common"))
+    return cut_lineage(by_host.join(said, "host", "left").select("host", "nodes.path", "nodes.importance", "common", "limit"))
+
+
+def _site(path, importance, common, limit) -> Site | None:
+    if path is None:
+        return None
+    keys = frozenset(below(c["path"], c["x"] % (1 << 64)) for c in common) if common is not None else frozenset()
+    return Site(dict(zip(map(int, path), map(float, importance))), keys, float(limit))
+
+
+def _extract(shared):
+    """Pages to texts; the sites are a broadcast by host, or else come with each page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict[str, Site | None] = {}
+        for pdf in batches:
+            text = []
+            for k, (host, page) in enumerate(zip(pdf["host"], pdf["html"])):
+                if not isinstance(page, str):
+                    text.append("")
+                    continue
+                if not isinstance(host, str):
+                    site = None
+                elif host in made:
+                    site = made[host]
+                else:
+                    if len(made) >= 1000:
+                        made.clear()
+                    row = shared.value.get(host) if shared is not None else tuple(pdf[c].iloc[k] for c in ("path", "importance", "common", "limit"))
+                    site = made[host] = _site(*row) if row is not None else None
+                text.append(main_text(parse(page), site))
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": np.fromiter(map(len, text), np.int64, len(text))})
+
+    return run
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """pages -> (page_id, url, text, n_chars), a row per row.
+    """pages -> (page_id, url, text, n_chars), a row per row, repeated ones too.
 
     Null and empty html give an empty text. Pages whose url has no host are extracted without
-    site statistics, as are those of hosts with fewer than MIN_SUPPORT occurrences of a node.
+    site statistics, as are those of hosts without a node on MIN_SUPPORT distinct pages. Time is
+    in proportion to a page's length however deep it nests. An empty table gives an empty one.
     """
-    low = importance(pages).where((F.col("n") >= MIN_SUPPORT) & (F.col("importance") < MIN_IMPORTANCE)).select("host", "path")
-    by_host = low.groupBy("host").agg(F.collect_set("path").alias("noise"))
-    by_host = cut_lineage(by_host)
-    size = by_host.agg(F.sum(F.length("host") + 24 + 8 * F.size("noise")).alias("b")).first().b or 0
-    host = F.nullif(F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    if size <= BROADCAST_BYTES:
-        rows = rows.join(F.broadcast(by_host), "host", "left")
-    else:
-        salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    spark = pages.sparkSession
+    by_host = sites(pages)
+    size = by_host.agg(F.sum(F.length("host") + 64 + 12 * F.size("path") + 16 * F.greatest(F.size("common"), F.lit(0))).alias("b")).first().b or 0
+    rows = pages.select("page_id", "url", "html", _host().alias("host"))
     kind = dict(pages.dtypes)
-    return rows.select("page_id", "url", "html", "noise").mapInPandas(_extract, f"page_id {kind['page_id']}, url string, text string, n_chars long")
+    out = f"page_id {kind['page_id']}, url string, text string, n_chars long"
+    if size <= BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast({r.host: (r.path, r.importance, r.common, r.limit) for r in by_host.collect()})
+        return rows.mapInPandas(_extract(shared), out)
+    salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    return rows.select("page_id", "url", "html", "host", "path", "importance", "common", "limit").mapInPandas(_extract(None), out)

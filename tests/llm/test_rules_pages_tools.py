@@ -1,9 +1,12 @@
 """Divergence rules, page extraction, tool calls and the pipeline."""
 
+import functools
 import importlib
 import json
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -63,9 +66,102 @@ PAGES = {
 
 def test_pages():
     for page, text in PAGES.items():
-        assert styletree.main_text(styletree.parse(page), frozenset()) == text, page
+        assert styletree.main_text(styletree.parse(page)) == text, page
     deep = styletree.parse("<div>" * 30000 + "deep")
-    assert styletree.main_text(deep, frozenset()) == "deep" and len(list(styletree.style_nodes(deep))) == 30000
+    assert styletree.main_text(deep) == "deep" and len(styletree.annotate(deep)) == 30001
+
+
+def test_letters_that_grow_in_lower_case():
+    assert styletree.main_text(styletree.parse("<title>" + "İ" * 8 + "</title><p>text</p>")) == "text"
+    assert styletree.main_text(styletree.parse("İ" * 40 + "<script>x</script><p>next</p><SCRIPT>y</ſcript></SCRIPT>z")) == "İ" * 40 + "\n\nnext\n\nz"
+
+
+def test_time_is_in_proportion_to_the_page():
+    took = []
+    for n in (20_000, 200_000):
+        begun = time.time()
+        for page in ("<span>" * n + "</p>" * n, "<b><div>" + "<span>" * n + "</b>" * n + "x", "<li>" * n, "<td>" * n + "<p>" * n, "<script>" * n, "<a " * n):
+            styletree.main_text(styletree.parse(page))
+        took.append(time.time() - begun)
+    assert took[1] < 25 * max(took[0], 0.2)
+
+
+def test_article_is_no_selector_where_it_holds_a_teaser():
+    body = "word " * 200
+    assert styletree.main_text(styletree.parse(f"<div><p>{body}</p></div><article><p>read on</p></article>")) == f"{body.strip()}\n\nread on"
+    assert styletree.main_text(styletree.parse(f"<div><p>teaser</p></div><article><p>{body}</p></article>")) == body.strip()
+
+
+def brute_trees(pages):
+    """Importance of every presentation node and the common contents, from first principles: a dictionary of distinct pages."""
+    hosts, out, common = {}, {}, set()
+    for url, html in pages:
+        root = styletree.parse(html)
+        text = re.sub(r"<[^<>]*>|\s+", "", " ".join(re.split(r"(?i)</?(?:script|style)\b", html)[::2]))
+        hosts.setdefault(styletree.host_of(url), {})[text] = styletree.annotate(root)
+    for host, by in hosts.items():
+        paths = {n.path for order in by.values() for n in order}
+        for p in paths:
+            own = [[n for n in order if n.path == p and n.content] for order in by.values()]
+            m = sum(any(n.path == p for n in order) for order in by.values())
+            shapes = Counter(tuple(c.sign for c in n.children if isinstance(c, styletree.Node)) for page in own for n in page)
+            held = Counter(x for page in own for x in {x for n in page for x in styletree.features(n)})
+            said = Counter(x for page in own for x in {n.content for n in page if styletree.judged(n)})
+            common |= {(host, p, x) for x, d in said.items() if d >= styletree.MIN_SUPPORT and 2 * d > len(by)}
+            if held:
+                o = sum(shapes.values())
+                entropy = sum(-c / o * math.log(c / o) for c in shapes.values()) / math.log(o) if o > 1 else 1.0
+                rest = sum(1 - math.log(d) / math.log(m) for d in held.values()) / len(held) if m > 1 else 1.0
+                out[host, p] = styletree.PRESENTATION * entropy + (1 - styletree.PRESENTATION) * rest
+    return out, common
+
+
+SITE = "<body><div><a href=/home>Home</a> <a href=/about>About us</a></div><div>{0}. Unlike others, {1}.</div><div>We use cookies here.</div><ul><li>Terms</li><li>Help {2}</li></ul><script>n({0})</script></body>"
+
+
+def site_pages(n=60):
+    data = [(i, f"http://site.org/{i}", SITE.format(f"Story {i} tells of {i * 31 % 97}", f"it has {i * 7} words and <b>bold</b> ones", i % 3)) for i in range(n)]
+    data += [(1000 + i, f"http://site.org/copy{i}", data[0][2].replace("n(", f"n({i}")) for i in range(n)]
+    return data + [(2000 + i, f"http://few.org/{i}", SITE.format("A", "b", i)) for i in range(3)]
+
+
+def test_importance_against_brute_force(spark):
+    data = site_pages()
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)
+    nodes, common = styletree.trees(pages)
+    want, often = brute_trees([r[1:] for r in data])
+    got = {(r.host, r.path): r.importance for r in nodes.collect() if r.importance is not None}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert {(r.host, r.path, r.x % (1 << 64)) for r in common.collect()} == often and often
+
+
+def test_importance_removes_unmarked_menus_and_notices(spark):
+    """No class, role or element says what is a menu, a notice or a list of links; the site's pages do."""
+    data = site_pages()
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in styletree.extract(pages).collect()}
+    for i in [*range(60), *range(1000, 1060)]:
+        k = i if i < 1000 else 0
+        assert got[i] == f"Story {k} tells of {k * 31 % 97}. Unlike others, it has {k * 7} words and bold ones."
+    assert all("cookies" in got[2000 + i] for i in range(3))
+
+
+def test_marks_off_importance_still_finds_menus_of_the_tables(spark, monkeypatch):
+    """With no mark and no article read, importance alone removes most of what isn't the article on a host of many pages."""
+    path = "/root/testdata/sf0.1/pages.parquet"
+    pages = spark.read.parquet(path).where("url like '%//blog.tionsh.example.com/%'")
+    full = {r.page_id: r.text for r in styletree.extract(pages).collect()}
+    nodes, _ = styletree.trees(pages)
+    limit = styletree.sites(pages).first().limit
+    low = {r.path for r in nodes.where(f"importance < {limit}").collect()}
+    path_of = lambda *signs: functools.reduce(styletree.below, signs, 0)
+    assert {path_of("html", "body", "nav", "ul", "li", "a"), path_of("html", "body", "div.ad"), path_of("html", "body", "footer")} <= low
+    assert not {path_of("html", "body", "article", *x) for x in (("p",), ("h1",), ("p", "b"))} & low
+    monkeypatch.setattr(styletree.Node, "marked", lambda self: self.tag in ("head", "script", "style"))
+    sites = {r.host: styletree._site(r.path, r.importance, r.common, r.limit) for r in styletree.sites(pages).collect()}
+    bare = {r.page_id: styletree.main_text(styletree.parse(re.sub(r"(?i)</?article>", "", r.html)), None) for r in pages.collect()}
+    cut = {r.page_id: styletree.main_text(styletree.parse(r.html), sites["blog.tionsh.example.com"]) for r in pages.collect()}
+    assert len(bare) > 200 and cut == full and sum(map(len, bare.values())) > sum(map(len, full.values()))
 
 
 def test_site_statistics(spark):
