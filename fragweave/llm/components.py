@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,23 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
         found = found.join(move.select(F.col("u").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         found = cut_lineage(found)
     raise RuntimeError("components did not settle")
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Places of the links (a[i], b[i]) between 0 .. n - 1 that span all of them without a ring."""
+    root, at, out = np.arange(n), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while len(at):
+        u, v = root[a[at]], root[b[at]]
+        apart = u != v
+        at, u, v = at[apart], u[apart], v[apart]
+        if not len(at):
+            break
+        # one link for each larger root, to its smallest partner: never closes a ring
+        hi, lo = np.maximum(u, v), np.minimum(u, v)
+        order = np.lexsort((lo, hi))
+        pick = order[np.concatenate([[True], hi[order][1:] != hi[order][:-1]])]
+        out.append(at[pick])
+        root[hi[pick]] = lo[pick]
+        while (root[root] != root).any():
+            root = root[root]
+    return np.concatenate(out)

@@ -4,14 +4,16 @@ Vectors go to the shards of their nearest clusters (several, so shards overlap);
 builds a robust-pruned neighbour graph; a vector's adjacency lists from all its shards are
 united. Search runs per shard over the united lists: greedily from the shard's medoid, then
 range-expanding, from every vector in range to its neighbours, until nothing new is in range.
-Found pairs are verified in double precision. An audit compares a sample with brute force; too
-low a recall raises the overlap and repeats.
-
-Equal vectors are one weighted node from the start. A cluster too large for a task is split
-into chunks, each searched by its graph; two chunks are compared exactly, in a task of their own,
-since no graph spans them. Pairs that only one task can find are counted there; those whose vectors
-share more clusters leave the task and each distinct one is counted once, whichever task found it.
-Of all found pairs a spanning forest leaves the task.
+Found pairs are verified in double precision, and each shard is checked for pairs that the search
+missed. An audit searches for probes, vectors made near to sampled ones, and compares with brute
+force over all vectors; too low a recall raises the overlap and repeats, and is an error in the end.
+
+Equal vectors are one weighted node from the start. Clusters of more than a few chunks are clustered
+again, as often as needed, so shards stay of one size and a vector's copies grow with the depth
+only. What can't be divided is a dense group: its core, the vectors within half the radius of
+its centre, which all link with each other, is counted in closed form, and the rest is compared
+with all of it in chunks. A pair belongs to the first by name of the clusters that both its
+vectors are in, and is counted there only; no pair leaves its task, but for a spanning forest.
 """
 
 from __future__ import annotations
@@ -23,19 +25,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragweave.llm.components import components
+from fragweave.llm.components import components, spanning
 from fragweave.session import cut_lineage
 
 THRESHOLD = 0.95
 #: Vectors that are looked at in range expansion even if they don't link.
 SLACK = 0.02
-#: Expected vectors of a cluster, most vectors of a chunk, most vectors that clusters are fitted on.
-CLUSTER, CHUNK, SAMPLE = 1500, 3000, 16384
+#: Expected vectors of a cluster, most vectors of a chunk; most vectors that clusters, and those within a cluster, are fitted on.
+CLUSTER, CHUNK, SAMPLE, SUB_SAMPLE = 1500, 3000, 16384, 4096
+#: Chunks of a cluster from which on it is divided; smaller ones are compared chunk by chunk, which bounds their copies.
+#: Vectors of a large cluster that one task deals to the clusters within.
+UNDIVIDED, PART = 4, 20_000
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
 #: Edges of a node to vectors in range beyond its nearest candidates, so that dense groups in range of each other are connected.
 FAR_EDGES = 8
-#: Clusters of a vector; queries of the audit; the recall that it asks for.
-OVERLAP, AUDIT, RECALL = 3, 256, 0.97
+#: Clusters of a vector; probes of the audit and their cosine to the vector that they are made from; the
+#: recall that raises the overlap if not met, and the least that is no error.
+OVERLAP, AUDIT, NEAR, RECALL, LEAST = 3, 256, 0.965, 0.97, 0.9
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -202,25 +208,107 @@ def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"vec_id": pd.Series(ids, dtype="int64"), "v": vs})
 
 
+def _nearest(x: np.ndarray, centers: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest centres of each row, nearest first."""
+    k = min(k, len(centers))
+    out = [np.argsort(-(x[i : i + 4096] @ centers.T), axis=1, kind="stable")[:, :k] for i in range(0, len(x), 4096)]
+    return np.concatenate(out) if out else np.zeros((0, k), np.int64)
+
+
+_MEMBER = "id long, n long, v binary, probe boolean, cluster string, home boolean, done boolean, core boolean"
+
+
+def _members(pdf: pd.DataFrame, names: list[list[str]], home, done: bool, core) -> pd.DataFrame:
+    """A row for each vector and each of its clusters; the first is its home, if what they divide is."""
+    times = np.fromiter(map(len, names), np.int64, len(names))
+    out = pdf[["id", "n", "v", "probe"]].iloc[np.repeat(np.arange(len(pdf)), times)].reset_index(drop=True)
+    first = np.concatenate([np.arange(t) == 0 for t in times]) if len(times) else np.zeros(0, bool)
+    return out.assign(cluster=[x for n in names for x in n], home=first & np.repeat(home, times), done=done, core=np.repeat(core, times))
+
+
 def _assigner(centers: dict[int, np.ndarray], overlap: int):
+    """Vectors to the clusters of their nearest centres, of their own length."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            near: list = [None] * len(pdf)
+            names: list = [None] * len(pdf)
             dims = pdf["v"].map(len).to_numpy() // 8
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                c = centers[int(dim)]
-                k = min(overlap, len(c))
-                for part in np.array_split(at, len(at) // 4096 + 1):
-                    if len(part):
-                        s = _matrix(pdf["v"].iloc[part]) @ c.T
-                        for i, row in zip(part, np.argsort(-s, axis=1, kind="stable")[:, :k]):
-                            near[i] = [f"{dim}:{j}" for j in row]
-            yield pdf.assign(near=near)
+                for i, row in zip(at, _nearest(_matrix(pdf["v"].iloc[at]), centers[int(dim)], overlap)):
+                    names[i] = [f"{dim}:{j}" for j in row]
+            yield _members(pdf, names, np.ones(len(pdf), bool), False, np.zeros(len(pdf), bool))
+
+    return run
+
+
+def divide(x: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """Centres within a cluster: k at most, no two within the threshold of each other, so that a dense group has one."""
+    c = fit_centers(x, max(1, k))
+    keep: list[int] = []
+    for i in range(len(c)):
+        if not keep or (c[keep] @ c[i]).max() < threshold:
+            keep.append(i)
+    return c[keep]
+
+
+def _divider(cluster: int, threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(pdf.sort_values("id")["v"])
+        c = divide(x, int(min(-(-int(pdf["m"].iloc[0]) // cluster), max(1, len(x) // 8))), threshold)
+        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "m": [pdf["m"].iloc[0]], "centers": [c.astype("<f8").tobytes()]})
+
+    return run
+
+
+def _dealer(overlap: int, threshold: float):
+    """A part of a large cluster to the clusters within. One that can't be divided is done; if it is one dense group, its core is marked."""
+    half = np.sqrt((1 + threshold) / 2) + 1e-9  # cosine of half the angle: what is nearer than that to one point is in range of each other
+
+    def run(key: tuple, pdf: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=["id", "n", "v", "probe", "cluster", "home", "done", "core"])
+        x, name = _matrix(pdf["v"]), pdf["cluster"].iloc[0]
+        c = np.frombuffer(fitted["centers"].iloc[0], "<f8").reshape(-1, x.shape[1]) if len(fitted) else np.zeros((0, x.shape[1]))
+        home = pdf["home"].to_numpy(bool)
+        if len(c) < 2:
+            core = (x @ c[0] >= half) & home & ~pdf["probe"].to_numpy(bool) if len(c) else np.zeros(len(x), bool)
+            return _members(pdf, [[name]] * len(pdf), home, True, core)
+        if len(c) < 2 * overlap:  # the clusters within would be hardly smaller
+            return _members(pdf, [[name]] * len(pdf), home, True, np.zeros(len(x), bool))
+        return _members(pdf, [[f"{name}.{j}" for j in row] for row in _nearest(x, c, overlap)], home, False, np.zeros(len(x), bool))
 
     return run
 
 
+def shards(vectors: DataFrame, centers: dict[int, np.ndarray], overlap: int, threshold: float, chunk: int, cluster: int) -> DataFrame:
+    """(id, n, v, probe) -> a row for each vector and each of its shards: _MEMBER.
+
+    Clusters of more than UNDIVIDED chunks are divided by centres fitted on a bounded sample of each,
+    until all are smaller or can't be divided. Where a round leaves the largest as it was, that is the end.
+    """
+    members = cut_lineage(vectors.mapInPandas(_assigner(centers, overlap), _MEMBER))
+    spread, last = 1 << 30, 1 << 62
+    while True:
+        size = members.where("not done").groupBy("cluster").agg(F.count("*").alias("m")).where(F.col("m") > UNDIVIDED * chunk)
+        most = size.agg(F.max("m").alias("m")).first().m or 0
+        if not most:
+            return members
+        stuck, last = most >= last, most
+        big = members.join(size, "cluster", "left").withColumn("m", F.when(~F.col("done"), F.col("m")))
+        rest, big = big.where("m is null").drop("m"), big.where("m is not null")
+        if stuck:
+            big = big.withColumn("done", F.lit(True)).drop("m")
+            return cut_lineage(rest.unionByName(big))
+        few = big.where("not probe").where(F.pmod(F.xxhash64("id"), F.lit(spread)) < F.least(F.lit(1.0), SUB_SAMPLE / F.col("m")) * spread)
+        fitted = few.select("id", "v", "cluster", "m").groupBy("cluster").applyInPandas(_divider(cluster, threshold), "cluster string, m long, centers binary")
+        parts = F.ceil(F.col("m") / PART).cast("int")
+        fitted = fitted.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        big = big.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int"))
+        dealt = big.groupBy("cluster", "part").cogroup(fitted.groupBy("cluster", "part")).applyInPandas(_dealer(max(2, overlap - 1), threshold), _MEMBER)
+        members = cut_lineage(rest.unionByName(dealt))
+
+
 def _builder(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].to_numpy()
@@ -229,108 +317,150 @@ def _builder(threshold: float):
     return run
 
 
+def _first_common(names: list[list[str]], a: np.ndarray, others: list[list[str]], b: np.ndarray, cluster: str) -> np.ndarray:
+    """Whether no cluster before `cluster` by name holds both vectors of a pair (names[a[i]], others[b[i]])."""
+    code = {x: i for i, x in enumerate(sorted({x for n in (*names, *others) for x in n if x < cluster}))}
+    wide = max((sum(x in code for x in n) for n in (*names, *others)), default=0)
+    if not wide:
+        return np.ones(len(a), bool)
+
+    def table(lists: list[list[str]], none: int) -> np.ndarray:
+        out = np.full((len(lists), wide), none)
+        for i, n in enumerate(lists):
+            c = [code[x] for x in n if x in code]
+            out[i, : len(c)] = c
+        return out
+
+    left, right = table(names, -1), table(others, -2)
+    out = np.ones(len(a), bool)
+    for i in range(0, len(a), 200_000):
+        at = slice(i, i + 200_000)
+        for k in range(wide):
+            out[at] &= ~(left[a[at], k, None] == right[b[at]]).any(1)
+    return out
+
+
+_FOUND = "id long, links long, a long, b long, probe long, hit long, found long, there long"
+
+
 def _searcher(threshold: float):
+    """One shard, or a pair of chunks of one: counted links, a spanning forest, what probes hit, found and existing pairs."""
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, q = pdf[pdf["is_node"]].drop_duplicates("id"), pdf[pdf["is_query"]].drop_duplicates("id")
-        node_ids, query_ids = n["id"].to_numpy(), q["id"].to_numpy()
-        if key[1] == key[2]:
+        cluster, same = key[0], key[1] == key[2]
+        probe, node = pdf["probe"].to_numpy(bool), pdf["is_node"].to_numpy(bool)
+        n, q = pdf[node & ~probe], pdf[pdf["is_query"].to_numpy(bool) & ~probe]
+        node_ids, nodes = n["id"].to_numpy(np.int64), _matrix(n["v"])
+        if same:
+            q = n
+            made = pdf[probe]
             at = pd.Series(np.arange(len(n)), index=node_ids)
-            near = [np.unique(a[~np.isnan(a)]).astype(np.int64) for a in (at.reindex(x if x is not None else []).to_numpy(float) for x in n["adj"])]
-            own = at.reindex(query_ids).fillna(-1).to_numpy(np.int64)
-            r, c = search(_matrix(n["v"]), near, _matrix(q["v"]), own, threshold)
-            # a pair is one row, whichever of its vectors found the other
-            r, c = np.minimum(r, own[c]), np.maximum(r, own[c])
-            code = np.unique(r[r != c] * len(n) + c[r != c])
-            r, c = code // max(1, len(n)), code % max(1, len(n))
+            near = [np.unique(x[~np.isnan(x)]).astype(np.int64) for x in (at.reindex(x if x is not None else []).to_numpy(float) for x in n["adj"])]
+            own = np.concatenate([np.arange(len(n)), np.full(len(made), -1)])
+            r, c = search(nodes, near, np.concatenate([nodes, _matrix(made["v"])]) if len(made) else nodes, own, threshold)
+            hit = r >= len(n)
+            probes = made["id"].to_numpy(np.int64)[r[hit] - len(n)], node_ids[c[hit]]
+            # a pair is one row, whichever of its vectors found the other; then the check for those that neither did
+            pair = lambda r, c: np.unique(np.minimum(r, c)[r != c] * len(n) + np.maximum(r, c)[r != c])
+            found, there = pair(r[~hit], c[~hit]), pair(*exact(nodes, nodes, threshold))
+            audit = int(np.isin(found, there).sum()), len(there)
+            r, c = there // max(1, len(n)), there % max(1, len(n))
         else:
-            r, c = exact(_matrix(n["v"]), _matrix(q["v"]), threshold)
-        # a pair that shares several clusters may be found in each of them
-        nq, nn = [set(x) for x in q["near"]], [set(x) for x in n["near"]]
-        shared = np.fromiter((len(nq[a] & nn[b]) > 1 for a, b in zip(r, c)), bool, len(r))
-        wq, wn = q["n"].to_numpy(), n["n"].to_numpy()
-        here = np.concatenate([query_ids[r[~shared]], node_ids[c[~shared]]])
-        count = pd.DataFrame({"id": here, "links": np.concatenate([wn[c[~shared]], wq[r[~shared]]])}).groupby("id", as_index=False).sum()
-        u, v = query_ids[r[shared]], node_ids[c[shared]]
-        first = u < v
-        wu, wv = wq[r[shared]], wn[c[shared]]
-        again = pd.DataFrame({"p": np.where(first, u, v), "q": np.where(first, v, u), "np": np.where(first, wu, wv), "nq": np.where(first, wv, wu)})
-        # a spanning forest of the links
-        root = {}
-
-        def top(z):
-            while root.get(z, z) != z:
-                root[z] = z = root.get(root[z], root[z])
-            return z
-
-        a, b = [], []
-        for u, v in zip(query_ids[r].tolist(), node_ids[c].tolist()):
-            x, y = top(u), top(v)
-            if x != y:
-                root[x] = y
-                a.append(u)
-                b.append(v)
-        forest = pd.DataFrame({"a": a, "b": b})
-        columns = ["id", "links", "a", "b", "p", "q", "np", "nq"]
-        return pd.concat([count, forest, again], ignore_index=True).reindex(columns=columns).astype("Int64")
+            r, c = exact(nodes, _matrix(q["v"]), threshold)
+            # a probe is in one of the two chunks and is compared with the other
+            ids, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for made, other in ((pdf[probe & node], q), (pdf[probe & ~node], n)):
+                a, b = exact(_matrix(other["v"]), _matrix(made["v"]), threshold)
+                ids.append(made["id"].to_numpy(np.int64)[a])
+                to.append(other["id"].to_numpy(np.int64)[b])
+            probes, audit = (np.concatenate(ids), np.concatenate(to)), (0, 0)
+        query_ids = q["id"].to_numpy(np.int64)
+        of = {x: i for i, x in enumerate({*q["core"].dropna(), *n["core"].dropna()})}
+        core_q, core_n = (np.array([of.get(x, -1 - k) for x in d["core"]], np.int64) for k, d in ((0, q), (1, n)))
+        mine = (core_q[r] != core_n[c]) & _first_common(list(q["near"]), r, list(n["near"]), c, cluster)
+        r, c = r[mine], c[mine]
+        wq, wn = q["n"].to_numpy(np.int64), n["n"].to_numpy(np.int64)
+        count = pd.DataFrame({"id": np.concatenate([query_ids[r], node_ids[c]]), "links": np.concatenate([wn[c], wq[r]])}).groupby("id", as_index=False).sum()
+        pick = spanning(r, c if same else c + len(q), len(q) + len(n))
+        forest = pd.DataFrame({"a": query_ids[r[pick]], "b": node_ids[c[pick]]})
+        out = [count, forest, pd.DataFrame({"probe": probes[0], "hit": probes[1]}), pd.DataFrame({"found": [audit[0]], "there": [audit[1]]})]
+        return pd.concat(out, ignore_index=True).reindex(columns=["id", "links", "a", "b", "probe", "hit", "found", "there"]).astype("Int64")
 
     return run
 
 
-def _truth(sample: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float):
-    """Brute force: links of each audited vector with a batch of all vectors."""
+def _probes(few: list, threshold: float) -> list[tuple[int, bytes]]:
+    """(number, vector): made from sampled vectors, at a known cosine, so that each has a partner."""
+    out = []
+    for k, r in enumerate(few[:AUDIT]):
+        x = np.frombuffer(r.v, "<f8")
+        d = np.random.default_rng(k).standard_normal(len(x))
+        d -= (d @ x) * x
+        size = np.sqrt(d @ d)
+        near = max(NEAR, (1 + threshold) / 2)
+        y = near * x + np.sqrt(1 - near * near) * d / size if size > 1e-6 else x
+        out.append((k, unit(y[None])[0].astype("<f8").tobytes()))
+    return out
+
+
+def _truth(probes: list[tuple[int, bytes]], threshold: float):
+    """Brute force: how many of a batch of all vectors are in range of each probe."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by: dict[int, list] = {}
+        for k, v in probes:
+            by.setdefault(len(v) // 8, []).append((k, v))
+        total = np.zeros(len(probes), np.int64)
         for pdf in batches:
             dims = pdf["v"].map(len).to_numpy() // 8
-            for dim, (ids, x) in sample.items():
-                at = np.flatnonzero(dims == dim)
-                for part in np.array_split(at, len(at) // 4096 + 1):
-                    if len(part):
-                        other = pdf["id"].to_numpy()[part]
-                        ok = (x @ _matrix(pdf["v"].iloc[part]).T >= threshold) & (ids[:, None] != other[None])
-                        yield pd.DataFrame({"id": ids, "true": (ok * pdf["n"].to_numpy()[part]).sum(1)})
+            for dim, some in by.items():
+                x, at = _matrix([v for _, v in some]), np.flatnonzero(dims == dim)
+                for i in range(0, len(at), 4096):
+                    total[[k for k, _ in some]] += (x @ _matrix(pdf["v"].iloc[at[i : i + 4096]]).T >= threshold).sum(1)
+        yield pd.DataFrame({"probe": np.arange(len(probes)), "there": total})
 
     return run
 
 
-def _one_pass(nodes: DataFrame, centers: dict[int, np.ndarray], overlap: int, threshold: float, chunk: int) -> DataFrame:
-    """Build, union and search with a given overlap -> (id, links), (a, b) and (p, q, np, nq) rows."""
-    placed = cut_lineage(nodes.mapInPandas(_assigner(centers, overlap), "id long, n long, v binary, near array<string>"))
-    member = placed.withColumn("cluster", F.explode("near"))
-    size = member.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).cast("int").alias("s"))
-    # a row per cluster; their number is bounded by the sample that they are fitted on
-    member = member.join(F.broadcast(size), "cluster").withColumn("c", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
-    adj = member.groupBy("cluster", "c").applyInPandas(_builder(threshold), "id long, adj array<long>")
+def _one_pass(vectors: DataFrame, centers: dict[int, np.ndarray], overlap: int, threshold: float, chunk: int, cluster: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Build, union and search with a given overlap -> (rows of _FOUND, (id, core), members)."""
+    member = shards(vectors, centers, overlap, threshold, chunk, cluster)
+    of = member.groupBy("id", "probe").agg(F.collect_list("cluster").alias("near"), F.max(F.when(F.col("core"), F.col("cluster"))).alias("core"))
+    # a dense cluster's chunks: those of its core first
+    own = F.coalesce(F.col("core"), F.lit(False)) & F.col("home")
+    size = member.groupBy("cluster").agg(F.ceil(F.count_if(own) / chunk).cast("int").alias("sa"), F.ceil(F.count_if(~own) / chunk).cast("int").alias("sb"), F.count("*").alias("m"))
+    size = size.withColumn("sa", F.when(F.col("m") > chunk, F.col("sa")).otherwise(0)).withColumn("sb", F.when(F.col("m") > chunk, F.col("sb")).otherwise(1)).drop("m")
+    h = F.xxhash64("id")
+    row = member.join(size, "cluster").withColumn("c", F.when(own & (F.col("sa") > 0), F.pmod(h, F.greatest("sa", F.lit(1)))).otherwise(F.col("sa") + F.pmod(h, F.greatest("sb", F.lit(1)))).cast("int"))
+    row = row.drop("core").join(of, ["id", "probe"])
+    adj = row.where("not probe and c >= sa").groupBy("cluster", "c").applyInPandas(_builder(threshold), "id long, adj array<long>")
     united = adj.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))
-    row = member.join(united, "id", "left")
-    # a task for each chunk and each pair of chunks; in a pair, those of the first are nodes, those of the second queries
-    row = row.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    row = row.withColumns({"i": F.least("c", "p"), "j": F.greatest("c", "p"), "is_node": F.col("c") <= F.col("p"), "is_query": F.col("c") >= F.col("p")})
-    row = row.select("cluster", "i", "j", "is_node", "is_query", "id", "n", "v", "near", F.when(F.col("i") == F.col("j"), F.col("adj")).alias("adj"))
-    return cut_lineage(row.groupBy("cluster", "i", "j").applyInPandas(_searcher(threshold), "id long, links long, a long, b long, p long, q long, np long, nq long"))
-
+    row = row.join(united, "id", "left")
+    # a task for each chunk and each pair of chunks, but for pairs within the core; in a pair, those of the first are nodes, those of the second queries
+    row = row.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("sa") + F.col("sb") - 1))).where("c >= sa or p >= sa")
+    row = row.withColumns({"i": F.least("c", "p"), "j": F.greatest("c", "p"), "is_node": (F.col("c") <= F.col("p")), "is_query": (F.col("c") >= F.col("p"))})
+    row = row.select("cluster", "i", "j", "is_node", "is_query", "id", "n", "v", "probe", "near", "core", F.when(F.col("i") == F.col("j"), F.col("adj")).alias("adj"))
+    got = cut_lineage(row.groupBy("cluster", "i", "j").applyInPandas(_searcher(threshold), _FOUND))
+    return got, of.where("not probe and core is not null").select("id", "core"), member
 
-def _links(got: DataFrame) -> DataFrame:
-    """(id, links) of a pass: those counted in tasks, and each distinct pair that several tasks may have found once."""
-    pairs = got.where("p is not null").select("p", "q", "np", "nq").distinct()
-    both = pairs.select(F.explode(F.array(F.struct(F.col("p").alias("id"), F.col("nq").alias("links")), F.struct(F.col("q").alias("id"), F.col("np").alias("links")))).alias("x")).select("x.*")
-    return got.where("id is not null").select("id", "links").unionByName(both).groupBy("id").agg(F.sum("links").alias("links"))
 
-
-def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK, cluster: int = CLUSTER, overlap: int = OVERLAP) -> DataFrame:
+def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK, cluster: int = CLUSTER, overlap: int = OVERLAP, report: dict | None = None) -> DataFrame:
     """(vec_id, embedding) -> (vec_id, n_links, component_id, kept), a row per row.
 
     Cosine in double precision. Vectors that are null, empty, zero or hold a null or non-finite
     component link with nothing, nor do vectors of different lengths. Equal vectors link. An id
-    on several rows is several vectors for the counts. An empty table gives an empty one.
+    on several rows is several vectors for the counts; rows with a null id link with nothing. An
+    empty table gives an empty one. If the audit's recall stays below RECALL, the overlap is
+    doubled, at most to all clusters; below LEAST then is an error. report, if given, gets recall
+    (probes found of those in range, over all vectors), shard_recall (pairs found by the search of
+    those in a shard; what it missed is added), overlap and copies (shards a vector is in).
     """
     unit_rows = cut_lineage(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null").mapInPandas(_prepare, "vec_id long, v binary"))
-    nodes = cut_lineage(unit_rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("id", "n", "v"))
-    # an id may lead several groups of equal vectors only if it is on several rows; the first stays apart by its bytes
-    nodes = nodes.withColumn("k", F.row_number().over(_by_id())).withColumn("id", F.when(F.col("k") == 1, F.col("id")).otherwise(-1 - F.abs(F.xxhash64("id", "v") % F.lit(1 << 62)))).drop("k")
-    nodes = cut_lineage(nodes)
+    nodes = unit_rows.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    # numbers of their own, since an id may be on several different vectors; the checkpoint fixes them
+    nodes = cut_lineage(nodes.select(F.monotonically_increasing_id().alias("id"), "first", "n", "v"))
     total = nodes.count()
-    few = nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    few = nodes.select("id", "v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
     centers: dict[int, np.ndarray] = {}
     for dim in sorted({len(r.v) // 8 for r in few}):
         x = _matrix([r.v for r in few if len(r.v) == 8 * dim])
@@ -338,21 +468,31 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = C
     if few:
         others = [r.d for r in nodes.select((F.length("v") / 8).cast("int").alias("d")).distinct().collect() if r.d not in centers]
         centers |= {d: unit(np.ones((1, d))) for d in others}
-    sample = {d: (np.array([r.id for r in few[:AUDIT] if len(r.v) == 8 * d], np.int64), _matrix([r.v for r in few[:AUDIT] if len(r.v) == 8 * d])) for d in {len(r.v) // 8 for r in few[:AUDIT]}}
-    truth = {r.id: r.true for r in nodes.mapInPandas(_truth(sample, threshold), "id long, true long").groupBy("id").agg(F.sum("true").alias("true")).collect()}
+    probes = _probes(few, threshold)
+    in_range = {r.probe: r.there for r in nodes.select("v").mapInPandas(_truth(probes, threshold), "probe long, there long").groupBy("probe").agg(F.sum("there").alias("there")).collect()}
+    made = nodes.sparkSession.createDataFrame([(k, 0, v, True) for k, v in probes], "id long, n long, v binary, probe boolean")
+    everything = nodes.select("id", "n", "v", F.lit(False).alias("probe")).unionByName(made)
     most = max(map(len, centers.values()), default=1)
     while True:
-        got = _one_pass(nodes, centers, overlap, threshold, chunk)
-        links = cut_lineage(_links(got))
-        seen = {r.id: r.links for r in links.where(F.col("id").isin([i for i, t in truth.items() if t])).collect()} if any(truth.values()) else {}
-        recall = sum(seen.values()) / max(1, sum(truth.values())) if any(truth.values()) else 1.0
+        got, core, member = _one_pass(everything, centers, overlap, threshold, chunk, cluster)
+        hits = got.where("probe is not null").select("probe", "hit").distinct().count()
+        recall = hits / max(1, sum(in_range.values())) if in_range else 1.0
         if recall >= RECALL or overlap >= most:
             break
         overlap = min(most, 2 * overlap)
-    roots = components(got.where("a is not null").select("a", "b"))
+    if probes and recall < LEAST:
+        raise RuntimeError(f"recall {recall:.3f} of near vectors stays below {LEAST}")
+    if report is not None:
+        audit = got.agg(F.sum("found").alias("f"), F.sum("there").alias("t")).first()
+        report.update(recall=recall, overlap=overlap, shard_recall=(audit.f or 0) / audit.t if audit.t else 1.0, copies=member.where("not probe").count() / max(1, total))
+    # a core's vectors all link with each other: a count and a star say so
+    core = cut_lineage(core.join(nodes.select("id", "n"), "id"))
+    whole = core.groupBy("core").agg(F.sum("n").alias("w"), F.min("id").alias("b"))
+    core = core.join(whole, "core")
+    links = got.where("id is not null").select("id", "links").unionByName(core.select("id", (F.col("w") - F.col("n")).alias("links"))).groupBy("id").agg(F.sum("links").alias("links"))
+    roots = components(got.where("a is not null").select("a", "b").unionByName(core.select(F.col("id").alias("a"), "b")))
     named = nodes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    first = unit_rows.groupBy("v").agg(F.min("vec_id").alias("first"))
-    named = cut_lineage(named.join(first, "v"))
+    named = cut_lineage(named)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_v = named.join(smallest, "root").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     linked = unit_rows.join(by_v, "v").select("vec_id", "n_links", "component_id")
@@ -360,9 +500,3 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = C
     rest = rest.where("vec_id is null or rows > coalesce(valid, 0)").select("vec_id", F.explode(F.sequence(F.lit(1), (F.col("rows") - F.coalesce("valid", F.lit(0))).cast("int"))).alias("k"))
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("id").orderBy("v")

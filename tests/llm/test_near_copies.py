@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
 from fragweave.llm import flatgraph, simhash
-from fragweave.llm.components import components
+from fragweave.llm.components import components, spanning
 from tests.llm import samples
 
 
@@ -175,12 +176,83 @@ def test_dense_groups_in_range_of_each_other_are_whole(spark, chunk):
     assert {got[i].component_id for i in range(120)} == {0}
 
 
-def test_a_pair_found_in_any_shard_counts_once():
-    """Found only in the cluster that is not the first by name, or in both: one pair."""
-    v = [x.astype("<f8").tobytes() for x in flatgraph.unit(np.array([[1.0, 0.1], [1.0, 0.0]]))]
-    import pandas as pd
+def test_a_pair_counts_in_its_first_common_shard_only():
+    """Whatever the search finds, each shard's check completes it, and one shard counts the pair."""
+    v = [x.astype("<f8").tobytes() for x in flatgraph.unit(np.array([[1.0, 0.1], [1.0, 0.0], [0.0, 1.0]]))]
+    rows = pd.DataFrame({"id": [1, 2, 5], "n": [1, 3, 1], "v": v, "probe": [False, False, False], "near": [["2:0", "2:1"], ["2:0", "2:1"], ["2:1"]], "core": None, "adj": [[], [], []], "is_node": True, "is_query": True})
+    run = flatgraph._searcher(0.95)
+    first, second = (run((c, 0, 0), rows) for c in ("2:0", "2:1"))
+    assert first.dropna(subset=["id"])[["id", "links"]].to_numpy().tolist() == [[1, 3], [2, 1]]
+    assert first.dropna(subset=["a"])[["a", "b"]].to_numpy().tolist() == [[1, 2]]
+    assert second["id"].isna().all() and second["a"].isna().all()
+    assert first["found"].sum() == 0 and first["there"].sum() == 1
 
-    rows = pd.DataFrame({"id": [1, 2], "n": [1, 3], "v": v, "near": [["2:0", "2:1"], ["2:0", "2:1"]], "adj": [[2], [1]], "is_node": True, "is_query": True})
-    out = flatgraph._searcher(0.95)(("2:1", 0, 0), rows)
-    assert out.dropna(subset=["p"])[["p", "q", "np", "nq"]].to_numpy().tolist() == [[1, 2, 1, 3]]
-    assert len(out.dropna(subset=["a"])) == 1 and out["id"].isna().all()
+
+def groups_and_noise(rng, n, dim=32, groups=40, size=4):
+    x = rng.standard_normal((n, dim))
+    for g in range(groups):
+        x[size * g + 1 : size * (g + 1)] = x[size * g] + rng.standard_normal((size - 1, dim)) * 0.08
+    return flatgraph.unit(x)
+
+
+def table_of(spark, x):
+    return spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def truth_of(x):
+    near = x @ x.T >= 0.95
+    u = Union()
+    for i, j in zip(*np.nonzero(near)):
+        u.join(int(i), int(j))
+    return near.sum(1) - 1, [u.top(i) for i in range(len(x))]
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_data(spark, monkeypatch):
+    """Clusters are divided again as the data grow, since their first number is bounded by the sample."""
+    monkeypatch.setattr(flatgraph, "SAMPLE", 400)
+    monkeypatch.setattr(flatgraph, "SUB_SAMPLE", 300)
+    copies = []
+    for n in (3000, 12_000):
+        x = groups_and_noise(np.random.default_rng(8), n)
+        report = {}
+        got = {r.vec_id: (r.n_links, r.component_id) for r in flatgraph.near_groups(table_of(spark, x), chunk=200, cluster=100, report=report).collect()}
+        links, top = truth_of(x)
+        right = sum(got[i] == (links[i], top[i]) for i in range(160))
+        assert report["recall"] >= 0.9 and report["shard_recall"] > 0.95 and right >= 0.9 * 160
+        assert all(got[i][0] <= links[i] for i in range(n))
+        copies.append(report["copies"] / report["overlap"])
+    assert max(copies) <= 4.2 and copies[1] <= 1.5 * copies[0] + 0.5
+
+
+def test_a_dense_group_of_many_chunks_is_whole(spark, monkeypatch):
+    """One group of 500 vectors, part of it core, and others near its edge, over chunks of 60."""
+    monkeypatch.setattr(flatgraph, "SUB_SAMPLE", 300)
+    rng = np.random.default_rng(9)
+    base = flatgraph.unit(rng.standard_normal((1, 32)))
+    near = flatgraph.unit(base + rng.standard_normal((500, 32)) * rng.uniform(0.005, 0.045, (500, 1)))
+    x = np.concatenate([near, groups_and_noise(rng, 400, groups=20)])
+    links, top = truth_of(x)
+    assert 0 < (links[:500] < 490).sum() < 500
+    report = {}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in flatgraph.near_groups(table_of(spark, x), chunk=60, cluster=50, report=report).collect()}
+    assert sum(got[i] == (links[i], top[i]) for i in range(len(x))) >= len(x) - 8
+    assert sum(got[i][0] for i in range(500)) >= 0.999 * links[:500].sum()
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(flatgraph, "_truth", lambda probes, t: lambda batches: iter([pd.DataFrame({"probe": [0], "there": [100_000]})]))
+    with pytest.raises(RuntimeError, match="recall"):
+        flatgraph.near_groups(table_of(spark, groups_and_noise(np.random.default_rng(1), 200))).count()
+
+
+def test_spanning():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 50, 400), rng.integers(0, 50, 400)
+    u, v = Union(), Union()
+    for x, y in zip(a.tolist(), b.tolist()):
+        u.join(x, y)
+    picked = spanning(a, b, 50)
+    for i in picked:
+        assert v.top(int(a[i])) != v.top(int(b[i]))
+        v.join(int(a[i]), int(b[i]))
+    assert all(u.top(i) == v.top(i) for i in range(50))
