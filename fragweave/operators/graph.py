@@ -17,8 +17,11 @@ class GraphConfig:
     min_overlap: int = 1
     max_mismatches: int = 0
     strategy: str = "exhaustive"
+    threads: int = 1
 
     def __post_init__(self):
+        if self.threads < 1:
+            raise ValueError("threads have to be positive")
         if self.min_overlap < 1:
             raise ValueError("the least overlap has to be positive")
         if self.max_mismatches < 0:
@@ -52,6 +55,11 @@ def with_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.join(n.withColumnsRenamed({"k": "dst", "p": "dst_path"}), ["dataset_id", "dst"])
 
 
+def by_rank(edges: DataFrame) -> DataFrame:
+    """with_paths() where node ids are the ranks of the file names, as a scan gives them: ids order edges as names would, without a join."""
+    return edges.withColumns({"src_path": F.col("src"), "dst_path": F.col("dst")})
+
+
 def edge_order():
     """Larger overlap, fewer mismatches, source path, destination path, ids; for edges with paths."""
     return [F.desc("overlap"), F.asc("mismatches"), F.asc("src_path"), F.asc("dst_path"), F.asc("src"), F.asc("dst")]
@@ -77,8 +85,9 @@ def adjacency(edges: DataFrame, outgoing: bool = True) -> DataFrame:
 def statistics(nodes: DataFrame, edges: DataFrame, config: GraphConfig) -> DataFrame:
     """A row per dataset: nodes, theoretical pairs, candidates, full checks, exact and approximate edges, strategy.
 
-    Exhaustively, candidates and full checks are all pairs; by index, the pairs that share a seed
-    are those verified, which are counted as the pairs that have an edge or would have one.
+    Candidates and full checks are what the strategy asks for: exhaustively all pairs; by index, the
+    pairs whose prefix and suffix agree at some length, which are those with an exact edge. The plan
+    may verify fewer. Threads serve only where exact pairs are evaluated.
     """
     n = nodes.groupBy("dataset_id").agg(F.count("*").alias("nodes"))
     e = edges.groupBy("dataset_id").agg(F.count("*").alias("edges"), F.count_if("exact").alias("exact_edges"))
@@ -97,6 +106,7 @@ def statistics(nodes: DataFrame, edges: DataFrame, config: GraphConfig) -> DataF
         F.lit(config.strategy).alias("requested_strategy"),
         F.lit(config.effective_strategy).alias("effective_strategy"),
         F.lit(config.approximate_fallback).alias("approximate_fallback"),
+        F.when((checks > 0) & (config.max_mismatches == 0), config.threads).otherwise(1).cast("bigint").alias("threads_used"),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fragweave.functions.bytes import byte_at, hex_byte, splice
+from fragweave.operators import search
 
 # The PNG signature, the issue codes in order (the first 14 are structural), the semantic ones, the depths of each colour type, the messages.
 SIGNATURE = bytes([0x89, 0x50, 0x4E, 0x47, 0x0D, 0x0A, 0x1A, 0x0A])
@@ -261,3 +262,6 @@ def candidate_evidence(candidates: DataFrame) -> DataFrame:
     kind = candidates.schema["dataset_id"].dataType.simpleString()
     e = evidence(analyse(d)).withColumn("k", F.from_json("dataset_id", f"dataset_id {kind}, rank bigint"))
     return e.select("k.dataset_id", "k.rank", "ranking_keys", "facts")
+
+
+search.EVALUATORS["png"] = candidate_evidence

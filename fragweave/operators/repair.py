@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragweave.functions.bytes import byte_at, byte_of, chars, hex_byte
+from fragweave.functions.bytes import byte_of, chars, hex_byte
 from fragweave.session import cut_lineage
 
 
@@ -44,32 +49,76 @@ def votes(places: DataFrame, nodes: DataFrame) -> DataFrame:
     return by.withColumn("_n", F.sum("votes").over(Window.partitionBy("dataset_id", "position"))).where("_n >= 2").drop("_n")
 
 
-def positions(vote_rows: DataFrame, baseline: DataFrame) -> DataFrame:
-    """A row per position with two or more observations: observations, distinct values, winner and its support, all votes,
+#: Output bytes of a block; a block's slices are voted on together.
+BLOCK = 1024
+
+
+def _slices(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(dataset_id, block, at, part, n, first): the stretches of fragments in each block of the output, equal ones counted.
+
+    first: the earliest step that has it.
+    """
+    d = places.join(nodes.select("dataset_id", "node_id", "data"), ["dataset_id", "node_id"]).where("size > 0")
+    d = d.withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))))
+    at = F.greatest(F.col("start"), F.col("block") * BLOCK)
+    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
+    part = F.substr("data", (at - F.col("start") + 1).cast("int"), (end - at).cast("int"))
+    d = d.select("dataset_id", "block", at.alias("at"), part.alias("part"), "step_no")
+    return d.groupBy("dataset_id", "block", "at", "part").agg(F.count("*").alias("n"), F.min("step_no").alias("first"))
+
+
+_POSITION = "position long, length long, observations long, distinct_values long, support long, before smallint, after smallint, votes array<struct<value:smallint,votes:bigint>>, kind string"
+
+
+def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of slices to their voted positions: a row for each that has several values, and one for each stretch that has one."""
+    for pdf in batches:
+        rows = []
+        for ds, block, slices in zip(pdf["dataset_id"], pdf["block"], pdf["slices"]):
+            slices = sorted(slices, key=lambda s: s["first"])
+            if len(slices) == 1 and slices[0]["n"] < 2:
+                continue
+            begin = int(block) * BLOCK
+            cover, base = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.uint8)
+            split = np.zeros(BLOCK, bool)
+            held = []
+            for s in slices:
+                a, data = int(s["at"]) - begin, np.frombuffer(s["part"], np.uint8)
+                z = slice(a, a + len(data))
+                new = cover[z] == 0
+                base[z][new] = data[new]  # the earliest step's byte is that of the merged output
+                split[z] |= base[z] != data
+                cover[z] += s["n"]
+                held.append((a, data, int(s["n"])))
+            for p in np.flatnonzero(split).tolist():
+                count: dict[int, int] = {}
+                for a, data, n in held:
+                    if 0 <= p - a < len(data):
+                        v = int(data[p - a])
+                        count[v] = count.get(v, 0) + n
+                seen, before = int(cover[p]), int(base[p])
+                win = max(count, key=lambda v: (count[v], -v))
+                wins = 2 * count[win] > seen
+                kind = "ambiguous" if not wins else "repaired" if win != before else "corroborated"
+                rows.append((ds, begin + p, 1, seen, len(count), count[win], before, win if wins else before, [{"value": v, "votes": count[v]} for v in sorted(count)], kind))
+            agreed = np.concatenate([[False], (cover > 1) & ~split, [False]])
+            edges = np.flatnonzero(agreed[1:] != agreed[:-1])
+            rows += [(ds, begin + int(i), int(j - i), None, 1, None, None, None, None, "corroborated") for i, j in zip(edges[::2], edges[1::2])]
+        out = pd.DataFrame(rows, columns=["dataset_id", *(c.split()[0] for c in re.split(r", (?![^<]*>)", _POSITION))])
+        yield out.astype({c: "Int64" for c in ("position", "length", "observations", "distinct_values", "support", "before", "after")})
+
+
+def positions(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Positions with two or more observations: position, length, observations, distinct values, winner and its support, all votes,
     the byte before and after, and kind: corroborated, repaired or ambiguous.
 
-    A value wins with more than half of the observations. Without a winner the byte stays.
-    vote_rows: ballots() or votes(). baseline: (dataset_id, data), the merged payload of the
-    path; where all observations agree its byte is theirs, so it is joined to the others only.
+    A value wins with more than half of the observations. Without a winner the byte stays. A position
+    with several values is a row of length 1; a stretch of a block that has one value everywhere is
+    one row of its length, without the figures of a single position. Slices of a block that many
+    fragments have alike are counted before they are gathered, so a block holds different ones only.
     """
-    # votes and value in one number: the most votes, of equal ones the smallest value; plain numbers aggregate by hash
-    p = vote_rows.groupBy("dataset_id", "position").agg(
-        F.sum("votes").alias("observations"),
-        F.count("*").alias("distinct_values"),
-        F.max(F.col("votes") * 256 + 255 - F.col("value")).alias("_w"),
-    )
-    # read three times below
-    p = cut_lineage(p.where("observations >= 2"))
-    p = p.withColumn("support", F.expr("_w div 256")).withColumn("_v", (255 - F.col("_w") % 256).cast("smallint"))
-    agreed = p.where("distinct_values = 1").withColumn("before", F.col("_v")).withColumn("votes", F.array(F.struct(F.col("_v").alias("value"), F.col("support").alias("votes"))))
-    split = p.where("distinct_values > 1")
-    lists = vote_rows.join(split.select("dataset_id", "position"), ["dataset_id", "position"], "left_semi").groupBy("dataset_id", "position").agg(F.sort_array(F.collect_list(F.struct("value", "votes"))).alias("votes"))
-    split = split.join(baseline.select("dataset_id", "data"), "dataset_id").withColumn("before", byte_at("data", (F.col("position") + 1).cast("int"))).drop("data").join(lists, ["dataset_id", "position"])
-    p = agreed.unionByName(split)
-    wins = 2 * F.col("support") > F.col("observations")
-    p = p.withColumn("after", F.when(wins, F.col("_v")).otherwise(F.col("before")))
-    kind = F.when(~wins, "ambiguous").when(F.col("after") != F.col("before"), "repaired").otherwise("corroborated")
-    return p.withColumn("kind", kind).drop("_w", "_v")
+    by = _slices(places, nodes).groupBy("dataset_id", "block").agg(F.collect_list(F.struct("at", "part", "n", "first")).alias("slices"))
+    return by.mapInPandas(_vote, f"dataset_id {dict(places.dtypes)['dataset_id']}, {_POSITION}")
 
 
 def repairs(pos: DataFrame) -> DataFrame:
@@ -84,13 +133,8 @@ def ambiguities(pos: DataFrame) -> DataFrame:
 
 def counters(pos: DataFrame, baseline: DataFrame) -> DataFrame:
     """A row per dataset: redundant, conflicting (repaired ones too), corroborated (unanimous ones too), repaired, ambiguous positions."""
-    c = pos.groupBy("dataset_id").agg(
-        F.count("*").alias("redundant"),
-        F.count_if(F.col("distinct_values") > 1).alias("conflicting"),
-        F.count_if(F.col("kind") == "corroborated").alias("corroborated"),
-        F.count_if(F.col("kind") == "repaired").alias("repaired"),
-        F.count_if(F.col("kind") == "ambiguous").alias("ambiguous"),
-    )
+    total = lambda when, name: F.sum(F.when(when, F.col("length")).otherwise(0)).alias(name)
+    c = pos.groupBy("dataset_id").agg(F.sum("length").alias("redundant"), total(F.col("distinct_values") > 1, "conflicting"), *[total(F.col("kind") == k, k) for k in ("corroborated", "repaired", "ambiguous")])
     return baseline.select("dataset_id").join(c, "dataset_id", "left").na.fill(0)
 
 
@@ -110,5 +154,5 @@ def vote_text(votes: str = "votes"):
 
 def consensus(steps: DataFrame, nodes: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(repaired payloads, positions) of each dataset's path."""
-    pos = positions(ballots(placements(steps, nodes), nodes), baseline)
+    pos = cut_lineage(positions(placements(steps, nodes), nodes))
     return apply(baseline, repairs(pos)), pos

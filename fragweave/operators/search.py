@@ -87,31 +87,65 @@ def greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _graphs(nodes, edges).mapInPandas(_greedy, f"dataset_id {dict(nodes.dtypes)['dataset_id']}, {STEP}")
 
 
+class _State:
+    """A path as its last node and what came before: no state copies another's path."""
+
+    __slots__ = ("before", "node", "steps", "overlap", "miss", "join", "order")
+
+    def __init__(self, before, node: int, overlap: int, miss: int, join: tuple | None):
+        self.before, self.node, self.join = before, node, join
+        self.steps = before.steps + 1 if before else 1
+        self.overlap, self.miss = overlap, miss
+        self.order = 0  # the place of its path among those of its level's beam
+
+    def unwind(self) -> tuple[list[int], list[tuple]]:
+        """(path, joins)."""
+        path, joins, s = [], [], self
+        while s:
+            path.append(s.node)
+            if s.join:
+                joins.append(s.join)
+            s = s.before
+        return path[::-1], joins[::-1]
+
+
 def beam_search(g: _Graph, width: int) -> tuple[list[tuple], tuple[int, int, int]]:
     """(terminal states, (expanded, generated, largest beam)) of one dataset.
 
-    A state sorts by (not complete, -steps, -overlap, mismatches, path) and carries its joins. A
+    A state is (not complete, -steps, -overlap, mismatches, path, joins) and sorts so. A
     level that completes a path ends the search; incomplete states made in that level, and
-    states that the width cuts, are lost.
+    states that the width cuts, are lost. Paths of a level have one length, so two of them compare
+    as the places of their parents' paths and then their last nodes; a node on the path is found
+    by the marks of its state's ancestors.
     """
     n = len(g.ids)
-    state = lambda path, overlap, miss, joins: (len(path) < n, -len(path), -overlap, miss, path, joins)
-    beam = heapq.nsmallest(width, (state((v,), 0, 0, ()) for v in g.starts()))
-    generated, expanded, largest, finals = len(g.starts()), 0, len(beam), []
+
+    def cut(states: list[_State]) -> list[_State]:
+        # ranked by overlap, mismatches and path
+        keyed = heapq.nsmallest(width, states, key=lambda s: (-s.overlap, s.miss, s.before.order if s.before else 0, s.node))
+        for k, s in enumerate(sorted(keyed, key=lambda s: (s.before.order if s.before else 0, s.node))):
+            s.order = k
+        return keyed
+
+    made = [_State(None, v, 0, 0, None) for v in g.starts()]
+    beam = cut(made)
+    generated, expanded, largest, finals = len(made), 0, len(beam), []
     if n == 1:
-        return beam, (0, generated, largest)
+        finals, beam = beam, []
+    # the nodes of each state of the beam; a child's are its parent's and one more, copied only for those that stay
+    used = {id(s): {s.node} for s in beam}
     while beam:
         nxt, complete = [], False
         for s in beam:
             expanded += 1
-            path, used, grown = s[4], set(s[4]), False
-            for e in g.out[path[-1]]:
-                if e[2] in used:
+            on, grown = used[id(s)], False
+            for e in g.out[s.node]:
+                if e[2] in on:
                     continue
                 grown = True
                 generated += 1
-                child = state(path + (e[2],), -s[2] - e[0], s[3] + e[1], s[5] + ((-e[0], e[3], e[1], e[4]),))
-                if child[0]:
+                child = _State(s, e[2], s.overlap - e[0], s.miss + e[1], (-e[0], e[3], e[1], e[4]))
+                if child.steps < n:
                     nxt.append(child)
                 else:
                     finals.append(child)
@@ -120,9 +154,24 @@ def beam_search(g: _Graph, width: int) -> tuple[list[tuple], tuple[int, int, int
                 finals.append(s)
         if complete:
             break
-        beam = heapq.nsmallest(width, nxt)
+        beam = cut(nxt)
+        children: dict[int, int] = {}
+        for s in beam:
+            children[id(s.before)] = children.get(id(s.before), 0) + 1
+        kept: dict[int, set[int]] = {}
+        for s in beam:
+            k = id(s.before)
+            children[k] -= 1
+            on = set(used[k]) if children[k] else used.pop(k)  # the last child takes its parent's set over
+            on.add(s.node)
+            kept[id(s)] = on
+        used = kept
         largest = max(largest, len(beam))
-    return finals, (expanded, generated, largest)
+    out = []
+    for s in finals:
+        path, joins = s.unwind()
+        out.append((s.steps < n, -s.steps, -s.overlap, s.miss, tuple(path), tuple(joins)))
+    return out, (expanded, generated, largest)
 
 
 def _beam(width: int):
@@ -155,7 +204,8 @@ def beam(nodes: DataFrame, edges: DataFrame, width: int) -> DataFrame:
     return _graphs(nodes, edges).mapInPandas(_beam(width), f"dataset_id {dict(nodes.dtypes)['dataset_id']}, {_CANDIDATE}, {_STATS}")
 
 
-#: Format name -> function of (candidates with data) -> (dataset_id, rank, ranking_keys array<long>); the extension point.
+#: Format name -> function of (dataset_id, rank, data) -> (dataset_id, rank, ranking_keys array<long>, facts): the extension
+#: point. A format registered here can be asked for by name in reconstruction; operators.png registers itself.
 EVALUATORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -170,6 +220,31 @@ def rerank(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
     return d.withColumn("new_rank", F.row_number().over(Window.partitionBy("dataset_id").orderBy(key)).cast("bigint"))
 
 
+def validate(graph_nodes: DataFrame, payloads: DataFrame, edges: DataFrame | None = None) -> None:
+    """Raises ValueError unless a graph's nodes are those of the payloads: ids 0 .. n - 1 of each dataset, names and sizes.
+
+    graph_nodes: (dataset_id, node_id, filename, size); payloads: (dataset_id, node_id, filename,
+    data). With edges also that their ends are nodes and that no overlap is larger than either end.
+    """
+    key = ["dataset_id", "node_id"]
+    p = payloads.select(*key, F.col("filename").alias("_name"), F.length("data").cast("bigint").alias("_size"), F.lit(True).alias("_there"))
+    d = graph_nodes.select(*key, "filename", "size", F.lit(True).alias("_known")).join(p, key, "full")
+    if not d.where("_known is null or _there is null").isEmpty():
+        raise ValueError("graph and payloads don't hold the same fragments")
+    if not d.where("not (filename <=> _name) or not (size <=> _size)").isEmpty():
+        raise ValueError("the graph doesn't match the payloads")
+    ids = graph_nodes.groupBy("dataset_id").agg(F.count("*").alias("n"), F.count_distinct("node_id").alias("k"), F.min("node_id").alias("a"), F.max("node_id").alias("b"))
+    if not ids.where("n <> k or a <> 0 or b <> n - 1").isEmpty():
+        raise ValueError("node ids aren't 0 .. n - 1")
+    if edges is not None:
+        size = graph_nodes.select("dataset_id", "node_id", "size")
+        e = edges.select("dataset_id", "src", "dst", "overlap")
+        for end in ("src", "dst"):
+            e = e.join(size.withColumnsRenamed({"node_id": end, "size": f"{end}_size"}), ["dataset_id", end], "left")
+        if not e.where("src_size is null or dst_size is null or src = dst or overlap < 1 or overlap > src_size or overlap > dst_size").isEmpty():
+            raise ValueError("an edge doesn't match the fragments")
+
+
 def steps_of(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """The steps of one candidate of each dataset, like greedy()'s."""
     d = candidates.select("dataset_id", F.posexplode(F.arrays_zip("path", "overlaps")).alias("step_no", "x"), "path")
@@ -182,9 +257,12 @@ def steps_of(candidates: DataFrame, edges: DataFrame) -> DataFrame:
 def materialise(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     """(dataset_id, data): fragments in order, each without the bytes that overlap what is there. The left bytes win.
 
-    A dataset's output is one row, as a file is; parts are sorted by step before they are joined.
+    A dataset's output is one row, as a file is; parts are sorted by step before they are joined. A
+    step without a fragment, or with an overlap larger than it, is an error.
     """
-    d = steps.join(nodes.select("dataset_id", "node_id", "data"), ["dataset_id", "node_id"])
+    d = steps.join(nodes.select("dataset_id", "node_id", "data"), ["dataset_id", "node_id"], "left")
+    wrong = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("node_id").cast("string"))).cast("binary")
+    d = d.withColumn("data", F.when(F.col("data").isNull(), wrong("no payload for a step's fragment")).when(F.col("overlap_from_previous") > F.length("data"), wrong("an overlap larger than the fragment")).otherwise(F.col("data")))
     part = F.hex(F.substr("data", (F.col("overlap_from_previous") + 1).cast("int"), F.length("data")))
     parts = d.groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("step_no", part.alias("h")))).alias("p"))
     return parts.select("dataset_id", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("data"))

@@ -103,7 +103,7 @@ def build(nodes: DataFrame, edges: DataFrame, steps: DataFrame, totals: DataFram
         F.concat("consensus_repairs", "crc_repairs").alias("repairs"),
         F.col("unresolved").alias("unresolved_ambiguities"),
         F.col("format"),
-        F.struct(F.col("effective_strategy").alias("strategy"), "theoretical_pairs", "candidate_pairs", F.col("full_checks").alias("full_overlap_checks"), F.col("edges_created").alias("edges_created"), big(c.threads).alias("threads_used")).alias("graph_stats"),
+        F.struct(F.col("effective_strategy").alias("strategy"), "theoretical_pairs", "candidate_pairs", F.col("full_checks").alias("full_overlap_checks"), F.col("edges_created").alias("edges_created"), "threads_used").alias("graph_stats"),
     )
     return d.select("dataset_id", trace.cast(SCHEMA).alias("trace"))
 
@@ -206,27 +206,53 @@ def layout(traces: DataFrame) -> DataFrame:
     return d.select("dataset_id", "node_id", x.cast("bigint").alias("x"), y.cast("bigint").alias("y"))
 
 
-def timeline(traces: DataFrame) -> DataFrame:
-    """(dataset_id, seq, kind, label, detail, edge_index, repair_index): graph, path, joins, repairs, format, in order."""
+def _events(graph: DataFrame, path: DataFrame, joins: DataFrame, fixes: DataFrame, form: DataFrame | None) -> DataFrame:
+    """(dataset_id, seq, kind, label, detail, edge_index, repair_index): graph, path, joins, repairs, format, in order.
+
+    graph: (dataset_id, fragments, edges); path: (dataset_id, steps, complete); joins: path_edges();
+    fixes: (dataset_id, i, stage, position, before, after); form: (dataset_id, type, valid, invalid).
+    """
     null = F.lit(None).cast("bigint")
     s = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
     t = lambda *c: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in c])
     row = lambda d, phase, i, kind, label, detail, edge=null, fix=null: d.select("dataset_id", F.lit(phase).alias("phase"), i.cast("bigint").alias("i"), F.lit(kind).alias("kind"), label.alias("label"), detail.alias("detail"), edge.alias("edge_index"), fix.alias("repair_index"))
     zero = F.lit(0)
-    graph = row(traces, 0, zero, "graph", F.lit("Graph built"), t(s(F.size("trace.fragments")), " fragments · ", s(F.size("trace.edges")), " edges"))
-    path = row(traces, 1, zero, "path", F.lit("Path selected"), t(s(F.size("trace.selected_path")), " fragments · ", F.when(F.col("trace.reconstruction.complete"), "Complete").otherwise("Incomplete")))
-    e = path_edges(traces)
     number = s(F.col("join_index") + 1)
     padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
-    joins = row(e, 2, F.col("join_index"), "join", t("JOIN ", padded, " · F", s("src"), " → F", s("dst")), t(s("overlap"), " B · ", F.when(F.col("exact"), "Exact").otherwise(t("Approximate · ", s("mismatches"), " mismatches"))), F.col("join_index"))
-    r = traces.select("dataset_id", F.posexplode("trace.repairs").alias("i", "r"))
-    fixes = row(r, 3, F.col("i"), "repair", t(F.when(F.col("r.stage") == "png_crc", "PNG CRC").otherwise("Consensus"), " repair"), t("Offset ", format_offset("r.position", 1), " · ", s("r.before"), " → ", s("r.after")), null, F.col("i").cast("bigint"))
-    form = row(traces.where("trace.format.type <> 'none'"), 4, zero, "format", t(F.upper("trace.format.type"), " analysis"), t(s("trace.format.valid_crc_count"), " valid CRC · ", s("trace.format.invalid_crc_count"), " invalid"))
-    d = graph.unionByName(path).unionByName(joins).unionByName(fixes).unionByName(form)
+    d = row(graph, 0, zero, "graph", F.lit("Graph built"), t(s("fragments"), " fragments · ", s("edges"), " edges"))
+    d = d.unionByName(row(path, 1, zero, "path", F.lit("Path selected"), t(s("steps"), " fragments · ", F.when(F.col("complete"), "Complete").otherwise("Incomplete"))))
+    d = d.unionByName(row(joins, 2, F.col("join_index"), "join", t("JOIN ", padded, " · F", s("src"), " → F", s("dst")), t(s("overlap"), " B · ", F.when(F.col("exact"), "Exact").otherwise(t("Approximate · ", s("mismatches"), " mismatches"))), F.col("join_index")))
+    stage = F.when(F.col("stage") == "png_crc", "PNG CRC").otherwise("Consensus")
+    d = d.unionByName(row(fixes, 3, F.col("i"), "repair", t(stage, " repair"), t("Offset ", format_offset("position", 1), " · ", s("before"), " → ", s("after")), null, F.col("i").cast("bigint")))
+    if form is not None:
+        d = d.unionByName(row(form, 4, zero, "format", t(F.upper("type"), " analysis"), t(s("valid"), " valid CRC · ", s("invalid"), " invalid")))
     seq = F.row_number().over(Window.partitionBy("dataset_id").orderBy("phase", "i")) - 1
     return d.withColumn("seq", seq.cast("bigint")).drop("phase", "i")
 
 
+def timeline(traces: DataFrame) -> DataFrame:
+    """The timeline of traces, as the viewer shows it: see _events()."""
+    r = traces.select("dataset_id", F.posexplode("trace.repairs").alias("i", "r")).select("dataset_id", "i", "r.stage", "r.position", "r.before", "r.after")
+    graph = traces.select("dataset_id", F.size("trace.fragments").alias("fragments"), F.size("trace.edges").alias("edges"))
+    path = traces.select("dataset_id", F.size("trace.selected_path").alias("steps"), F.col("trace.reconstruction.complete").alias("complete"))
+    form = traces.where("trace.format.type <> 'none'").select("dataset_id", "trace.format.type", F.col("trace.format.valid_crc_count").alias("valid"), F.col("trace.format.invalid_crc_count").alias("invalid"))
+    return _events(graph, path, path_edges(traces), r, form)
+
+
+def timeline_of(stats: DataFrame, totals: DataFrame, steps: DataFrame, consensus_repairs: DataFrame, crc_rows: DataFrame | None = None, analysis: DataFrame | None = None) -> DataFrame:
+    """timeline() from the tables that a trace is made of, without the nested documents: no dataset's graph is gathered."""
+    w = Window.partitionBy("dataset_id").orderBy("step_no")
+    joins = steps.withColumn("src", F.lag("node_id").over(w)).where("src is not null")
+    joins = joins.select("dataset_id", "src", F.col("node_id").alias("dst"), F.col("overlap_from_previous").alias("overlap"), "mismatches", "exact", (F.col("step_no") - 1).alias("join_index"))
+    fix = lambda d, stage: d.select("dataset_id", "position", "before", "after", F.lit(stage).alias("stage"))
+    fixes = fix(consensus_repairs, "consensus")
+    if crc_rows is not None:
+        fixes = fixes.unionByName(fix(crc_rows.where("kind <> 'unresolved'"), "png_crc"))
+    fixes = fixes.withColumn("i", F.row_number().over(Window.partitionBy("dataset_id").orderBy("stage", "position")) - 1)
+    form = None if analysis is None else analysis.select("dataset_id", F.lit("png").alias("type"), F.col("valid_crc_count").alias("valid"), F.col("invalid_crc_count").alias("invalid"))
+    return _events(stats.select("dataset_id", F.col("nodes").alias("fragments"), "edges"), totals.select("dataset_id", F.col("n_steps").alias("steps"), "complete"), joins, fixes, form)
+
+
 def inspector(traces: DataFrame) -> DataFrame:
     """(dataset_id, node_id, incoming, outgoing, path_position): degrees, and the place on the path or -1."""
     e = edge_rows(traces)

@@ -93,7 +93,7 @@ def graph_stats(spark, sf_dir):
 def top_edges(spark, sf_dir):
     """The 20 strongest overlaps of each document's clean fragments: the smallest useful analysis."""
     nodes = sc.clean_nodes(spark, sf_dir)
-    edges = graph.with_paths(overlap.indexed_edges(nodes, sc.LEAST), nodes)
+    edges = graph.by_rank(overlap.indexed_edges(nodes, sc.LEAST))
     d = graph.top_edges(edges, 20)
     similarity = F.when(F.col("overlap") == 0, 0.0).otherwise(F.round(100.0 * F.col("matches") / F.col("overlap"), 2))
     return d.select(*_EDGE, "rank", similarity.alias("similarity"))
@@ -175,7 +175,7 @@ def consensus_votes(spark, sf_dir):
 @query
 def consensus_positions(spark, sf_dir):
     """Repaired and ambiguous positions."""
-    d = sc.Recovery(spark, sf_dir).positions.where("kind <> 'corroborated'")
+    d = sc.Recovery(spark, sf_dir).positions.where("kind <> 'corroborated'").drop("length")
     return d.withColumn("votes", repair.vote_text())
 
 
@@ -262,7 +262,8 @@ def png_evidence(spark, sf_dir):
 def crc_repairs(spark, sf_dir):
     """What checksums make of two ambiguous bytes in each file."""
     files, votes = sc.png_damage(sc.png_files(spark, sf_dir))
-    return png.crc_repair(cut_lineage(files), cut_lineage(votes))[1]
+    d = png.crc_repair(cut_lineage(files), cut_lineage(votes))[1]
+    return d.na.fill({"c_at": -1, "before": -1, "after": -1, "stored_crc": -1, "reason": ""})
 
 
 @query
@@ -322,7 +323,8 @@ def adjacent_joins(spark, sf_dir):
 @query
 def timeline(spark, sf_dir):
     """The viewer's timeline."""
-    d = trace.timeline(sc.Recovery(spark, sf_dir).traces)
+    r = sc.Recovery(spark, sf_dir)
+    d = trace.timeline_of(r.stats, r.totals, r.steps, repair.repairs(r.positions))
     return d.withColumn("edge_index", F.coalesce("edge_index", F.lit(-1))).withColumn("repair_index", F.coalesce("repair_index", F.lit(-1)))
 
 

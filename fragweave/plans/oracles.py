@@ -73,6 +73,20 @@ _PARTS = {
     "walk": """SELECT ds, [id] AS path, id AS a0 FROM st UNION ALL
       SELECT ds, list_append(path, nxt), nxt FROM (
         SELECT w.ds, w.path, list_filter(adj.out, lambda x: NOT list_contains(w.path, x))[1] AS nxt FROM walk w JOIN adj ON adj.ds = w.ds AND adj.src = w.a0) WHERE nxt IS NOT NULL""",
+    # beam search: a level's states with all their children; what completes a path ends it, else the best stay
+    "beam0": "SELECT ds, id FROM deg WHERE ic = 0 UNION ALL SELECT ds, id FROM st WHERE ds NOT IN (SELECT ds FROM deg WHERE ic = 0)",
+    "nexts": "SELECT ds, src, list({'d': dst, 'o': overlap, 'm': mismatches, 'x': exact}) AS o FROM e GROUP BY ALL",
+    "beam": f"""SELECT ds, 0 AS lv, [id] AS pth, 0::BIGINT AS ov, 0::BIGINT AS miss, [0::BIGINT] AS ovs, 0::BIGINT AS app, n, gen, n = 1 AS fin FROM (
+        SELECT b.ds, b.id, c.n, count(*) OVER (PARTITION BY b.ds) AS gen, row_number() OVER (PARTITION BY b.ds ORDER BY b.id) AS k FROM beam0 b JOIN (SELECT ds, count(*) AS n FROM nd GROUP BY ds) c ON c.ds = b.ds) WHERE k <= {sc.WIDTH}
+      UNION ALL SELECT ds, lv + 1, pth, ov, miss, ovs, app, n, gen, fin FROM (
+        SELECT *, bool_or(whole) OVER (PARTITION BY ds) AS stop, count(x) OVER (PARTITION BY ds) AS gen, x IS NULL OR whole AS fin, row_number() OVER (PARTITION BY ds, x IS NULL OR whole ORDER BY ov DESC, miss, pth) AS k FROM (
+          SELECT ds, lv, n, x, CASE WHEN x IS NULL THEN pth ELSE list_append(pth, x.d) END AS pth, ov + coalesce(x.o, 0) AS ov, miss + coalesce(x.m, 0) AS miss, CASE WHEN x IS NULL THEN ovs ELSE list_append(ovs, x.o) END AS ovs,
+            app + CASE WHEN x IS NULL OR x.x THEN 0 ELSE 1 END AS app, x IS NOT NULL AND len(pth) + 1 = n AS whole FROM (
+            SELECT * EXCLUDE (c), unnest(CASE WHEN len(c) = 0 THEN [NULL] ELSE c END) AS x FROM (
+              SELECT w.ds, w.lv, w.n, w.pth, w.ov, w.miss, w.ovs, w.app, coalesce(list_filter(nexts.o, lambda z: NOT list_contains(w.pth, z.d)), []) AS c
+              FROM beam w LEFT JOIN nexts ON nexts.ds = w.ds AND nexts.src = w.pth[-1] WHERE NOT w.fin)))) WHERE fin OR (NOT stop AND k <= {sc.WIDTH})""",
+    "ends": "SELECT *, len(pth) = n AS done, row_number() OVER (PARTITION BY ds ORDER BY len(pth) < n, len(pth) DESC, ov DESC, miss, pth) AS place FROM beam WHERE fin",
+    "tally": "SELECT ds, sum(g)::BIGINT AS made, max(b) AS wide, sum(grew)::BIGINT AS grew FROM (SELECT ds, lv, max(gen) AS g, count(*) FILTER (NOT fin OR lv = 0) AS b, count(*) FILTER (NOT fin) AS grew FROM beam GROUP BY ds, lv) GROUP BY ds",
     "path": "SELECT ds, arg_max(path, len(path)) AS path FROM walk GROUP BY ds",
     "stp0": "SELECT ds, path[k + 1] AS id, CASE WHEN k > 0 THEN path[k] END AS prev, k FROM (SELECT ds, path, unnest(range(len(path))) AS k FROM path)",
     "stp": """SELECT s.ds, s.k, s.id, s.prev, coalesce(e.overlap, 0) AS overlap, coalesce(e.matches, 0) AS matches, coalesce(e.mismatches, 0) AS mismatches, coalesce(e.exact, true) AS exact, nd.n, nd.h, nd.frag
@@ -105,7 +119,7 @@ _PARTS = {
 }
 _NAMED = {n: set(re.findall(r"\b\w+\b", b)) & (_PARTS.keys() - {n}) for n, b in _PARTS.items()}
 #: Parts that several others read.
-_HEAVY = {"sh", "dmg", "nd", "cand", "ver", "e", "er", "path", "stp", "mrg", "vote", "po", "rep", "sel"}
+_HEAVY = {"beam", "ends", "sh", "dmg", "nd", "cand", "ver", "e", "er", "path", "stp", "mrg", "vote", "po", "rep", "sel"}
 
 
 def _with(select: str) -> str:
@@ -133,7 +147,7 @@ def _scenario() -> dict[str, str]:
         "edge_mismatches": """SELECT ds AS dataset_id, src, dst, i AS overlap_offset, ('0x' || substr(lh, 2 * (ln - overlap + i) + 1, 2))::SMALLINT AS left_byte, ('0x' || substr(rh, 2 * i + 1, 2))::SMALLINT AS right_byte
           FROM (SELECT e.ds, src, dst, overlap, unnest(bad) AS i, l.h AS lh, l.n AS ln, r.h AS rh FROM e JOIN nd l ON l.ds = e.ds AND l.id = src JOIN nd r ON r.ds = e.ds AND r.id = dst)""",
         "graph_stats": """SELECT ds AS dataset_id, n AS nodes, n * (n - 1) AS theoretical_pairs, n * (n - 1) AS candidate_pairs, n * (n - 1) AS full_checks, coalesce(c, 0) AS edges, coalesce(x, 0) AS exact_edges, coalesce(c - x, 0) AS approximate_edges,
-            'indexed' AS requested_strategy, 'exhaustive' AS effective_strategy, true AS approximate_fallback
+            'indexed' AS requested_strategy, 'exhaustive' AS effective_strategy, true AS approximate_fallback, 1::BIGINT AS threads_used
           FROM (SELECT ds, count(*) AS n FROM nd GROUP BY ds) LEFT JOIN (SELECT ds, count(*) AS c, count(*) FILTER (exact) AS x FROM e GROUP BY ds) USING (ds)""",
         "node_degrees": "SELECT ds AS dataset_id, id AS node_id, ic AS in_count, isum AS in_overlap_sum, oc AS out_count, om AS max_out_overlap FROM deg",
         "adjacency": "SELECT ds AS dataset_id, src AS node_id, array_to_string(out, ',') AS neighbours FROM adj",
@@ -142,6 +156,10 @@ def _scenario() -> dict[str, str]:
         "greedy_path": "SELECT ds AS dataset_id, k AS step_no, id AS node_id, overlap AS overlap_from_previous, matches, mismatches, exact FROM stp",
         "greedy_output": "SELECT ds AS dataset_id, len(h) // 2 AS size, md5(unhex(h)) AS md5 FROM mrg",
         "path_totals": "SELECT ds AS dataset_id, n_steps, overlap, mismatches, approximate_joins, size AS recovered_size, complete FROM tot",
+        "beam_candidates": """SELECT ends.ds AS dataset_id, place AS rank, done AS complete, len(pth) AS n_steps, ov AS overlap, miss AS mismatches, app AS approximate_joins, array_to_string(pth, ',') AS pa_th, array_to_string(ovs, ',') AS overlaps,
+            grew AS states_expanded, made AS states_generated, wide AS maximum_beam_size, count(*) FILTER (done) OVER (PARTITION BY ends.ds) AS complete_candidates FROM ends JOIN tally ON tally.ds = ends.ds QUALIFY place <= 3""",
+        "beam_output": """SELECT ds AS dataset_id, len(h) // 2 AS size, md5(unhex(h)) AS md5 FROM (
+            SELECT x.ds, string_agg(substr(nd.h, 2 * x.o + 1), '' ORDER BY k) AS h FROM (SELECT ds, unnest(pth) AS id, unnest(ovs) AS o, unnest(range(len(pth))) AS k FROM ends WHERE place = 1) x JOIN nd ON nd.ds = x.ds AND nd.id = x.id GROUP BY x.ds)""",
         "placements": "SELECT ds AS dataset_id, k AS step_no, id AS node_id, a0 AS start, n AS size FROM pl",
         "consensus_votes": "SELECT ds AS dataset_id, pos AS position, v::SMALLINT AS value, c AS votes FROM vote",
         "consensus_positions": "SELECT ds AS dataset_id, pos AS position, obs AS observations, kinds AS distinct_values, votes, old::SMALLINT AS before, new::SMALLINT AS after, support, kind FROM po WHERE kind <> 'corroborated'",
@@ -216,7 +234,7 @@ rc AS (SELECT ds, o, printf('%08X', len(body) // 2) || hex(tag) || body || print
   SELECT raw.*, {crc("cov")} AS crc FROM (SELECT *, hex(tag) || body AS cov FROM raw) raw, tab)),
 png0 AS (SELECT ds, '89504E470D0A1A0A' || string_agg(h, '' ORDER BY o) || CASE WHEN ds % 17 = 0 THEN '00' ELSE '' END AS h FROM rc GROUP BY ds),
 png AS MATERIALIZED (SELECT ds, CASE WHEN ds % 19 = 0 THEN substr(h, 1, len(h) - 14) ELSE h END AS h FROM png0),
-st AS (SELECT ds, 8::BIGINT AS a0, 0 AS step, ''::VARCHAR AS tag, 0::BIGINT AS len, '' AS stop FROM png
+st AS (SELECT ds, 8::BIGINT AS a0, 0 AS step, ''::VARCHAR AS tag, 0::BIGINT AS len, '' AS stop FROM png WHERE starts_with(h, '89504E470D0A1A0A')
   UNION ALL SELECT ds, CASE WHEN stop = '' THEN a0 + 12 + len ELSE a0 END, step, tag, len, CASE WHEN stop = '' AND tag = '49454E44' THEN 'end' ELSE stop END FROM (
     SELECT st.ds, st.a0, st.step + 1 AS step, substr(png.h, 2 * st.a0 + 9, 8) AS tag, CASE WHEN len(png.h) // 2 - st.a0 >= 8 THEN ('0x' || substr(png.h, 2 * st.a0 + 1, 8))::BIGINT ELSE 0 END AS len,
       CASE WHEN len(png.h) // 2 - st.a0 < 8 THEN 'header' WHEN st.a0 + 12 + ('0x' || substr(png.h, 2 * st.a0 + 1, 8))::BIGINT > len(png.h) // 2 THEN 'chunk' ELSE '' END AS stop
@@ -251,11 +269,44 @@ flag AS (SELECT ds, bool_or(code LIKE 'truncated%') AS cut, bool_or(ord <= {png.
 summ AS (SELECT png.ds, NOT coalesce(cut, false) AS done, NOT coalesce(bad, false) AS str, NOT coalesce(bad, false) AND NOT coalesce(sem, false) AS sem, coalesce(n, 0) > 0 AND coalesce(n, 0) = coalesce(good, 0) AS all_ok,
   coalesce(good, 0) AS good, coalesce(n, 0) - coalesce(good, 0) AS wrong, coalesce(n, 0) AS n, coalesce(idat, false) AS idat, coalesce(iend, false) AS iend, u8.width IS NOT NULL AND NOT coalesce(dim, false) AS head, u8.* EXCLUDE (ds, step)
   FROM png LEFT JOIN cnt USING (ds) LEFT JOIN flag USING (ds) LEFT JOIN u8 USING (ds))"""
+    # the files with two bytes changed, as if votes had tied: walked, tried by checksum, repaired and walked again
+    at, to = parts.index("st AS ("), parts.index("brk AS (")
+    files, walk = parts[:at].replace("png AS MATERIALIZED", "whole AS MATERIALIZED"), parts[at:to]
+    again = re.sub(r"\b(st|ch0|ch|png)\b", r"\1_after", walk)
+    draw = lambda purpose: _draw(11, purpose, "ds", "j")
+    spliced = lambda h, at, v: f"substr({h}, 1, 2 * ({at})) || printf('%02X', {v}) || substr({h}, 2 * ({at}) + 3)"
+    reason = {n: quote(getattr(png, n)) for n in ("NO_MATCH", "MATCHES", "SEVERAL", "OUTSIDE")}
+    tied = f"""{files}
+hit AS MATERIALIZED (SELECT ds, j, pos, old, xor(old, 1 + {draw("corrupt-value")} % 255) AS new FROM (
+  SELECT ds, j, pos, ('0x' || substr(h, 2 * pos + 1, 2))::BIGINT AS old FROM (
+    SELECT ds, h, j, (j * t) // 2 + {draw("corrupt")} % (((j + 1) * t) // 2 - (j * t) // 2) AS pos FROM (SELECT ds, h, (len(h) // 2)::BIGINT AS t, unnest(range(2)) AS j FROM whole)))),
+half AS (SELECT whole.ds, {spliced("whole.h", "hit.pos", "hit.new")} AS h FROM whole JOIN hit ON hit.ds = whole.ds AND hit.j = 0),
+png AS MATERIALIZED (SELECT half.ds, {spliced("half.h", "hit.pos", "hit.new")} AS h FROM half JOIN hit ON hit.ds = half.ds AND hit.j = 1),
+{walk}
+met AS (SELECT hit.ds, hit.pos, hit.old, hit.new, ch.off, ch.cov, ch.stored, count(ch.off) OVER (PARTITION BY hit.ds, ch.off) AS n
+  FROM hit LEFT JOIN ch ON ch.ds = hit.ds AND hit.pos >= ch.off + 4 AND hit.pos < ch.off + 8 + ch.len),
+tries AS (SELECT ds, pos, v, {crc("cov")} = stored AS good FROM (SELECT ds, pos, v, stored, {spliced("cov", "pos - off - 4", "v")} AS cov FROM (SELECT *, unnest([old, new]) AS v FROM met WHERE n = 1)) z, tab),
+ok AS (SELECT ds, pos, count(*) FILTER (good) AS hits, max(v) FILTER (good) AS v FROM tries GROUP BY ds, pos),
+fate AS MATERIALIZED (SELECT met.ds, met.pos, met.off, met.new, met.stored, met.n, hits, CASE WHEN hits = 1 THEN v END AS aft,
+  CASE WHEN met.off IS NULL THEN {reason["OUTSIDE"]} WHEN met.n > 1 THEN {reason["SEVERAL"]} WHEN hits = 0 THEN {reason["NO_MATCH"]} WHEN hits > 1 THEN {reason["MATCHES"]} ELSE '' END AS why
+  FROM met LEFT JOIN ok ON ok.ds = met.ds AND ok.pos = met.pos)"""
+    after = f""",
+one AS (SELECT ds, min(pos) AS p, arg_min(aft, pos) AS v, max(pos) AS q, arg_max(aft, pos) AS w, count(*) AS k FROM fate WHERE aft IS NOT NULL GROUP BY ds),
+png_after AS MATERIALIZED (SELECT png.ds, CASE WHEN p IS NULL THEN h WHEN k = 1 THEN {spliced("h", "p", "v")} ELSE substr(h, 1, 2 * p) || printf('%02X', v) || substr(h, 2 * p + 3, 2 * (q - p - 1)) || printf('%02X', w) || substr(h, 2 * q + 3) END AS h FROM png LEFT JOIN one ON one.ds = png.ds),
+{again.rstrip().rstrip(",")}"""
     source = f"src AS ({_PARTS['src']})"
     head = f"WITH RECURSIVE {source}, {parts} "
     word = lambda c: f"CASE WHEN {c} THEN 'valid' ELSE 'invalid' END"
     there = lambda c: f"CASE WHEN {c} THEN 'present' ELSE 'missing' END"
+    ahead = f"WITH RECURSIVE {source}, {tied}"
+    state = lambda t, k: f"SELECT ds, count(*) FILTER (ok) AS valid_{k}, count(*) FILTER (NOT ok) AS invalid_{k} FROM {t} GROUP BY ds"
+    zero = lambda *c: ", ".join(f"coalesce({x}, 0) AS {x}" for x in c)
     return {
+        "crc_repairs": ahead + """ SELECT ds AS dataset_id, pos AS position, coalesce(off, -1) AS c_at, CASE WHEN n = 1 THEN new ELSE -1 END::SMALLINT AS before, coalesce(aft, -1)::SMALLINT AS after, CASE WHEN n = 1 THEN 2 ELSE 0 END::BIGINT AS candidates_tested,
+            CASE WHEN n = 1 THEN stored ELSE -1 END AS stored_crc, why AS reason, coalesce(aft <> new, false) AS changed, CASE WHEN aft IS NULL THEN 'unresolved' WHEN aft <> new THEN 'repaired' ELSE 'corroborated' END AS kind FROM fate""",
+        "crc_summary": ahead + after + f""" SELECT png.ds AS dataset_id, {zero("valid_before", "invalid_before", "valid_after", "invalid_after", "eligible_ambiguous_bytes", "chunks_evaluated", "unresolved")}
+            FROM png LEFT JOIN ({state("ch", "before")}) b ON b.ds = png.ds LEFT JOIN ({state("ch_after", "after")}) a ON a.ds = png.ds
+            LEFT JOIN (SELECT ds, count(off) AS eligible_ambiguous_bytes, count(*) FILTER (n = 1) AS chunks_evaluated, count(*) FILTER (aft IS NULL) AS unresolved FROM fate GROUP BY ds) f ON f.ds = png.ds""",
         "png_chunks": head + "SELECT ds AS dataset_id, (step - 1)::INTEGER AS idx, off AS offset, len AS length, name AS type, stored AS stored_crc, computed AS computed_crc, ok AS crc_valid FROM ch",
         "png_issues": head + "SELECT ds AS dataset_id, seq::INTEGER AS seq, code, ord::INTEGER AS code_ord, off AS offset, msg AS message FROM iss",
         "png_summary": head + """SELECT ds AS dataset_id, true AS signature_valid, done AS parsing_completed, str AS structurally_valid, sem AS semantically_valid, all_ok AS all_crcs_valid, good AS valid_crc_count, wrong AS invalid_crc_count, n::INTEGER AS chunks,
@@ -270,4 +321,4 @@ def all_oracles() -> dict[str, str]:
     """SQL by query name."""
     clean = f"WITH src AS ({_PARTS['src']}), sh AS MATERIALIZED ({_PARTS['sh']}), {_CE} "
     out = {n: clean + s.removeprefix(_CLEAN) if s.startswith(_CLEAN) else _with(s) for n, s in _scenario().items()}
-    return out | _png()
+    return {n: q.replace("pa_th", "path") for n, q in (out | _png()).items()}

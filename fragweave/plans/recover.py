@@ -52,7 +52,7 @@ class ReconstructOptions:
 
     def __post_init__(self):
         graph.GraphConfig(self.min_overlap, self.max_mismatches, self.graph_build)
-        for name, value, allowed in (("strategy", self.strategy, ("greedy", "beam")), ("format", self.format, ("none", "png")), ("repair", self.repair, ("none", "consensus", "png")), ("io", self.io, ("buffered", "mmap"))):
+        for name, value, allowed in (("strategy", self.strategy, ("greedy", "beam")), ("format", self.format, ("none", *search.EVALUATORS)), ("repair", self.repair, ("none", "consensus", "png")), ("io", self.io, ("buffered", "mmap"))):
             if value not in allowed:
                 raise ValueError(f"{name} has to be one of {', '.join(allowed)}")
         if self.threads < 1 or (self.beam_width is not None and self.beam_width < 1) or (self.candidates is not None and self.candidates < 1):
@@ -68,7 +68,7 @@ class ReconstructOptions:
 
     @property
     def graph(self) -> graph.GraphConfig:
-        return graph.GraphConfig(self.min_overlap, self.max_mismatches, self.graph_build)
+        return graph.GraphConfig(self.min_overlap, self.max_mismatches, self.graph_build, self.threads)
 
 
 def fragment(payloads: DataFrame, options: FragmentOptions) -> dmg.Damage:
@@ -115,9 +115,9 @@ def reconstruct(nodes: DataFrame, options: ReconstructOptions) -> Reconstruction
         steps = cut_lineage(search.greedy(nodes, edges))
     else:
         candidates = cut_lineage(search.beam(nodes, edges, options.beam_width or 8))
-        if options.format == "png":
+        if options.format != "none":
             merged = _merge_all(candidates, edges, nodes)
-            candidates = cut_lineage(search.rerank(candidates, png.candidate_evidence(merged)))
+            candidates = cut_lineage(search.rerank(candidates, search.EVALUATORS[options.format](merged)))
             best = candidates.where("new_rank = 1")
         else:
             best = candidates.where("rank = 1")

@@ -59,7 +59,7 @@ class Recovery:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return cut_lineage(graph.with_paths(overlap.indexed_edges(self.nodes, LEAST, MISSES), self.nodes))
+        return cut_lineage(graph.by_rank(overlap.indexed_edges(self.nodes, LEAST, MISSES)))
 
     @cached_property
     def config(self) -> graph.GraphConfig:
@@ -91,7 +91,7 @@ class Recovery:
 
     @cached_property
     def positions(self) -> DataFrame:
-        return cut_lineage(repair.positions(repair.ballots(self.places, self.nodes), self.merged))
+        return cut_lineage(repair.positions(self.places, self.nodes))
 
     @cached_property
     def repaired(self) -> DataFrame:

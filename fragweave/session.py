@@ -21,6 +21,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -52,10 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) is it a local folder; executors of a
-    cluster couldn't see that.
+    Only in local mode may that setting be absent (tests, a laptop), and the folder is a local one
+    then; executors of a cluster couldn't see that, so there it is an error.
     """
-    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "fragweave-checkpoints")
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return named or os.path.join(tempfile.gettempdir(), "fragweave-checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fragweave.functions.bytes import preview
+from fragweave.session import cut_lineage
 
 #: Accepted for parity of options; Spark owns the reading either way.
 IO = ("buffered", "mmap")
+#: Names that Spark's file source leaves out or reads as a pattern; tasks open such files themselves, and empty ones, which it leaves out too.
+_ODD = re.compile(r"^[._]|\._COPYING_$|[\[\]{}*?\\,]")
+
+
+def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, name) to (name, length, content), a file at a time."""
+    from pyarrow import fs
+
+    for pdf in batches:
+        for path, name in zip(pdf["path"], pdf["name"]):
+            if re.match(r"^(file:)?/", path):
+                with open(re.sub(r"^file:/*", "/", path), "rb") as f:
+                    data = f.read()
+            else:
+                store, inner = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(inner) as f:
+                    data = f.read()
+            yield pd.DataFrame({"name": [name], "length": [len(data)], "content": [data]})
 
 
 def load_directory(spark: SparkSession, path: str, dataset_id: int = 0, io: str = "buffered") -> DataFrame:
-    """(dataset_id, node_id, filename, size, data) of the regular files of a folder, not of folders below.
+    """(dataset_id, node_id, filename, size, data) of all regular files of a folder, whatever their names, not of folders below.
 
-    Ids follow the file names in byte order. An empty folder gives no rows; one that isn't there,
+    The files are listed here and read by tasks. Ids follow the file names in byte order. An empty folder gives no rows; one that isn't there,
     or a file, is an error. The window runs over one folder, whose names alone are sorted.
     """
     if io not in IO:
@@ -24,13 +47,18 @@ def load_directory(spark: SparkSession, path: str, dataset_id: int = 0, io: str
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
         raise ValueError(f"no folder: {path}")
-    files = [f.getPath().toString() for f in fs.listStatus(where) if f.isFile()]
-    schema = "path string, length long, content binary"
-    if not files:
-        raw = spark.createDataFrame([], schema)
-    else:
-        raw = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    named = raw.select(F.lit(dataset_id).cast("long").alias("dataset_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), F.col("length").alias("size"), F.col("content").alias("data"))
+    files = [(f.getPath().toString(), f.getPath().getName(), f.getLen()) for f in fs.listStatus(where) if f.isFile()]
+    raw = spark.createDataFrame([], "name string, length long, content binary")
+    plain = [p for p, n, size in files if size and not _ODD.search(n)]
+    if plain:
+        # the files themselves and not the folder: nothing below it is listed or taken for a partition
+        read = spark.read.format("binaryFile").load(plain)
+        raw = raw.unionByName(read.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", "content"))
+    odd = [(p, n) for p, n, size in files if not size or _ODD.search(n)]
+    if odd:
+        listed = spark.createDataFrame(odd, "path string, name string").repartition(min(len(odd), 1000))
+        raw = raw.unionByName(listed.mapInPandas(_open, "name string, length long, content binary"))
+    named = raw.select(F.lit(dataset_id).cast("long").alias("dataset_id"), F.col("name").alias("filename"), F.col("length").alias("size"), F.col("content").alias("data"))
     return with_node_ids(named)
 
 
