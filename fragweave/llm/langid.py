@@ -4,9 +4,8 @@ Each language has a tree of byte contexts up to ORDER bytes long with counts fro
 text. A byte's probability in a context is its share there, or else the escape probability
 times its probability in the context one byte shorter, down to a uniform distribution over
 all 256 bytes (escape method C, without exclusion). The statistics are frozen after training,
-so a text's exact code length under a language is a sum of looked-up values: contexts that
-occur in training text get a row, and every byte is coded from the longest context with one.
-The shortest code length names the language.
+so a text's exact code length under a language is a sum of looked-up values. Contexts are held
+sparsely, by language and length, and each distinct gram of a batch is worked out once. The shortest code length names the language.
 """
 
 from __future__ import annotations
@@ -41,86 +40,95 @@ def normal(text: str) -> bytes:
 
 
 @dataclass
-class Model:
-    """Frozen statistics of all languages, as code lengths.
+class Order:
+    """A language's contexts of one length, sparse: what occurs in training text, and nothing else.
 
-    symbol: byte -> symbol, the last one standing for all bytes that training text lacks.
-    state: code of the last ORDER symbols -> row. bits: [row, symbol, language] code lengths.
+    pairs: sorted numbers of (context, next byte); counts: of each; contexts: sorted numbers of
+    contexts; total, kinds: bytes and different bytes that follow each.
     """
 
+    pairs: np.ndarray
+    counts: np.ndarray
+    contexts: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+
+
+@dataclass
+class Model:
+    """Frozen statistics: of every language, in alphabetical order, an Order for each length 0 .. ORDER."""
+
     langs: list[str]
-    symbol: np.ndarray
-    state: np.ndarray
-    bits: np.ndarray
+    trees: list[list[Order]]
+
+
+def grams(text: str) -> np.ndarray:
+    """The last ORDER bytes and the next, as one number, at each coded byte of a text."""
+    y = np.frombuffer(normal(text), np.uint8).astype(np.int64)
+    code = np.zeros(max(0, len(y) - ORDER), np.int64)
+    for j in range(ORDER + 1):
+        code = code << 8 | y[j : len(y) - ORDER + j]
+    return code
+
+
+def tree(code: np.ndarray, count: np.ndarray) -> list[Order]:
+    """The context tree of one language from its counted grams; shorter contexts are sums over longer ones."""
+    out = []
+    for k in range(ORDER + 1):
+        pairs, at = np.unique(code & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        counts = np.bincount(at, weights=count, minlength=len(pairs))
+        contexts, first = np.unique(pairs >> 8, return_index=True)
+        total = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
+        out.append(Order(pairs, counts, contexts, total, np.diff(np.append(first, len(pairs))).astype(float)))
+    return out
+
+
+def train_counts(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """Context trees of every language from its distinct grams and their counts."""
+    langs = sorted(counts)
+    return Model(langs, [tree(*counts[k]) for k in langs])
 
 
 def train(texts: dict[str, list[str]]) -> Model:
-    """Context trees of every language from its texts; languages in alphabetical order."""
-    langs = sorted(texts)
-    joined = {k: np.frombuffer(b"".join(normal(t) for t in texts[k]) or _LEAD, np.uint8) for k in langs}
-    seen = np.unique(np.concatenate([np.unique(v) for v in joined.values()])) if langs else np.zeros(0, np.uint8)
-    n = len(seen) + 1
-    symbol = np.full(256, n - 1, np.int64)
-    symbol[seen] = np.arange(n - 1)
-    streams = {k: symbol[v] for k, v in joined.items()}
-
-    def codes(y: np.ndarray, k: int) -> np.ndarray:
-        """Code of the k symbols before each position from ORDER on."""
-        c = np.zeros(len(y) - ORDER, np.int64)
-        for j in range(k, 0, -1):
-            c = c * n + y[ORDER - j : len(y) - j]
-        return c
-
-    # contexts of each order that occur in any language; row blocks from the longest order down
-    contexts = [np.unique(np.concatenate([codes(y, k) for y in streams.values()] or [np.zeros(0, np.int64)])) for k in range(ORDER + 1)]
-    contexts[0] = np.zeros(1, np.int64)
-    contexts[1] = np.arange(n)
-    bits = np.zeros((sum(map(len, contexts)), n, max(1, len(langs))), np.float32)
-    first = np.cumsum([0] + [len(contexts[k]) for k in range(ORDER, 0, -1)])[::-1]  # of order 0 .. ORDER
-    #: an unseen byte shares the last symbol with all others that are unseen
-    uniform = np.full((1, n), 1 / 256)
-    for at, k_lang in enumerate(langs):
-        y, shorter = streams[k_lang], uniform
-        after = y[ORDER:]
-        for k in range(ORDER + 1):
-            ctx = contexts[k]
-            row = np.searchsorted(ctx, codes(y, k))
-            count = np.bincount(row * n + after, minlength=len(ctx) * n).reshape(len(ctx), n).astype(np.float64)
-            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            parent = shorter[np.searchsorted(contexts[k - 1], ctx % n ** (k - 1))] if k else shorter
-            den = np.maximum(total + kinds, 1)
-            shorter = np.where(total == 0, parent, np.where(count > 0, count / den, kinds / den * parent))
-            bits[first[k] : first[k] + len(ctx), :, at] = -np.log2(shorter)
-    # the row of the longest known suffix of every possible context
-    state = np.full(n**ORDER, first[0], np.int32)
-    every = np.arange(n**ORDER)
-    for k in range(1, ORDER + 1):
-        suffix = every % n**k
-        if not len(contexts[k]):
+    """Context trees of every language from its texts."""
+    every = {k: [grams(t) for t in v] for k, v in texts.items()}
+    return train_counts({k: np.unique(np.concatenate([np.zeros(0, np.int64), *v]), return_counts=True) for k, v in every.items()})
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each wanted number among sorted keys."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def bits_of(code: np.ndarray, orders: list[Order]) -> np.ndarray:
+    """Code length of the next byte of each (distinct) gram under one language's tree."""
+    p = np.full(len(code), 1 / 256)
+    for k, o in enumerate(orders):
+        pair = code & ((1 << 8 * (k + 1)) - 1)
+        ctx, known = _find(o.contexts, pair >> 8)
+        if not known.any():
             continue
-        at = np.minimum(np.searchsorted(contexts[k], suffix), len(contexts[k]) - 1)
-        hit = contexts[k][at] == suffix
-        state[hit] = first[k] + at[hit]
-    return Model(langs, symbol, state, bits)
+        at, seen = _find(o.pairs, pair[known])
+        total, kinds = o.total[ctx[known]], o.kinds[ctx[known]]
+        p[known] = np.where(seen, o.counts[at], kinds * p[known]) / (total + kinds)
+    return -np.log2(p)
 
 
 def code_lengths(texts: list[str], m: Model) -> tuple[np.ndarray, np.ndarray]:
-    """([text, language] bits, bytes coded) of whole texts."""
-    n, langs = m.bits.shape[1], m.bits.shape[2]
-    raw = [normal(t) for t in texts]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    out = np.zeros((len(raw), langs))
-    table = m.bits.reshape(-1, langs)
-    y = m.symbol[np.frombuffer(b"".join(raw), np.uint8)]
-    ctx = np.zeros(max(0, len(y) - ORDER), np.int64)
-    for j in range(ORDER, 0, -1):
-        ctx = ctx * n + y[ORDER - j : len(y) - j]
-    at = m.state[ctx].astype(np.int64) * n + y[ORDER:]
-    begin = np.cumsum(sizes) - sizes  # in y; the first coded byte of a text is ORDER further, at the same place in `at`
-    for i, (b, s) in enumerate(zip(begin.tolist(), sizes.tolist())):
-        if s > ORDER:
-            out[i] = table[at[b : b + s - ORDER]].sum(0, dtype=np.float64)
-    return out, sizes - ORDER
+    """([text, language] bits, bytes coded) of whole texts. Each distinct gram of the texts is looked up once."""
+    per = [grams(t) for t in texts]
+    sizes = np.fromiter(map(len, per), np.int64, len(per))
+    out = np.zeros((len(per), len(m.langs)))
+    code, at = np.unique(np.concatenate([np.zeros(0, np.int64), *per]), return_inverse=True)
+    if len(code):
+        some = np.flatnonzero(sizes)
+        begin = (np.cumsum(sizes) - sizes)[some]
+        for j, orders in enumerate(m.trees):
+            out[some, j] = np.add.reduceat(bits_of(code, orders)[at], begin)
+    return out, sizes
 
 
 def predict(texts: list[str], m: Model) -> tuple[list[str], np.ndarray]:
@@ -138,28 +146,53 @@ def predict(texts: list[str], m: Model) -> tuple[list[str], np.ndarray]:
     return lang, score
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, text) to counted grams of each language, summed over a bounded run of texts."""
+
+    def rows(held: dict[str, list[np.ndarray]]) -> pd.DataFrame:
+        parts = [(k, *np.unique(np.concatenate(v), return_counts=True)) for k, v in held.items()]
+        return pd.concat([pd.DataFrame({"lang": k, "code": c, "n": n}) for k, c, n in parts], ignore_index=True)
+
+    held: dict[str, list[np.ndarray]] = {}
+    size = 0
+    for pdf in batches:
+        for lang, text in zip(pdf["lang"], pdf["text"]):
+            for i in range(0, len(text), 1 << 20) if len(text) > 1 << 20 else (0,):
+                # cut texts overlap by nothing: what follows a cut begins anew, in training only
+                code = grams(text[i : i + (1 << 20)])
+                held.setdefault(lang, []).append(code)
+                size += len(code)
+                if size > 4_000_000:
+                    yield rows(held)
+                    held, size = {}, 0
+    if held:
+        yield rows(held)
+
+
 def fit(docs: DataFrame, folds: int = 5, held_fold: int = 0, sample: int = SAMPLE) -> Model:
-    """Trees from documents whose fold isn't held_fold and whose text and lang aren't null.
+    """Trees from documents whose fold isn't held_fold and whose text and lang aren't null; null ids aren't held out.
 
-    Of each language about `sample` documents are used, by a threshold on the hash of the id,
-    so what reaches the driver is bounded by sample times the number of languages.
+    Of each language about `sample` documents are used, by a threshold on the hash of id and text;
+    their grams are counted on the executors. What reaches the driver, and later the workers, is a
+    number for each distinct gram of a language in its sample, however many languages there are. No
+    documents: no languages.
     """
-    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) != held_fold))
+    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold("doc_id", folds), F.lit(-1)) != held_fold))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    texts: dict[str, list[str]] = {k: [] for k in counts}
-    if counts:
-        spread = 1 << 30
-        share = docs.sparkSession.createDataFrame([(k, int(min(1.0, sample / n) * spread)) for k, n in counts.items()], "lang string, upto long")
-        few = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < F.col("upto")).select("lang", "text")
-        for r in few.collect():
-            texts[r.lang].append(r.text)
-    return train({k: sorted(v) for k, v in texts.items()})
+    if not counts:
+        return train_counts({})
+    spread = 1 << 30
+    share = docs.sparkSession.createDataFrame([(k, int(min(1.0, sample / n) * spread)) for k, n in counts.items()], "lang string, upto long")
+    few = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread)) < F.col("upto")).select("lang", "text")
+    counted = few.mapInPandas(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    by = counted.toPandas().sort_values(["lang", "code"])
+    return train_counts({k: (d["code"].to_numpy(np.int64), d["n"].to_numpy(np.int64)) for k, d in by.groupby("lang")})
 
 
 def predictor(spark, model: Model) -> Callable:
     """A column function: text -> struct(lang, score). The frozen tables go out as one broadcast.
 
-    Their size is bounded by the training sample: a row for each context in it.
+    They are sparse: their size is bounded by the bytes of the training sample, not by languages times contexts.
     """
     shared = spark.sparkContext.broadcast(model)
 
@@ -174,6 +207,10 @@ def predictor(spark, model: Model) -> Callable:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """documents -> (doc_id, lang_pred, score), a row per row; null texts and texts without a letter are `und`."""
+    """documents -> (doc_id, lang_pred, score), a row per row, repeated ones and null ids too.
+
+    Null texts and texts without a letter are `und`, as is all where no language was learnt. Ties go
+    to the language first by name. Whole texts count, however long. No documents: no rows.
+    """
     p = predictor(docs.sparkSession, model)
     return docs.select("doc_id", p("text").alias("p")).select("doc_id", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

@@ -50,10 +50,10 @@ def test_quality_ignores_held_out_labels(spark):
 
 def brute_bits(text, training):
     count = defaultdict(Counter)
-    b = b"".join(langid.normal(t) for t in training)
-    for i in range(3, len(b)):
-        for k in range(4):
-            count[b[i - k : i]][b[i]] += 1
+    for b in map(langid.normal, training):  # each text begins anew, so the order of texts plays no part
+        for i in range(3, len(b)):
+            for k in range(4):
+                count[b[i - k : i]][b[i]] += 1
 
     def p(ctx, c):
         seen = count.get(ctx)
@@ -165,3 +165,68 @@ def test_recurrent_model_learns_from_documents_outside_the_sample(spark):
     rows = [r for r in lm.likelihoods(docs, sample=0, tokens=1).collect() if r.held_out]
     # counts alone give log10(1 / 20) a word; the order of words is in the documents only
     assert rows and sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
+
+
+def test_a_document_does_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(4)
+    for size in (1.0, 1000.0):  # the bound serves the first, rows' own maxima the second
+        m = gru.start(np.sort(rng.integers(1, 50, 40))[::-1].astype(float), 6, hidden=8)
+        m.ww *= size
+        m.wc *= size
+        assert (gru._top(m.bc, m.wc) is None) == (size > 1)
+        h, t = np.tanh(rng.standard_normal((9, 8))).astype(np.float32), rng.integers(0, 40, 9)
+        alone = [gru.log_probs(m, h[i : i + 1], t[i : i + 1])[0] for i in range(9)]
+        assert gru.log_probs(m, h, t) == pytest.approx(alone, rel=1e-5) and np.isfinite(alone).all()
+
+
+def slow_ftrl(rows):
+    """Follow-the-regularised-leader, a coordinate at a time, in plain Python."""
+    n, q = 1 << quality.BITS, quality
+    share = sum(r[2] for r in rows) / len(rows)
+    z, g2 = defaultdict(float), defaultdict(float)
+    weight_of = lambda i: 0.0 if abs(z[i]) <= q.L1 else -(z[i] - math.copysign(q.L1, z[i])) / ((q.BETA + math.sqrt(g2[i])) / q.ALPHA + q.L2)
+    rng = np.random.default_rng(17)
+    for _ in range(q.EPOCHS):
+        for r in rng.permutation(len(rows)):
+            idx, x, y = rows[r]
+            feats = [(int(i), q.GAIN * float(v)) for i, v in zip(idx, x)] + [(n, 1.0)]
+            w = {i: weight_of(i) for i, _ in feats}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in feats)))
+            for i, v in feats:
+                g = (0.5 / share if y else 0.5 / (1 - share)) * (p - y) * v
+                z[i] += g - (math.sqrt(g2[i] + g * g) - math.sqrt(g2[i])) / q.ALPHA * w[i]
+                g2[i] += g * g
+    return {i: weight_of(i) for i in list(z)}
+
+
+def test_ftrl_against_plain_python():
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        idx = np.unique(rng.integers(0, 40, 8)) + 20 * (k % 3 == 0)
+        rows.append((idx.astype(np.int32), rng.random(len(idx)), int(k % 3 == 0)))
+    w, bias = quality.train(rows)
+    want = slow_ftrl(rows)
+    assert bias == pytest.approx(want.pop(1 << quality.BITS), rel=1e-6)
+    assert all(w[i] == pytest.approx(v, rel=1e-5, abs=1e-7) for i, v in want.items()) and np.count_nonzero(w) == sum(v != 0 for v in want.values())
+
+
+def test_null_ids_repeated_ids_and_long_texts(spark, tmp_path):
+    """Through the queries: null ids aren't held out, repeated ids keep their rows, long texts count whole."""
+    from fragweave.llm import queries
+
+    data = samples.rows(60)
+    data += [[None, data[0][1], "en"], [None, None, None], [7, "other text of the same id", "de"], [8, "word " * 200_000, "en"], [9, "x" * 300_000, "en"]]
+    docs = samples.table(spark, data)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    ids = sorted(str(r[0]) for r in data)
+    for name in ("op1_distribution_divergence", "op2_quality_classifier", "op4_lm_scoring", "op7_bpe_encoding", "op9_language_id", "op10_simhash"):
+        rows = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(str(r.doc_id) for r in rows) == ids, name
+        if "held_out" in rows[0]:
+            assert all(r.held_out is False for r in rows if r.doc_id is None) and any(r.held_out for r in rows)
+        if name == "op1_distribution_divergence":
+            assert {r.n_words for r in rows if r.doc_id == 8} == {200_000, len(data[8][1].split())}
+        if name == "op4_lm_scoring":
+            assert {200_001} <= {r.n_tokens for r in rows}
