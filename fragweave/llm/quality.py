@@ -107,25 +107,30 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, f
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Labelled texts to their distinct buckets with shares, a batch at a time."""
     memo = Memo(_code)
     for pdf in batches:
-        for text, y in zip(pdf["text"], pdf["y"]):
-            b, _ = buckets([text or ""], memo)
-            idx, count = np.unique(b, return_counts=True)
-            share = (count / max(1, len(b))).astype(np.float32)
-            yield pd.DataFrame({"idx": [idx.astype("<i4").tobytes()], "x": [share.astype("<f4").tobytes()], "y": [int(y)]})
+        idx, x = [], []
+        for text in pdf["text"]:
+            b, count = np.unique(buckets([text or ""], memo)[0], return_counts=True)
+            idx.append(b.astype("<i4").tobytes())
+            x.append((count / max(1, count.sum())).astype("<f4").tobytes())
+        yield pd.DataFrame({"idx": idx, "x": x, "y": pdf["y"].astype("int32")})
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and bias from labelled rows whose fold isn't held_fold.
 
-    At most `sample` labelled ids are used, those with the smallest hash of the id, so the rows
-    that reach the driver are bounded (sparse counts, not texts). Null ids and labels are left
-    out; of ids labelled twice the smaller label counts; null texts are empty.
+    At most `sample` labelled ids are used, those with the smallest hash of the id, each with one
+    text (of several the smallest), so what reaches the driver is at most `sample` rows of at most
+    2^BITS buckets (sparse counts, not texts). Null ids and labels are left out; of ids labelled
+    twice the smaller label counts; null texts are empty. No labelled rows: the prior alone.
     """
-    few = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isNotNull() & (fold("doc_id", folds) != held_fold))
+    few = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold("doc_id", folds) != held_fold))
     few = few.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    # pre-aggregated in each task, so a repeated id is one row a task before the shuffle
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     got = rows.select("text", "y").mapInPandas(_features, "idx binary, x binary, y int").collect()
     decoded = [(np.frombuffer(r.idx, "<i4"), np.frombuffer(r.x, "<f4").astype(float), r.y) for r in got]
     decoded.sort(key=lambda r: (len(r[0]), zlib.crc32(r[0].tobytes())))  # independent of the order of tasks
@@ -147,6 +152,9 @@ def scorer(model: tuple[np.ndarray, float]) -> Callable:
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """documents -> (doc_id, score, predicted), a row per row; null and empty texts get the bias alone."""
+    """documents -> (doc_id, score, predicted), a row per row, repeated ones and null ids too.
+
+    Null and empty texts get the bias alone. Whole texts count, however long. No documents: no rows.
+    """
     out = docs.select("doc_id", scorer(model)("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
