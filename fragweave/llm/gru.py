@@ -72,10 +72,20 @@ def step(m: Gru, w: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (z, r, n, g[:, 2 * k :])
 
 
-def _exp(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exponentials, their row sums); the logits are shifted in place, all by the largest of the block."""
-    logit -= logit.max()
-    np.maximum(logit, -80, out=logit)  # a row far below the block's largest keeps a sum above zero
+def _top(b: np.ndarray, w: np.ndarray) -> float | None:
+    """A bound of all logits h @ w + b for states within -1 .. 1, if no row's largest is over 60 below it, else None.
+
+    It depends on the weights alone, so that a symbol's probability doesn't depend on what else is
+    in the block; shifting by it costs no pass over the logits.
+    """
+    reach = np.abs(w).sum(0)
+    top = float((b + reach).max())
+    return top if top - float((b - reach).max()) <= 60 else None
+
+
+def _exp(logit: np.ndarray, top: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their row sums); the logits are shifted in place, by the bound or else each row by its largest."""
+    logit -= logit.max(1, keepdims=True) if top is None else top
     e = np.exp(logit)
     return e, e @ np.ones(e.shape[1], e.dtype)
 
@@ -84,11 +94,12 @@ def log_probs(m: Gru, h: np.ndarray, target: np.ndarray, grads: list | None = No
     """Natural log-probability of each target given its state; with grads also d(-sum)/d(state).
 
     grads: the gradients of wc, bc, ww, bw are added to its last four entries. Rows are sorted by
-    class, so each class is one product.
+    class, so each class is one product. A row's value doesn't depend on other rows.
     """
     cls = np.searchsorted(m.first, target, "right") - 1
+    within = np.abs(h).max(initial=0) <= 1
     logit = h @ m.wc + m.bc
-    e, s = _exp(logit)
+    e, s = _exp(logit, _top(m.bc, m.wc) if within else None)
     rows = np.arange(len(h))
     out = logit[rows, cls] - np.log(s)
     dh = None
@@ -107,9 +118,9 @@ def log_probs(m: Gru, h: np.ndarray, target: np.ndarray, grads: list | None = No
         lo, hi = m.first[c], m.first[c + 1]
         if hi - lo == 1:
             continue
-        hc = h[at]
-        lg = hc @ m.ww[:, lo:hi] + m.bw[lo:hi]
-        e, s = _exp(lg)
+        hc, ww, bw = h[at], m.ww[:, lo:hi], m.bw[lo:hi]
+        lg = hc @ ww + bw
+        e, s = _exp(lg, _top(bw, ww) if within else None)
         t, r = target[at] - lo, np.arange(len(at))
         out[at] += lg[r, t] - np.log(s)
         if grads is not None:
@@ -117,7 +128,7 @@ def log_probs(m: Gru, h: np.ndarray, target: np.ndarray, grads: list | None = No
             d[r, t] -= 1
             grads[5][:, lo:hi] += hc.T @ d
             grads[6][lo:hi] += d.sum(0)
-            dh[at] += d @ m.ww[:, lo:hi].T
+            dh[at] += d @ ww.T
     return (out, dh) if grads is not None else out
 
 

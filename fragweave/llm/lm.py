@@ -144,8 +144,8 @@ def _symbols(words):
         known = Words(lex)
         for pdf in batches:
             for part in chunks(pdf["text"]):
-                for at in known.look([folded_words(t) for t in part]):
-                    yield pd.DataFrame({"s": [np.append(known.columns[0][at], lex.symbol_end).astype("<i4").tobytes()]})
+                places = known.look([folded_words(t) for t in part])
+                yield pd.DataFrame({"s": [np.append(known.columns[0][at], lex.symbol_end).astype("<i4").tobytes() for at in places]})
 
     return run
 
