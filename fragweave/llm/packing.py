@@ -93,6 +93,7 @@ class Packer:
         at, start, size, loss = (np.array(c, np.int64) for c in zip(*self.rows))
         alive = np.ones(len(at), bool)
         left = len(at)
+        # how scarce each capacity is: the mean demand on it of what waits
         weight = np.array([size.mean() / self.max_tokens, 1 / self.max_segments, loss.mean() / self.max_loss]) + 1e-9
         out: list[Piece] = []
         while left > keep:
@@ -100,7 +101,9 @@ class Packer:
             room = np.array([self.max_tokens, self.max_segments, self.max_loss], np.int64)
             while left and room[0] > 0 and room[1] > 0:
                 fits = alive & (size <= room[0]) & (loss <= room[2])
-                gain = size * (weight[0] * room[0] / self.max_tokens**2) + loss * (weight[2] * room[2] / self.max_loss**2)
+                # dot product of demands and room, each a share of its capacity; every example is one segment
+                per = weight * room / np.square((self.max_tokens, self.max_segments, self.max_loss))
+                gain = size * per[0] + per[1] + loss * per[2]
                 i = int(np.argmax(np.where(fits, gain, -1.0)))
                 if fits[i] and not (room[1] == 1 and size[i] < room[0] and self._longer(alive, size, room)):
                     take = int(size[i])
@@ -171,12 +174,19 @@ class Tokens:
         ranks = {bytes(byte[c] for c in s): i for s, i in vocab.items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.path, self.slow = path, None
+        self.width = np.zeros(max([*vocab.values(), *special.values()]) + 1, np.int64)
+        for b, i in [*ranks.items(), *((s.encode("utf-8"), i) for s, i in special.items())]:
+            self.width[i] = len(b)
         self.run = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         return [self._ids(t).astype("<u4").tobytes() for t in texts]
 
+    def within(self, ids: bytes, size: int) -> int:
+        """How many of the ids lie wholly within the text's first `size` bytes."""
+        return int(np.searchsorted(np.cumsum(self.width[np.frombuffer(ids, "<u4")]), size, "right")) if size else 0
+
     def _ids(self, text: str) -> np.ndarray:
         try:
             return self.run(text, allowed_special="all")
@@ -193,7 +203,13 @@ class Tokens:
 _LOADED: dict[str, Tokens] = {}
 
 
-def _packed(path: str, id_col: str, limits: dict):
+def prompt(text: str) -> str:
+    """What of a document bears no loss: its heading, which is the first of several lines, with the line's end."""
+    head, end, rest = text.partition("\n")
+    return head + end if rest.strip() else ""
+
+
+def _packed(path: str, id_col: str, limits: dict, prompt_of):
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def rows(pieces: list[Piece]) -> pd.DataFrame:
@@ -209,24 +225,28 @@ def _packed(path: str, id_col: str, limits: dict):
             ids, at = pdf[id_col].astype(object).tolist(), 0
             for part in chunks(pdf["text"]):
                 out = []
-                for b in tokens.encode(part):
+                for text, b in zip(part, tokens.encode(part)):
                     key = ids[at]
                     at += 1
+                    no_loss = tokens.within(b, len(prompt_of(text).encode("utf-8", "replace")))
                     b += END
-                    out += packer.add((None if pd.isna(key) else key, b), len(b) // 4)
+                    total = len(b) // 4
+                    out += packer.add((None if pd.isna(key) else key, b), total, total - no_loss)
                 yield rows(out)
         yield rows(packer.finish())
 
     return run
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", **limits) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", prompt_of=prompt, **limits) -> DataFrame:
     """documents -> a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is its text's ids and then id 0 (null and empty texts: id 0 alone); all its tokens
-    bear loss. Repeated ids are packed once for each row. Sequence ids are unique over all
-    partitions. limits: max_tokens, max_segments, max_loss, pool.
+    A document is its text's ids and then id 0 (null and empty texts: id 0 alone). All tokens but
+    those of prompt_of(text), which stands at the text's beginning, bear loss. Repeated and null ids
+    are packed once for each row. Sequence ids are unique over all partitions. Whole texts are
+    encoded, however long, and longer ones than a sequence are cut. No documents: no rows. limits:
+    max_tokens, max_segments, max_loss, pool.
     """
     kind = dict(docs.dtypes)[id_col]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
-    return docs.select(F.col(id_col), F.col("text")).mapInPandas(_packed(path, id_col, limits), schema)
+    return docs.select(F.col(id_col), F.col("text")).mapInPandas(_packed(path, id_col, limits, prompt_of), schema)

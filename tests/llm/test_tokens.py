@@ -115,8 +115,42 @@ def test_pack_table(spark):
     assert packing.pack(samples.empty(spark), BYTE).count() == 0
 
 
-def test_long_runs_of_white_space():
-    text = "a" + " " * 1_000_000 + "b"
+@pytest.mark.parametrize("text", ["a" + " " * 1_000_000 + "b", "\n" * 1_200_000, " \n" * 2_500_000 + "x"])
+def test_long_runs_of_white_space(text):
     path = public_tokenizers.path("byte_bpe_50k.json")
     want = np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert packing.Tokens(path).encode(["x", text])[1] == want
+
+
+def test_very_long_text_and_null_ids(spark):
+    """A text of 5 million characters is packed whole, as are rows without an id."""
+    long = "word " * 1_000_000
+    rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, long)], "doc_id long, text string")
+    got = packing.pack(rows, BYTE).collect()
+    n = len(library[BYTE].encode(long, add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in got if r.doc_id == 3) == n and {r.doc_tokens for r in got} == {n, 3}
+    assert sum(r.length for r in got if r.doc_id is None) == 6
+
+
+def test_prompt_bears_no_loss_and_all_terms_choose():
+    tokens = packing.Tokens(BYTE)
+    text = "A heading é\nand then the text"
+    b = tokens.encode([text])[0]
+    head = len(library[BYTE].encode("A heading é\n", add_special_tokens=False).ids)
+    assert packing.prompt(text) == "A heading é\n" and tokens.within(b, len(packing.prompt(text).encode())) == head
+    assert packing.prompt("one line\n ") == packing.prompt("") == ""
+    # of two that fit and are as long, the one with more loss-bearing tokens has the larger dot product while there is room for them
+    packer = packing.Packer(100, 10, 100, pool=10)
+    packer.add("start", 40, 40)
+    packer.add("prompt", 30, 5)
+    packer.add("loss", 30, 30)
+    packer.add("rest", 30, 30)
+    first = [p.doc for p in packer.finish() if p.sequence == 0]
+    assert first[0] == "start" and first[1:3] == ["loss", "rest"]
+    # with little room for loss, a longer example with less of it fits and a shorter one with more doesn't
+    packer = packing.Packer(100, 10, 50, pool=10)
+    packer.add("a", 40, 40)
+    packer.add("b", 30, 30)
+    packer.add("c", 60, 10)
+    out = packer.finish()
+    assert {p.doc for p in out if p.sequence == 0} == {"a", "c"}
