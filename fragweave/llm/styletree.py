@@ -64,7 +64,7 @@ _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 class Node:
     """An element; text children are strings."""
 
-    __slots__ = ("tag", "attrs", "children", "sign", "path", "content", "mass", "score")
+    __slots__ = ("tag", "attrs", "children", "sign", "path", "content", "own", "chars", "mass", "score")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
@@ -154,7 +154,8 @@ def parse(html: str) -> Node:
 
 
 def annotate(root: Node) -> list[Node]:
-    """Sets every element's path (the root's is 0) and content, a hash of all text in it, 0 without text; all elements, parents first."""
+    """All elements, parents first, with path (the root's is 0), own, the pieces of their own text with single spaces, chars, their
+    length, and content, a hash of all text within, 0 without text."""
     h = xxhash.xxh64_intdigest
     root.path, order, todo = 0, [], [root]
     while todo:
@@ -166,14 +167,16 @@ def annotate(root: Node) -> list[Node]:
                 todo.append(c)
     for node in reversed(order):
         # from the children's hashes, so that each character is hashed once
-        parts = []
+        parts, node.own = [], []
         for c in node.children:
             if isinstance(c, str):
                 s = " ".join(c.split())
                 if s:
+                    node.own.append(s)
                     parts.append(h(s))
             elif c.content:
                 parts.append(c.content)
+        node.chars = sum(map(len, node.own))
         node.content = h(np.array(parts, "<u8").tobytes()) if parts else 0
     return order
 
@@ -187,18 +190,13 @@ def below(path: int, sign: str | int) -> int:
 def features(node: Node) -> set[int]:
     """Hashes of the sentences of an element's own text and of where it links to."""
     out = set()
-    for c in node.children:
-        if isinstance(c, str) and (s := " ".join(c.split())):
-            out.update(map(xxhash.xxh64_intdigest, _SENTENCE.split(s)))
+    for s in node.own:
+        out.update(map(xxhash.xxh64_intdigest, _SENTENCE.split(s)))
     if node.attrs and (to := node.attrs.get("href") or node.attrs.get("src")):
         out.add(xxhash.xxh64_intdigest(f"to {to}"))
     return out
 
 
-def own_chars(node: Node) -> int:
-    return sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
-
-
 def judged(node: Node) -> bool:
     """Whether an element is a branch of a site, and not words within a sentence or the frame of the page."""
     return node.tag not in INLINE and node.tag not in ("#root", "html", "body", "article", "main") and node.tag not in CELLS
@@ -217,7 +215,7 @@ def main_text(root: Node, site: Site | None = None) -> str:
     """Blocks of the main text in page order, without marked branches and those of low importance; without a site none is low."""
     order = annotate(root)
     for node in reversed(order):
-        node.mass = own_chars(node)
+        node.mass = node.chars
         node.score = node.mass * (site.importance.get(node.path, 1.0) if site else 1.0)
         for c in node.children:
             if isinstance(c, Node):
@@ -261,7 +259,7 @@ def main_text(root: Node, site: Site | None = None) -> str:
                 if node is not top and not kept(node, within):
                     continue
                 within = within or node.tag in ("article", "main")
-                weight += own_chars(node) * (site.importance.get(node.path, 1.0) if site else 1.0)
+                weight += node.chars * (site.importance.get(node.path, 1.0) if site else 1.0)
                 if node.tag in BLOCK:
                     flush()
                     todo.append(None)
@@ -330,7 +328,7 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             chars: Counter = Counter()
             once = set()
             for node in annotate(parse(page)):
-                chars[node.path] += own_chars(node)
+                chars[node.path] += node.chars
                 if not node.content:
                     continue
                 signs = " ".join([c.sign for c in node.children if isinstance(c, Node)])
@@ -356,11 +354,11 @@ def _host() -> F.Column:
 def weighted(pages: DataFrame) -> DataFrame:
     """pages -> (host, html, w): w is 1 over the number of pages of the host with the same text, so copies count as one page.
 
-    Text is what stands outside of tags, scripts and styles; splitting and replacing run in time in
-    proportion to the page. The counts of texts on several pages are broadcast if few, else joined.
+    Text is what stands outside of tags, scripts and styles, white space as it is; splitting and replacing
+    run in time in proportion to the page. The counts of texts on several pages are broadcast if few, else joined.
     """
     outside = F.filter(F.split("html", r"(?i)</?(?:script|style)\b"), lambda _, i: i % 2 == 0)
-    words = F.regexp_replace(F.array_join(outside, " "), r"<[^<>]*>|\s+", "")
+    words = F.regexp_replace(F.array_join(outside, " "), r"<[^<>]*>", "")
     rows = pages.select(_host().alias("host"), "html").where("host is not null and html is not null").withColumn("key", F.xxhash64("host", words))
     often = cut_lineage(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     few = often.count() * 40 <= BROADCAST_BYTES

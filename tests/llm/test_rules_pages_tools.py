@@ -97,7 +97,7 @@ def brute_trees(pages):
     hosts, out, common = {}, {}, set()
     for url, html in pages:
         root = styletree.parse(html)
-        text = re.sub(r"<[^<>]*>|\s+", "", " ".join(re.split(r"(?i)</?(?:script|style)\b", html)[::2]))
+        text = re.sub(r"<[^<>]*>", "", " ".join(re.split(r"(?i)</?(?:script|style)\b", html)[::2]))
         hosts.setdefault(styletree.host_of(url), {})[text] = styletree.annotate(root)
     for host, by in hosts.items():
         paths = {n.path for order in by.values() for n in order}
