@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragweave.session import cut_lineage
 
+#: Links that one task finishes; more are contracted first.
+ONE_TASK = 15_000
+
+
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All links that are left to (u, to): each node and one member of its component."""
+    held = [(pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64)) for pdf in batches]
+    if not held:
+        return
+    a, b = (np.concatenate(x) for x in zip(*held))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[u], root[v]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pd.DataFrame({"u": nodes, "to": nodes[root]})
+
 
-def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+def components(links: DataFrame, rounds: int = 200, one_task: int = ONE_TASK) -> DataFrame:
     """(a, b) links between long ids -> (node, root): one root, some member, per component.
 
     Each round every node moves to the neighbour (itself included) of the smallest random
@@ -17,15 +42,20 @@ def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     share of nodes that stays shrinks geometrically in expectation whatever the shape, so
     chains end in logarithmically many rounds. Minima are pre-aggregated before the shuffle
     (a hub costs one row per task) and the renaming joins are plain equi-joins that adaptive
-    execution can split at a hub. Every round is cut by a reliable checkpoint. Nodes without
-    a link to another node get no row. Nulls are ignored; an empty table gives an empty one.
+    execution can split at a hub. Every round is cut by a reliable checkpoint. At most one_task
+    links are finished by one task at once, which changes no component. Nodes without a link to
+    another node get no row. Nulls are ignored; an empty table gives an empty one.
     """
     e = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = cut_lineage(e.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     for k in range(rounds):
-        if e.isEmpty():
+        left = e.count()
+        if not left:
             return found
+        if left <= one_task:
+            last = e.coalesce(1).mapInPandas(_finish, "u long, to long").select(F.col("u").alias("root"), "to")
+            return cut_lineage(found.join(last, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("p"), F.col(c).alias("v"))
         both = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), rank("b").alias("m")), F.struct(F.col("b").alias("u"), rank("a").alias("m")))).alias("x")).select("x.*")
         best = both.groupBy("u").agg(F.min("m").alias("m"))

@@ -24,10 +24,11 @@ class Union(dict):
             self[max(a, b)] = min(a, b)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [15_000, 0, 20])
+def test_components(spark, one_task):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(40)] + [(5, 5), (None, 3), (400, 401), (401, 400)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), one_task=one_task).collect()}
     u = Union()
     for a, b in links:
         if a is not None and a != b:
