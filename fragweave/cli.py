@@ -50,11 +50,6 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def _file(spark, path: str):
-    d = spark.read.format("binaryFile").load(path)
-    return d.selectExpr("0L as dataset_id", "regexp_extract(path, '([^/]*)$', 1) as filename", "content as data")
-
-
 def run(argv: list[str], spark=None) -> int:
     """The command; returns the exit status."""
     a = _parser().parse_args(argv)
@@ -66,16 +61,16 @@ def run(argv: list[str], spark=None) -> int:
         options = recover.ReconstructOptions(a.min_overlap, a.max_mismatches, a.graph_build, a.threads, a.io, a.strategy, a.beam_width, a.candidates, a.format, a.repair, a.repair_report is not None)
     spark = spark or local_session()
     if a.verb == "inspect":
-        r = fragments.inspect(_file(spark, a.file)).first()
+        r = fragments.inspect(fragments.load_file(spark, a.file)).first()
         say(file=r.filename, size=r.size, preview=r.preview)
         return 0
     if a.verb == "fragment":
-        out = recover.fragment(_file(spark, a.input), options)
+        out = recover.fragment(fragments.load_file(spark, a.input), options)
         say(fragments=sinks.write_files(out.fragments, a.output), changed_bytes=out.changes.count(), output=a.output)
         return 0
     if a.verb == "analyze":
         nodes = fragments.load_directory(spark, a.folder, io=a.io)
-        edges, stats = recover.analyse(nodes, graph.GraphConfig(a.min_overlap, a.max_mismatches, a.graph_build), a.top)
+        edges, stats = recover.analyse(nodes, graph.GraphConfig(a.min_overlap, a.max_mismatches, a.graph_build, a.threads), a.top)
         for r in stats.collect():
             say(**r.asDict())
         for r in edges.orderBy("dataset_id", "rank").collect():

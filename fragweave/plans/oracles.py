@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries of the catalogue, written from the semantics and not from the plans.
 
+The one lemma shared with the plans is that of tolerant edges: candidates come from k + 1 blocks, since
+all lengths of all pairs take minutes here. Tests hold it against all lengths on small tables.
+
 Payloads are upper-case hex: byte i (0-based) is substr(h, 2 * i + 1, 2). The recovery scenario
 is one chain of common table expressions; each query takes the part of it that it needs.
 """

@@ -55,7 +55,8 @@ class Recovery:
     @cached_property
     def nodes(self) -> DataFrame:
         """Emitted fragments as a scan finds them: dataset_id, node_id, filename, data, and frag_id, which is truth."""
-        return cut_lineage(with_node_ids(dmg.opaque_names(self.damage.fragments, DAMAGE.seed).drop("offset")))
+        # the ids come from a join of the fragments with their own names: behind a checkpoint damage runs once
+        return cut_lineage(with_node_ids(cut_lineage(dmg.opaque_names(self.damage.fragments, DAMAGE.seed).drop("offset"))))
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fragweave.functions.bytes import preview
-from fragweave.session import cut_lineage
 
 #: Accepted for parity of options; Spark owns the reading either way.
 IO = ("buffered", "mmap")
@@ -34,6 +33,32 @@ def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"name": [name], "length": [len(data)], "content": [data]})
 
 
+def _read(spark: SparkSession, files: list[tuple[str, str, int]]) -> DataFrame:
+    """(path, name, size) of listed files -> (name, length, content), read by tasks."""
+    raw = spark.createDataFrame([], "name string, length long, content binary")
+    plain = [p for p, n, size in files if size and not _ODD.search(n)]
+    if plain:
+        # the files themselves and not the folder: nothing below it is listed or taken for a partition
+        read = spark.read.format("binaryFile").load(plain)
+        raw = raw.unionByName(read.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", "content"))
+    odd = [(p, n) for p, n, size in files if not size or _ODD.search(n)]
+    if odd:
+        listed = spark.createDataFrame(odd, "path string, name string").repartition(min(len(odd), 1000))
+        raw = raw.unionByName(listed.mapInPandas(_open, "name string, length long, content binary"))
+    return raw
+
+
+def load_file(spark: SparkSession, path: str, dataset_id: int = 0) -> DataFrame:
+    """(dataset_id, filename, data) of one regular file, whatever its name; one that isn't there is an error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where) or not fs.getFileStatus(where).isFile():
+        raise ValueError(f"no file: {path}")
+    f = fs.getFileStatus(where)
+    raw = _read(spark, [(f.getPath().toString(), f.getPath().getName(), f.getLen())])
+    return raw.select(F.lit(dataset_id).cast("long").alias("dataset_id"), F.col("name").alias("filename"), F.col("content").alias("data"))
+
+
 def load_directory(spark: SparkSession, path: str, dataset_id: int = 0, io: str = "buffered") -> DataFrame:
     """(dataset_id, node_id, filename, size, data) of all regular files of a folder, whatever their names, not of folders below.
 
@@ -47,17 +72,7 @@ def load_directory(spark: SparkSession, path: str, dataset_id: int = 0, io: str
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
         raise ValueError(f"no folder: {path}")
-    files = [(f.getPath().toString(), f.getPath().getName(), f.getLen()) for f in fs.listStatus(where) if f.isFile()]
-    raw = spark.createDataFrame([], "name string, length long, content binary")
-    plain = [p for p, n, size in files if size and not _ODD.search(n)]
-    if plain:
-        # the files themselves and not the folder: nothing below it is listed or taken for a partition
-        read = spark.read.format("binaryFile").load(plain)
-        raw = raw.unionByName(read.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", "content"))
-    odd = [(p, n) for p, n, size in files if not size or _ODD.search(n)]
-    if odd:
-        listed = spark.createDataFrame(odd, "path string, name string").repartition(min(len(odd), 1000))
-        raw = raw.unionByName(listed.mapInPandas(_open, "name string, length long, content binary"))
+    raw = _read(spark, [(f.getPath().toString(), f.getPath().getName(), f.getLen()) for f in fs.listStatus(where) if f.isFile()])
     named = raw.select(F.lit(dataset_id).cast("long").alias("dataset_id"), F.col("name").alias("filename"), F.col("length").alias("size"), F.col("content").alias("data"))
     return with_node_ids(named)
 

@@ -67,3 +67,35 @@ def png_seeds() -> dict[str, bytes]:
         "methods": SIGNATURE + png_chunk(b"IHDR", png_header(compression=1, filters=1)) + data + end,
         "chunk_type": SIGNATURE + head + data + png_chunk(b"ID1T") + end,
     }
+
+
+def overlap_seeds() -> dict[str, bytes]:
+    """Inputs of overlap checks by name: three bytes that overlap_case() reads, then the bytes that are split in two."""
+    # Seeds that overlap checks start from.
+    return {
+        "exact-overlap": bytes([128, 1, 0]) + b"ABCBCD",
+        "no-overlap": bytes([128, 0, 0]) + b"ABCXYZ",
+        "one-mismatch": bytes([128, 1, 1]) + b"ABCDCxEF",
+        "multiple-mismatches": bytes([128, 1, 2]) + b"ABCDxyEF",
+        "empty-left": bytes([0, 0, 0]) + b"payload",
+        "empty-right": bytes([255, 0, 0]) + b"payload",
+        "binary-bytes": bytes([128, 0, 1]) + b"\x00\xff\x80\x13\x80\x13\x7a\x00",
+        "directional": bytes([128, 1, 0]) + b"ABCDEFCDEFZZ",
+        "minimum-boundary": bytes([128, 255, 0]) + b"AAAAAA",
+    }
+
+
+def overlap_case(seed: bytes) -> tuple[bytes, bytes, int, int] | None:
+    """(left, right, least overlap, most mismatches) of a seed; None without its three bytes.
+
+    The first byte is the share of the payload that goes left, in 256ths; the others, modulo the
+    number of possible overlaps, are the least overlap less one and the mismatches.
+    """
+    if len(seed) < 3:
+        return None
+    share, least, misses = seed[:3]
+    payload = seed[3:]
+    cut = share * (len(payload) + 1) // 256
+    left, right = payload[:cut], payload[cut:]
+    most = min(len(left), len(right))
+    return (left, right, 1 + least % (most + 1), misses % (most + 1)) if most else (left, right, 1, 0)

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from fragweave.operators import graph, png, repair, search
 from fragweave.operators.damage import DamageConfig
+from fragweave.operators.overlap import tolerant_overlap
 from fragweave.plans import benchmark, catalogue, recover
-from fragweave.sources.fragments import load_directory
-from tests.helpers import fragments
+from fragweave.sources import synthetic
+from fragweave.sources.fragments import load_directory, load_file
+from tests.helpers import brute_edge, fragments
 
 
 def test_scan_reads_every_regular_file(spark, tmp_path):
@@ -25,6 +27,7 @@ def test_scan_reads_every_regular_file(spark, tmp_path):
     assert all(bytes(r.data) == (tmp_path / r.filename).read_bytes() and r.size == len(r.data) for r in got)
     with pytest.raises(ValueError):
         load_directory(spark, str(tmp_path / "c.bin"))
+    assert [(r.filename, bytes(r.data)) for n in ("_a.bin", "c.bin", "empty") for r in load_file(spark, str(tmp_path / n)).collect()] == [(n, (tmp_path / n).read_bytes()) for n in ("_a.bin", "c.bin", "empty")]
     (tmp_path / "none").mkdir()
     assert load_directory(spark, str(tmp_path / "none")).count() == 0
 
@@ -140,6 +143,18 @@ def test_stretches_of_one_value_are_counted_not_listed(spark):
     assert [(r.position, r.kind, r.support, r.before) for r in odd] == [(2000, "corroborated", 2, data[2000])]
 
 
+def test_overlap_seeds(spark):
+    rows = []
+    for seed in synthetic.overlap_seeds().values():
+        left, right, least, k = synthetic.overlap_case(seed)
+        rows += [(left, right, least, k), (right, left, least, k)]
+    assert synthetic.overlap_case(b"ab") is None and len(rows) == 18
+    for left, right, least, k in rows:
+        d = spark.createDataFrame([(left, right)], "l binary, r binary").select(tolerant_overlap("l", "r", least, k).alias("o")).first().o
+        want = brute_edge(left, right, least, k)
+        assert (d.length, [m.overlap_offset for m in d.mismatch_details]) == ((want[0], list(want[1])) if want else (0, []))
+
+
 ORACLES = ["beam_candidates", "beam_output", "crc_repairs", "crc_summary", "graph_stats", "consensus_positions", "repair_counters", "repaired_output", "timeline"]
 
 
