@@ -257,5 +257,9 @@ def vocabulary(path: str) -> tuple[Bpe, dict]:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """documents -> (doc_id, n_tokens, ids_sha256, decoded_sha256), a row per row; null text is empty."""
+    """documents -> (doc_id, n_tokens, ids_sha256, decoded_sha256), a row per row, repeated and null ids too.
+
+    Null text is empty: no ids, and the digest of nothing. Whole texts are encoded, however long; memory
+    follows the distinct words of a run of texts, and a text is one word at worst. No documents: no rows.
+    """
     return docs.select("doc_id", encoder(path)("text").alias("e")).select("doc_id", "e.n_tokens", "e.ids_sha256", "e.decoded_sha256")

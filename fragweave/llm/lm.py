@@ -219,10 +219,10 @@ def likelihoods(docs: DataFrame, folds: int = 10, held_fold: int = 0, sample: in
     """documents -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row per row.
 
     Learns from all documents whose fold isn't held_fold; sample and tokens bound the start only.
-    Null texts are empty: one end symbol. Scores
-    are log10 probabilities. Words of training texts beyond the model's shortlist are predicted by
+    Null texts are empty: one end symbol. Scores are log10 probabilities. Words of training texts beyond the model's shortlist are predicted by
     bucket, then by their smoothed share of it; a word no training text has gets the share of one
-    unseen word. Null ids are trained on and not held out. No training documents: base_score 0.
+    unseen word. Null ids are trained on and not held out. Whole texts count, however long; repeated
+    rows stay. No training documents: base_score 0. No documents: no rows.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(fold("doc_id", folds), F.lit(-1)).alias("f"))
