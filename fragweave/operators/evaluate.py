@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragweave.functions.bytes import rate
+from fragweave.session import cut_lineage
 
 
 def selected(steps: DataFrame, emissions: DataFrame, roles: DataFrame, originals: DataFrame) -> DataFrame:
@@ -74,7 +75,9 @@ def metrics(original: DataFrame, final: DataFrame, steps: DataFrame, emissions:
 
     Rates over nothing are null. final: (dataset_id, data); repair_events: (dataset_id, repair_events).
     """
-    sel = selected(steps, emissions, roles, originals)
+    # both are read several times below, and roles come from the whole chain of damage
+    roles = cut_lineage(roles)
+    sel = cut_lineage(selected(steps, emissions, roles, originals))
     by = sel.groupBy("dataset_id").agg(
         F.count_if(F.col("role") == "original").alias("selected_originals"),
         F.count_if(F.col("role") == "duplicate").alias("selected_duplicates"),
