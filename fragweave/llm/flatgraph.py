@@ -425,22 +425,24 @@ def _truth(probes: list[tuple[int, bytes]], threshold: float):
 def _one_pass(vectors: DataFrame, centers: dict[int, np.ndarray], overlap: int, threshold: float, chunk: int, cluster: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Build, union and search with a given overlap -> (rows of _FOUND, (id, core), members)."""
     member = shards(vectors, centers, overlap, threshold, chunk, cluster)
+    # what is joined below are numbers and names; vectors come in once for each of the two groupings
+    data, slim = vectors.select("id", "probe", "n", "v"), member.drop("n", "v")
     of = member.groupBy("id", "probe").agg(F.collect_list("cluster").alias("near"), F.max(F.when(F.col("core"), F.col("cluster"))).alias("core"))
     # a dense cluster's chunks: those of its core first
     own = F.coalesce(F.col("core"), F.lit(False)) & F.col("home")
     size = member.groupBy("cluster").agg(F.ceil(F.count_if(own) / chunk).cast("int").alias("sa"), F.ceil(F.count_if(~own) / chunk).cast("int").alias("sb"), F.count("*").alias("m"))
     size = size.withColumn("sa", F.when(F.col("m") > chunk, F.col("sa")).otherwise(0)).withColumn("sb", F.when(F.col("m") > chunk, F.col("sb")).otherwise(1)).drop("m")
     h = F.xxhash64("id")
-    row = member.join(size, "cluster").withColumn("c", F.when(own & (F.col("sa") > 0), F.pmod(h, F.greatest("sa", F.lit(1)))).otherwise(F.col("sa") + F.pmod(h, F.greatest("sb", F.lit(1)))).cast("int"))
+    row = slim.join(size, "cluster").withColumn("c", F.when(own & (F.col("sa") > 0), F.pmod(h, F.greatest("sa", F.lit(1)))).otherwise(F.col("sa") + F.pmod(h, F.greatest("sb", F.lit(1)))).cast("int"))
     row = row.drop("core").join(of, ["id", "probe"])
-    adj = row.where("not probe and c >= sa").groupBy("cluster", "c").applyInPandas(_builder(threshold), "id long, adj array<long>")
+    adj = row.where("not probe and c >= sa").join(data, ["id", "probe"]).groupBy("cluster", "c").applyInPandas(_builder(threshold), "id long, adj array<long>")
     united = adj.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))
     row = row.join(united, "id", "left")
     # a task for each chunk and each pair of chunks, but for pairs within the core; in a pair, those of the first are nodes, those of the second queries
     row = row.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("sa") + F.col("sb") - 1))).where("c >= sa or p >= sa")
     row = row.withColumns({"i": F.least("c", "p"), "j": F.greatest("c", "p"), "is_node": (F.col("c") <= F.col("p")), "is_query": (F.col("c") >= F.col("p"))})
-    row = row.select("cluster", "i", "j", "is_node", "is_query", "id", "n", "v", "probe", "near", "core", F.when(F.col("i") == F.col("j"), F.col("adj")).alias("adj"))
-    got = cut_lineage(row.groupBy("cluster", "i", "j").applyInPandas(_searcher(threshold), _FOUND))
+    row = row.select("cluster", "i", "j", "is_node", "is_query", "id", "probe", "near", "core", F.when(F.col("i") == F.col("j"), F.col("adj")).alias("adj"))
+    got = cut_lineage(row.join(data, ["id", "probe"]).groupBy("cluster", "i", "j").applyInPandas(_searcher(threshold), _FOUND))
     return got, of.where("not probe and core is not null").select("id", "core"), member
 
 

@@ -177,8 +177,10 @@ def test_dense_groups_in_range_of_each_other_are_whole(spark, chunk):
     assert {got[i].component_id for i in range(120)} == {0}
 
 
-def test_a_pair_counts_in_its_first_common_shard_only():
-    """Whatever the search finds, each shard's check completes it, and one shard counts the pair."""
+def test_a_pair_counts_in_its_first_common_shard_only(monkeypatch):
+    """What the search misses, here all, each shard's check adds, and one shard counts the pair."""
+    nothing = np.zeros(0, np.int64)
+    monkeypatch.setattr(flatgraph, "search", lambda *a: (nothing, nothing))
     v = [x.astype("<f8").tobytes() for x in flatgraph.unit(np.array([[1.0, 0.1], [1.0, 0.0], [0.0, 1.0]]))]
     rows = pd.DataFrame({"id": [1, 2, 5], "n": [1, 3, 1], "v": v, "probe": [False, False, False], "near": [["2:0", "2:1"], ["2:0", "2:1"], ["2:1"]], "core": None, "adj": [[], [], []], "is_node": True, "is_query": True})
     run = flatgraph._searcher(0.95)
