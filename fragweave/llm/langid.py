@@ -27,6 +27,8 @@ ORDER = 3
 SAMPLE = 500
 #: Code lengths are compared over this many bytes of evidence at most when they become a score.
 EVIDENCE = 60.0
+#: Characters whose grams are looked up together.
+CHUNK = 250_000
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -63,9 +65,9 @@ class Model:
 
 
 def grams(text: str) -> np.ndarray:
-    """The last ORDER bytes and the next, as one number, at each coded byte of a text."""
-    y = np.frombuffer(normal(text), np.uint8).astype(np.int64)
-    code = np.zeros(max(0, len(y) - ORDER), np.int64)
+    """The last ORDER bytes and the next, as one number of 32 bits, at each coded byte of a text."""
+    y = np.frombuffer(normal(text), np.uint8).astype(np.uint32)
+    code = np.zeros(max(0, len(y) - ORDER), np.uint32)
     for j in range(ORDER + 1):
         code = code << 8 | y[j : len(y) - ORDER + j]
     return code
@@ -92,7 +94,7 @@ def train_counts(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 def train(texts: dict[str, list[str]]) -> Model:
     """Context trees of every language from its texts."""
     every = {k: [grams(t) for t in v] for k, v in texts.items()}
-    return train_counts({k: np.unique(np.concatenate([np.zeros(0, np.int64), *v]), return_counts=True) for k, v in every.items()})
+    return train_counts({k: np.unique(np.concatenate([np.zeros(0, np.uint32), *v]), return_counts=True) for k, v in every.items()})
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +124,7 @@ def code_lengths(texts: list[str], m: Model) -> tuple[np.ndarray, np.ndarray]:
     per = [grams(t) for t in texts]
     sizes = np.fromiter(map(len, per), np.int64, len(per))
     out = np.zeros((len(per), len(m.langs)))
-    code, at = np.unique(np.concatenate([np.zeros(0, np.int64), *per]), return_inverse=True)
+    code, at = np.unique(np.concatenate([np.zeros(0, np.uint32), *per]), return_inverse=True)
     if len(code):
         some = np.flatnonzero(sizes)
         begin = (np.cumsum(sizes) - sizes)[some]
@@ -151,7 +153,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def rows(held: dict[str, list[np.ndarray]]) -> pd.DataFrame:
         parts = [(k, *np.unique(np.concatenate(v), return_counts=True)) for k, v in held.items()]
-        return pd.concat([pd.DataFrame({"lang": k, "code": c, "n": n}) for k, c, n in parts], ignore_index=True)
+        return pd.concat([pd.DataFrame({"lang": k, "code": c.astype(np.int64), "n": n}) for k, c, n in parts], ignore_index=True)
 
     held: dict[str, list[np.ndarray]] = {}
     size = 0
@@ -186,7 +188,7 @@ def fit(docs: DataFrame, folds: int = 5, held_fold: int = 0, sample: int = SAMPL
     few = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread)) < F.col("upto")).select("lang", "text")
     counted = few.mapInPandas(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     by = counted.toPandas().sort_values(["lang", "code"])
-    return train_counts({k: (d["code"].to_numpy(np.int64), d["n"].to_numpy(np.int64)) for k, d in by.groupby("lang")})
+    return train_counts({k: (d["code"].to_numpy(np.uint32), d["n"].to_numpy(np.int64)) for k, d in by.groupby("lang")})
 
 
 def predictor(spark, model: Model) -> Callable:
@@ -200,7 +202,7 @@ def predictor(spark, model: Model) -> Callable:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for s in batches:
-            parts = [predict(c, m) for c in chunks(s, 1_000_000)]
+            parts = [predict(c, m) for c in chunks(s, CHUNK)]
             yield pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)})
 
     return run
