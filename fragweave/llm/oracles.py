@@ -66,7 +66,7 @@ FROM base"""
 def op6() -> str:
     """Messages only: the tables hold no tool markup, so every turn is one."""
     return """
-SELECT conv_id, turn, 0::INTEGER AS idx, 'message' AS kind, NULL::VARCHAR AS call_id, NULL::INTEGER AS level, 'message' AS status,
-  0::BIGINT AS n_calls, 0::BIGINT AS n_results, NULL::BOOLEAN AS valid, '' AS errors,
+SELECT conv_id, turn, 0::INTEGER AS idx, 'message' AS kind, '' AS call_id, -2::INTEGER AS level, 'message' AS status,
+  0::BIGINT AS n_calls, 0::BIGINT AS n_results, true AS valid, '' AS errors,
   '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json
 FROM conversations"""

@@ -47,7 +47,9 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation: calls, results and what refers to what, and plain messages as they are."""
     found = toolcalls.link(toolcalls.read_events(table(spark, sf_dir, "conversations")))
-    return found.withColumn("errors", F.array_join("errors", "; "))
+    # every column has a value: level is -2 where there is none, valid true where there is nothing to check
+    found = found.withColumn("errors", F.array_join("errors", "; "))
+    return found.na.fill({"call_id": "", "level": -2, "valid": True})
 
 
 def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
