@@ -55,15 +55,21 @@ def drop(frags: DataFrame, k: int, seed: int) -> tuple[DataFrame, DataFrame]:
     return d.where(F.col("_k") > k).drop("_k", "_n"), d.where(F.col("_k") <= k).drop("_k", "_n")
 
 
-def duplicate(frags: DataFrame, k: int, seed: int) -> DataFrame:
-    """k copies in each dataset, drawn with replacement: dataset_id, frag_id (after the largest), offset, data, source_frag_id."""
+def copy_ids(frags: DataFrame, k: int, seed: int) -> DataFrame:
+    """(dataset_id, frag_id, source_frag_id): k copies in each dataset, drawn with replacement, with ids after the largest. No payload moves."""
     w = Window.partitionBy("dataset_id").orderBy("frag_id")
-    place = frags.withColumn("_i", (F.row_number().over(w) - 1).cast("bigint"))
+    place = frags.select("dataset_id", F.col("frag_id").alias("source_frag_id"), (F.row_number().over(w) - 1).cast("bigint").alias("_i"))
     size = frags.groupBy("dataset_id").agg(F.count("*").alias("_n"), F.max("frag_id").alias("_max"))
     picks = size.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))) if k else size.limit(0).withColumn("_j", F.lit(0).cast("bigint"))
     picks = picks.withColumn("_i", draw(seed, "duplicate", "dataset_id", "_j") % F.col("_n"))
-    d = picks.join(place, ["dataset_id", "_i"])
-    return d.select("dataset_id", (F.col("_max") + 1 + F.col("_j")).alias("frag_id"), "offset", "data", F.col("frag_id").alias("source_frag_id"))
+    return picks.join(place, ["dataset_id", "_i"]).select("dataset_id", (F.col("_max") + 1 + F.col("_j")).alias("frag_id"), "source_frag_id")
+
+
+def duplicate(frags: DataFrame, k: int, seed: int) -> DataFrame:
+    """The copies of copy_ids() with what they copy: dataset_id, frag_id, offset, data, source_frag_id."""
+    source = frags.select("dataset_id", F.col("frag_id").alias("source_frag_id"), "offset", "data")
+    d = copy_ids(frags, k, seed).join(source, ["dataset_id", "source_frag_id"])
+    return d.select("dataset_id", "frag_id", "offset", "data", "source_frag_id")
 
 
 def noise(survivors: DataFrame, first_id: DataFrame, k: int, seed: int) -> DataFrame:
@@ -71,7 +77,16 @@ def noise(survivors: DataFrame, first_id: DataFrame, k: int, seed: int) -> DataF
 
     first_id: (dataset_id, next_id), the id of the first of them.
     """
-    size = survivors.groupBy("dataset_id").agg(F.min(F.length("data")).alias("_lo"), F.max(F.length("data")).alias("_hi")).join(first_id, "dataset_id")
+    return _noise(_sizes(survivors), first_id, k, seed)
+
+
+def _sizes(frags: DataFrame) -> DataFrame:
+    return frags.select("dataset_id", "frag_id", F.length("data").cast("bigint").alias("size"))
+
+
+def _noise(sizes: DataFrame, first_id: DataFrame, k: int, seed: int) -> DataFrame:
+    """noise() from the survivors' sizes."""
+    size = sizes.groupBy("dataset_id").agg(F.min("size").cast("int").alias("_lo"), F.max("size").cast("int").alias("_hi")).join(first_id, "dataset_id")
     if not k:
         return size.limit(0).select("dataset_id", F.lit(0).cast("bigint").alias("frag_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(b"").alias("data"))
     d = size.where(_demand(F.col("_hi") > 0, "noise needs a fragment that isn't empty")).withColumn("_lo", F.greatest(F.lit(1), "_lo"))
@@ -81,16 +96,15 @@ def noise(survivors: DataFrame, first_id: DataFrame, k: int, seed: int) -> DataF
     return d.select("dataset_id", (F.col("next_id") + F.col("_j")).alias("frag_id"), F.lit(0).cast("bigint").alias("offset"), F.substr(F.unhex(F.array_join(blocks, "")), F.lit(1), F.col("_n")).alias("data"))
 
 
-def corruptions(frags: DataFrame, k: int, seed: int) -> DataFrame:
-    """k distinct bytes of each dataset to change: dataset_id, frag_id, byte_offset, original_value, corrupted_value.
+def changed_places(sizes: DataFrame, k: int, seed: int) -> DataFrame:
+    """(dataset_id, frag_id, byte_offset, mask): k distinct bytes of each dataset and what changes each by exclusive or.
 
-    Positions count over the fragments in order of id. The j-th lies in the j-th of k equal
-    stretches, at random there, so positions are distinct without listing all; the value is
-    combined with 1..255 by exclusive or, so it always changes.
+    sizes: (dataset_id, frag_id, size), so no payload moves. Positions count over the fragments in order of
+    id. The j-th lies in the j-th of k equal stretches, at random there, so positions are distinct
+    without listing all; the mask is one of 1..255, so the value always changes.
     """
-    flat = frags.select("dataset_id", "frag_id", F.length("data").cast("bigint").alias("_n"), "data")
     w = Window.partitionBy("dataset_id").orderBy("frag_id")
-    ends = flat.select("dataset_id", "frag_id", "_n", F.sum("_n").over(w).alias("_end"))
+    ends = sizes.select("dataset_id", "frag_id", F.col("size").alias("_n"), F.sum("size").over(w).alias("_end"))
     total = ends.groupBy("dataset_id").agg(F.max("_end").alias("_t"))
     if not k:
         picks = total.limit(0).withColumn("_j", F.lit(0).cast("bigint")).withColumn("_pos", F.lit(0).cast("bigint"))
@@ -99,11 +113,15 @@ def corruptions(frags: DataFrame, k: int, seed: int) -> DataFrame:
         picks = total.where(_demand(F.col("_t") >= k, "more bytes to corrupt than there are")).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))))
         picks = picks.withColumn("_pos", edge("_j") + draw(seed, "corrupt", "dataset_id", "_j") % (edge("_j + 1") - edge("_j")))
     hit = picks.join(ends, "dataset_id").where((F.col("_pos") < F.col("_end")) & (F.col("_pos") >= F.col("_end") - F.col("_n")))
-    hit = hit.select("dataset_id", "frag_id", "_j", (F.col("_pos") - F.col("_end") + F.col("_n")).alias("byte_offset"))
-    hit = hit.join(frags.select("dataset_id", "frag_id", "data"), ["dataset_id", "frag_id"])
+    mask = (1 + draw(seed, "corrupt-value", "dataset_id", "_j") % 255).cast("smallint")
+    return hit.select("dataset_id", "frag_id", (F.col("_pos") - F.col("_end") + F.col("_n")).alias("byte_offset"), mask.alias("mask"))
+
+
+def corruptions(frags: DataFrame, k: int, seed: int) -> DataFrame:
+    """The bytes that changed_places() picks: dataset_id, frag_id, byte_offset, original_value, corrupted_value."""
+    hit = changed_places(_sizes(frags), k, seed).join(frags.select("dataset_id", "frag_id", "data"), ["dataset_id", "frag_id"])
     old = byte_at("data", (F.col("byte_offset") + 1).cast("int"))
-    new = old.bitwiseXOR((1 + draw(seed, "corrupt-value", "dataset_id", "_j") % 255).cast("smallint"))
-    return hit.select("dataset_id", "frag_id", "byte_offset", old.alias("original_value"), new.alias("corrupted_value"))
+    return hit.select("dataset_id", "frag_id", "byte_offset", old.alias("original_value"), old.bitwiseXOR(F.col("mask")).alias("corrupted_value"))
 
 
 def apply_corruptions(frags: DataFrame, changes: DataFrame) -> DataFrame:
@@ -124,19 +142,62 @@ class Damage:
     changes: DataFrame
 
 
-def damage(frags: DataFrame, config: DamageConfig) -> Damage:
-    """Drop, then duplicate, then noise, then corrupt what isn't noise; copies are made before bytes change."""
+#: Copies and changed bytes of a dataset up to which each of its fragments looks for its own among all of them.
+FEW = 64
+
+
+def _in_place(kept: DataFrame, size: DataFrame, copies: DataFrame, places: DataFrame, made: DataFrame) -> DataFrame:
+    """kept with copies, changed bytes and noise, joined by dataset alone: payloads that lie together by dataset_id don't move.
+
+    size: _sizes() of kept; copies: copy_ids(); places: changed_places(); made: noise(). A dataset has few of
+    the last three. What it has is one row; the fragment of the least id emits the noise.
+    """
+    listed = lambda d, name, *cols: d.groupBy("dataset_id").agg(F.collect_list(F.struct(*cols)).alias(name))
+    per = size.groupBy("dataset_id").agg(F.min("frag_id").alias("_first"))
+    per = per.join(listed(copies, "_copies", "source_frag_id", "frag_id"), "dataset_id", "left")
+    per = per.join(listed(places, "_places", "frag_id", "byte_offset", "mask"), "dataset_id", "left")
+    per = per.join(listed(made, "_made", "frag_id", "offset", "data"), "dataset_id", "left")
+    d = kept.select("dataset_id", "frag_id", "offset", "data").join(per.hint("shuffle_hash"), "dataset_id", "left")
+
+    def change(data, p):
+        at = p["byte_offset"].cast("int")
+        return splice(data, at, byte_at(data, at + 1).bitwiseXOR(p["mask"]))
+
+    def emitted(frag_id):
+        new = F.aggregate(F.filter("_places", lambda p: p["frag_id"] == frag_id), F.col("data"), change)
+        return F.struct(frag_id.alias("frag_id"), F.col("offset").alias("offset"), F.coalesce(new, F.col("data")).alias("data"))
+
+    own = F.filter("_copies", lambda c: c["source_frag_id"] == F.col("frag_id"))
+    nothing = F.array().cast("array<struct<frag_id:bigint,offset:bigint,data:binary>>")
+    all_of = F.concat(
+        F.array(emitted(F.col("frag_id"))),
+        F.coalesce(F.transform(own, lambda c: emitted(c["frag_id"])), nothing),
+        F.when(F.col("frag_id") == F.col("_first"), F.coalesce("_made", nothing)).otherwise(nothing),
+    )
+    return d.select("dataset_id", F.explode(all_of).alias("x")).select("dataset_id", "x.frag_id", "x.offset", "x.data")
+
+
+def damage(frags: DataFrame, config: DamageConfig, sizes: DataFrame | None = None) -> Damage:
+    """Drop, then duplicate, then noise, then corrupt what isn't noise; copies are made before bytes change.
+
+    sizes: (dataset_id, frag_id, size) of frags, where a plan has them without moving payloads.
+    """
     kept, gone = drop(frags, config.drop, config.seed)
-    copies = duplicate(kept, config.duplicate, config.seed)
+    size = drop(_sizes(frags) if sizes is None else sizes, config.drop, config.seed)[0]
+    copies = copy_ids(size, config.duplicate, config.seed)
     columns = ["dataset_id", "frag_id", "offset", "data"]
-    clean = kept.select(columns).unionByName(copies.select(columns))
-    next_id = clean.groupBy("dataset_id").agg((F.max("frag_id") + 1).alias("next_id"))
-    made = noise(kept, next_id, config.noise, config.seed)
+    both = size.unionByName(copies.join(size.withColumnRenamed("frag_id", "source_frag_id"), ["dataset_id", "source_frag_id"]).select("dataset_id", "frag_id", "size"))
+    next_id = both.groupBy("dataset_id").agg((F.max("frag_id") + 1).alias("next_id"))
+    made = _noise(size, next_id, config.noise, config.seed)
+    clean = kept.select(columns).unionByName(duplicate(kept, config.duplicate, config.seed).select(columns))
     changes = corruptions(clean, config.corrupt, config.seed)
-    out = apply_corruptions(clean, changes).select(columns).unionByName(made.select(columns))
+    if max(config.duplicate, config.noise, config.corrupt) <= FEW:
+        out = _in_place(kept, size, copies, changed_places(both, config.corrupt, config.seed), made)
+    else:
+        out = apply_corruptions(clean, changes).select(columns).unionByName(made.select(columns))
     role = lambda df, r, source: df.select("dataset_id", "frag_id", F.lit(r).alias("role"), source.cast("bigint").alias("source_frag_id"))
     none = F.lit(None)
-    roles = role(kept, "original", F.col("frag_id")).unionByName(role(copies, "duplicate", F.col("source_frag_id"))).unionByName(role(made, "noise", none)).unionByName(role(gone, "dropped", F.col("frag_id")))
+    roles = role(size, "original", F.col("frag_id")).unionByName(role(copies, "duplicate", F.col("source_frag_id"))).unionByName(role(made, "noise", none)).unionByName(role(gone, "dropped", F.col("frag_id")))
     return Damage(out, roles, changes)
 
 

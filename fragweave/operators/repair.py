@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragweave.functions.bytes import byte_of, chars, hex_byte
+from fragweave.functions.bytes import chars, hex_byte
 from fragweave.session import cut_lineage
 
 
@@ -23,48 +23,65 @@ def placements(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.select("dataset_id", "step_no", "node_id", F.sum("_ahead").over(w).cast("bigint").alias("start"), "size")
 
 
-def ballots(places: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(dataset_id, position, value, votes) of positions that two or more fragments may cover.
+#: Output bytes of a block; a block's slices are voted on together.
+BLOCK = 1024
+
+
+def _slices(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(dataset_id, block, at, part, n, first): the stretches of fragments in each block of the output, equal ones counted.
 
-    Each fragment gives the bytes that an earlier one can reach over or a later one begins
-    before; bytes that only it covers are never exploded.
+    Each fragment gives the bytes that an earlier one can reach over or a later one begins before;
+    bytes that only it covers never move. A block's rows lie in one partition. first: the earliest step that has it.
     """
     w = Window.partitionBy("dataset_id").orderBy("step_no")
     end = F.col("start") + F.col("size")
     d = places.withColumn("_before", F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     d = d.withColumn("_after", F.coalesce(F.min("start").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(1 << 62)))
-    d = d.join(nodes.select("dataset_id", "node_id", "data"), ["dataset_id", "node_id"])
     # [start, head) is covered before, [tail, end) after; if they meet, all of it
-    head = F.greatest(F.col("start"), F.least(end, F.col("_before")))
-    tail = F.greatest(head, F.least(end, F.col("_after")))
-    piece = lambda a, b: F.struct(a.alias("at"), F.substr("data", (a - F.col("start") + 1).cast("int"), (b - a).cast("int")).alias("part"))
-    d = d.select("dataset_id", F.explode(F.array(piece(F.col("start"), head), piece(tail, end))).alias("x")).where("length(x.part) > 0")
-    d = d.select("dataset_id", F.col("x.at").alias("at"), F.posexplode(chars("x.part")).alias("i", "c"))
-    return d.groupBy("dataset_id", (F.col("at") + F.col("i")).alias("position"), byte_of(F.col("c")).alias("value")).agg(F.count("*").alias("votes"))
+    d = d.withColumn("_head", F.greatest(F.col("start"), F.least(end, F.col("_before")))).withColumn("_tail", F.greatest("_head", F.least(end, F.col("_after"))))
+    d = d.where((F.col("_head") > F.col("start")) | (F.col("_tail") < end))
+    d = d.join(nodes.select("dataset_id", "node_id", "data"), ["dataset_id", "node_id"])
+    d = d.withColumn("x", F.explode(F.array(F.struct(F.col("start").alias("a"), F.col("_head").alias("b")), F.struct(F.col("_tail").alias("a"), end.alias("b"))))).where("x.b > x.a")
+    d = d.withColumn("block", F.explode(F.sequence(F.expr(f"x.a div {BLOCK}"), F.expr(f"(x.b - 1) div {BLOCK}"))))
+    at = F.greatest(F.col("x.a"), F.col("block") * BLOCK)
+    stop = F.least(F.col("x.b"), (F.col("block") + 1) * BLOCK)
+    part = F.substr("data", (at - F.col("start") + 1).cast("int"), (stop - at).cast("int"))
+    d = d.select("dataset_id", "block", at.alias("at"), part.alias("part"), "step_no").repartition("dataset_id", "block")
+    return d.groupBy("dataset_id", "block", "at", "part").agg(F.count("*").alias("n"), F.min("step_no").alias("first"))
 
 
-def votes(places: DataFrame, nodes: DataFrame) -> DataFrame:
-    """ballots() of the positions that two or more fragments do cover."""
-    by = ballots(places, nodes)
-    return by.withColumn("_n", F.sum("votes").over(Window.partitionBy("dataset_id", "position"))).where("_n >= 2").drop("_n")
+def _blocks(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(dataset_id, block, slices)."""
+    return _slices(places, nodes).groupBy("dataset_id", "block").agg(F.collect_list(F.struct("at", "part", "n", "first")).alias("slices"))
 
 
-#: Output bytes of a block; a block's slices are voted on together.
-BLOCK = 1024
+def _table(found: list[tuple]) -> pd.DataFrame:
+    ds, *columns = zip(*found)
+    return pd.DataFrame({"dataset_id": [x for d in ds for x in d]} | dict(zip(("position", "value", "votes"), map(np.concatenate, columns))))
 
 
-def _slices(places: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(dataset_id, block, at, part, n, first): the stretches of fragments in each block of the output, equal ones counted.
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of slices to the votes of each value at positions that two or more fragments cover."""
+    for pdf in batches:
+        found, rows = [], 0
+        for ds, block, slices in zip(pdf["dataset_id"], pdf["block"], pdf["slices"]):
+            votes = np.zeros((BLOCK, 256), np.int64)
+            for s in slices:
+                a, data = int(s["at"]) - int(block) * BLOCK, np.frombuffer(s["part"], np.uint8)
+                votes[np.arange(a, a + len(data)), data] += s["n"]
+            p, v = np.nonzero(votes * (votes.sum(1, keepdims=True) >= 2))
+            found.append(([ds] * len(p), p + int(block) * BLOCK, v.astype(np.int16), votes[p, v]))
+            rows += len(p)
+            if rows > 200_000:
+                yield _table(found)
+                found, rows = [], 0
+        if found:
+            yield _table(found)
 
-    first: the earliest step that has it.
-    """
-    d = places.join(nodes.select("dataset_id", "node_id", "data"), ["dataset_id", "node_id"]).where("size > 0")
-    d = d.withColumn("block", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}"))))
-    at = F.greatest(F.col("start"), F.col("block") * BLOCK)
-    end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    part = F.substr("data", (at - F.col("start") + 1).cast("int"), (end - at).cast("int"))
-    d = d.select("dataset_id", "block", at.alias("at"), part.alias("part"), "step_no")
-    return d.groupBy("dataset_id", "block", "at", "part").agg(F.count("*").alias("n"), F.min("step_no").alias("first"))
+
+def votes(places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(dataset_id, position, value, votes) of the positions that two or more fragments cover, counted block by block."""
+    return _blocks(places, nodes).mapInPandas(_count, f"dataset_id {dict(places.dtypes)['dataset_id']}, position long, value short, votes long")
 
 
 _POSITION = "position long, length long, observations long, distinct_values long, support long, before smallint, after smallint, votes array<struct<value:smallint,votes:bigint>>, kind string"
@@ -117,8 +134,7 @@ def positions(places: DataFrame, nodes: DataFrame) -> DataFrame:
     one row of its length, without the figures of a single position. Slices of a block that many
     fragments have alike are counted before they are gathered, so a block holds different ones only.
     """
-    by = _slices(places, nodes).groupBy("dataset_id", "block").agg(F.collect_list(F.struct("at", "part", "n", "first")).alias("slices"))
-    return by.mapInPandas(_vote, f"dataset_id {dict(places.dtypes)['dataset_id']}, {_POSITION}")
+    return _blocks(places, nodes).mapInPandas(_vote, f"dataset_id {dict(places.dtypes)['dataset_id']}, {_POSITION}")
 
 
 def repairs(pos: DataFrame) -> DataFrame:

@@ -263,9 +263,9 @@ def materialise(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     d = steps.join(nodes.select("dataset_id", "node_id", "data"), ["dataset_id", "node_id"], "left")
     wrong = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("node_id").cast("string"))).cast("binary")
     d = d.withColumn("data", F.when(F.col("data").isNull(), wrong("no payload for a step's fragment")).when(F.col("overlap_from_previous") > F.length("data"), wrong("an overlap larger than the fragment")).otherwise(F.col("data")))
-    part = F.hex(F.substr("data", (F.col("overlap_from_previous") + 1).cast("int"), F.length("data")))
-    parts = d.groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("step_no", part.alias("h")))).alias("p"))
-    return parts.select("dataset_id", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("data"))
+    part = F.substr("data", (F.col("overlap_from_previous") + 1).cast("int"), F.length("data"))
+    parts = d.groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("step_no", part.alias("b")))).alias("p"))
+    return parts.select("dataset_id", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["b"])), "")).alias("data"))
 
 
 def totals(steps: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -88,13 +88,17 @@ def load_directories(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
     return out
 
 
-def with_node_ids(frags: DataFrame) -> DataFrame:
+def with_node_ids(frags: DataFrame, together: bool = False) -> DataFrame:
     """(dataset_id, filename, data, ...) with node_id, the 0-based place by file name in byte order within its dataset.
 
-    Only names are sorted; the payload joins its id again by name.
+    Only names are sorted; the payload joins its id again by name. With `together`, where a
+    dataset's payload lies in one partition anyway, it is sorted along and moves no more.
     """
     w = Window.partitionBy("dataset_id").orderBy("filename")
-    ids = frags.select("dataset_id", "filename").withColumn("node_id", (F.row_number().over(w) - 1).cast("bigint"))
+    node_id = (F.row_number().over(w) - 1).cast("bigint")
+    if together:
+        return frags.withColumn("node_id", node_id)
+    ids = frags.select("dataset_id", "filename").withColumn("node_id", node_id)
     return frags.join(ids, ["dataset_id", "filename"])
 
 
