@@ -207,8 +207,13 @@ def shuffled(frags: DataFrame, seed: int) -> DataFrame:
     return frags.withColumn("position", (F.row_number().over(w) - 1).cast("bigint"))
 
 
+def opaque_name(seed: int) -> Column:
+    """shard_<16 hex digits>.bin of a dataset_id and a frag_id."""
+    return F.concat(F.lit("shard_"), F.substring(digest(seed, "name", "dataset_id", "frag_id"), 1, 16), F.lit(".bin"))
+
+
 def opaque_names(frags: DataFrame, seed: int) -> DataFrame:
     """Fragments with filename shard_<16 hex digits>.bin; an error if two of a dataset met the same."""
-    d = frags.withColumn("filename", F.concat(F.lit("shard_"), F.substring(digest(seed, "name", "dataset_id", "frag_id"), 1, 16), F.lit(".bin")))
+    d = frags.withColumn("filename", opaque_name(seed))
     twice = F.count("*").over(Window.partitionBy("dataset_id", "filename"))
     return d.withColumn("_n", twice).where(_demand(F.col("_n") == 1, "two fragments have one name")).drop("_n")

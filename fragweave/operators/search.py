@@ -9,7 +9,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,18 +256,48 @@ def steps_of(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select("dataset_id", "step_no", "node_id", "overlap_from_previous", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("mismatches", F.lit(0)).alias("mismatches"), F.coalesce("exact", F.lit(True)).alias("exact"))
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Datasets (dataset_id, path, overlaps, ids, parts) to (dataset_id, data)."""
+    for batch in batches:
+        path, overlaps, ids = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("path", "overlaps", "ids"))
+        steps, nodes = (batch[c].offsets.to_numpy() - batch[c].offsets[0].as_py() for c in ("path", "ids"))
+        parts = batch["parts"].flatten()
+        done, size, first = [], 0, 0
+        for i in range(len(batch)):
+            u, v = nodes[i], nodes[i + 1]
+            order = np.argsort(ids[u:v], kind="stable")
+            own, want = ids[u:v][order], path[steps[i] : steps[i + 1]]
+            at = np.searchsorted(own, want)
+            lost = (at >= len(own)) | (own[np.minimum(at, len(own) - 1)] != want) if len(own) else np.ones(len(want), bool)
+            if lost.any():
+                raise ValueError(f"no payload for a step's fragment: {want[lost][0]}")
+            out = []
+            for k, p, n in zip(want.tolist(), (u + order[at]).tolist(), overlaps[steps[i] : steps[i + 1]].tolist()):
+                part = parts[p].as_buffer()
+                if n > len(part):
+                    raise ValueError(f"an overlap larger than the fragment: {k}")
+                out.append(memoryview(part)[n:])
+            done.append(b"".join(out))
+            size += len(done[-1])
+            if size > 4_000_000 or i == len(batch) - 1:
+                yield pa.RecordBatch.from_arrays([batch["dataset_id"].slice(first, i + 1 - first), pa.array(done, pa.binary())], ["dataset_id", "data"])
+                done, size, first = [], 0, i + 1
+
+
 def materialise(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     """(dataset_id, data): fragments in order, each without the bytes that overlap what is there. The left bytes win.
 
-    A dataset's output is one row, as a file is; parts are sorted by step before they are joined. A
-    step without a fragment, or with an overlap larger than it, is an error.
+    A dataset's output is one row, as a file is, so its fragments are gathered once and joined in the
+    task. A step without a fragment, or with an overlap larger than it, is an error.
     """
-    d = steps.join(nodes.select("dataset_id", "node_id", "data"), ["dataset_id", "node_id"], "left")
-    wrong = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col("node_id").cast("string"))).cast("binary")
-    d = d.withColumn("data", F.when(F.col("data").isNull(), wrong("no payload for a step's fragment")).when(F.col("overlap_from_previous") > F.length("data"), wrong("an overlap larger than the fragment")).otherwise(F.col("data")))
-    part = F.substr("data", (F.col("overlap_from_previous") + 1).cast("int"), F.length("data"))
-    parts = d.groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("step_no", part.alias("b")))).alias("p"))
-    return parts.select("dataset_id", F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["b"])), "")).alias("data"))
+    ordered = F.sort_array(F.collect_list(F.struct("step_no", F.col("node_id").cast("bigint").alias("n"), F.col("overlap_from_previous").cast("bigint").alias("o"))))
+    path = steps.where("dataset_id is not null").groupBy("dataset_id").agg(ordered.alias("p"))
+    held = nodes.where("data is not null").groupBy("dataset_id").agg(F.collect_list(F.col("node_id").cast("bigint")).alias("ids"), F.collect_list("data").alias("parts"))
+    d = path.join(held, "dataset_id", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    column = lambda c, name: F.transform("p", lambda x: x[c]).alias(name)
+    d = d.select("dataset_id", column("n", "path"), column("o", "overlaps"), empty("ids", "bigint"), empty("parts", "binary"))
+    return d.mapInArrow(_merge, f"dataset_id {dict(steps.dtypes)['dataset_id']}, data binary")
 
 
 def totals(steps: DataFrame, nodes: DataFrame) -> DataFrame:

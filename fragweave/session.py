@@ -66,12 +66,14 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of df behind a reliable checkpoint in the shared folder.
 
-    Shuffle files go when the driver's JVM collects the plans that made them; those of earlier
-    checkpoints are collected here, or all of a query's stages would lie on disk at once.
+    Shuffle files go when the driver's JVM collects the plans that made them; those of df are
+    collected at once where nothing else holds it, or all of a query's stages would lie on disk together.
     """
     sc = df.sparkSession.sparkContext
-    gc.collect()
-    sc._jvm.System.gc()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
