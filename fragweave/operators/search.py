@@ -257,17 +257,19 @@ def steps_of(candidates: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Datasets (dataset_id, path, overlaps, ids, parts) to (dataset_id, data)."""
+    """Datasets (dataset_id, path, overlaps, ids, parts, at, after) to (dataset_id, data)."""
     for batch in batches:
         path, overlaps, ids = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("path", "overlaps", "ids"))
         steps, nodes = (batch[c].offsets.to_numpy() - batch[c].offsets[0].as_py() for c in ("path", "ids"))
         parts = batch["parts"].flatten()
+        places, values = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("at", "after"))
+        changes = batch["at"].offsets.to_numpy() - batch["at"].offsets[0].as_py()
         done, size, first = [], 0, 0
         for i in range(len(batch)):
             u, v = nodes[i], nodes[i + 1]
             order = np.argsort(ids[u:v], kind="stable")
             own, want = ids[u:v][order], path[steps[i] : steps[i + 1]]
-            at = np.searchsorted(own, want)
+            at = np.searchsorted(own, want)  # places in order of id
             lost = (at >= len(own)) | (own[np.minimum(at, len(own) - 1)] != want) if len(own) else np.ones(len(want), bool)
             if lost.any():
                 raise ValueError(f"no payload for a step's fragment: {want[lost][0]}")
@@ -277,26 +279,41 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if n > len(part):
                     raise ValueError(f"an overlap larger than the fragment: {k}")
                 out.append(memoryview(part)[n:])
-            done.append(b"".join(out))
+            whole = b"".join(out)
+            z = slice(changes[i], changes[i + 1])
+            if z.start < z.stop:
+                new, inside = np.frombuffer(whole, np.uint8).copy(), (places[z] >= 0) & (places[z] < len(whole))
+                new[places[z][inside]] = values[z][inside]
+                whole = new.tobytes()
+            done.append(whole)
             size += len(done[-1])
             if size > 4_000_000 or i == len(batch) - 1:
                 yield pa.RecordBatch.from_arrays([batch["dataset_id"].slice(first, i + 1 - first), pa.array(done, pa.binary())], ["dataset_id", "data"])
                 done, size, first = [], 0, i + 1
 
 
-def materialise(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+def materialise(steps: DataFrame, nodes: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """(dataset_id, data): fragments in order, each without the bytes that overlap what is there. The left bytes win.
 
+    changes: (dataset_id, position, after) of bytes to replace, at most one of a position; those outside are left out.
+
     A dataset's output is one row, as a file is, so its fragments are gathered once and joined in the
     task. A step without a fragment, or with an overlap larger than it, is an error.
     """
     ordered = F.sort_array(F.collect_list(F.struct("step_no", F.col("node_id").cast("bigint").alias("n"), F.col("overlap_from_previous").cast("bigint").alias("o"))))
     path = steps.where("dataset_id is not null").groupBy("dataset_id").agg(ordered.alias("p"))
+    nothing = F.array().cast("array<bigint>")
+    if changes is None:
+        path = path.withColumns({"at": nothing, "after": nothing})
+    else:
+        by = changes.groupBy("dataset_id").agg(F.collect_list(F.struct(F.col("position").cast("bigint").alias("a"), F.col("after").cast("bigint").alias("b"))).alias("c"))
+        listed = lambda c: F.coalesce(F.transform("c", lambda x: x[c]), nothing)
+        path = path.join(by, "dataset_id", "left").withColumns({"at": listed("a"), "after": listed("b")})
     held = nodes.where("data is not null").groupBy("dataset_id").agg(F.collect_list(F.col("node_id").cast("bigint")).alias("ids"), F.collect_list("data").alias("parts"))
     d = path.join(held, "dataset_id", "left")
     empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
     column = lambda c, name: F.transform("p", lambda x: x[c]).alias(name)
-    d = d.select("dataset_id", column("n", "path"), column("o", "overlaps"), empty("ids", "bigint"), empty("parts", "binary"))
+    d = d.select("dataset_id", column("n", "path"), column("o", "overlaps"), empty("ids", "bigint"), empty("parts", "binary"), "at", "after")
     return d.mapInArrow(_merge, f"dataset_id {dict(steps.dtypes)['dataset_id']}, data binary")
 
 

@@ -183,7 +183,7 @@ def consensus_positions(spark, sf_dir):
 def repair_counters(spark, sf_dir):
     """Counts of redundant, conflicting, corroborated, repaired and ambiguous positions."""
     r = sc.Recovery(spark, sf_dir)
-    return repair.counters(r.positions, r.merged)
+    return repair.counters(r.positions, r.steps.select("dataset_id").distinct())
 
 
 @query

@@ -100,3 +100,14 @@ def test_recovery_writes_little(spark, tmp_path):
     new = sum(b for k, b in _written(spark).items() if k not in before)
     # texts and fragments move; seeds, several times as large, and pairs with both payloads don't
     assert new < 8 * sum(map(len, texts)), new
+
+
+def test_changes_on_merging_equal_apply(spark):
+    rng = random.Random(9)
+    nodes = spark.createDataFrame([(d, 7 * i, rng.randbytes(30)) for d in (1, 2, 3) for i in range(4)], "dataset_id long, node_id long, data binary")
+    steps = spark.createDataFrame([(d, i, 7 * (3 - i), 5 * (i > 0), 0, 0, True) for d in (1, 2, 3) for i in range(4)], "dataset_id long, step_no long, node_id long, overlap_from_previous long, matches long, mismatches long, exact boolean")
+    changes = spark.createDataFrame([(1, 0, 255), (1, 104, 0), (1, 105, 9), (3, 50, 7)], "dataset_id long, position long, after short")
+    rows = lambda d: sorted((r.dataset_id, bytes(r.data)) for r in d.collect())
+    plain = search.materialise(steps, nodes)
+    got = rows(search.materialise(steps, nodes, changes))
+    assert got == rows(repair.apply(plain, changes)) and got != rows(plain) and [len(x) for _, x in got] == [105] * 3
