@@ -100,11 +100,15 @@ def metrics(original: DataFrame, final: DataFrame, steps: DataFrame, emissions:
 
 
 def aggregate(m: DataFrame) -> DataFrame:
-    """One row over all runs: rates are means over the runs that have one, noise over all."""
+    """One row over all runs: rates are means over the runs that have one, noise over all.
+
+    Rates are summed as decimals, so that means don't depend on the order of runs.
+    """
+    mean = lambda c: F.avg(F.col(c).cast("decimal(38,20)")).cast("double")
     return m.agg(
         F.count("*").alias("runs"),
         F.count_if("exact_recovery").alias("exact_runs"),
-        F.avg("recall").alias("mean_recall"),
-        F.avg("order_accuracy").alias("mean_order_accuracy"),
+        mean("recall").alias("mean_recall"),
+        mean("order_accuracy").alias("mean_order_accuracy"),
         F.avg("selected_noise").alias("mean_selected_noise"),
     )

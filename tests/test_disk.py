@@ -1,12 +1,13 @@
 """What recovery writes to disk, and that the plans that write little give what the others give."""
 
+import math
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from fragweave.operators import damage as dmg
-from fragweave.operators import overlap, repair, search
+from fragweave.operators import evaluate, overlap, repair, search
 from fragweave.operators.overlap import exhaustive_edges, indexed_edges
 from fragweave.operators.shard import shard
 from fragweave.plans.scenarios import Recovery
@@ -111,3 +112,11 @@ def test_changes_on_merging_equal_apply(spark):
     plain = search.materialise(steps, nodes)
     got = rows(search.materialise(steps, nodes, changes))
     assert got == rows(repair.apply(plain, changes)) and got != rows(plain) and [len(x) for _, x in got] == [105] * 3
+
+
+def test_means_do_not_depend_on_order(spark):
+    rng = random.Random(1)
+    rates = [rng.random() for _ in range(2000)]
+    table = lambda v, parts: spark.createDataFrame([(True, x, x, 1) for x in v], "exact_recovery boolean, recall double, order_accuracy double, selected_noise long").repartition(parts)
+    got = {tuple(evaluate.aggregate(table(v, parts)).first()) for v in (rates, rates[::-1], sorted(rates)) for parts in (1, 3, 7)}
+    assert len(got) == 1 and abs(got.pop()[2] - math.fsum(rates) / 2000) < 1e-15
