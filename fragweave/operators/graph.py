@@ -91,7 +91,11 @@ def statistics(nodes: DataFrame, edges: DataFrame, config: GraphConfig) -> DataF
     """
     n = nodes.groupBy("dataset_id").agg(F.count("*").alias("nodes"))
     e = edges.groupBy("dataset_id").agg(F.count("*").alias("edges"), F.count_if("exact").alias("exact_edges"))
-    d = n.join(e, "dataset_id", "left").na.fill(0, ["edges", "exact_edges"])
+    return counted(n.join(e, "dataset_id", "left").na.fill(0, ["edges", "exact_edges"]), config)
+
+
+def counted(d: DataFrame, config: GraphConfig, *others: str) -> DataFrame:
+    """statistics() from the numbers of each dataset: (dataset_id, nodes, edges, exact_edges); other columns stay behind them."""
     pairs = F.col("nodes") * (F.col("nodes") - 1)
     checks = F.col("edges") if config.effective_strategy == "indexed" else pairs
     return d.select(
@@ -107,6 +111,7 @@ def statistics(nodes: DataFrame, edges: DataFrame, config: GraphConfig) -> DataF
         F.lit(config.effective_strategy).alias("effective_strategy"),
         F.lit(config.approximate_fallback).alias("approximate_fallback"),
         F.when((checks > 0) & (config.max_mismatches == 0), config.threads).otherwise(1).cast("bigint").alias("threads_used"),
+        *others,
     )
 
 

@@ -296,6 +296,24 @@ def overlaps(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, of: np.ndarra
     return a[top], b[top], n[top], exact[top].astype(bool)
 
 
+def differences(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """(mismatches, mismatch_details) of the edges that overlaps() gives."""
+    near = np.flatnonzero(~exact)
+    at, own, left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [raw[:0]], [raw[:0]]
+    for z in _portions(n[near], RAW):
+        e = near[z]
+        i, o = _runs(begin[a[e]] + size[a[e]] - n[e], n[e])
+        j, _ = _runs(begin[b[e]], n[e])
+        d = np.flatnonzero(raw[i] != raw[j])
+        at.append(j[d] - begin[b[e]][o[d]])
+        own.append(e[o[d]])
+        left.append(raw[i[d]])
+        right.append(raw[j[d]])
+    miss = np.bincount(np.concatenate(own), minlength=len(a)).astype(np.int64)
+    detail = pa.StructArray.from_arrays([pa.array(np.concatenate(at)), *(pa.array(np.concatenate(x).astype(np.int16)) for x in (left, right))], ["overlap_offset", "left_byte", "right_byte"])
+    return miss, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(miss)]).astype(np.int32)), detail)
+
+
 def _joiner(least: int, k: int):
     """Datasets (dataset_id, ids, parts) to edges, whole datasets side by side."""
 
@@ -314,20 +332,7 @@ def _joiner(least: int, k: int):
                 a, b, n, exact = overlaps(raw, begin, size, np.repeat(np.arange(z.start, z.stop), held[z]), least, k)
                 order = np.lexsort((b, a))
                 a, b, n, exact = a[order], b[order], n[order], exact[order]
-                near = np.flatnonzero(~exact)
-                at, own, left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [raw[:0]], [raw[:0]]
-                for y in _portions(n[near], RAW):
-                    e = near[y]
-                    i, o = _runs(begin[a[e]] + size[a[e]] - n[e], n[e])
-                    j, _ = _runs(begin[b[e]], n[e])
-                    d = np.flatnonzero(raw[i] != raw[j])
-                    at.append(j[d] - begin[b[e]][o[d]])
-                    own.append(e[o[d]])
-                    left.append(raw[i[d]])
-                    right.append(raw[j[d]])
-                miss = np.bincount(np.concatenate(own), minlength=len(a)).astype(np.int64)
-                detail = pa.StructArray.from_arrays([pa.array(np.concatenate(at)), *(pa.array(np.concatenate(x).astype(np.int16)) for x in (left, right))], ["overlap_offset", "left_byte", "right_byte"])
-                detail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(miss)]).astype(np.int32)), detail)
+                miss, detail = differences(raw, begin, size, a, b, n, exact)
                 row = np.repeat(np.arange(z.start, z.stop), held[z])[a]
                 columns = [batch["dataset_id"].take(pa.array(row)), *map(pa.array, (ids[u:v][a], ids[u:v][b], n, n - miss, miss, exact)), detail]
                 yield pa.RecordBatch.from_arrays(columns, _COLUMNS)

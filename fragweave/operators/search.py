@@ -329,3 +329,17 @@ def totals(steps: DataFrame, nodes: DataFrame) -> DataFrame:
         F.sum(F.col("size") - F.col("overlap_from_previous")).alias("recovered_size"),
     )
     return d.join(n, "dataset_id").withColumn("complete", F.col("n_steps") == F.col("nodes")).drop("nodes")
+
+
+def totals_of_lists(lists: DataFrame) -> DataFrame:
+    """totals() of within.recover()'s fragments and steps."""
+    total = lambda f: F.aggregate("steps", F.lit(0).cast("bigint"), lambda n, s: n + f(s))
+    return lists.select(
+        "dataset_id",
+        F.size("steps").cast("bigint").alias("n_steps"),
+        total(lambda s: s["overlap_from_previous"]).alias("overlap"),
+        total(lambda s: s["mismatches"]).alias("mismatches"),
+        total(lambda s: (~s["exact"]).cast("bigint")).alias("approximate_joins"),
+        total(lambda s: s["size"] - s["overlap_from_previous"]).alias("recovered_size"),
+        (F.size("steps") == F.size("fragments")).alias("complete"),
+    )

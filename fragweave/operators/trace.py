@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragweave.functions.bytes import format_byte, format_offset
+from fragweave.operators import graph
 
 VERSION = 1
 ENGINE = ("fragweave", "0.1")
@@ -88,7 +91,40 @@ def build(nodes: DataFrame, edges: DataFrame, steps: DataFrame, totals: DataFram
         nothing = F.array().cast("array<struct<index:bigint,offset:bigint,type:string,length:bigint,crc_valid:boolean>>")
         null = F.lit(None).cast("bigint")
         d = d.withColumn("format", F.struct(F.lit("none").alias("type"), no.alias("signature_valid"), no.alias("structurally_valid"), null.alias("width"), null.alias("height"), zero.alias("valid_crc_count"), zero.alias("invalid_crc_count"), no.alias("all_crc_valid"), nothing.alias("chunks")))
-    c = config
+    return _document(d, config)
+
+
+def of_lists(lists: DataFrame, config: TraceConfig, stats: graph.GraphConfig) -> DataFrame:
+    """build() of within.recover()'s fragments, edges, steps and disputed: datasets are rows already, so nothing moves."""
+    count = lambda c: F.size(c).cast("bigint")
+    total = lambda f: F.aggregate("steps", F.lit(0).cast("bigint"), lambda n, s: n + f(s))
+    d = lists.withColumnRenamed("edges", "edge_list").withColumns({"nodes": count("fragments"), "edges": count("edge_list"), "exact_edges": count(F.filter("edge_list", lambda e: e["exact"]))})
+    d = graph.counted(d, stats, "fragments", "edge_list", "steps", "disputed")
+    of_join = lambda s, i: F.transform(F.coalesce(s["mismatch_details"], F.array().cast(f"array<struct<{_DETAIL}>>")), lambda m: F.struct(F.get("steps", i - 1)["node_id"].alias("from"), s["node_id"].alias("to"), m["overlap_offset"], m["left_byte"], m["right_byte"]))
+    fixed = F.array_sort(F.filter("disputed", lambda p: p["kind"] == "repaired"))
+    zero, no = F.lit(0).cast("bigint"), F.lit(False)
+    d = d.withColumnRenamed("edges", "edges_created").withColumns(
+        {
+            "edges": F.col("edge_list").cast(f"array<struct<{_EDGE}>>"),
+            "selected_path": F.transform("steps", lambda s: s["node_id"]),
+            "n_steps": count("steps"),
+            "complete": count("steps") == F.col("nodes"),
+            "recovered_size": total(lambda s: s["size"] - s["overlap_from_previous"]),
+            "approximate_joins": total(lambda s: (~s["exact"]).cast("bigint")),
+            "path_mismatches": total(lambda s: s["mismatches"]),
+            "mismatch_list": F.flatten(F.transform("steps", of_join)).cast(f"array<struct<`from`:bigint,`to`:bigint,{_DETAIL}>>"),
+            "consensus_repairs": F.transform(fixed, lambda p: F.struct(p["position"], F.lit("consensus"), p["before"], p["after"], p["support"], p["observations"], zero, no)).cast(f"array<struct<{_REPAIR}>>"),
+            "crc_repairs": F.array().cast(f"array<struct<{_REPAIR}>>"),
+            "unresolved": count(F.filter("disputed", lambda p: p["kind"] == "ambiguous")),
+            "format": F.struct(F.lit("none"), no, no, F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), zero, zero, no, F.array()).cast(f"struct<{_FORMAT}>"),
+        }
+    )
+    return _document(d, config)
+
+
+def _document(d: DataFrame, config: TraceConfig) -> DataFrame:
+    """(dataset_id, trace) of a row per dataset with all of a trace's parts."""
+    c, zero = config, F.lit(0).cast("bigint")
     big = lambda v: F.lit(v).cast("bigint")
     empty = lambda col, kind: F.coalesce(col, F.array().cast(kind))
     trace = F.struct(
@@ -163,8 +199,8 @@ def selected_pairs(traces: DataFrame) -> DataFrame:
 
 def filter_edges(traces: DataFrame, exact: bool = True, approximate: bool = True, path: bool = True) -> DataFrame:
     """Edges of the kinds asked for; path=False leaves out those of the path."""
-    d = edge_rows(traces).where(F.when(F.col("exact"), exact).otherwise(approximate))
-    return d if path else d.join(selected_pairs(traces).select("dataset_id", "src", "dst").distinct(), ["dataset_id", "src", "dst"], "left_anti")
+    kind = F.when(F.col("exact"), exact).otherwise(approximate)
+    return edge_rows(traces).where(kind) if path else join_indices(traces).where(kind & (F.col("join_index") < 0)).drop("join_index")
 
 
 def edge_label() -> Column:
@@ -173,70 +209,164 @@ def edge_label() -> Column:
     return F.when(F.col("exact"), n).otherwise(F.concat(n, F.lit(" · "), F.col("mismatches").cast("string"), F.when(F.col("mismatches") == 1, " mismatch").otherwise(" mismatches")))
 
 
+def _row_wise(f, kind: str, *columns: Column) -> Column:
+    """f of each row's lists, as a column of a select(). A trace is one row, so what its lists have in common is found there and nothing moves."""
+    longs = pa.list_(pa.int64())
+    arrow = longs if kind == "array<bigint>" else pa.list_(longs)
+
+    def run(*lists: pa.Array) -> pa.Array:
+        return pa.array([f(*(x or [] for x in row)) for row in zip(*(c.to_pylist() for c in lists))], arrow)
+
+    # else the optimizer infers filters from generators above and evaluates it there
+    return F.arrow_udf(run, kind).asNondeterministic()(*columns)
+
+
+def _pairs(src: list, dst: list, path: list) -> list:
+    """Places of the first edges of the path's joins; joins without one are left out."""
+    first: dict = {}
+    for i, e in enumerate(zip(src, dst)):
+        first.setdefault(e, i)
+    return [first[e] for e in zip(path, path[1:]) if e in first]
+
+
+def _on_path(src: list, dst: list, path: list) -> list:
+    """Of each edge the place of its first join among those with an edge, or -1."""
+    edges = set(zip(src, dst))
+    on: dict = {}
+    for k, e in enumerate(e for e in zip(path, path[1:]) if e in edges):
+        on.setdefault(e, k)
+    return [on.get(e, -1) for e in zip(src, dst)]
+
+
+def _nearest(target: list) -> list:
+    """Of each place the nearest places before and after it that are targets."""
+    before, after, last = [], [], None
+    for k, x in enumerate(target):
+        before.append(last)
+        last = k if x else last
+    last = None
+    for k in range(len(target) - 1, -1, -1):
+        after.append(last)
+        last = k if target[k] else last
+    return [list(x) for x in zip(before, after[::-1])]
+
+
+def _spots(ids: list, path: list) -> list:
+    """Of each fragment its 1-based place on the path, or 0 and its place among those off it."""
+    at: dict = {}
+    for k, v in enumerate(path):
+        at.setdefault(v, k + 1)
+    off, out = 0, []
+    for v in ids:
+        out.append([at.get(v, 0), off])
+        off += v not in at
+    return out
+
+
+def _ways(ids: list, src: list, dst: list, path: list) -> list:
+    """Of each fragment its incoming and outgoing edges and its place on the path, or -1."""
+    into, out = Counter(dst), Counter(src)
+    return [[into[v], out[v], at - 1] for v, (at, _) in zip(ids, _spots(ids, path))]
+
+
+def _joined(traces: DataFrame, **others: Column) -> DataFrame:
+    """(dataset_id, joins, others): the edge of each join of the path in order, as structs with index and join_index."""
+    d = traces.select("dataset_id", F.col("trace.edges").alias("e"), F.col("trace.selected_path").alias("p"), *[c.alias(k) for k, c in others.items()])
+    d = d.select("dataset_id", "e", _row_wise(_pairs, "array<bigint>", F.col("e.from"), F.col("e.to"), F.col("p")).alias("at"), *others)
+
+    def join(i, k):
+        e = F.get("e", i.cast("int"))
+        return F.struct(e["from"].alias("src"), e["to"].alias("dst"), i.alias("index"), *[e[c].alias(c) for c in ("overlap", "matches", "mismatches", "exact", "mismatch_details")], k.cast("bigint").alias("join_index"))
+
+    return d.select("dataset_id", F.transform("at", join).alias("joins"), *others)
+
+
 def path_edges(traces: DataFrame) -> DataFrame:
     """The edge of each join of the path (joins without one are left out), join_index counting those found."""
-    first = edge_rows(traces).groupBy("dataset_id", "src", "dst").agg(F.min(F.struct("index", "overlap", "matches", "mismatches", "exact", "mismatch_details")).alias("e"))
-    d = selected_pairs(traces).join(first, ["dataset_id", "src", "dst"]).select("dataset_id", "place", "src", "dst", "e.*")
-    return d.withColumn("join_index", (F.row_number().over(Window.partitionBy("dataset_id").orderBy("place")) - 1).cast("bigint")).drop("place")
+    return _joined(traces).select("dataset_id", F.inline("joins"))
 
 
 def join_indices(traces: DataFrame) -> DataFrame:
     """Every edge with its place among the path's joins, -1 off the path."""
-    on = path_edges(traces).groupBy("dataset_id", "src", "dst").agg(F.min("join_index").alias("join_index"))
-    return edge_rows(traces).join(on, ["dataset_id", "src", "dst"], "left").withColumn("join_index", F.coalesce("join_index", F.lit(-1).cast("bigint")))
+    d = traces.select("dataset_id", F.col("trace.edges").alias("e"), F.col("trace.selected_path").alias("p"))
+    d = d.select("dataset_id", "e", _row_wise(_on_path, "array<bigint>", F.col("e.from"), F.col("e.to"), F.col("p")).alias("at"))
+    edge = lambda e, i: F.struct(e["from"].alias("src"), e["to"].alias("dst"), i.cast("bigint").alias("index"), *[e[c].alias(c) for c in ("overlap", "matches", "mismatches", "exact", "mismatch_details")], F.get("at", i).alias("join_index"))
+    return d.select("dataset_id", F.inline(F.transform("e", edge)))
 
 
 def adjacent_joins(traces: DataFrame, mismatches_only: bool = False) -> DataFrame:
     """Each join of the path with the index of the one before and after it; with mismatches_only, of the nearest that have mismatches."""
-    w = Window.partitionBy("dataset_id").orderBy("join_index")
-    target = F.when(F.col("mismatches") > 0, F.col("join_index")) if mismatches_only else F.col("join_index")
-    before = F.last(target, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(target, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return path_edges(traces).withColumn("previous", before).withColumn("next", after)
+    target = F.transform("joins", lambda j: (j["mismatches"] > 0) if mismatches_only else F.lit(True))
+    d = _joined(traces).select("dataset_id", "joins", target.alias("t"))
+    d = d.select("dataset_id", "joins", _row_wise(_nearest, "array<array<bigint>>", F.col("t")).alias("near"))
+    both = F.transform("joins", lambda j, k: F.struct(j.alias("j"), *[F.get(F.get("near", k), F.lit(i)).alias(c) for i, c in enumerate(("previous", "next"))]))
+    return d.select("dataset_id", F.inline(both)).select("dataset_id", "j.*", "previous", "next")
 
 
 def layout(traces: DataFrame) -> DataFrame:
     """(dataset_id, node_id, x, y): the path in a row, other fragments in three columns below in order of the list."""
-    f = traces.select("dataset_id", F.col("trace.selected_path").alias("p"), F.posexplode("trace.fragments").alias("i", "f")).select("dataset_id", "i", F.col("f.id").alias("node_id"), F.array_position("p", F.col("f.id")).alias("at"))
+    d = traces.select("dataset_id", F.col("trace.fragments.id").alias("ids"), F.col("trace.selected_path").alias("p"))
+    d = d.select("dataset_id", "ids", _row_wise(_spots, "array<array<bigint>>", F.col("ids"), F.col("p")).alias("spot")).select("dataset_id", F.explode(F.arrays_zip("ids", "spot")).alias("f"))
+    d = d.select("dataset_id", F.col("f.ids").alias("node_id"), F.get("f.spot", F.lit(0)).alias("at"), F.get("f.spot", F.lit(1)).alias("k"))
     off = F.col("at") == 0
-    k = F.sum(off.cast("int")).over(Window.partitionBy("dataset_id").orderBy("i")) - 1
-    d = f.withColumn("k", k)
     x = F.when(off, 120 + (F.col("k") % 3) * 220).otherwise(80 + (F.col("at") - 1) * 230)
     y = F.when(off, 210 + F.floor(F.col("k") / 3) * 130).otherwise(70)
     return d.select("dataset_id", "node_id", x.cast("bigint").alias("x"), y.cast("bigint").alias("y"))
 
 
+def _told(kind: str, c) -> tuple[Column, Column]:
+    """(label, detail) of an event; c: its column of a name."""
+    s = lambda x: (c(x) if isinstance(x, str) else x).cast("string")
+    t = lambda *c: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in c])
+    if kind == "graph":
+        return F.lit("Graph built"), t(s("fragments"), " fragments · ", s("edges"), " edges")
+    if kind == "path":
+        return F.lit("Path selected"), t(s("steps"), " fragments · ", F.when(c("complete"), "Complete").otherwise("Incomplete"))
+    if kind == "join":
+        number = s(c("join_index") + 1)
+        padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
+        return t("JOIN ", padded, " · F", s("src"), " → F", s("dst")), t(s("overlap"), " B · ", F.when(c("exact"), "Exact").otherwise(t("Approximate · ", s("mismatches"), " mismatches")))
+    if kind == "repair":
+        return t(F.when(c("stage") == "png_crc", "PNG CRC").otherwise("Consensus"), " repair"), t("Offset ", format_offset(c("position"), 1), " · ", s("before"), " → ", s("after"))
+    return t(F.upper(c("type")), " analysis"), t(s("valid"), " valid CRC · ", s("invalid"), " invalid")
+
+
 def _events(graph: DataFrame, path: DataFrame, joins: DataFrame, fixes: DataFrame, form: DataFrame | None) -> DataFrame:
     """(dataset_id, seq, kind, label, detail, edge_index, repair_index): graph, path, joins, repairs, format, in order.
 
     graph: (dataset_id, fragments, edges); path: (dataset_id, steps, complete); joins: path_edges();
     fixes: (dataset_id, i, stage, position, before, after); form: (dataset_id, type, valid, invalid).
     """
-    null = F.lit(None).cast("bigint")
-    s = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
-    t = lambda *c: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in c])
-    row = lambda d, phase, i, kind, label, detail, edge=null, fix=null: d.select("dataset_id", F.lit(phase).alias("phase"), i.cast("bigint").alias("i"), F.lit(kind).alias("kind"), label.alias("label"), detail.alias("detail"), edge.alias("edge_index"), fix.alias("repair_index"))
-    zero = F.lit(0)
-    number = s(F.col("join_index") + 1)
-    padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
-    d = row(graph, 0, zero, "graph", F.lit("Graph built"), t(s("fragments"), " fragments · ", s("edges"), " edges"))
-    d = d.unionByName(row(path, 1, zero, "path", F.lit("Path selected"), t(s("steps"), " fragments · ", F.when(F.col("complete"), "Complete").otherwise("Incomplete"))))
-    d = d.unionByName(row(joins, 2, F.col("join_index"), "join", t("JOIN ", padded, " · F", s("src"), " → F", s("dst")), t(s("overlap"), " B · ", F.when(F.col("exact"), "Exact").otherwise(t("Approximate · ", s("mismatches"), " mismatches"))), F.col("join_index")))
-    stage = F.when(F.col("stage") == "png_crc", "PNG CRC").otherwise("Consensus")
-    d = d.unionByName(row(fixes, 3, F.col("i"), "repair", t(stage, " repair"), t("Offset ", format_offset("position", 1), " · ", s("before"), " → ", s("after")), null, F.col("i").cast("bigint")))
+    null, zero = F.lit(None).cast("bigint"), F.lit(0)
+
+    def row(d, phase, i, kind, edge=null, fix=null):
+        label, detail = _told(kind, F.col)
+        return d.select("dataset_id", F.lit(phase).alias("phase"), i.cast("bigint").alias("i"), F.lit(kind).alias("kind"), label.alias("label"), detail.alias("detail"), edge.alias("edge_index"), fix.alias("repair_index"))
+
+    d = row(graph, 0, zero, "graph").unionByName(row(path, 1, zero, "path")).unionByName(row(joins, 2, F.col("join_index"), "join", F.col("join_index")))
+    d = d.unionByName(row(fixes, 3, F.col("i"), "repair", null, F.col("i").cast("bigint")))
     if form is not None:
-        d = d.unionByName(row(form, 4, zero, "format", t(F.upper("type"), " analysis"), t(s("valid"), " valid CRC · ", s("invalid"), " invalid")))
+        d = d.unionByName(row(form, 4, zero, "format"))
     seq = F.row_number().over(Window.partitionBy("dataset_id").orderBy("phase", "i")) - 1
     return d.withColumn("seq", seq.cast("bigint")).drop("phase", "i")
 
 
 def timeline(traces: DataFrame) -> DataFrame:
-    """The timeline of traces, as the viewer shows it: see _events()."""
-    r = traces.select("dataset_id", F.posexplode("trace.repairs").alias("i", "r")).select("dataset_id", "i", "r.stage", "r.position", "r.before", "r.after")
-    graph = traces.select("dataset_id", F.size("trace.fragments").alias("fragments"), F.size("trace.edges").alias("edges"))
-    path = traces.select("dataset_id", F.size("trace.selected_path").alias("steps"), F.col("trace.reconstruction.complete").alias("complete"))
-    form = traces.where("trace.format.type <> 'none'").select("dataset_id", "trace.format.type", F.col("trace.format.valid_crc_count").alias("valid"), F.col("trace.format.invalid_crc_count").alias("invalid"))
-    return _events(graph, path, path_edges(traces), r, form)
+    """The timeline of traces, as the viewer shows it: the events of _events(), each trace's in its row."""
+    size = lambda c: F.size(f"trace.{c}")
+    d = _joined(traces, fragments=size("fragments"), edges=size("edges"), steps=size("selected_path"), complete=F.col("trace.reconstruction.complete"), repairs=F.col("trace.repairs"), form=F.col("trace.format"))
+    null = F.lit(None).cast("bigint")
+
+    def event(kind, c, edge=null, fix=null):
+        label, detail = _told(kind, c)
+        return F.struct(F.lit(kind).alias("kind"), label.alias("label"), detail.alias("detail"), edge.alias("edge_index"), fix.alias("repair_index"))
+
+    of_form = {"type": "type", "valid": "valid_crc_count", "invalid": "invalid_crc_count"}
+    form = F.filter(F.array(event("format", lambda n: F.col("form")[of_form[n]])), lambda _: F.col("form.type") != "none")
+    joins = F.transform("joins", lambda j: event("join", lambda n: j[n], j["join_index"]))
+    fixes = F.transform("repairs", lambda r, i: event("repair", lambda n: r[n], null, i.cast("bigint")))
+    d = d.select("dataset_id", F.posexplode(F.concat(F.array(event("graph", F.col), event("path", F.col)), joins, fixes, form)).alias("seq", "x"))
+    return d.select("dataset_id", "x.*", F.col("seq").cast("bigint"))
 
 
 def timeline_of(stats: DataFrame, totals: DataFrame, steps: DataFrame, consensus_repairs: DataFrame, crc_rows: DataFrame | None = None, analysis: DataFrame | None = None) -> DataFrame:
@@ -254,12 +384,11 @@ def timeline_of(stats: DataFrame, totals: DataFrame, steps: DataFrame, consensus
 
 
 def inspector(traces: DataFrame) -> DataFrame:
-    """(dataset_id, node_id, incoming, outgoing, path_position): degrees, and the place on the path or -1."""
-    e = edge_rows(traces)
-    i = e.groupBy("dataset_id", F.col("dst").alias("node_id")).agg(F.count("*").alias("incoming"))
-    o = e.groupBy("dataset_id", F.col("src").alias("node_id")).agg(F.count("*").alias("outgoing"))
-    f = traces.select("dataset_id", F.col("trace.selected_path").alias("p"), F.explode("trace.fragments").alias("f")).select("dataset_id", F.col("f.id").alias("node_id"), (F.array_position("p", F.col("f.id")) - 1).alias("path_position"))
-    return f.join(i, ["dataset_id", "node_id"], "left").join(o, ["dataset_id", "node_id"], "left").na.fill(0, ["incoming", "outgoing"])
+    """(dataset_id, node_id, path_position, incoming, outgoing): degrees, and the place on the path or -1."""
+    d = traces.select("dataset_id", F.col("trace.fragments.id").alias("ids"), F.col("trace.edges").alias("e"), F.col("trace.selected_path").alias("p"))
+    d = d.select("dataset_id", "ids", _row_wise(_ways, "array<array<bigint>>", F.col("ids"), F.col("e.from"), F.col("e.to"), F.col("p")).alias("ways"))
+    d = d.select("dataset_id", F.explode(F.arrays_zip("ids", "ways")).alias("f"))
+    return d.select("dataset_id", F.col("f.ids").alias("node_id"), *[F.get("f.ways", F.lit(i)).alias(c) for i, c in ((2, "path_position"), (0, "incoming"), (1, "outgoing"))])
 
 
 def repairs_by_stage(traces: DataFrame) -> DataFrame:

@@ -311,7 +311,7 @@ def path_edges(spark, sf_dir):
 @query
 def join_index(spark, sf_dir):
     """Every edge's place on the path."""
-    return trace.join_indices(sc.Recovery(spark, sf_dir).traces).select("dataset_id", "index", "src", "dst", "join_index")
+    return trace.join_indices(sc.by_size(spark, sf_dir, lambda r: r.traces)).select("dataset_id", "index", "src", "dst", "join_index")
 
 
 @query
