@@ -305,7 +305,7 @@ def trace_edges_filtered(spark, sf_dir):
 @query
 def path_edges(spark, sf_dir):
     """The edges that the path joins."""
-    return trace.path_edges(sc.Recovery(spark, sf_dir).traces).drop("mismatch_details")
+    return trace.path_edges(sc.by_size(spark, sf_dir, lambda r: r.traces)).drop("mismatch_details")
 
 
 @query
