@@ -343,7 +343,7 @@ def inspector(spark, sf_dir):
 @query
 def trace_mismatches(spark, sf_dir):
     """The path's mismatches as the viewer shows them."""
-    return trace.mismatch_rows(sc.Recovery(spark, sf_dir).traces)
+    return trace.mismatch_rows(sc.by_size(spark, sf_dir, lambda r: r.traces))
 
 
 ORACLES: dict[str, str] = oracles.all_oracles()

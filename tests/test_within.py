@@ -16,6 +16,7 @@ from tests.test_disk import _written
 QUERIES = {
     "join_index": 3,
     "path_edges": 4,
+    "trace_mismatches": 5,
 }
 
 
