@@ -317,7 +317,7 @@ def join_index(spark, sf_dir):
 @query
 def adjacent_joins(spark, sf_dir):
     """The nearest joins with mismatches before and after each join."""
-    return trace.adjacent_joins(sc.Recovery(spark, sf_dir).traces, mismatches_only=True).select("dataset_id", "join_index", "src", "dst", F.coalesce("previous", F.lit(-1)).alias("previous"), F.coalesce("next", F.lit(-1)).alias("next"))
+    return trace.adjacent_joins(sc.by_size(spark, sf_dir, lambda r: r.traces), mismatches_only=True).select("dataset_id", "join_index", "src", "dst", F.coalesce("previous", F.lit(-1)).alias("previous"), F.coalesce("next", F.lit(-1)).alias("next"))
 
 
 @query

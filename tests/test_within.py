@@ -17,6 +17,7 @@ QUERIES = {
     "join_index": 3,
     "path_edges": 4,
     "trace_mismatches": 5,
+    "adjacent_joins": 6,
 }
 
 
