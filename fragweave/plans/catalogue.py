@@ -337,7 +337,7 @@ def layout(spark, sf_dir):
 @query
 def inspector(spark, sf_dir):
     """Degrees and path place of each fragment in the viewer."""
-    return trace.inspector(sc.Recovery(spark, sf_dir).traces)
+    return trace.inspector(sc.by_size(spark, sf_dir, lambda r: r.traces))
 
 
 @query

@@ -18,6 +18,7 @@ QUERIES = {
     "path_edges": 4,
     "trace_mismatches": 5,
     "adjacent_joins": 6,
+    "inspector": 7,
 }
 
 
