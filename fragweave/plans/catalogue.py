@@ -331,7 +331,7 @@ def timeline(spark, sf_dir):
 @query
 def layout(spark, sf_dir):
     """Where the viewer draws each fragment."""
-    return trace.layout(sc.Recovery(spark, sf_dir).traces)
+    return trace.layout(sc.by_size(spark, sf_dir, lambda r: r.traces))
 
 
 @query

@@ -19,6 +19,7 @@ QUERIES = {
     "trace_mismatches": 5,
     "adjacent_joins": 6,
     "inspector": 7,
+    "layout": 8,
 }
 
 
