@@ -323,8 +323,7 @@ def adjacent_joins(spark, sf_dir):
 @query
 def timeline(spark, sf_dir):
     """The viewer's timeline."""
-    r = sc.Recovery(spark, sf_dir)
-    d = trace.timeline_of(r.stats, r.totals, r.steps, repair.repairs(r.positions))
+    d = sc.by_size(spark, sf_dir, lambda r: r.timeline)
     return d.withColumn("edge_index", F.coalesce("edge_index", F.lit(-1))).withColumn("repair_index", F.coalesce("repair_index", F.lit(-1)))
 
 

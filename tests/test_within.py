@@ -20,6 +20,7 @@ QUERIES = {
     "adjacent_joins": 6,
     "inspector": 7,
     "layout": 8,
+    "timeline": 10,
 }
 
 
