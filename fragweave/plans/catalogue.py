@@ -298,7 +298,7 @@ def trace_summary(spark, sf_dir):
 @query
 def trace_edges_filtered(spark, sf_dir):
     """Approximate edges off the path, with their labels."""
-    d = trace.filter_edges(sc.Recovery(spark, sf_dir).traces, exact=False, path=False)
+    d = trace.filter_edges(sc.by_size(spark, sf_dir, lambda r: r.traces), exact=False, path=False)
     return d.withColumn("label", trace.edge_label()).drop("mismatch_details")
 
 

@@ -21,6 +21,7 @@ QUERIES = {
     "inspector": 7,
     "layout": 8,
     "timeline": 10,
+    "trace_edges_filtered": 11,
 }
 
 
