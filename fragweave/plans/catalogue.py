@@ -290,8 +290,7 @@ def recovery_aggregate(spark, sf_dir):
 @query
 def trace_summary(spark, sf_dir):
     """Each trace's JSON, written, read back and checked."""
-    r = sc.Recovery(spark, sf_dir)
-    d = trace.parse(trace.to_json(r.traces))
+    d = trace.parse(trace.to_json(sc.by_size(spark, sf_dir, lambda r: r.traces)))
     return d.select("dataset_id", "error", F.size("trace.fragments").alias("fragments"), F.size("trace.edges").alias("edges"), F.size("trace.selected_path").alias("path"), F.size("trace.mismatches").alias("mismatches"), F.size("trace.repairs").alias("repairs"), F.col("trace.unresolved_ambiguities").alias("unresolved"), "trace.reconstruction.*", F.col("trace.graph_stats.strategy").alias("graph_strategy"))
 
 

@@ -22,6 +22,7 @@ QUERIES = {
     "layout": 8,
     "timeline": 10,
     "trace_edges_filtered": 11,
+    "trace_summary": 12,
 }
 
 
