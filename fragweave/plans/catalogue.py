@@ -175,7 +175,7 @@ def consensus_votes(spark, sf_dir):
 @query
 def consensus_positions(spark, sf_dir):
     """Repaired and ambiguous positions."""
-    d = sc.Recovery(spark, sf_dir).positions.where("kind <> 'corroborated'").drop("length")
+    d = sc.by_size(spark, sf_dir, lambda r: r.disputed)
     return d.withColumn("votes", repair.vote_text())
 
 

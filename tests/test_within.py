@@ -23,6 +23,7 @@ QUERIES = {
     "timeline": 10,
     "trace_edges_filtered": 11,
     "trace_summary": 12,
+    "consensus_positions": 13,
 }
 
 
