@@ -139,7 +139,7 @@ def greedy_output(spark, sf_dir):
 @query
 def path_totals(spark, sf_dir):
     """Totals of each greedy path."""
-    return sc.Recovery(spark, sf_dir).totals
+    return sc.by_size(spark, sf_dir, lambda r: r.totals)
 
 
 @query

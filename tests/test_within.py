@@ -24,6 +24,7 @@ QUERIES = {
     "trace_edges_filtered": 11,
     "trace_summary": 12,
     "consensus_positions": 13,
+    "path_totals": 14,
 }
 
 
