@@ -127,7 +127,7 @@ def beam_starts(spark, sf_dir):
 @query
 def greedy_path(spark, sf_dir):
     """Steps of each document's greedy path."""
-    return sc.Recovery(spark, sf_dir).steps
+    return sc.by_size(spark, sf_dir, lambda r: r.steps)
 
 
 @query

@@ -25,6 +25,7 @@ QUERIES = {
     "trace_summary": 12,
     "consensus_positions": 13,
     "path_totals": 14,
+    "greedy_path": 17,
 }
 
 
