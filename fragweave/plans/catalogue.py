@@ -162,7 +162,7 @@ def beam_output(spark, sf_dir):
 @query
 def placements(spark, sf_dir):
     """Where each step's fragment lies in the output."""
-    return sc.Recovery(spark, sf_dir).places
+    return sc.by_size(spark, sf_dir, lambda r: r.places)
 
 
 @query

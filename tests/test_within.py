@@ -26,6 +26,7 @@ QUERIES = {
     "consensus_positions": 13,
     "path_totals": 14,
     "greedy_path": 17,
+    "placements": 18,
 }
 
 
