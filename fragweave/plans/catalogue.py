@@ -121,7 +121,7 @@ def start_nodes(spark, sf_dir):
 @query
 def beam_starts(spark, sf_dir):
     """Where beam search begins."""
-    return graph.beam_starts(sc.Recovery(spark, sf_dir).degrees)
+    return sc.by_size(spark, sf_dir, lambda r: r.starts)
 
 
 @query

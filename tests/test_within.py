@@ -14,20 +14,9 @@ from fragweave.sources.fragments import with_node_ids
 from tests.test_disk import _written
 
 QUERIES = {
-    "join_index": 3,
-    "path_edges": 4,
-    "trace_mismatches": 5,
-    "adjacent_joins": 6,
-    "inspector": 7,
-    "layout": 8,
-    "timeline": 10,
-    "trace_edges_filtered": 11,
-    "trace_summary": 12,
-    "consensus_positions": 13,
-    "path_totals": 14,
-    "greedy_path": 17,
-    "placements": 18,
-}
+    "join_index": 3, "path_edges": 4, "trace_mismatches": 5, "adjacent_joins": 6, "inspector": 7, "layout": 8, "timeline": 10, "trace_edges_filtered": 11,
+    "trace_summary": 12, "consensus_positions": 13, "path_totals": 14, "greedy_path": 17, "placements": 18, "beam_starts": 20,
+}
 
 
 def _texts():
