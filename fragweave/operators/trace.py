@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragweave.functions.bytes import format_byte, format_offset
 from fragweave.operators import graph
+from fragweave.operators.overlap import _portions
 
 VERSION = 1
 ENGINE = ("fragweave", "0.1")
@@ -209,13 +211,22 @@ def edge_label() -> Column:
     return F.when(F.col("exact"), n).otherwise(F.concat(n, F.lit(" · "), F.col("mismatches").cast("string"), F.when(F.col("mismatches") == 1, " mismatch").otherwise(" mismatches")))
 
 
+#: Items of lists that a row function holds as Python objects at once.
+ITEMS = 200_000
+
+
 def _row_wise(f, kind: str, *columns: Column) -> Column:
     """f of each row's lists, as a column of a select(). A trace is one row, so what its lists have in common is found there and nothing moves."""
     longs = pa.list_(pa.int64())
     arrow = longs if kind == "array<bigint>" else pa.list_(longs)
 
     def run(*lists: pa.Array) -> pa.Array:
-        return pa.array([f(*(x or [] for x in row)) for row in zip(*(c.to_pylist() for c in lists))], arrow)
+        items = sum(c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in lists)
+        out = [pa.array([], arrow)]
+        for z in _portions(items, ITEMS):  # Python's own numbers and lists take many times a batch's bytes
+            own = [c.slice(z.start, z.stop - z.start).to_pylist() for c in lists]
+            out.append(pa.array([f(*(x or [] for x in row)) for row in zip(*own)], arrow))
+        return pa.concat_arrays(out)
 
     # else the optimizer infers filters from generators above and evaluates it there
     return F.arrow_udf(run, kind).asNondeterministic()(*columns)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fragweave.operators import damage as dmg
-from fragweave.operators import graph, overlap, repair, search, within
+from fragweave.operators import graph, overlap, repair, search, trace, within
 from fragweave.operators.shard import shard
 from fragweave.plans import catalogue, scenarios
 from fragweave.sources.fragments import with_node_ids
@@ -96,3 +96,9 @@ def test_shared_ids_go_together(spark, tmp_path):
     spark.createDataFrame([(None, "a" * 300), (2, "c" * 300)], "doc_id long, text string").write.parquet(str(nulls / "documents.parquet"))
     want = _rows(scenarios.Recovery(spark, str(nulls)).steps)
     assert _rows(catalogue.QUERIES["greedy_path"](spark, str(nulls))) == want
+
+
+def test_row_functions_in_small_portions(spark, folder, monkeypatch):
+    want = {q: _rows(catalogue.QUERIES[q](spark, folder)) for q in ("join_index", "inspector")}
+    monkeypatch.setattr(trace, "ITEMS", 50)
+    assert {q: _rows(catalogue.QUERIES[q](spark, folder)) for q in want} == want
