@@ -157,23 +157,24 @@ def parse(texts: DataFrame) -> DataFrame:
     Malformed JSON, another version, missing arrays or summaries, untyped fragments, and path or
     edge ends that aren't fragments are errors; trace is null with one.
     """
-    t = F.from_json("json", SCHEMA)
-    d = texts.select("dataset_id", "json", t.alias("t"))
-    version = F.get_json_object("json", "$.schema_version")
+    arrays, objects = ("fragments", "edges", "selected_path"), ("reconstruction", "configuration", "graph_stats", "format")
+    top = {k: f"_{k}" for k in ("schema_version", *arrays, *objects)}
+    d = texts.select("dataset_id", "json", F.json_tuple("json", *top).alias(*top.values())).withColumn("t", F.from_json("json", SCHEMA))
+    version = F.col("_schema_version")
     is_object = F.coalesce(F.trim("json").startswith("{") & F.json_object_keys("json").isNotNull(), F.lit(False))
-    array = lambda k: F.coalesce(F.get_json_object("json", f"$.{k}").startswith("["), F.lit(False))
-    has = lambda k: F.coalesce(F.get_json_object("json", f"$.{k}").startswith("{"), F.lit(False))
+    array = lambda k: F.coalesce(F.col(top[k]).startswith("["), F.lit(False))
+    has = lambda k: F.coalesce(F.col(top[k]).startswith("{"), F.lit(False))
     ids = F.transform("t.fragments", lambda f: f["id"])
     typed = F.forall("t.fragments", lambda f: f["id"].isNotNull() & f["name"].isNotNull() & f["size"].isNotNull())
-    known = lambda x: x.isNotNull() & F.coalesce(F.array_contains(ids, x), F.lit(False))
+    known = lambda x: F.size(F.array_except(x, ids)) == 0
     error = (
         F.when(~is_object, "not a JSON object")
         .when(~F.coalesce(version == str(VERSION), F.lit(False)), F.concat(F.lit("unsupported schema version: "), F.coalesce(version, F.lit("none"))))
         .when(~(array("fragments") & array("edges") & array("selected_path")), "fragments, edges and selected_path have to be arrays")
         .when(~(has("reconstruction") & has("configuration") & has("graph_stats") & has("format")), "a summary object is missing")
         .when(~F.coalesce(typed, F.lit(False)), "invalid fragment metadata")
-        .when(~F.coalesce(F.forall("t.selected_path", known), F.lit(False)), "the path has an unknown fragment")
-        .when(~F.coalesce(F.forall("t.edges", lambda e: known(e["from"]) & known(e["to"])), F.lit(False)), "an edge has an unknown fragment")
+        .when(~F.coalesce(known(F.col("t.selected_path")), F.lit(False)), "the path has an unknown fragment")
+        .when(~F.coalesce(known(F.col("t.edges.from")) & known(F.col("t.edges.to")), F.lit(False)), "an edge has an unknown fragment")
     )
     return d.withColumn("error", error).select("dataset_id", F.when(F.col("error").isNull(), F.col("t")).alias("trace"), "error")
 
