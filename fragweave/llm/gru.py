@@ -8,6 +8,8 @@ documents, many at a time in lanes that are refilled as documents end.
 
 from __future__ import annotations
 
+import heapq
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +20,8 @@ HIDDEN, WINDOW, LANES = 32, 16, 128
 RATE, PASS_RATE = 4e-3, 1e-3
 #: Lanes and steps of a block when scoring.
 SCORE_LANES, SCORE_STEPS = 256, 32
+#: Symbols read ahead when training, and how many a document counts for by itself.
+AHEAD, DOC_COST = 8_000_000, 100
 
 
 @dataclass
@@ -90,46 +94,114 @@ def _exp(logit: np.ndarray, top: float | None) -> tuple[np.ndarray, np.ndarray]:
     return e, e @ np.ones(e.shape[1], e.dtype)
 
 
+def _bounds(m: Gru) -> np.ndarray | None:
+    """_top() of every class's members, or None if one has none."""
+    reach = np.abs(m.ww).sum(0)
+    top = np.maximum.reduceat(m.bw + reach, m.first[:-1])
+    return top if (top - np.maximum.reduceat(m.bw - reach, m.first[:-1])).max() <= 60 else None
+
+
 def log_probs(m: Gru, h: np.ndarray, target: np.ndarray, grads: list | None = None):
     """Natural log-probability of each target given its state; with grads also d(-sum)/d(state).
 
     grads: the gradients of wc, bc, ww, bw are added to its last four entries. Rows are sorted by
-    class, so each class is one product. A row's value doesn't depend on other rows.
+    class, so each class is one product; the members' logits of all rows lie end to end, so all
+    else is one call. A row's value doesn't depend on other rows.
     """
-    cls = np.searchsorted(m.first, target, "right") - 1
+    width = np.diff(m.first)
+    cls = np.repeat(np.arange(len(width)), width)[target]
     within = np.abs(h).max(initial=0) <= 1
-    logit = h @ m.wc + m.bc
-    e, s = _exp(logit, _top(m.bc, m.wc) if within else None)
+    e = h @ m.wc
+    top = _top(m.bc, m.wc) if within else None
+    e += m.bc if top is None else m.bc - m.bc.dtype.type(top)
+    if top is None:
+        e -= e.max(1, keepdims=True)
     rows = np.arange(len(h))
-    out = logit[rows, cls] - np.log(s)
-    dh = None
+    out = e[rows, cls]
+    np.exp(e, out=e)
+    s = e @ np.ones(e.shape[1], e.dtype)
+    out -= np.log(s)
     if grads is not None:
-        d = e / s[:, None]
-        d[rows, cls] -= 1
-        grads[3] += h.T @ d
-        grads[4] += d.sum(0)
-        dh = d @ m.wc.T
-    order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(len(m.first)))
-    for c in range(len(m.first) - 1):
-        at = order[edge[c] : edge[c + 1]]
-        if not len(at):
-            continue
-        lo, hi = m.first[c], m.first[c + 1]
-        if hi - lo == 1:
-            continue
-        hc, ww, bw = h[at], m.ww[:, lo:hi], m.bw[lo:hi]
-        lg = hc @ ww + bw
-        e, s = _exp(lg, _top(bw, ww) if within else None)
-        t, r = target[at] - lo, np.arange(len(at))
-        out[at] += lg[r, t] - np.log(s)
-        if grads is not None:
-            d = e / s[:, None]
-            d[r, t] -= 1
-            grads[5][:, lo:hi] += hc.T @ d
-            grads[6][lo:hi] += d.sum(0)
-            dh[at] += d @ ww.T
-    return (out, dh) if grads is not None else out
+        e *= (1 / s)[:, None]
+        e[rows, cls] -= 1
+        grads[3] += h.T @ e
+        grads[4] += np.ones(len(e), e.dtype) @ e
+        dh = e @ m.wc.T
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    sizes = width[cls[order]]
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    at = begins + target[order] - m.first[cls[order]]
+    # a last component of 1 takes the bias along
+    k = h.shape[1]
+    hc, w = np.ones((len(h), k + 1), h.dtype), np.concatenate([m.ww, m.bw[None]])
+    np.take(h, order, axis=0, out=hc[:, :k])
+    tops = _bounds(m) if within else None
+    if tops is not None:
+        w[k] -= np.repeat(tops, width)
+    flat = np.empty(ends[-1] if len(ends) else 0, e.dtype)
+    parts, row, cell = [], 0, 0
+    for c, n in enumerate(np.bincount(cls, minlength=len(width)).tolist()):
+        if n:
+            lo, hi = int(m.first[c]), int(m.first[c + 1])
+            part = flat[cell : cell + n * (hi - lo)].reshape(n, hi - lo)
+            np.matmul(hc[row : row + n], w[:, lo:hi], out=part)
+            parts.append((part, row, row + n, lo, hi))
+            row, cell = row + n, cell + part.size
+    if tops is None and len(flat):
+        flat -= np.repeat(np.maximum.reduceat(flat, begins), sizes)
+    own = flat[at]
+    np.exp(flat, out=flat)
+    s = np.add.reduceat(flat, begins) if len(flat) else own
+    out[order] += own - np.log(s)
+    if grads is None:
+        return out
+    flat *= np.repeat(1 / s, sizes)
+    flat[at] -= 1
+    gw, back = np.zeros_like(w), np.empty((len(h), k), h.dtype)
+    for part, r0, r1, lo, hi in parts:
+        np.matmul(hc[r0:r1].T, part, out=gw[:, lo:hi])
+        np.matmul(part, m.ww[:, lo:hi].T, out=back[r0:r1])
+    grads[5] += gw[:k]
+    grads[6] += gw[k]
+    place = np.empty_like(order)
+    place[order] = rows
+    dh += np.take(back, place, axis=0)
+    return out, dh
+
+
+def paced(docs: Iterator[np.ndarray], lanes: int) -> Iterator[np.ndarray]:
+    """Every document once, in order, except that one which would outlast half of what is read ahead comes at once.
+
+    So lanes end together rather than wait for the few that began a long document last.
+    """
+    held: OrderedDict[int, np.ndarray] = OrderedDict()
+    longest: list[tuple[int, int]] = []
+    size, n, docs = 0, 0, iter(docs)
+    more = True
+    while True:
+        while more and size < AHEAD:
+            doc = next(docs, None)
+            if doc is None:
+                more = False
+                break
+            held[n] = doc
+            heapq.heappush(longest, (-len(doc), n))
+            size, n = size + len(doc) + DOC_COST, n + 1
+        while longest and longest[0][1] not in held:
+            heapq.heappop(longest)
+        if not held:
+            return
+        at = longest[0][1]
+        if len(held[at]) * lanes * 2 > size:
+            doc = held.pop(at)
+        else:
+            _, doc = held.popitem(last=False)
+        size -= len(doc) + DOC_COST
+        if len(longest) > 2 * len(held) + 1000:
+            longest = [x for x in longest if x[1] in held]
+            heapq.heapify(longest)
+        yield doc
 
 
 class Lanes:
@@ -137,29 +209,36 @@ class Lanes:
 
     def __init__(self, docs: Iterator[np.ndarray], begin: int, lanes: int):
         self.docs, self.begin = docs, begin
-        self.rest = [d for _, d in zip(range(lanes), docs)]
-        self.last = [-1] * len(self.rest)  # -1: a document begins
+        self.held = [d for _, d in zip(range(lanes), docs)]
+        self.at = [0] * len(self.held)  # 0: a document begins
+        self.last = np.full(len(self.held), begin)
 
     def window(self):
         """(input, target, begins, filled), each [WINDOW, lanes], and the lanes of the last window that go on; no lanes at the end."""
-        go = [j for j, r in enumerate(self.rest) if r is not None and len(r)]
-        self.rest, self.last = [self.rest[j] for j in go], [self.last[j] for j in go]
-        shape = (WINDOW, len(go))
-        inputs, target = np.full(shape, self.begin), np.full(shape, self.begin)
-        fresh, filled = np.zeros(shape, bool), np.zeros(shape, bool)
-        for j in range(len(go)):
+        go = [j for j, d in enumerate(self.held) if d is not None and len(d)]
+        if len(go) < len(self.held):
+            self.held, self.at, self.last = [self.held[j] for j in go], [self.at[j] for j in go], self.last[go]
+        target = np.full((len(go), WINDOW), self.begin)
+        fresh, filled = np.zeros((WINDOW, len(go)), bool), np.ones((WINDOW, len(go)), bool)
+        for j, (doc, at) in enumerate(zip(self.held, self.at)):
+            if at and at + WINDOW < len(doc):
+                target[j] = doc[at : at + WINDOW]
+                self.at[j] = at + WINDOW
+                continue
             have = 0
-            while have < WINDOW and self.rest[j] is not None:
-                take = self.rest[j][: WINDOW - have]
-                end = have + len(take)
-                target[have:end, j] = take
-                inputs[have + 1 : end, j] = take[:-1]
-                fresh[have, j] = self.last[j] < 0
-                inputs[have, j] = self.begin if self.last[j] < 0 else self.last[j]
-                filled[have:end, j] = True
-                self.rest[j], self.last[j], have = self.rest[j][len(take) :], take[-1], end
-                if not len(self.rest[j]):
-                    self.rest[j], self.last[j] = next(self.docs, None), -1
+            while have < WINDOW and doc is not None:
+                take = doc[at : at + WINDOW - have]
+                fresh[have, j] = not at
+                target[j, have : have + len(take)] = take
+                at, have = at + len(take), have + len(take)
+                if at == len(doc):
+                    doc, at = next(self.docs, None), 0
+            filled[have:, j] = False
+            self.held[j], self.at[j] = doc, at
+        target = np.ascontiguousarray(target.T)
+        inputs = np.concatenate([self.last[None], target[:-1]])
+        inputs[fresh] = self.begin
+        self.last = target[-1]
         return inputs, target, fresh, filled, go
 
 
@@ -175,70 +254,194 @@ def train(m: Gru, docs: list[np.ndarray], begin: int, tokens: int, seed: int = 9
         while True:
             yield from (docs[k] for k in rng.permutation(len(docs))[::-1])
 
-    _descend(m, Lanes(forever(), begin, lanes), windows, lambda it: RATE * min(1.0, (it + 1) / 20) * (1 - 0.9 * it / windows))
+    for _ in _windows(m, Lanes(forever(), begin, lanes), windows, lambda it: RATE * min(1.0, (it + 1) / 20) * (1 - 0.9 * it / windows)):
+        pass
     return m
 
 
 def train_once(m: Gru, docs: Iterator[np.ndarray], begin: int) -> np.ndarray:
     """Adam over every symbol of the documents, each once, at a steady rate; returns how often each symbol was an input."""
-    return _descend(m, Lanes(docs, begin, LANES), None, lambda it: PASS_RATE * min(1.0, (it + 1) / 20))
+    *_, met = passing(m, docs, begin)
+    return met
 
 
-def _descend(m: Gru, data: Lanes, windows: int | None, rate_of) -> np.ndarray:
-    """Adam over so many windows, or all; counts of inputs by symbol."""
-    hidden = m.u.shape[0]
-    h = np.zeros((len(data.rest), hidden), np.float32)
+def passing(m: Gru, docs: Iterator[np.ndarray], begin: int) -> Iterator[np.ndarray]:
+    """train_once() window by window, so that its caller can pass on what it has read: counts of inputs so far."""
+    return _windows(m, Lanes(paced(docs, LANES), begin, LANES), None, lambda it: PASS_RATE * min(1.0, (it + 1) / 20))
+
+
+def _adam(p: np.ndarray, g: np.ndarray, a: np.ndarray, v: np.ndarray, rate: float, c2: float) -> None:
+    """One step in place; g is used up."""
+    a *= 0.9
+    v *= 0.99
+    s = np.multiply(g, 0.1)
+    a += s
+    g *= s
+    g *= 0.1
+    v += g
+    np.multiply(v, 1 / c2, out=s)
+    np.sqrt(s, out=s)
+    s += 1e-6
+    np.divide(a, s, out=s)
+    s *= rate
+    p -= s
+
+
+def _sums(rows: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows that begin at the edges; two floats at a time, as a complex number."""
+    n = np.diff(edge, append=len(rows))
+    out, many = rows[edge], n > 1
+    if many.any():
+        rows = rows[np.repeat(many, n)]
+        edge = np.concatenate([[0], np.cumsum(n[many])[:-1]])
+        if rows.dtype == np.float32 and rows.shape[1] % 2 == 0:
+            out[many] = np.add.reduceat(rows.view(np.complex64), edge, axis=0).view(np.float32)
+        else:
+            out[many] = np.add.reduceat(rows, edge, axis=0)
+    return out
+
+
+#: By steps that an input row has missed: what is left of its two means, and the sum of its own steps by the last one.
+_MISSED = np.arange(5000)[:, None]
+_MEAN, _SQUARE = (0.9**_MISSED).astype(np.float32), (0.99**_MISSED).astype(np.float32)
+_STEPS = (0.9**_MISSED / 0.99 ** (_MISSED / 2)).cumsum(0).astype(np.float32) - 1
+
+
+def _catch_up(x, a, v, missed, rate: float, c2: float) -> None:
+    """The steps that input rows have missed: without gradients they shrink in ratio, so their sum is in closed form."""
+    missed = np.minimum(missed, len(_MISSED) - 1)
+    s = np.multiply(v, 1 / c2)
+    np.sqrt(s, out=s)
+    s += 1e-6
+    np.divide(a, s, out=s)
+    s *= _STEPS[missed] * rate
+    x -= s
+    a *= _MEAN[missed]
+    v *= _SQUARE[missed]
+
+
+def _windows(m: Gru, data: Lanes, windows: int | None, rate_of) -> Iterator[np.ndarray]:
+    """Adam over so many windows, or all; after each, and at the end, counts of inputs by symbol.
+
+    All weights but the inputs' lie in one vector. An input row is brought up to date when its symbol comes next, and at the end.
+    """
+    k = m.u.shape[0]
+    h = np.zeros((len(data.held), k), np.float32)
     met = np.zeros(len(m.x), np.int64)
-    mom = [np.zeros_like(p) for p in m.params()]
-    var = [np.zeros_like(p) for p in m.params()]
-    it = 0
+    names = ("u", "b", "wc", "bc", "ww", "bw")
+    flat = np.concatenate([p.ravel() for p in m.params()[1:]])
+    grad = np.empty_like(flat)
+    grads: list = [None]
+    at = 0
+    for name, p in zip(names, m.params()[1:]):
+        setattr(m, name, flat[at : at + p.size].reshape(p.shape))
+        grads.append(grad[at : at + p.size].reshape(p.shape))
+        at += p.size
+    mom, var, mom_x, var_x = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(m.x), np.zeros_like(m.x)
+    due = np.zeros(len(m.x), np.int64)
+    it, rate, c2 = 0, 0.0, 1.0
     while windows is None or it < windows:
         inputs, target, fresh, filled, go = data.window()
         if not go:
             break
-        h, lanes = h[go], len(go)
-        met += np.bincount(inputs[filled], minlength=len(met))
-        hs, saved, before = [], [], []
+        lanes = len(go)
+        h = h if lanes == len(h) else h[go]
+        w, full = inputs.ravel(), filled.all()
+        met += np.bincount(w if full else inputs[filled], minlength=len(met))
+        order = np.argsort(w.astype(np.int16) if len(met) < 1 << 15 else w, kind="stable")
+        sorted_w = w[order]
+        edge = np.flatnonzero(np.concatenate([[True], sorted_w[1:] != sorted_w[:-1]]))
+        rows = sorted_w[edge]
+        px, ax, vx = m.x[rows], mom_x[rows], var_x[rows]
+        if it:
+            _catch_up(px, ax, vx, it - due[rows], np.float32(rate), c2)
+        which = np.empty_like(order)
+        which[order] = np.repeat(np.arange(len(rows)), np.diff(edge, append=len(w)))
+        # forward: gates apart, [step, gate, lane, unit]; sigmoid(a) = (tanh(a / 2) + 1) / 2
+        half = np.array([0.5, 0.5, 1], np.float32)[:, None, None]
+        u = np.ascontiguousarray(m.u.reshape(k, 3, k).transpose(1, 0, 2)) * half
+        gates = np.empty((WINDOW, 3, lanes, k), np.float32)
+        half_x = (px + m.b).reshape(-1, 3, k) * half[:, 0]
+        gates[:] = np.take(half_x.reshape(-1, 3 * k), which, axis=0).reshape(WINDOW, lanes, 3, k).transpose(0, 2, 1, 3)
+        before, hs, gn = (np.empty((WINDOW, lanes, k), np.float32) for _ in range(3))
+        g, reset = np.empty((3, lanes, k), np.float32), fresh.any(1)
         for t in range(WINDOW):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            before.append(h)
-            h, s = step(m, inputs[t], h)
-            hs.append(h)
-            saved.append(s)
-        grads = [np.zeros_like(p) for p in m.params()]
-        dh, ok = np.zeros((WINDOW * lanes, hidden), np.float32), filled.ravel()
-        _, dh[ok] = log_probs(m, np.concatenate(hs)[ok], target.ravel()[ok], grads)
-        dh = dh.reshape(WINDOW, lanes, hidden)
-        back = np.zeros_like(h)
-        da_all = np.empty((WINDOW, lanes, 3 * hidden), np.float32)
+            b = before[t]
+            b[:] = h
+            if reset[t]:
+                b[fresh[t]] = 0
+            np.matmul(b, u, out=g)
+            zr, n = gates[t, :2], gates[t, 2]
+            zr += g[:2]
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            gn[t] = g[2]
+            g[2] *= zr[1]
+            n += g[2]
+            np.tanh(n, out=n)
+            h = hs[t]
+            np.subtract(b, n, out=h)
+            h *= zr[0]
+            h += n
+        grad[:] = 0
+        states = hs.reshape(-1, k)
+        if full:
+            _, dh = log_probs(m, states, target.ravel(), grads)
+        else:
+            ok, dh = filled.ravel(), np.zeros_like(states)
+            _, dh[ok] = log_probs(m, states[ok], target.ravel()[ok], grads)
+        dh = dh.reshape(WINDOW, lanes, k)
+        # backward: what each step's gradient is multiplied by, for all steps at once
+        z, r, n = gates[:, 0], gates[:, 1], gates[:, 2]
+        rest = 1 - z
+        to_z = before - n
+        to_z *= z
+        to_z *= rest
+        to_n = n * n
+        np.subtract(1, to_n, out=to_n)
+        to_n *= rest
+        to_r = 1 - r
+        to_r *= r
+        to_r *= gn
+        # columns: candidate by the reset gate, update, reset, candidate; u has the first three, x and b the last three
+        da = np.empty((WINDOW, lanes, 4 * k), np.float32)
+        back, dn = np.zeros((lanes, k), np.float32), np.empty((lanes, k), np.float32)
+        u_back = np.ascontiguousarray(np.concatenate([m.u[:, 2 * k :], m.u[:, : 2 * k]], 1).T)
         for t in range(WINDOW - 1, -1, -1):
-            z, r, n, gn = saved[t]
-            d = dh[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before[t] - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            da_all[t] = np.concatenate([dz, dr, dn], 1)
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            grads[1] += before[t].T @ dg
-            back = (d * z + dg @ m.u.T) * ~fresh[t][:, None]
-        flat, w = da_all.reshape(-1, 3 * hidden), inputs.ravel()
-        grads[2] += flat.sum(0)
-        order = np.argsort(w, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], w[order][1:] != w[order][:-1]]))
-        grads[0][w[order][at]] += np.add.reduceat(flat[order], at, axis=0)
+            d, to = dh[t], da[t]
+            d += back
+            np.multiply(d, to_n[t], out=dn)
+            np.multiply(dn, r[t], out=to[:, :k])
+            np.multiply(d, to_z[t], out=to[:, k : 2 * k])
+            np.multiply(dn, to_r[t], out=to[:, 2 * k : 3 * k])
+            to[:, 3 * k :] = dn
+            np.matmul(to[:, : 3 * k], u_back, out=back)
+            d *= z[t]
+            back += d
+            if reset[t]:
+                back[fresh[t]] = 0
+        da = da.reshape(-1, 4 * k)
+        du = before.reshape(-1, k).T @ da[:, : 3 * k]
+        grads[1][:, 2 * k :], grads[1][:, : 2 * k] = du[:, :k], du[:, k:]
+        grad_x = _sums(da[order, k:], edge)
+        np.matmul(np.ones(len(grad_x), np.float32), grad_x, out=grads[2])
         scale = 1.0 / lanes  # a mean over lanes of the sum over a window
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads)) * scale
+        norm = np.sqrt(float(grad @ grad) + float(np.vdot(grad_x, grad_x))) * scale
         scale *= min(1.0, 5.0 / max(norm, 1e-9))
-        rate = rate_of(it)
-        c1, c2 = 1 - 0.9 ** (it + 1), 1 - 0.99 ** (it + 1)
-        for p, g, a, v in zip(m.params(), grads, mom, var):
-            g *= scale
-            a += 0.1 * (g - a)
-            v += 0.01 * (g * g - v)
-            p -= (rate / c1) * a / (np.sqrt(v / c2) + 1e-6)
+        c2 = 1 - 0.99 ** (it + 1)
+        rate = rate_of(it) / (1 - 0.9 ** (it + 1))
+        grad *= np.float32(scale)
+        grad_x *= np.float32(scale)
+        _adam(flat, grad, mom, var, rate, c2)
+        _adam(px, grad_x, ax, vx, rate, c2)
+        m.x[rows], mom_x[rows], var_x[rows] = px, ax, vx
         it += 1
-    return met
+        due[rows] = it
+        yield met
+    if it:
+        _catch_up(m.x, mom_x, var_x, it - due, np.float32(rate), c2)
+    yield met
 
 
 def score(m: Gru, docs: list[np.ndarray], begin: int) -> np.ndarray:
@@ -251,8 +454,6 @@ def score(m: Gru, docs: list[np.ndarray], begin: int) -> np.ndarray:
     lanes = int(min(SCORE_LANES, len(docs)))
     load = [(0, j) for j in range(lanes)]
     held: list[list[int]] = [[] for _ in range(lanes)]
-    import heapq
-
     heapq.heapify(load)
     for i in np.argsort(-sizes, kind="stable").tolist():
         n, j = heapq.heappop(load)
@@ -271,15 +472,16 @@ def score(m: Gru, docs: list[np.ndarray], begin: int) -> np.ndarray:
     length = length[order]
     logp = [np.empty(n) for n in length]
     k = m.u.shape[0]
-    # sigmoid(a) = (tanh(a / 2) + 1) / 2: the half goes into the weights, so a step is one gather, one product and few passes in place
-    half = np.concatenate([np.full(2 * k, 0.5, np.float32), np.ones(k, np.float32)])
-    x, u = (m.x + m.b) * half, np.ascontiguousarray(m.u * half)
+    # sigmoid(a) = (tanh(a / 2) + 1) / 2: the half goes into the weights; gates lie apart, so every pass is over one piece
+    half = np.array([0.5, 0.5, 1], np.float32)[:, None, None]
+    apart = lambda w: np.ascontiguousarray(w.reshape(-1, 3, k).transpose(1, 0, 2)) * half
+    x, u = apart(m.x + m.b), apart(m.u)
     h = np.zeros((lanes, k), np.float32)
-    a, g = np.empty((lanes, 3 * k), np.float32), np.empty((lanes, 3 * k), np.float32)
     prev = np.full(lanes, begin)
     for t0 in range(0, int(length[0]), SCORE_STEPS):
         live = int((length > t0).sum())
-        h, prev, a, g = h[:live], prev[:live], a[:live], g[:live]
+        h, prev = h[:live], prev[:live]
+        a, g = np.empty((3, live, k), np.float32), np.empty((3, live, k), np.float32)
         steps = int(min(SCORE_STEPS, length[0] - t0))
         target = np.zeros((steps, live), np.int64)
         fresh = np.zeros((steps, live), bool)
@@ -293,14 +495,14 @@ def score(m: Gru, docs: list[np.ndarray], begin: int) -> np.ndarray:
         inputs[fresh] = begin
         reset = fresh.any(1)
         hs = np.empty((steps, live, k), np.float32)
-        zr, n, gn = a[:, : 2 * k], a[:, 2 * k :], g[:, 2 * k :]
-        z, r = zr[:, :k], zr[:, k:]
+        zr, n, g_zr, gn = a[:2], a[2], g[:2], g[2]
+        z, r = zr
         for t in range(steps):
             if reset[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            np.take(x, inputs[t], axis=0, out=a)
+            np.take(x, inputs[t], axis=1, out=a, mode="clip")
             np.matmul(h, u, out=g)
-            zr += g[:, : 2 * k]
+            zr += g_zr
             np.tanh(zr, out=zr)
             zr += 1
             zr *= 0.5

@@ -6,25 +6,28 @@ of its bucket comes from the counts. Frequent words are looked up in a table of
 all others are joined with their counts by hash, so nothing that grows with the vocabulary is
 broadcast or collected. The recurrent weights start from a bounded sample of documents; from
 there every partition passes once over all of its training documents, and the partitions'
-weights are averaged by the symbols that they have seen.
+weights are averaged by the symbols that they have seen. Texts are split into words twice: to
+count, and to train, which leaves every text's symbols in a checkpoint for the scoring.
 """
 
 from __future__ import annotations
 
 import copy
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fragweave.llm import gru
-from fragweave.llm.common import chunks, fold, folded_words
+from fragweave.llm.common import fold
 from fragweave.session import cut_lineage
 
 #: Words that are looked up without a join; words that the model predicts; buckets for the others.
@@ -34,6 +37,8 @@ SAMPLE, TOKENS = 6000, 3_000_000
 #: The key of the end symbol; words have the signed 64-bit XXH64 of their bytes.
 END = 0
 ALPHA = 0.1
+#: Bytes of text that are counted, or encoded, at a time; a longer text is one piece. Bytes of symbols scored at a time.
+COUNT_BYTES, ENCODE_BYTES, SCORE_BYTES = 20_000_000, 8_000_000, 8_000_000
 
 
 def keys_of(words) -> np.ndarray:
@@ -47,25 +52,41 @@ def bucket_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BUCKETS
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words of whole texts to counted keys, summed over a bounded run of texts."""
+def pieces(column: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """The column in order, in slices of about `most` bytes, each with its place; no value is cut."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, column.slice(at, upto - at)
+        at = upto
+
+
+def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words as of folded_words(): the distinct ones, the place of every text's words in that list, end to end, and the texts' edges there.
+
+    Arrow splits at the same six characters and lower-cases A-Z alone; the empty words that it leaves at either end of a text have no place.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    found = lists.values.dictionary_encode()
+    words = found.dictionary.cast(pa.binary()).to_pylist()
+    places, edges = found.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    if b"" in words:
+        keep = places != words.index(b"")
+        places, edges = places[keep], np.concatenate([[0], np.cumsum(keep)])[edges]
+    return words, places, edges
 
-    def rows(c: Counter, ends: int) -> pd.DataFrame:
-        key = keys_of(c)
-        bucket = np.fromiter(map(bucket_of, c), np.int32, len(c))
-        n = np.fromiter(c.values(), np.int64, len(c))
-        return pd.DataFrame({"key": np.append(key, END), "bucket": np.append(bucket, -1).astype(np.int32), "n": np.append(n, ends)})
 
-    seen, ends = Counter(), 0
-    for pdf in batches:
-        for text in pdf["text"]:
-            seen.update(folded_words(text))
-            ends += 1
-            if len(seen) > 500_000:
-                yield rows(seen, ends)
-                seen, ends = Counter(), 0
-    if ends:
-        yield rows(seen, ends)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of whole texts to counted keys, summed over a bounded run of texts."""
+    for batch in batches:
+        for _, texts in pieces(batch.column(0), COUNT_BYTES):
+            words, places, _ = coded(texts)
+            n = np.bincount(places, minlength=len(words))
+            words, n = [w for w in words if w], n[[bool(w) for w in words]]
+            bucket = np.fromiter(map(bucket_of, words), np.int32, len(words))
+            rows = (np.append(keys_of(words), END), np.append(bucket, -1).astype(np.int32), np.append(n, len(texts)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["key", "bucket", "n"])
 
 
 class Lexicon:
@@ -120,97 +141,121 @@ class Words:
         self.place: dict[bytes, int] = {}
         self.columns = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
 
-    def look(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Places of the words of each text; columns hold their entries until the next call."""
+    def look(self, words: list[bytes]) -> np.ndarray:
+        """Places of the words, which differ from each other; columns hold their entries until the next call."""
         if len(self.place) > self.most:
             self._clear()
-        met: set[bytes] = set()
-        for t in texts:
-            met.update(t)
-        fresh = list(met - self.place.keys())
-        if fresh:
-            n = len(self.place)
-            self.place.update(zip(fresh, range(n, n + len(fresh))))
-            self.columns = [np.concatenate(c) for c in zip(self.columns, self.lex.entries(fresh))]
-        get = self.place.__getitem__
-        return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new, n = [words[i] for i in fresh.tolist()], len(self.place)
+            at[fresh] = np.arange(n, n + len(fresh))
+            self.place.update(zip(new, at[fresh].tolist()))
+            self.columns = [np.concatenate(c) for c in zip(self.columns, self.lex.entries(new))]
+        return at
+
+
+def _split(symbol: np.ndarray, edges: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts end to end, each text's end included, and the texts' edges there."""
+    return np.insert(symbol.astype("<u2"), edges[1:], end), edges + np.arange(len(edges))
 
 
 def _symbols(words):
     """Texts to the model's symbols, the end included, as bytes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = words.value
         known = Words(lex)
-        for pdf in batches:
-            for part in chunks(pdf["text"]):
-                places = known.look([folded_words(t) for t in part])
-                yield pd.DataFrame({"s": [np.append(known.columns[0][at], lex.symbol_end).astype("<i4").tobytes() for at in places]})
+        for batch in batches:
+            for _, texts in pieces(batch.column(0), ENCODE_BYTES):
+                distinct, places, edges = coded(texts)
+                at = known.look(distinct)
+                flat, edges = _split(known.columns[0][at][places], edges, lex.symbol_end)
+                yield pa.RecordBatch.from_arrays([_binary(flat, edges)], ["s"])
 
     return run
 
 
-def _learner(shared):
-    """One pass of training over all texts of a partition; their tokens stream through a bounded number of lanes."""
+def _binary(flat: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Slices of 16-bit numbers as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 2).astype("<i4")), pa.py_buffer(flat)])
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encoder(shared, held_fold: int, schema: pa.Schema):
+    """Of each text: the base score and what the model's needs, its symbols among it. Meanwhile one pass of training over
+    all training texts of the partition, streamed through a bounded number of lanes; the weights come in a last row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, model = shared.value
         model = copy.deepcopy(model)
-        words = Words(lex)
-
-        def symbols() -> Iterator[np.ndarray]:
-            for pdf in batches:
-                for part in chunks(pdf["text"]):
-                    for at in words.look([folded_words(t) for t in part]):
-                        yield np.append(words.columns[0][at], lex.symbol_end)
+        words, done = Words(lex), []
+        scale = np.log10(lex.total + ALPHA * (lex.distinct + 1))
+        end_log = float(np.log10(lex.end_count + ALPHA))
+        row = TaskContext.get().partitionId() << 36
 
-        met = gru.train_once(model, symbols(), lex.symbol_end)
+        def training() -> Iterator[np.ndarray]:
+            nonlocal row
+            for batch in batches:
+                for first, texts in pieces(batch.column("text"), ENCODE_BYTES):
+                    n = len(texts)
+                    distinct, places, edges = coded(texts)
+                    at = words.look(distinct)
+                    symbol, key, own, inside = (c[at][places] for c in words.columns)
+                    text = np.repeat(np.arange(n), np.diff(edges))
+                    rare = np.flatnonzero(key)
+                    rare_text, rare_key = text[rare], key[rare]
+                    order = np.lexsort((rare_key, rare_text))
+                    rare_text, rare_key = rare_text[order], rare_key[order]
+                    new = np.flatnonzero(np.diff(rare_text, prepend=-1) | (np.diff(rare_key, prepend=0) != 0))
+                    tokens = np.diff(edges) + 1
+                    lists = pa.array(np.searchsorted(rare_text[new], np.arange(n + 1)).astype(np.int32))
+                    flat, edges = _split(symbol, edges, lex.symbol_end)
+                    held = batch.column("f").slice(first, n).to_numpy() == held_fold
+                    columns = {
+                        "row": np.arange(row, row + n),
+                        "doc_id": batch.column("doc_id").slice(first, n),
+                        "held_out": held,
+                        "n_tokens": tokens,
+                        "known": tokens - 1 - np.bincount(rare_text, minlength=n) + int(lex.end_count > 0),
+                        "base": np.bincount(text, own, n) + end_log - tokens * scale,
+                        "inside": np.bincount(text, inside, n),
+                        "keys": pa.ListArray.from_arrays(lists, pa.array(rare_key[new])),
+                        "times": pa.ListArray.from_arrays(lists, pa.array(np.diff(new, append=len(rare)).astype(np.int32))),
+                        "symbols": _binary(flat, edges),
+                        "w": pa.nulls(n, pa.binary()),
+                    }
+                    row += n
+                    done.append(_batch(columns, schema))
+                    for i in np.flatnonzero(~held).tolist():
+                        yield flat[edges[i] : edges[i + 1]]
+
+        for met in gru.passing(model, training(), lex.symbol_end):
+            yield from done
+            done.clear()
         if met.any():
-            yield pd.DataFrame({"w": [gru.packed(model, met).tobytes()]})
+            w = {c: pa.nulls(1, schema.field(c).type) for c in schema.names}
+            yield _batch(w | {"w": pa.array([gru.packed(model, met).tobytes()], pa.binary())}, schema)
 
     return run
 
 
-def _scorer(shared, held_fold: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    """Columns in the schema's order and types."""
+    made = (c if isinstance(c, pa.Array) else pa.array(c) for c in (columns[name] for name in schema.names))
+    return pa.RecordBatch.from_arrays([c if c.type == t else c.cast(t) for c, t in zip(made, schema.types)], schema=schema)
+
+
+def _scorer(shared):
+    """The model's score of encoded texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, model = shared.value
-        words = Words(lex)
-        scale = np.log10(lex.total + ALPHA * (lex.distinct + 1))
-        row = TaskContext.get().partitionId() << 36
-        end_log = float(np.log10(lex.end_count + ALPHA))
-        for pdf in batches:
-            at = 0
-            for part in chunks(pdf["text"], 20_000_000):
-                out = {k: [] for k in ("base", "inside", "tokens", "known", "keys", "times")}
-                symbols = []
-                for few in chunks(part, 2_000_000):
-                    for at_word in words.look([folded_words(t) for t in few]):
-                        symbol, key, own, inside = (c[at_word] for c in words.columns)
-                        symbols.append(np.append(symbol, lex.symbol_end))
-                        rare, times = np.unique(key[key != 0], return_counts=True)
-                        out["base"].append(own.sum() + end_log - (len(key) + 1) * scale)
-                        out["inside"].append(inside.sum())
-                        out["tokens"].append(len(key) + 1)
-                        out["known"].append(len(key) - int(times.sum()) + (lex.end_count > 0))
-                        out["keys"].append(rare)
-                        out["times"].append(times.astype(np.int32))
-                likely = gru.score(model, symbols, lex.symbol_end) / np.log(10)
-                ids, held = pdf["doc_id"].iloc[at : at + len(part)], pdf["f"].iloc[at : at + len(part)]
-                at += len(part)
-                yield pd.DataFrame(
-                    {
-                        "row": np.arange(row, row + len(part)),
-                        "doc_id": ids.to_numpy(),
-                        "held_out": (held == held_fold).to_numpy(bool),
-                        "n_tokens": out["tokens"],
-                        "known": out["known"],
-                        "base": out["base"],
-                        "model": likely + np.array(out["inside"]),
-                        "keys": out["keys"],
-                        "times": out["times"],
-                    }
-                )
-                row += len(part)
+        for batch in batches:
+            for first, symbols in pieces(batch.column("symbols"), SCORE_BYTES):
+                part = batch.slice(first, len(symbols))
+                likely = gru.score(model, [np.frombuffer(s, "<u2") for s in symbols.to_pylist()], lex.symbol_end) / np.log(10)
+                kept = [c for c in batch.schema.names if c not in ("symbols", "inside")]
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(likely + part.column("inside").to_numpy())], [*kept, "model"])
 
     return run
 
@@ -227,7 +272,7 @@ def likelihoods(docs: DataFrame, folds: int = 10, held_fold: int = 0, sample: in
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(fold("doc_id", folds), F.lit(-1)).alias("f"))
     training = rows.where(F.col("f") != held_fold)
-    counted = training.select("text").mapInPandas(_count, "key long, bucket int, n long")
+    counted = training.select("text").mapInArrow(_count, "key long, bucket int, n long")
     counts = cut_lineage(counted.groupBy("key").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n")))
     by_bucket = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     total, distinct = sum(r.n for r in by_bucket), sum(r.v for r in by_bucket)
@@ -245,23 +290,26 @@ def likelihoods(docs: DataFrame, folds: int = 10, held_fold: int = 0, sample: in
     spread = 1 << 30
     few = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < int(min(1.0, sample / max(1, lex.end_count)) * spread)).select("text")
     words = spark.sparkContext.broadcast(lex)
-    learn = [np.frombuffer(r.s, "<i4").astype(np.int64) for r in few.mapInPandas(_symbols(words), "s binary").collect()]
+    learn = [np.frombuffer(r.s, "<u2").astype(np.int64) for r in few.mapInArrow(_symbols(words), "s binary").collect()]
     learn.sort(key=lambda x: (len(x), x.tobytes()))  # independent of the order of tasks
     # symbols number at most SHORTLIST + BUCKETS + 1, so the weights are under 2 MB
     model = gru.train(gru.start(lex.counts, CLASSES), learn, lex.symbol_end, tokens)
+    begun = spark.sparkContext.broadcast((lex, model))
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, inside double, keys array<long>, times array<int>, symbols binary, w binary"
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    encoded = cut_lineage(rows.mapInArrow(_encoder(begun, held_fold, arrow), schema))
     if lex.end_count:
-        begun = spark.sparkContext.broadcast((lex, model))
         # a vector of 2 MB a partition, added up in a tree, so that few reach the driver
-        passed = training.select("text").mapInPandas(_learner(begun), "w binary").rdd.map(lambda r: np.frombuffer(r.w))
+        passed = encoded.where("w is not null").select("w").rdd.map(lambda r: np.frombuffer(r.w))
         model = gru.averaged(model, passed.treeReduce(np.add, 3))
     shared = spark.sparkContext.broadcast((lex, model))
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double, keys array<long>, times array<int>"
-    scored = cut_lineage(rows.mapInPandas(_scorer(shared, held_fold), schema))
-    rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("t"))
+    encoded = encoded.where("w is null").drop("w")
+    scored = encoded.drop("keys", "times").mapInArrow(_scorer(shared), f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, model double")
+    rare = encoded.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.times").alias("t"))
     # no key here is frequent: the hundred-thousands of words above them in rank are in the table
     rare = rare.join(counts.select("key", "n"), "key", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("t") * F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("own"), F.sum(F.when(F.col("n").isNotNull(), F.col("t")).otherwise(0)).alias("more"))
-    out = scored.drop("keys", "times").join(rare, "row", "left")
+    out = scored.join(rare, "row", "left")
     own = F.coalesce("own", F.lit(0.0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + own).alias("base_score"), (F.col("model") + own).alias("score"))
