@@ -9,7 +9,7 @@ documents, many at a time in lanes that are refilled as documents end.
 from __future__ import annotations
 
 import heapq
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +20,10 @@ HIDDEN, WINDOW, LANES = 32, 16, 128
 RATE, PASS_RATE = 4e-3, 1e-3
 #: Lanes and steps of a block when scoring.
 SCORE_LANES, SCORE_STEPS = 256, 32
-#: Symbols read ahead when training, and how many a document counts for by itself.
+#: Symbols read ahead when training, and how many more a document counts for.
 AHEAD, DOC_COST = 8_000_000, 100
+#: Windows that are cut from the documents at a time.
+BLOCK = 4
 
 
 @dataclass
@@ -101,6 +103,15 @@ def _bounds(m: Gru) -> np.ndarray | None:
     return top if (top - np.maximum.reduceat(m.bw - reach, m.first[:-1])).max() <= 60 else None
 
 
+def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b for many rows and few columns; 128 rows at a time, which stay in cache."""
+    n = len(a) // 128
+    out = a[n * 128 :].T @ b[n * 128 :]
+    if n:
+        out += np.matmul(a[: n * 128].reshape(n, 128, -1).transpose(0, 2, 1), b[: n * 128].reshape(n, 128, -1)).sum(0)
+    return out
+
+
 def log_probs(m: Gru, h: np.ndarray, target: np.ndarray, grads: list | None = None):
     """Natural log-probability of each target given its state; with grads also d(-sum)/d(state).
 
@@ -108,65 +119,67 @@ def log_probs(m: Gru, h: np.ndarray, target: np.ndarray, grads: list | None = No
     class, so each class is one product; the members' logits of all rows lie end to end, so all
     else is one call. A row's value doesn't depend on other rows.
     """
-    width = np.diff(m.first)
-    cls = np.repeat(np.arange(len(width)), width)[target]
-    within = np.abs(h).max(initial=0) <= 1
-    e = h @ m.wc
-    top = _top(m.bc, m.wc) if within else None
-    e += m.bc if top is None else m.bc - m.bc.dtype.type(top)
+    width, first = np.diff(m.first), m.first.tolist()
+    k, rows = h.shape[1], np.arange(len(h))
+    cls = np.repeat(np.arange(len(width), dtype=np.int16), width)[target]
+    order = np.argsort(cls, kind="stable")
+    cls = cls[order].astype(np.int64)
+    within = h.max(initial=0) <= 1 and h.min(initial=0) >= -1
+    # a last component of 1 takes the biases along
+    hc = np.empty((len(h), k + 1), h.dtype)
+    hc[:, :k], hc[:, k] = h[order], 1
+    top, tops = (_top(m.bc, m.wc), _bounds(m)) if within else (None, None)
+    e = hc @ np.concatenate([m.wc, (m.bc if top is None else m.bc - m.bc.dtype.type(top))[None]])
     if top is None:
         e -= e.max(1, keepdims=True)
-    rows = np.arange(len(h))
-    out = e[rows, cls]
+    hit = rows * len(width) + cls
+    got = e.ravel()[hit]
     np.exp(e, out=e)
-    s = e @ np.ones(e.shape[1], e.dtype)
-    out -= np.log(s)
+    s = e @ np.ones(len(width), e.dtype)
+    got -= np.log(s)
     if grads is not None:
         e *= (1 / s)[:, None]
-        e[rows, cls] -= 1
-        grads[3] += h.T @ e
-        grads[4] += np.ones(len(e), e.dtype) @ e
-        dh = e @ m.wc.T
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    sizes = width[cls[order]]
+        e.ravel()[hit] -= 1
+        g = _gram(hc, e)
+        grads[3] += g[:k]
+        grads[4] += g[k]
+        back = e @ m.wc.T
+    sizes = width[cls]
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    at = begins + target[order] - m.first[cls[order]]
-    # a last component of 1 takes the bias along
-    k = h.shape[1]
-    hc, w = np.ones((len(h), k + 1), h.dtype), np.concatenate([m.ww, m.bw[None]])
-    np.take(h, order, axis=0, out=hc[:, :k])
-    tops = _bounds(m) if within else None
-    if tops is not None:
-        w[k] -= np.repeat(tops, width)
+    hit = begins + target[order] - m.first[cls]
+    w = np.concatenate([m.ww, (m.bw if tops is None else m.bw - np.repeat(tops, width))[None]])
     flat = np.empty(ends[-1] if len(ends) else 0, e.dtype)
     parts, row, cell = [], 0, 0
     for c, n in enumerate(np.bincount(cls, minlength=len(width)).tolist()):
         if n:
-            lo, hi = int(m.first[c]), int(m.first[c + 1])
-            part = flat[cell : cell + n * (hi - lo)].reshape(n, hi - lo)
-            np.matmul(hc[row : row + n], w[:, lo:hi], out=part)
-            parts.append((part, row, row + n, lo, hi))
-            row, cell = row + n, cell + part.size
+            lo, hi = first[c], first[c + 1]
+            to = cell + n * (hi - lo)
+            part, states = flat[cell:to].reshape(n, hi - lo), hc[row : row + n]
+            np.matmul(states, w[:, lo:hi], out=part)
+            parts.append((part, states, row, lo, hi))
+            row, cell = row + n, to
     if tops is None and len(flat):
         flat -= np.repeat(np.maximum.reduceat(flat, begins), sizes)
-    own = flat[at]
+    got += flat[hit]
     np.exp(flat, out=flat)
-    s = np.add.reduceat(flat, begins) if len(flat) else own
-    out[order] += own - np.log(s)
+    s = np.add.reduceat(flat, begins) if len(flat) else got
+    got -= np.log(s)
+    out = np.empty_like(got)
+    out[order] = got
     if grads is None:
         return out
     flat *= np.repeat(1 / s, sizes)
-    flat[at] -= 1
-    gw, back = np.zeros_like(w), np.empty((len(h), k), h.dtype)
-    for part, r0, r1, lo, hi in parts:
-        np.matmul(hc[r0:r1].T, part, out=gw[:, lo:hi])
-        np.matmul(part, m.ww[:, lo:hi].T, out=back[r0:r1])
-    grads[5] += gw[:k]
-    grads[6] += gw[k]
-    place = np.empty_like(order)
-    place[order] = rows
-    dh += np.take(back, place, axis=0)
+    flat[hit] -= 1
+    g, members, own = np.zeros_like(w), m.ww.T, np.empty_like(back)
+    for part, states, row, lo, hi in parts:
+        np.matmul(states.T, part, out=g[:, lo:hi])
+        np.matmul(part, members[lo:hi], out=own[row : row + len(part)])
+    back += own
+    grads[5] += g[:k]
+    grads[6] += g[k]
+    dh = np.empty_like(back)
+    dh[order] = back
     return out, dh
 
 
@@ -180,14 +193,14 @@ def paced(docs: Iterator[np.ndarray], lanes: int) -> Iterator[np.ndarray]:
     size, n, docs = 0, 0, iter(docs)
     more = True
     while True:
-        while more and size < AHEAD:
+        while more and size + DOC_COST * len(held) < AHEAD:
             doc = next(docs, None)
             if doc is None:
                 more = False
                 break
             held[n] = doc
             heapq.heappush(longest, (-len(doc), n))
-            size, n = size + len(doc) + DOC_COST, n + 1
+            size, n = size + len(doc), n + 1
         while longest and longest[0][1] not in held:
             heapq.heappop(longest)
         if not held:
@@ -197,7 +210,7 @@ def paced(docs: Iterator[np.ndarray], lanes: int) -> Iterator[np.ndarray]:
             doc = held.pop(at)
         else:
             _, doc = held.popitem(last=False)
-        size -= len(doc) + DOC_COST
+        size -= len(doc)
         if len(longest) > 2 * len(held) + 1000:
             longest = [x for x in longest if x[1] in held]
             heapq.heapify(longest)
@@ -212,23 +225,33 @@ class Lanes:
         self.held = [d for _, d in zip(range(lanes), docs)]
         self.at = [0] * len(self.held)  # 0: a document begins
         self.last = np.full(len(self.held), begin)
+        self.lanes = np.arange(len(self.held))  # those of the last window
+        self.ready: deque[tuple] = deque()
 
     def window(self):
         """(input, target, begins, filled), each [WINDOW, lanes], and the lanes of the last window that go on; no lanes at the end."""
-        go = [j for j, d in enumerate(self.held) if d is not None and len(d)]
-        if len(go) < len(self.held):
-            self.held, self.at, self.last = [self.held[j] for j in go], [self.at[j] for j in go], self.last[go]
-        target = np.full((len(go), WINDOW), self.begin)
-        fresh, filled = np.zeros((WINDOW, len(go)), bool), np.ones((WINDOW, len(go)), bool)
+        if not self.ready:
+            self._read()
+        return self.ready.popleft()
+
+    def _read(self) -> None:
+        """The next windows, BLOCK at most."""
+        steps = WINDOW * BLOCK
+        go = [j for j, d in enumerate(self.held) if d is not None]
+        came = np.searchsorted(self.lanes, go)
+        self.held, self.at, self.last = [self.held[j] for j in go], [self.at[j] for j in go], self.last[go]
+        target = np.full((len(go), steps), self.begin)
+        fresh, filled = np.zeros((steps, len(go)), bool), np.ones((steps, len(go)), bool)
         for j, (doc, at) in enumerate(zip(self.held, self.at)):
-            if at and at + WINDOW < len(doc):
-                target[j] = doc[at : at + WINDOW]
-                self.at[j] = at + WINDOW
+            if at and at + steps < len(doc):
+                target[j] = doc[at : at + steps]
+                self.at[j] = at + steps
                 continue
             have = 0
-            while have < WINDOW and doc is not None:
-                take = doc[at : at + WINDOW - have]
-                fresh[have, j] = not at
+            while have < steps and doc is not None:
+                take = doc[at : at + steps - have]
+                if len(take):
+                    fresh[have, j] = not at
                 target[j, have : have + len(take)] = take
                 at, have = at + len(take), have + len(take)
                 if at == len(doc):
@@ -239,7 +262,16 @@ class Lanes:
         inputs = np.concatenate([self.last[None], target[:-1]])
         inputs[fresh] = self.begin
         self.last = target[-1]
-        return inputs, target, fresh, filled, go
+        self.lanes = np.arange(len(go))
+        for at in range(0, steps, WINDOW):
+            on = np.flatnonzero(filled[at])
+            if not len(on) and at:
+                break
+            whole = len(on) == len(go)
+            cut = (x[at : at + WINDOW] if whole else x[at : at + WINDOW, on] for x in (inputs, target, fresh, filled))
+            back = np.searchsorted(self.lanes, on)
+            self.ready.append((*cut, (back if at else came[back]).tolist()))
+            self.lanes = on
 
 
 def train(m: Gru, docs: list[np.ndarray], begin: int, tokens: int, seed: int = 9) -> Gru:
@@ -271,33 +303,29 @@ def passing(m: Gru, docs: Iterator[np.ndarray], begin: int) -> Iterator[np.ndarr
 
 
 def _adam(p: np.ndarray, g: np.ndarray, a: np.ndarray, v: np.ndarray, rate: float, c2: float) -> None:
-    """One step in place; g is used up."""
+    """One step in place; g is used up. a and v are 10 and 100 times the means of gradients and of their squares."""
     a *= 0.9
+    a += g
     v *= 0.99
-    s = np.multiply(g, 0.1)
-    a += s
-    g *= s
-    g *= 0.1
+    g *= g
     v += g
-    np.multiply(v, 1 / c2, out=s)
-    np.sqrt(s, out=s)
-    s += 1e-6
-    np.divide(a, s, out=s)
-    s *= rate
-    p -= s
+    np.sqrt(v, out=g)
+    g += 1e-5 * c2**0.5
+    np.divide(a, g, out=g)
+    g *= rate * c2**0.5
+    p -= g
 
 
-def _sums(rows: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows that begin at the edges; two floats at a time, as a complex number."""
-    n = np.diff(edge, append=len(rows))
-    out, many = rows[edge], n > 1
+def _sums(rows: np.ndarray, order: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of runs, which begin at the edges, of the rows in that order; two floats at a time, as a complex number."""
+    n = np.diff(edge, append=len(order))
+    out, many = rows[order[edge]], n > 1
     if many.any():
-        rows = rows[np.repeat(many, n)]
+        rows = rows[order[np.repeat(many, n)]]
         edge = np.concatenate([[0], np.cumsum(n[many])[:-1]])
-        if rows.dtype == np.float32 and rows.shape[1] % 2 == 0:
-            out[many] = np.add.reduceat(rows.view(np.complex64), edge, axis=0).view(np.float32)
-        else:
-            out[many] = np.add.reduceat(rows, edge, axis=0)
+        pairs = rows.dtype == np.float32 and rows.shape[1] % 2 == 0
+        found = np.add.reduceat(rows.view(np.complex64) if pairs else rows, edge, axis=0)
+        out[many] = found.view(rows.dtype)
     return out
 
 
@@ -309,12 +337,16 @@ _STEPS = (0.9**_MISSED / 0.99 ** (_MISSED / 2)).cumsum(0).astype(np.float32) - 1
 
 def _catch_up(x, a, v, missed, rate: float, c2: float) -> None:
     """The steps that input rows have missed: without gradients they shrink in ratio, so their sum is in closed form."""
-    missed = np.minimum(missed, len(_MISSED) - 1)
-    s = np.multiply(v, 1 / c2)
-    np.sqrt(s, out=s)
-    s += 1e-6
+    late = np.flatnonzero(missed)
+    if not len(late):
+        return
+    # the frequent rows come first and have mostly missed none
+    x, a, v = x[late[0] :], a[late[0] :], v[late[0] :]
+    missed = np.minimum(missed[late[0] :], len(_MISSED) - 1)
+    s = np.sqrt(v)
+    s += 1e-5 * c2**0.5
     np.divide(a, s, out=s)
-    s *= _STEPS[missed] * rate
+    s *= _STEPS[missed] * np.float32(rate * c2**0.5)
     x -= s
     a *= _MEAN[missed]
     v *= _SQUARE[missed]
@@ -338,7 +370,7 @@ def _windows(m: Gru, data: Lanes, windows: int | None, rate_of) -> Iterator[np.n
         grads.append(grad[at : at + p.size].reshape(p.shape))
         at += p.size
     mom, var, mom_x, var_x = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(m.x), np.zeros_like(m.x)
-    due = np.zeros(len(m.x), np.int64)
+    due, row_of = np.zeros(len(m.x), np.int64), np.zeros(len(m.x), np.int64)
     it, rate, c2 = 0, 0.0, 1.0
     while windows is None or it < windows:
         inputs, target, fresh, filled, go = data.window()
@@ -354,36 +386,37 @@ def _windows(m: Gru, data: Lanes, windows: int | None, rate_of) -> Iterator[np.n
         rows = sorted_w[edge]
         px, ax, vx = m.x[rows], mom_x[rows], var_x[rows]
         if it:
-            _catch_up(px, ax, vx, it - due[rows], np.float32(rate), c2)
-        which = np.empty_like(order)
-        which[order] = np.repeat(np.arange(len(rows)), np.diff(edge, append=len(w)))
-        # forward: gates apart, [step, gate, lane, unit]; sigmoid(a) = (tanh(a / 2) + 1) / 2
+            _catch_up(px, ax, vx, it - due[rows], rate, c2)
+        row_of[rows] = np.arange(len(rows))
+        which = row_of[w]
+        # forward: gates apart, [gate, step, lane, unit]; sigmoid(a) = (tanh(a / 2) + 1) / 2
         half = np.array([0.5, 0.5, 1], np.float32)[:, None, None]
         u = np.ascontiguousarray(m.u.reshape(k, 3, k).transpose(1, 0, 2)) * half
-        gates = np.empty((WINDOW, 3, lanes, k), np.float32)
-        half_x = (px + m.b).reshape(-1, 3, k) * half[:, 0]
-        gates[:] = np.take(half_x.reshape(-1, 3 * k), which, axis=0).reshape(WINDOW, lanes, 3, k).transpose(0, 2, 1, 3)
-        before, hs, gn = (np.empty((WINDOW, lanes, k), np.float32) for _ in range(3))
-        g, reset = np.empty((3, lanes, k), np.float32), fresh.any(1)
+        inner = np.ascontiguousarray((px + m.b).reshape(-1, 3, k).transpose(1, 0, 2)) * half
+        gates = np.take(inner, which, axis=1).reshape(3, WINDOW, lanes, k)
+        hs, gn = np.empty((WINDOW, lanes, k), np.float32), np.empty((WINDOW, lanes, k), np.float32)
+        g, reset, carried = np.empty((3, lanes, k), np.float32), fresh.any(1).tolist(), h
+        g_zr, g_n = g[:2], g[2]
         for t in range(WINDOW):
-            b = before[t]
-            b[:] = h
             if reset[t]:
-                b[fresh[t]] = 0
-            np.matmul(b, u, out=g)
-            zr, n = gates[t, :2], gates[t, 2]
-            zr += g[:2]
+                h = h.copy()
+                h[fresh[t]] = 0
+            np.matmul(h, u, out=g)
+            zr, n, to = gates[:2, t], gates[2, t], hs[t]
+            zr += g_zr
             np.tanh(zr, out=zr)
             zr += 1
             zr *= 0.5
-            gn[t] = g[2]
-            g[2] *= zr[1]
-            n += g[2]
+            gn[t] = g_n
+            g_n *= zr[1]
+            n += g_n
             np.tanh(n, out=n)
-            h = hs[t]
-            np.subtract(b, n, out=h)
-            h *= zr[0]
-            h += n
+            np.subtract(h, n, out=to)
+            to *= zr[0]
+            to += n
+            h = to
+        before = np.concatenate([carried[None], hs[:-1]])
+        before[fresh] = 0
         grad[:] = 0
         states = hs.reshape(-1, k)
         if full:
@@ -393,7 +426,7 @@ def _windows(m: Gru, data: Lanes, windows: int | None, rate_of) -> Iterator[np.n
             _, dh[ok] = log_probs(m, states[ok], target.ravel()[ok], grads)
         dh = dh.reshape(WINDOW, lanes, k)
         # backward: what each step's gradient is multiplied by, for all steps at once
-        z, r, n = gates[:, 0], gates[:, 1], gates[:, 2]
+        z, r, n = gates
         rest = 1 - z
         to_z = before - n
         to_z *= z
@@ -422,9 +455,9 @@ def _windows(m: Gru, data: Lanes, windows: int | None, rate_of) -> Iterator[np.n
             if reset[t]:
                 back[fresh[t]] = 0
         da = da.reshape(-1, 4 * k)
-        du = before.reshape(-1, k).T @ da[:, : 3 * k]
-        grads[1][:, 2 * k :], grads[1][:, : 2 * k] = du[:, :k], du[:, k:]
-        grad_x = _sums(da[order, k:], edge)
+        du = _gram(before.reshape(-1, k), da)
+        grads[1][:, 2 * k :], grads[1][:, : 2 * k] = du[:, :k], du[:, k : 3 * k]
+        grad_x = _sums(da[:, k:], order, edge)
         np.matmul(np.ones(len(grad_x), np.float32), grad_x, out=grads[2])
         scale = 1.0 / lanes  # a mean over lanes of the sum over a window
         norm = np.sqrt(float(grad @ grad) + float(np.vdot(grad_x, grad_x))) * scale
@@ -440,7 +473,7 @@ def _windows(m: Gru, data: Lanes, windows: int | None, rate_of) -> Iterator[np.n
         due[rows] = it
         yield met
     if it:
-        _catch_up(m.x, mom_x, var_x, it - due, np.float32(rate), c2)
+        _catch_up(m.x, mom_x, var_x, it - due, rate, c2)
     yield met
 
 
@@ -463,14 +496,14 @@ def score(m: Gru, docs: list[np.ndarray], begin: int) -> np.ndarray:
     for n, j in load:
         length[j] = n
     order = np.argsort(-length, kind="stable")
-    streams, starts, owner = [], [], []
-    for j in order:
-        ds = held[j]
-        streams.append(np.concatenate([docs[i] for i in ds]))
-        starts.append(np.cumsum([0] + [len(docs[i]) for i in ds[:-1]]))
-        owner.append(ds)
     length = length[order]
-    logp = [np.empty(n) for n in length]
+    # lanes end to end, the longest first
+    owner = [i for j in order.tolist() for i in held[j]]
+    flat = np.concatenate([docs[i] for i in owner])
+    starts = np.cumsum(sizes[owner]) - sizes[owner]
+    lane_at = np.cumsum(length) - length
+    first, logp = np.zeros(len(flat), bool), np.empty(len(flat))
+    first[starts] = True
     k = m.u.shape[0]
     # sigmoid(a) = (tanh(a / 2) + 1) / 2: the half goes into the weights; gates lie apart, so every pass is over one piece
     half = np.array([0.5, 0.5, 1], np.float32)[:, None, None]
@@ -481,16 +514,13 @@ def score(m: Gru, docs: list[np.ndarray], begin: int) -> np.ndarray:
     for t0 in range(0, int(length[0]), SCORE_STEPS):
         live = int((length > t0).sum())
         h, prev = h[:live], prev[:live]
-        a, g = np.empty((3, live, k), np.float32), np.empty((3, live, k), np.float32)
+        a, g = np.empty((3, live, k), x.dtype), np.empty((3, live, k), np.float32)
         steps = int(min(SCORE_STEPS, length[0] - t0))
-        target = np.zeros((steps, live), np.int64)
-        fresh = np.zeros((steps, live), bool)
-        for j in range(live):
-            part = streams[j][t0 : t0 + steps]
-            target[: len(part), j] = part
-            s = starts[j]
-            i0, i1 = np.searchsorted(s, (t0, t0 + steps))
-            fresh[s[i0:i1] - t0, j] = True
+        place = lane_at[:live] + np.arange(t0, t0 + steps)[:, None]
+        filled = place < lane_at[:live] + length[:live]
+        place[~filled] = 0
+        target = flat[place].astype(np.int64)
+        fresh = first[place] & filled
         inputs = np.concatenate([prev[None], target[:-1]])
         inputs[fresh] = begin
         reset = fresh.any(1)
@@ -516,11 +546,8 @@ def score(m: Gru, docs: list[np.ndarray], begin: int) -> np.ndarray:
             h = to
         prev = target[-1]
         got = log_probs(m, hs.reshape(-1, k), target.ravel()).reshape(steps, live)
-        for j in range(live):
-            n_left = min(steps, int(length[j] - t0))
-            logp[j][t0 : t0 + n_left] = got[:n_left, j]
-    for lp, s, ds in zip(logp, starts, owner):
-        total[ds] = np.add.reduceat(lp, s)
+        logp[place[filled]] = got[filled]
+    total[owner] = np.add.reduceat(logp, starts)
     return total
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from fragweave.llm import gru
-from fragweave.llm.common import fold
+from fragweave.llm.common import Memo, fold
 from fragweave.session import cut_lineage
 
 #: Words that are looked up without a join; words that the model predicts; buckets for the others.
@@ -52,6 +52,12 @@ def bucket_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % BUCKETS
 
 
+def buckets_of(words: list[bytes]) -> np.ndarray:
+    """bucket_of() each word, worked out once for each pair of last bytes."""
+    known = Memo(bucket_of, 1 << 17)
+    return np.fromiter([known[w[-2:]] for w in words], np.int64, len(words))
+
+
 def pieces(column: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
     """The column in order, in slices of about `most` bytes, each with its place; no value is cut."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -84,8 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, places, _ = coded(texts)
             n = np.bincount(places, minlength=len(words))
             words, n = [w for w in words if w], n[[bool(w) for w in words]]
-            bucket = np.fromiter(map(bucket_of, words), np.int32, len(words))
-            rows = (np.append(keys_of(words), END), np.append(bucket, -1).astype(np.int32), np.append(n, len(texts)).astype(np.int64))
+            rows = (np.append(keys_of(words), END), np.append(buckets_of(words), -1).astype(np.int32), np.append(n, len(texts)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["key", "bucket", "n"])
 
 
@@ -121,11 +126,11 @@ class Lexicon:
     def entries(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each word: symbol; key if it needs the join, else 0; log10(count + ALPHA), or 0 then; log10 that it adds to its symbol's."""
         key = keys_of(words)
-        bucket = np.fromiter(map(bucket_of, words), np.int64, len(words))
+        bucket = buckets_of(words)
         at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
         found = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
         own = np.log10((self.n[at] if len(self.keys) else np.ones(len(key))) + ALPHA) * found
-        short = np.fromiter((self.symbol.get(k, -1) for k in key.tolist()), np.int64, len(key))
+        short = np.fromiter(map(self.symbol.get, key.tolist(), repeat(-1)), np.int64, len(key))
         listed = short >= 0
         return np.where(listed, short, self.bucket_symbol[bucket]), np.where(found, 0, key), own, np.where(listed, 0.0, own - self.bucket_log[bucket])
 

@@ -5,10 +5,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fragweave.llm import gru, langid, lm, quality
-from fragweave.llm.common import Memo
+from fragweave.llm.common import Memo, folded_words
 from tests.llm import samples
 
 
@@ -159,6 +160,52 @@ def test_gru_pass_uses_every_symbol_once():
     assert all(np.allclose(a, b) for a, b in zip(m.params(), same.params()))
 
 
+def test_gru_lanes_end_together():
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 8, int(n)) for n in [*rng.integers(1, 60, 4000), 900]]
+    met = list(gru.passing(gru.start(np.ones(8), 3, hidden=6), iter(docs), 7))
+    size = sum(map(len, docs))
+    assert met[-1].sum() == size
+    # the long document at the end would by itself take 57 windows more
+    assert len(met) - 1 <= 1.1 * size / (gru.LANES * gru.WINDOW) + 2
+    assert sorted(map(bytes, gru.paced(iter(docs), 4))) == sorted(map(bytes, docs))
+
+
+def test_rows_that_miss_steps_catch_up():
+    rng = np.random.default_rng(8)
+    start = [rng.standard_normal((6, 4)).astype(np.float32), rng.standard_normal((6, 4)).astype(np.float32), rng.random((6, 4)).astype(np.float32) + 0.1]
+    missed = np.array([0, 1, 2, 7, 40, 300])
+    plain, lazy = [[x.copy() for x in start] for _ in range(2)]
+    for step in range(300):
+        on = missed > step
+        rows = [x[on] for x in plain]
+        gru._adam(rows[0], np.zeros_like(rows[0]), rows[1], rows[2], 1e-3, 0.9)
+        for x, r in zip(plain, rows):
+            x[on] = r
+    gru._catch_up(*lazy, missed, 1e-3, 0.9)
+    assert all(np.allclose(x, y, rtol=1e-3, atol=1e-5) for x, y in zip(plain, lazy))
+
+
+def test_words_by_arrow_are_folded_words():
+    texts = [None, "", "   ", " a  B\ta ", "\x0b\x0cx\r\n", "\x1cA\x1f b", "\u00c4\u00a0\u2028\u0085 z", "\x00 Q", "one", "E\u0301A Z\u0130 \U0001f600X"]
+    texts += [f"{c}w{c}V{c}" for c in map(chr, range(1, 200))]
+    for part in (texts, texts[:3], texts[5:6]):
+        words, places, edges = lm.coded(pa.array(part, pa.string()))
+        assert [[words[i] for i in places[a:b]] for a, b in zip(edges, edges[1:])] == [folded_words(t) for t in part]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    got = pa.Table.from_batches(lm._count(iter([batch, batch.slice(3, 2)]))).to_pylist()
+    count, bucket = Counter(), {}
+    for r in got:
+        count[r["key"]] += r["n"]
+        bucket[r["key"]] = r["bucket"]
+    want = Counter(w for t in texts + texts[3:5] for w in folded_words(t))
+    keys = lm.keys_of(list(want)).tolist()
+    assert count == Counter(dict(zip(keys, want.values())) | {lm.END: len(texts) + 2})
+    assert [bucket[k] for k in keys] == [lm.bucket_of(w) for w in want]
+    column = pa.array(["a" * n for n in (5, 0, 30, 1, 1, 9)])
+    assert [(at, len(x)) for at, x in lm.pieces(column.slice(1), 10)] == [(0, 1), (1, 1), (2, 2), (4, 1)]
+
+
 def test_recurrent_model_learns_from_documents_outside_the_sample(spark):
     data = [(i, " ".join(f"w{(k + i) % 20}" for k in range(400))) for i in range(3000)]
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
