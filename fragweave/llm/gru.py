@@ -316,16 +316,22 @@ def _adam(p: np.ndarray, g: np.ndarray, a: np.ndarray, v: np.ndarray, rate: floa
     p -= g
 
 
+def _put(to: np.ndarray, rows: np.ndarray, part: np.ndarray) -> None:
+    """to[:, rows] = part, faster."""
+    for t, p in zip(to, part):
+        t[rows] = p
+
+
 def _sums(rows: np.ndarray, order: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Sums of runs, which begin at the edges, of the rows in that order; two floats at a time, as a complex number."""
+    """Of each gate: sums of runs, which begin at the edges, of the rows in that order; two floats at a time, as a complex number."""
     n = np.diff(edge, append=len(order))
-    out, many = rows[order[edge]], n > 1
+    out, many = np.take(rows, order[edge], axis=1), n > 1
     if many.any():
-        rows = rows[order[np.repeat(many, n)]]
+        rows = np.take(rows, order[np.repeat(many, n)], axis=1)
         edge = np.concatenate([[0], np.cumsum(n[many])[:-1]])
-        pairs = rows.dtype == np.float32 and rows.shape[1] % 2 == 0
-        found = np.add.reduceat(rows.view(np.complex64) if pairs else rows, edge, axis=0)
-        out[many] = found.view(rows.dtype)
+        pairs = rows.dtype == np.float32 and rows.shape[2] % 2 == 0
+        found = np.add.reduceat(rows.view(np.complex64) if pairs else rows, edge, axis=1)
+        _put(out, np.flatnonzero(many), found.view(rows.dtype))
     return out
 
 
@@ -341,7 +347,7 @@ def _catch_up(x, a, v, missed, rate: float, c2: float) -> None:
     if not len(late):
         return
     # the frequent rows come first and have mostly missed none
-    x, a, v = x[late[0] :], a[late[0] :], v[late[0] :]
+    x, a, v = x[:, late[0] :], a[:, late[0] :], v[:, late[0] :]
     missed = np.minimum(missed[late[0] :], len(_MISSED) - 1)
     s = np.sqrt(v)
     s += 1e-5 * c2**0.5
@@ -369,7 +375,9 @@ def _windows(m: Gru, data: Lanes, windows: int | None, rate_of) -> Iterator[np.n
         setattr(m, name, flat[at : at + p.size].reshape(p.shape))
         grads.append(grad[at : at + p.size].reshape(p.shape))
         at += p.size
-    mom, var, mom_x, var_x = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(m.x), np.zeros_like(m.x)
+    mom, var = np.zeros_like(flat), np.zeros_like(flat)
+    x = np.ascontiguousarray(m.x.reshape(-1, 3, k).transpose(1, 0, 2))  # gates apart
+    mom_x, var_x = np.zeros_like(x), np.zeros_like(x)
     due, row_of = np.zeros(len(m.x), np.int64), np.zeros(len(m.x), np.int64)
     it, rate, c2 = 0, 0.0, 1.0
     while windows is None or it < windows:
@@ -384,7 +392,7 @@ def _windows(m: Gru, data: Lanes, windows: int | None, rate_of) -> Iterator[np.n
         sorted_w = w[order]
         edge = np.flatnonzero(np.concatenate([[True], sorted_w[1:] != sorted_w[:-1]]))
         rows = sorted_w[edge]
-        px, ax, vx = m.x[rows], mom_x[rows], var_x[rows]
+        px, ax, vx = (np.take(p, rows, axis=1) for p in (x, mom_x, var_x))
         if it:
             _catch_up(px, ax, vx, it - due[rows], rate, c2)
         row_of[rows] = np.arange(len(rows))
@@ -392,7 +400,8 @@ def _windows(m: Gru, data: Lanes, windows: int | None, rate_of) -> Iterator[np.n
         # forward: gates apart, [gate, step, lane, unit]; sigmoid(a) = (tanh(a / 2) + 1) / 2
         half = np.array([0.5, 0.5, 1], np.float32)[:, None, None]
         u = np.ascontiguousarray(m.u.reshape(k, 3, k).transpose(1, 0, 2)) * half
-        inner = np.ascontiguousarray((px + m.b).reshape(-1, 3, k).transpose(1, 0, 2)) * half
+        inner = px + m.b.reshape(3, 1, k)
+        inner *= half
         gates = np.take(inner, which, axis=1).reshape(3, WINDOW, lanes, k)
         hs, gn = np.empty((WINDOW, lanes, k), np.float32), np.empty((WINDOW, lanes, k), np.float32)
         g, reset, carried = np.empty((3, lanes, k), np.float32), fresh.any(1).tolist(), h
@@ -425,40 +434,39 @@ def _windows(m: Gru, data: Lanes, windows: int | None, rate_of) -> Iterator[np.n
             ok, dh = filled.ravel(), np.zeros_like(states)
             _, dh[ok] = log_probs(m, states[ok], target.ravel()[ok], grads)
         dh = dh.reshape(WINDOW, lanes, k)
-        # backward: what each step's gradient is multiplied by, for all steps at once
+        # backward, [part, step, lane, unit]: candidate by the reset gate, update, reset, candidate; u has the first three, x and b
+        # the last three. First what each step's gradient is multiplied by, for all steps at once; it's overwritten by the products
         z, r, n = gates
+        da = np.empty((4, WINDOW, lanes, k), np.float32)
+        to_nr, to_z, to_r, to_n = da
         rest = 1 - z
-        to_z = before - n
+        np.subtract(before, n, out=to_z)
         to_z *= z
         to_z *= rest
-        to_n = n * n
+        np.multiply(n, n, out=to_n)
         np.subtract(1, to_n, out=to_n)
         to_n *= rest
-        to_r = 1 - r
-        to_r *= r
+        np.multiply(to_n, r, out=to_nr)
+        np.subtract(1, r, out=to_r)
         to_r *= gn
-        # columns: candidate by the reset gate, update, reset, candidate; u has the first three, x and b the last three
-        da = np.empty((WINDOW, lanes, 4 * k), np.float32)
-        back, dn = np.zeros((lanes, k), np.float32), np.empty((lanes, k), np.float32)
-        u_back = np.ascontiguousarray(np.concatenate([m.u[:, 2 * k :], m.u[:, : 2 * k]], 1).T)
+        to_r *= to_nr
+        u = np.ascontiguousarray(m.u.reshape(k, 3, k)[:, [2, 0, 1]].transpose(1, 2, 0))
+        back, parts = np.zeros((lanes, k), np.float32), np.empty((3, lanes, k), np.float32)
         for t in range(WINDOW - 1, -1, -1):
-            d, to = dh[t], da[t]
+            d, to = dh[t], da[:, t]
             d += back
-            np.multiply(d, to_n[t], out=dn)
-            np.multiply(dn, r[t], out=to[:, :k])
-            np.multiply(d, to_z[t], out=to[:, k : 2 * k])
-            np.multiply(dn, to_r[t], out=to[:, 2 * k : 3 * k])
-            to[:, 3 * k :] = dn
-            np.matmul(to[:, : 3 * k], u_back, out=back)
-            d *= z[t]
-            back += d
+            to *= d
+            np.matmul(to[:3], u, out=parts)
+            np.multiply(d, z[t], out=back)
+            back += parts[0]
+            back += parts[1]
+            back += parts[2]
             if reset[t]:
                 back[fresh[t]] = 0
-        da = da.reshape(-1, 4 * k)
-        du = _gram(before.reshape(-1, k), da)
-        grads[1][:, 2 * k :], grads[1][:, : 2 * k] = du[:, :k], du[:, k : 3 * k]
-        grad_x = _sums(da[:, k:], order, edge)
-        np.matmul(np.ones(len(grad_x), np.float32), grad_x, out=grads[2])
+        du = np.matmul(before.transpose(0, 2, 1), da[:3]).sum(1)
+        grads[1].reshape(k, 3, k)[:, [2, 0, 1]] = du.transpose(1, 0, 2)
+        grad_x = _sums(da[1:].reshape(3, -1, k), order, edge)
+        np.matmul(np.ones(len(rows), np.float32), grad_x, out=grads[2].reshape(3, k))
         scale = 1.0 / lanes  # a mean over lanes of the sum over a window
         norm = np.sqrt(float(grad @ grad) + float(np.vdot(grad_x, grad_x))) * scale
         scale *= min(1.0, 5.0 / max(norm, 1e-9))
@@ -468,12 +476,14 @@ def _windows(m: Gru, data: Lanes, windows: int | None, rate_of) -> Iterator[np.n
         grad_x *= np.float32(scale)
         _adam(flat, grad, mom, var, rate, c2)
         _adam(px, grad_x, ax, vx, rate, c2)
-        m.x[rows], mom_x[rows], var_x[rows] = px, ax, vx
+        for every, part in ((x, px), (mom_x, ax), (var_x, vx)):
+            _put(every, rows, part)
         it += 1
         due[rows] = it
         yield met
     if it:
-        _catch_up(m.x, mom_x, var_x, it - due, rate, c2)
+        _catch_up(x, mom_x, var_x, it - due, rate, c2)
+        m.x = np.ascontiguousarray(x.transpose(1, 0, 2)).reshape(m.x.shape)
     yield met
 
 

@@ -173,15 +173,15 @@ def test_gru_lanes_end_together():
 
 def test_rows_that_miss_steps_catch_up():
     rng = np.random.default_rng(8)
-    start = [rng.standard_normal((6, 4)).astype(np.float32), rng.standard_normal((6, 4)).astype(np.float32), rng.random((6, 4)).astype(np.float32) + 0.1]
+    start = [f((3, 6, 4)).astype(np.float32) for f in (rng.standard_normal, rng.standard_normal, lambda s: rng.random(s) + 0.1)]
     missed = np.array([0, 1, 2, 7, 40, 300])
     plain, lazy = [[x.copy() for x in start] for _ in range(2)]
     for step in range(300):
         on = missed > step
-        rows = [x[on] for x in plain]
+        rows = [x[:, on] for x in plain]
         gru._adam(rows[0], np.zeros_like(rows[0]), rows[1], rows[2], 1e-3, 0.9)
         for x, r in zip(plain, rows):
-            x[on] = r
+            x[:, on] = r
     gru._catch_up(*lazy, missed, 1e-3, 0.9)
     assert all(np.allclose(x, y, rtol=1e-3, atol=1e-5) for x, y in zip(plain, lazy))
 
