@@ -74,12 +74,14 @@ def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     Arrow splits at the same six characters and lower-cases A-Z alone; the empty words that it leaves at either end of a text have no place.
     """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
-    found = lists.values.dictionary_encode()
+    found, edges = lists.values.dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
+    del lists
     words = found.dictionary.cast(pa.binary()).to_pylist()
-    places, edges = found.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    places = found.indices.to_numpy()
+    del found
     if b"" in words:
-        keep = places != words.index(b"")
-        places, edges = places[keep], np.concatenate([[0], np.cumsum(keep)])[edges]
+        empty = np.flatnonzero(places == words.index(b""))
+        places, edges = np.delete(places, empty), edges - np.searchsorted(empty, edges)
     return words, places, edges
 
 
@@ -88,10 +90,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in pieces(batch.column(0), COUNT_BYTES):
             words, places, _ = coded(texts)
-            n = np.bincount(places, minlength=len(words))
+            n = np.zeros(len(words), np.int64)
+            for at in range(0, len(places), 500_000):  # bincount() copies what it counts to 64 bits
+                n += np.bincount(places[at : at + 500_000], minlength=len(words))
+            del places
             words, n = [w for w in words if w], n[[bool(w) for w in words]]
             rows = (np.append(keys_of(words), END), np.append(buckets_of(words), -1).astype(np.int32), np.append(n, len(texts)).astype(np.int64))
+            del words, n
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["key", "bucket", "n"])
+            pa.default_memory_pool().release_unused()  # the worker stays for the next stages
 
 
 class Lexicon:
@@ -162,7 +169,7 @@ class Words:
 
 def _split(symbol: np.ndarray, edges: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of texts end to end, each text's end included, and the texts' edges there."""
-    return np.insert(symbol.astype("<u2"), edges[1:], end), edges + np.arange(len(edges))
+    return np.insert(symbol.astype("<u2", copy=False), edges[1:], end), edges + np.arange(len(edges))
 
 
 def _symbols(words):
@@ -205,10 +212,13 @@ def _encoder(shared, held_fold: int, schema: pa.Schema):
                     n = len(texts)
                     distinct, places, edges = coded(texts)
                     at = words.look(distinct)
-                    symbol, key, own, inside = (c[at][places] for c in words.columns)
+                    symbol, key, own, inside = (c[at] for c in words.columns)
+                    symbol, key = symbol.astype("<u2")[places], key[places]
                     text = np.repeat(np.arange(n), np.diff(edges))
+                    own, inside = np.bincount(text, own[places], n), np.bincount(text, inside[places], n)
                     rare = np.flatnonzero(key)
                     rare_text, rare_key = text[rare], key[rare]
+                    del text, key, places
                     order = np.lexsort((rare_key, rare_text))
                     rare_text, rare_key = rare_text[order], rare_key[order]
                     new = np.flatnonzero(np.diff(rare_text, prepend=-1) | (np.diff(rare_key, prepend=0) != 0))
@@ -222,8 +232,8 @@ def _encoder(shared, held_fold: int, schema: pa.Schema):
                         "held_out": held,
                         "n_tokens": tokens,
                         "known": tokens - 1 - np.bincount(rare_text, minlength=n) + int(lex.end_count > 0),
-                        "base": np.bincount(text, own, n) + end_log - tokens * scale,
-                        "inside": np.bincount(text, inside, n),
+                        "base": own + end_log - tokens * scale,
+                        "inside": inside,
                         "keys": pa.ListArray.from_arrays(lists, pa.array(rare_key[new])),
                         "times": pa.ListArray.from_arrays(lists, pa.array(np.diff(new, append=len(rare)).astype(np.int32))),
                         "symbols": _binary(flat, edges),
@@ -231,6 +241,7 @@ def _encoder(shared, held_fold: int, schema: pa.Schema):
                     }
                     row += n
                     done.append(_batch(columns, schema))
+                    pa.default_memory_pool().release_unused()
                     for i in np.flatnonzero(~held).tolist():
                         yield flat[edges[i] : edges[i + 1]]
 
