@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -40,6 +41,26 @@ def test_repeats_and_specials():
     assert bpe.digests(["new words here"], trie, known, most=1) == [expected("new words here")]
 
 
+def test_new_words_take_little_memory():
+    """Of many words never met before, tokens and what is kept are held, but no tree of them."""
+    rng, known = random.Random(7), {}
+    texts = [" ".join("".join(rng.choices("aeiourstln", k=9)) for _ in range(500)) for _ in range(100)]
+    tracemalloc.start()
+    got = bpe.digests(texts, trie, known, most=20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [expected(t) for t in texts]
+    assert peak < 50e6
+
+
+@pytest.mark.parametrize("run", [1, 7, 60])
+def test_texts_longer_than_a_run(run):
+    texts = ["", "Hello, wide world!", "<|endoftext|>A<|startoftext|> b", "", "été " * 40 + "x" * 300, " \n", "it's 2024"]
+    known = {}
+    assert bpe.digests(texts, trie, known, most=3, run=run) == [expected(t) for t in texts]
+    assert not any(len(w) > bpe.KNOWN_CHARS for w in known)
+
+
 def test_encode_table(spark):
     data = samples.rows(30) + samples.ODD
     got = sorted(map(tuple, bpe.encode(samples.table(spark, data), WORD).collect()))
